@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing
-from .common import table
+from . import huffman, packing
+from .common import scratch, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op4_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch(spark)}/ids-{uuid.uuid4().hex}"
+    huffman.write(table(spark, sf_dir, "documents"), path)
+    return huffman.read(spark, path, with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing,)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_huffman_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
