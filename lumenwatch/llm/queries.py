@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, packing
+from . import decontaminate, huffman, packing
 from .common import scratch, table
 
 
@@ -22,9 +22,13 @@ def op4_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(spark, path, with_ids=False)
 
 
+def op5_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_huffman_token_files)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_huffman_token_files, op5_fm_index_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_fm_index_decontamination": decontaminate.SQL}
