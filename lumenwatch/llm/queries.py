@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, packing
+from . import decontaminate, huffman, packing, urls
 from .common import scratch, table
 
 
@@ -26,9 +26,13 @@ def op5_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op6_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(urls.RULES, "host string, path string, verdict string"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_huffman_token_files, op5_fm_index_decontamination)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_huffman_token_files, op5_fm_index_decontamination, op6_redirect_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fm_index_decontamination": decontaminate.SQL}
+    return {"op5_fm_index_decontamination": decontaminate.SQL, "op6_redirect_url_filter": urls.SQL}
