@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, packing, urls
+from . import decontaminate, huffman, language, packing, pii, urls
 from .common import scratch, table
 
 
@@ -30,8 +30,20 @@ def op6_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(urls.RULES, "host string, path string, verdict string"))
 
 
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = language.fold(5, 0)
+    model = language.learn(docs.where(~held))
+    return language.identify(docs.drop("lang"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "languages", "shares")
+
+
+def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_huffman_token_files, op5_fm_index_decontamination, op6_redirect_url_filter)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_huffman_token_files, op5_fm_index_decontamination, op6_redirect_url_filter, op8_language_mixture, op10_boosted_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
