@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, language, packing, pii, urls
+from . import decontaminate, huffman, language, neighbours, packing, pii, urls
 from .common import scratch, table
 
 
@@ -42,9 +42,13 @@ def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(docs, pii.fit(docs)))
 
 
+def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_huffman_token_files, op5_fm_index_decontamination, op6_redirect_url_filter, op8_language_mixture, op10_boosted_pii)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_huffman_token_files, op5_fm_index_decontamination, op6_redirect_url_filter, op8_language_mixture, op9_projection_forest, op10_boosted_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fm_index_decontamination": decontaminate.SQL, "op6_redirect_url_filter": urls.SQL}
+    return {"op5_fm_index_decontamination": decontaminate.SQL, "op6_redirect_url_filter": urls.SQL, "op9_projection_forest": neighbours.SQL}
