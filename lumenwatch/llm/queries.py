@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, language, neighbours, packing, pii, urls
+from . import decontaminate, huffman, jaccard, language, neighbours, packing, pii, urls
 from .common import scratch, table
 
 
@@ -46,9 +46,13 @@ def op9_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op7_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_huffman_token_files, op5_fm_index_decontamination, op6_redirect_url_filter, op8_language_mixture, op9_projection_forest, op10_boosted_pii)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_huffman_token_files, op5_fm_index_decontamination, op6_redirect_url_filter, op7_vertical_jaccard, op8_language_mixture, op9_projection_forest, op10_boosted_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fm_index_decontamination": decontaminate.SQL, "op6_redirect_url_filter": urls.SQL, "op9_projection_forest": neighbours.SQL}
+    return {"op5_fm_index_decontamination": decontaminate.SQL, "op6_redirect_url_filter": urls.SQL, "op7_vertical_jaccard": jaccard.SQL, "op9_projection_forest": neighbours.SQL}
