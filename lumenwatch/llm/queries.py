@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, jaccard, language, neighbours, packing, pii, urls
+from . import decontaminate, huffman, jaccard, language, lattice, neighbours, packing, pii, urls
 from .common import scratch, table
 
 
@@ -50,8 +50,12 @@ def op7_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"))
 
 
+def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~language.fold(7, 2))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_huffman_token_files, op5_fm_index_decontamination, op6_redirect_url_filter, op7_vertical_jaccard, op8_language_mixture, op9_projection_forest, op10_boosted_pii)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_subword_lattice, op4_huffman_token_files, op5_fm_index_decontamination, op6_redirect_url_filter, op7_vertical_jaccard, op8_language_mixture, op9_projection_forest, op10_boosted_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
