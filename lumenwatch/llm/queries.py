@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, huffman, jaccard, language, lattice, neighbours, packing, pii, urls
+from . import decontaminate, huffman, jaccard, language, lattice, neighbours, packing, pii, substrings, urls
 from .common import scratch, table
 
 
@@ -54,9 +54,13 @@ def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~language.fold(7, 2))
 
 
+def op3_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_subword_lattice, op4_huffman_token_files, op5_fm_index_decontamination, op6_redirect_url_filter, op7_vertical_jaccard, op8_language_mixture, op9_projection_forest, op10_boosted_pii)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_subword_lattice, op3_fm_index_substrings, op4_huffman_token_files, op5_fm_index_decontamination, op6_redirect_url_filter, op7_vertical_jaccard, op8_language_mixture, op9_projection_forest, op10_boosted_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_fm_index_decontamination": decontaminate.SQL, "op6_redirect_url_filter": urls.SQL, "op7_vertical_jaccard": jaccard.SQL, "op9_projection_forest": neighbours.SQL}
+    return {"op3_fm_index_substrings": substrings.SQL, "op5_fm_index_decontamination": decontaminate.SQL, "op6_redirect_url_filter": urls.SQL, "op7_vertical_jaccard": jaccard.SQL, "op9_projection_forest": neighbours.SQL}
