@@ -34,7 +34,7 @@ class WordTokenizer:
     are its chunks' ids in order (tests compare with encoding whole texts). Chunks kept: at most LIMIT.
     """
 
-    LIMIT = 500_000
+    LIMIT = 1_200_000
     #: Chunks in one call. A chunk of letters, or of letters and one of these marks, has 1 or 2 tokens that end a word.
     GROUP, MARKS = 400, frozenset(".,;:?")
 
