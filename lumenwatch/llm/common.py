@@ -1,39 +1,22 @@
-"""Shared helpers: scratch tables, word splitting, 64-bit hashing and connected components."""
+"""Shared helpers: tables, word splitting and 64-bit hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, save, scratch
+
+__all__ = ["components", "save", "scratch"]
+
 #: An odd multiplier with no short cycle, for polynomial hashes modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 MASK = (1 << 64) - 1
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster (spark.checkpoint.dir); one of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -109,29 +92,3 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component) for all nodes of edges (a, b): component is the smallest node reachable.
-
-    Alternating large-star and small-star steps: the number of rounds grows with the logarithm of the
-    longest path, and a hub costs one minimum and one join row per neighbour, never a pair of neighbours.
-    """
-    spark = edges.sparkSession
-    now = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(rounds):
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == before or not mark[0]:
-            break
-        before = mark
-        both = now.union(now.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m"))
-        now = save(small.distinct(), "edges")
-    else:
-        raise RuntimeError("components did not settle")
-    roots = now.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(roots)
