@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import behaviour, detection
+from . import behaviour, context, detection, ingest, stream
 
-MODULES = [behaviour, detection]
+MODULES = [behaviour, detection, context, ingest, stream]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
