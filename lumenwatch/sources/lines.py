@@ -39,7 +39,7 @@ def records(lines: DataFrame) -> DataFrame:
     rows = lines.withColumn("line", F.trim("line")).where("line <> ''")
     deep = depth(F.col("line")) > DEPTH
     members = F.from_json("line", "map<string,string>")
-    is_object = F.col("line").startswith("{") & F.is_variant_null(F.try_parse_json("line")).eqNullSafe(False) & ~deep
+    is_object = F.col("line").startswith("{") & F.try_parse_json("line").isNotNull() & ~deep
     syslog = F.col("line").rlike(RFC3164) | F.col("line").rlike(RFC5424)
     form = F.when(F.col("line").startswith("{") & deep, "json-too-deep").when(is_object, "json").when(F.col("line").rlike(CEF), "cef").when(syslog, "syslog").otherwise("message")
     cef = F.regexp_extract("line", CEF, 7)
