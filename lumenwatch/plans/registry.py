@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import behaviour, context, detection, ingest, stream
+from . import behaviour, context, detection, ingest, reports, stream
 
-MODULES = [behaviour, detection, context, ingest, stream]
+MODULES = [behaviour, detection, context, ingest, reports, stream]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
