@@ -38,3 +38,11 @@ def mask(text: Column) -> Column:
 def hits(text: Column) -> dict[str, Column]:
     """How often each pattern occurs."""
     return {name: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(pattern)).cast("long") for name, pattern, _ in PATTERNS}
+
+
+def address_tokens(text: Column) -> Column:
+    """IPv4 addresses become <IP:internal> or <IP:public>; numbers that aren't addresses stay."""
+    octet = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+    whole = rf"(?<![0-9.]){octet}(?:\.{octet}){{3}}(?![0-9.])"
+    internal = rf"(?<![0-9.])(?:10\.{octet}|127\.{octet}|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))(?:\.{octet}){{2}}(?![0-9.])"
+    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), internal, "<IP:internal>"), whole, "<IP:public>")

@@ -37,3 +37,10 @@ def percentiles(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     ranked = counts.withColumn("upto", F.sum("m").over(ordered)).withColumn("n", F.sum("m").over(Window.partitionBy(*keys)))
     at = lambda f: F.min(F.when(F.col("upto") > F.rint(F.lit(f) * (F.col("n") - 1)), F.col(value)))
     return ranked.groupBy(*keys).agg((F.sum(F.col(value) * F.col("m")) / F.sum("m")).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
+
+
+def baseline_decision(incidents: DataFrame) -> DataFrame:
+    """The deterministic decision path: probability from risk, and an action by severity."""
+    probability = F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.col("risk_score") / 300.0))
+    action = F.when(F.col("severity") >= 75, "contain").when(F.col("severity") >= 50, "escalate").when(F.col("severity") >= 25, "monitor").otherwise("close")
+    return incidents.select("incident_key", probability.alias("probability"), (probability >= 0.5).alias("malicious"), action.alias("action"))

@@ -85,3 +85,21 @@ def verify_chain(log: DataFrame) -> DataFrame:
     rows = chained(log, "_before")
     problem = F.when(F.col("hash") != F.sha2("payload", 256), "payload").when(F.col("prev_hash") != F.col("_before"), "link")
     return rows.select("seq", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def seal_summary(log: DataFrame) -> DataFrame:
+    """Per tenant: rows of an audit log, and those with a seal."""
+    return log.groupBy("tenant").agg(F.count("*").alias("total"), F.count("mac").alias("sealed"))
+
+
+def open_incidents(stored: DataFrame, entities: list[str], newest: int = 500) -> DataFrame:
+    """Per tenant, the newest open incidents that share one of the entities (a top-k report)."""
+    rows = stored.where(F.col("status").isin("open", "investigating") & F.arrays_overlap("entities", F.array(*map(F.lit, entities))))
+    last = Window.partitionBy("tenant").orderBy(F.desc("last_us"), "incident_key")
+    return rows.withColumn("place", F.row_number().over(last)).where(F.col("place") <= newest)
+
+
+def incident_documents(incidents: DataFrame) -> DataFrame:
+    """Incidents as texts for retrieval: title, entities and techniques."""
+    parts = F.concat_ws(" | ", "title", F.concat(F.lit("risk "), F.col("risk_score").cast("string")), F.concat_ws(", ", "entities"), F.concat_ws(", ", "kill_chain"))
+    return incidents.select(F.col("incident_key").alias("doc_id"), parts.alias("text"))

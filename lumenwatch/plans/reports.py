@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incidents, reports
+from ..functions import redaction
+from ..operators import incidents, quality, reports, search
 from ..sources import mappers
 from ..sources.events import V, X, by_entity, security_events
 from .detection import DAY, INCIDENTS, _serious
@@ -81,9 +82,37 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.unionByName(f.select(F.lit("findings").alias("name"), "tenant", "n"))
 
 
+def seal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows of the events by tenant; failures are sealed."""
+    log = security_events(spark, sf_dir).select(F.col("source").alias("tenant"), F.when(F.col("outcome") == "failure", F.sha2("action", 256)).alias("mac"))
+    return search.seal_summary(log)
+
+
+def open_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest open incidents of some entities in each tenant; an incident belongs to its primary entity's kind."""
+    rows = incidents.roll_up(_members(spark, sf_dir)).withColumn("tenant", F.substring_index("primary_entity", ":", 1))
+    rows = rows.withColumn("status", F.when(F.col("risk_score") >= 70, "open").when(F.col("risk_score") >= 40, "investigating").otherwise("closed"))
+    return search.open_incidents(rows, [f"user:u{i}" for i in range(40)], 5).select("tenant", "incident_key", "status", "place")
+
+
+def incident_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.incident_documents(incidents.roll_up(_members(spark, sf_dir)))
+
+
+def baseline_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.baseline_decision(incidents.roll_up(_members(spark, sf_dir)))
+
+
+def address_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses in documents by class: how many of each a document's text then names."""
+    text = redaction.address_tokens(F.col("text"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.alias("t"))
+    return docs.select("doc_id", F.regexp_count("t", F.lit("<IP:internal>")).cast("long").alias("internal"), F.regexp_count("t", F.lit("<IP:public>")).cast("long").alias("public")).where("internal + public > 0")
+
+
 _title = "CASE WHEN others <= 0 THEN 'Suspicious activity involving ' || primary_entity ELSE 'Correlated activity involving ' || primary_entity || ' and ' || others || ' related entit' || CASE WHEN others = 1 THEN 'y' ELSE 'ies' END END"
 _books = ", ".join(str(b) for b in RUNBOOKS)
-QUERIES = [mapped_records, related_events, incident_reports, incident_features, runbook_plan, triage_state, decision_stats, dispositions, table_counts]
+QUERIES = [mapped_records, related_events, incident_reports, incident_features, runbook_plan, triage_state, decision_stats, dispositions, table_counts, seal_summary, open_incidents, incident_documents, baseline_decisions, address_tokens]
 SQL = {
     "mapped_records": f"""WITH {V} SELECT seq, CASE WHEN category <> 'network' THEN user_name END AS user_name, CASE WHEN category = 'process' THEN host END AS host, CASE WHEN category <> 'process' THEN src_ip END AS src_ip,
   CASE category WHEN 'process' THEN 'process_start' WHEN 'network' THEN 'GET' WHEN 'authentication' THEN CASE WHEN outcome = 'failure' THEN 'login_failed' ELSE 'login_success' END ELSE CASE WHEN value > 150 THEN 'login_failed' ELSE 'login_success' END END AS action,
@@ -106,4 +135,15 @@ SELECT DISTINCT incident_key, action, unnest(targets) AS target, NULL AS dropped
     "dispositions": """WITH a AS (SELECT least(least(1.0, n_chars / 3000.0), least(1.0, n_chars / 2000.0)) AS w, quality <> toxic AS same FROM labels JOIN documents USING (doc_id))
 SELECT CASE WHEN NOT same THEN 'analyst' WHEN w >= 0.75 THEN 'automatic' WHEN w >= 0.5 THEN 'assisted' ELSE 'analyst' END AS disposition, count(*) AS n FROM a GROUP BY 1""",
     "table_counts": f"""WITH RECURSIVE {INCIDENTS} SELECT 'events' AS name, source AS tenant, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT 'findings', v.source, count(DISTINCT finding_id) FROM sf JOIN v USING (event_id) GROUP BY ALL""",
+    "seal_summary": f"WITH {V} SELECT source AS tenant, count(*) AS total, count(*) FILTER (outcome = 'failure') AS sealed FROM v GROUP BY 1",
+    "open_incidents": f"""WITH RECURSIVE {INCIDENTS}, o AS (SELECT split_part(primary_entity, ':', 1) AS tenant, incident_key, CASE WHEN risk_score >= 70 THEN 'open' WHEN risk_score >= 40 THEN 'investigating' ELSE 'closed' END AS status, last_us, entities FROM inc),
+r AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY last_us DESC, incident_key) AS place FROM o WHERE status <> 'closed' AND list_has_any(entities, [{", ".join(f"'user:u{i}'" for i in range(40))}]))
+SELECT tenant, incident_key, status, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5""",
+    "incident_documents": f"""WITH RECURSIVE {INCIDENTS} SELECT incident_key AS doc_id, {_title} || ' | risk ' || risk_score || ' | ' || array_to_string(entities, ', ') || ' | ' || array_to_string(chain, ', ') AS text FROM inc""",
+    "baseline_decisions": f"""WITH RECURSIVE {INCIDENTS} SELECT incident_key, p AS probability, p >= 0.5 AS malicious, CASE WHEN severity >= 75 THEN 'contain' WHEN severity >= 50 THEN 'escalate' WHEN severity >= 25 THEN 'monitor' ELSE 'close' END AS action
+FROM (SELECT *, greatest(0.05::DOUBLE, least(0.95::DOUBLE, risk_score / 300.0::DOUBLE)) AS p FROM inc)""",
+    "address_tokens": r"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9.]+')) AS m FROM documents),
+b AS (SELECT doc_id, m, [CAST(x AS BIGINT) FOR x IN string_split(m, '.')] AS p FROM a WHERE regexp_full_match(m, '(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}'))
+SELECT doc_id, count(*) FILTER (p[1] IN (10, 127) OR (p[1] = 192 AND p[2] = 168) OR (p[1] = 169 AND p[2] = 254) OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31)) AS internal,
+  count(*) FILTER (NOT (p[1] IN (10, 127) OR (p[1] = 192 AND p[2] = 168) OR (p[1] = 169 AND p[2] = 254) OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31))) AS public FROM b GROUP BY 1""",
 }
