@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import behaviour
-from ..sources.events import V, X, security_events
+from ..sources.events import X, security_events
 
 BURST_US = 6 * 3600 * 1_000_000
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import redaction
-from ..functions.rules import RULES
 from ..operators import context, detection, quality, search
 from ..operators.incidents import correlate, roll_up
 from ..sources.events import V, X, by_entity, security_events

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import redaction
 from ..operators import incidents, quality, reports, search
 from ..sources import mappers
-from ..sources.events import V, X, by_entity, security_events
+from ..sources.events import V, by_entity, security_events
 from .detection import DAY, INCIDENTS, _serious
 
 RUNBOOKS = [("contain", "T1059", "isolate_host", "host"), ("reset", "T1110", "disable_user", "user"), ("block", "T1562", "block_indicator", "ip")]
