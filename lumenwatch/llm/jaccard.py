@@ -4,8 +4,11 @@ All distinct shingles have one global order: those without a known high document
 hash, then the frequent ones from rare to common. (Frequencies are counted over all documents, block by
 block; they only order the shingles, so results never depend on them.) Two sets above the threshold share
 a shingle among the first n - ceil(t*n) + 1 of each. The order is cut into fragments, each joined by
-itself on those prefixes, so a fragment holds a bounded number of entries. For candidate pairs the
-whole sets are cut into PARTS vertical parts, the partial overlaps are counted part by part and summed.
+itself on those prefixes, so a fragment holds a bounded number of entries. A pair is a candidate if what
+follows its shared entry in both sets can still reach the threshold, and if the parity bitmaps of the
+two sets don't differ in more bits than similar sets can (both tests only drop pairs below it). For
+candidates the whole sets are cut into PARTS vertical parts, and the partial overlaps are counted part by
+part and summed per pair.
 
 Documents with equal sets are one class before the join. Candidates come in two rounds, so that a large
 group of near copies gives about one pair a member, not one for any two: first each class with the
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, WordHashes, columns, components, mixed, partitions, save, texts
@@ -32,7 +35,7 @@ from .common import Rolling, WordHashes, columns, components, mixed, partitions,
 #: Text bytes in a block whose frequencies are counted; least count in a block; most frequent shingles kept.
 BLOCK_BYTES, FREQUENT, KEPT = 24 << 20, 4, 200_000
 #: Prefix entries a fragment aims at; entries gathered before they are dealt to fragments.
-FRAGMENT, HELD, PARTS = 500_000, 1_000_000, 4
+FRAGMENT, HELD, PARTS, BITS = 500_000, 1_000_000, 4, 4096
 
 
 class Shingler:
@@ -60,36 +63,43 @@ def class_key(u: np.ndarray) -> tuple[int, int]:
     return int(signed(np.array([a]))[0]), int(signed(np.array([b]))[0])
 
 
+def parity(u: np.ndarray) -> np.ndarray:
+    """BITS parities of a set's hashes: two sets differ in at least as many shingles as their parities in bits."""
+    odd = np.bincount((u >> np.uint64(52)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: doc_id, n and class key of each document; kind 1: h1, n of shingles frequent in a block."""
+    """kind 0: doc_id, n, class key and parities of each document; kind 1: h1, n of shingles frequent in a block."""
     docs = texts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, held, size = Shingler(width), [], 0
-        names = ["kind", "doc_id", "n", "h1", "h2"]
+        names = ["kind", "doc_id", "n", "h1", "h2", "bits"]
 
         def frequent() -> pa.RecordBatch:
             u, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
             u, n = u[n >= FREQUENT], n[n >= FREQUENT]
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), ids), pa.array(n), pa.array(signed(u)), pa.array(np.zeros(len(u), np.int64))], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), np.int32)), pa.nulls(len(u), ids), pa.array(n), pa.array(signed(u)), pa.array(np.zeros(len(u), np.int64)), pa.nulls(len(u), pa.list_(pa.int64()))], names)
 
         ids = pa.int64()
         for batch in batches:
             ids, text = batch.schema.types[0], columns(batch, "text")[0]
-            rows = []
+            rows, bits = [], []
             for t in text:
                 u = shingles.of(t)
                 rows.append((len(u), *class_key(u)))
+                bits.append(parity(u))
                 held.append(u)
                 size += len(t)
                 if size >= BLOCK_BYTES:
                     yield frequent()
                     held, size = [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int32)), batch.column(0), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array(bits, pa.list_(pa.int64()))], names)
         if held:
             yield frequent()
 
-    return docs.mapInArrow(run, f"kind int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, h1 long, h2 long")
+    return docs.mapInArrow(run, f"kind int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n long, h1 long, h2 long, bits array<long>")
 
 
 def prefix_of(u: np.ndarray, by_hash: np.ndarray, rank: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,14 +127,14 @@ def _entries(docs: DataFrame, width: int, share: int, frequent: np.ndarray, frag
         sizes, parts, n = [], [], 0
 
         def dealt() -> Iterator[pa.RecordBatch]:
-            h, doc, fragment = (np.concatenate(c) for c in zip(*parts, strict=True))
+            h, doc, fragment, at = (np.concatenate(c) for c in zip(*parts, strict=True))
             place = np.argsort(fragment, kind="stable")
-            h, doc, fragment = h[place], doc[place], fragment[place]
+            h, doc, fragment, at = h[place], doc[place], fragment[place], at[place]
             keys = np.array([(*k, s) for k, s in zip(classes, sizes, strict=True)], np.int64)
             edges = np.flatnonzero(np.diff(fragment, prepend=-1, append=-1))
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 used, local = np.unique(doc[a:b], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([int(fragment[a])], pa.int32()), *(pa.array([x], pa.binary()) for x in (keys[used].tobytes(), signed(h[a:b]).tobytes(), local.astype(np.int32).tobytes()))], ["fragment", "classes", "shingles", "owners"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(fragment[a])], pa.int32()), *(pa.array([x], pa.binary()) for x in (keys[used].tobytes(), signed(h[a:b]).tobytes(), local.astype(np.int32).tobytes(), at[a:b].astype(np.int32).tobytes()))], ["fragment", "classes", "shingles", "owners", "places"])
 
         for batch in batches:
             for t in columns(batch, "text")[0]:
@@ -134,7 +144,7 @@ def _entries(docs: DataFrame, width: int, share: int, frequent: np.ndarray, frag
                 p, own = prefix_of(u, by_hash, rank, share)
                 light = ((p >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
                 fragment = np.where(own < 0, light, fragments + own * fragments // max(1, len(late)))
-                parts.append((p, np.full(len(p), len(classes)), fragment))
+                parts.append((p, np.full(len(p), len(classes)), fragment, np.arange(len(p))))
                 classes[key] = len(classes)
                 sizes.append(len(u))
                 n += len(p)
@@ -144,20 +154,20 @@ def _entries(docs: DataFrame, width: int, share: int, frequent: np.ndarray, frag
         if parts:
             yield from dealt()
 
-    return docs.select("text").mapInArrow(run, "fragment int, classes binary, shingles binary, owners binary")
+    return docs.select("text").mapInArrow(run, "fragment int, classes binary, shingles binary, owners binary, places binary")
 
 
 def _shared(entries: DataFrame, share: int, tasks: int) -> DataFrame:
-    """(shingle, h1, h2, n, l1, l2) of every prefix shingle that two classes share; l1, l2: the leader of its length band."""
+    """(shingle, h1, h2, n, place, l1, l2, ln, lplace) of every prefix shingle that two classes share; l..: the leader of its length band, the class with the earliest place."""
 
-    def joined(held: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        keys = [np.frombuffer(c, np.int64).reshape(-1, 3) for c, _, _ in held]
-        owner = np.concatenate([np.frombuffer(o, np.int32) + base for (_, _, o), base in zip(held, np.cumsum([0, *map(len, keys)])[:-1], strict=True)])
-        shingle, keys = np.concatenate([np.frombuffer(h, np.int64) for _, h, _ in held]), np.concatenate(keys)
-        key = keys[owner]
+    def joined(held: list[tuple[bytes, bytes, bytes, bytes]]) -> pa.RecordBatch:
+        keys = [np.frombuffer(c, np.int64).reshape(-1, 3) for c, *_ in held]
+        owner = np.concatenate([np.frombuffer(o, np.int32) + base for (_, _, o, _), base in zip(held, np.cumsum([0, *map(len, keys)])[:-1], strict=True)])
+        shingle, keys = np.concatenate([np.frombuffer(h, np.int64) for _, h, *_ in held]), np.concatenate(keys)
+        key = np.column_stack([keys[owner], np.concatenate([np.frombuffer(p, np.int32) for *_, p in held])])
         order = np.lexsort((key[:, 1], key[:, 0], key[:, 2], shingle))
         shingle, key = shingle[order], key[order]
-        fresh = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]).any(1)])  # one class once
+        fresh = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (key[1:, :3] != key[:-1, :3]).any(1)])  # one class once
         shingle, key = shingle[fresh], key[fresh]
         start = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
         n = np.diff(start, append=len(shingle))
@@ -167,15 +177,15 @@ def _shared(entries: DataFrame, share: int, tasks: int) -> DataFrame:
         for end in np.cumsum(n).tolist():  # length bands: within one, all sizes fit with the smallest
             while at < end:
                 stop = at + int(np.searchsorted(key[at:end, 2], key[at, 2] * 100 // share, side="right"))
-                first = at + np.lexsort((key[at:stop, 1], key[at:stop, 0]))[0]
+                first = at + np.lexsort((key[at:stop, 1], key[at:stop, 0], key[at:stop, 3]))[0]
                 leader[at:stop] = first
                 at = stop
-        return pa.RecordBatch.from_arrays([pa.array(shingle), *(pa.array(key[:, i]) for i in range(3)), *(pa.array(key[leader, i]) for i in range(2))], ["shingle", "h1", "h2", "n", "l1", "l2"])
+        return pa.RecordBatch.from_arrays([pa.array(shingle), *(pa.array(key[:, i]) for i in range(4)), *(pa.array(key[leader, i]) for i in range(4))], ["shingle", "h1", "h2", "n", "place", "l1", "l2", "ln", "lplace"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            for fragment, *row in zip(*columns(batch, "fragment", "classes", "shingles", "owners"), strict=True):
+            for fragment, *row in zip(*columns(batch, "fragment", "classes", "shingles", "owners", "places"), strict=True):
                 if fragment != now and held:
                     yield joined(held)
                     held = []
@@ -184,7 +194,7 @@ def _shared(entries: DataFrame, share: int, tasks: int) -> DataFrame:
         if held:
             yield joined(held)
 
-    return entries.repartition(tasks, "fragment").sortWithinPartitions("fragment").mapInArrow(run, "shingle long, h1 long, h2 long, n long, l1 long, l2 long")
+    return entries.repartition(tasks, "fragment").sortWithinPartitions("fragment").mapInArrow(run, "shingle long, h1 long, h2 long, n long, place long, l1 long, l2 long, ln long, lplace long")
 
 
 def _parts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -204,7 +214,7 @@ def _parts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))))], ["h1", "h2", "part", "n", "shingles"])
 
     kinds = "h1 long, h2 long, part int, n long, shingles array<long>"
-    return rows.select("text", "h1", "h2").mapInArrow(run, kinds).dropDuplicates(["h1", "h2", "part"]).select(F.struct("h1", "h2").alias("c"), "part", "n", "shingles")
+    return rows.select("text", "h1", "h2").mapInArrow(run, kinds).select(F.struct("h1", "h2").alias("c"), "part", "n", "shingles")
 
 
 def _verified(pairs: DataFrame, parts: DataFrame, share: int) -> DataFrame:
@@ -214,10 +224,25 @@ def _verified(pairs: DataFrame, parts: DataFrame, share: int) -> DataFrame:
     each = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     each = each.join(right, ["b", "part"]).join(left, ["a", "part"])
     overlap = F.size(F.array_intersect("sa", "sb")).cast("long")
-    total = each.select("a", "b", "na", "nb", overlap.alias("o")).groupBy("a", "b").agg(F.sum("o").alias("o"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    once = each.select("a", "b", "part", "na", "nb", overlap.alias("o")).groupBy("a", "b", "part").agg(F.max("o").alias("o"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    total = once.groupBy("a", "b").agg(F.sum("o").alias("o"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     return total.where(F.col("o") * 100 >= share * (F.col("na") + F.col("nb") - F.col("o"))).select("a", "b")
 
 
+def _reaches(na: str, pa_: str, nb: str, pb: str, share: int) -> Column:
+    """Whether sets whose first shared entry lies at these places can reach the threshold with all that follows."""
+    return F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb)) * (100 + share) >= share * (F.col(na) + F.col(nb))
+
+
+def _alike(pairs: DataFrame, bitmaps: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) whose parities differ in no more bits than similar sets can."""
+    left, right = (bitmaps.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}")) for x in "ab")
+    both = pairs.distinct().join(right, "b").join(left, "a")
+    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    total = F.col("na") + F.col("nb")
+    return both.where((total - differ) * (100 + share) >= 2 * share * total).select("a", "b")
+
+
 def groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every document; two link at a Jaccard similarity of share per cent."""
     spark = docs.sparkSession
@@ -230,26 +255,31 @@ def groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     tasks = max(partitions(spark), 2 * fragments)
     shared = save(_shared(_entries(docs, width, share, frequent, fragments), share, tasks), "shared")
     classes = known.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    wanted = shared.select("h1", "h2").distinct().join(classes, ["h1", "h2"]).where("rep IS NOT NULL")
-    parts = save(_parts(docs, wanted, width), "parts")
+    bitmaps = sets.where("kind = 0 AND n > 0").join(shared.select("h1", "h2").distinct(), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+    bitmaps = save(bitmaps.select(F.struct("h1", "h2").alias("c"), "n", "bits"), "bitmaps")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = save(_alike(pairs, bitmaps, share), "pairs")
+        wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().select("c.h1", "c.h2")
+        parts = save(_parts(docs, wanted.join(classes, ["h1", "h2"]).where("rep IS NOT NULL"), width), "parts")
+        return save(_verified(pairs, parts, share), "links")
 
     mine, leader = F.struct("h1", "h2"), F.struct(F.col("l1").alias("h1"), F.col("l2").alias("h2"))
-    pairs = shared.select(F.least(mine, leader).alias("a"), F.greatest(mine, leader).alias("b")).where("a <> b").distinct()
-    links = save(_verified(pairs, parts, share), "links")
+    star = shared.where(_reaches("n", "place", "ln", "lplace", share)).select(F.least(mine, leader).alias("a"), F.greatest(mine, leader).alias("b"))
+    links = verified(star.where("a <> b"))
     label = components(links)
-    placed = shared.select("shingle", mine.alias("c"), "n").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
+    placed = shared.select("shingle", mine.alias("c"), "n", "place").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     placed = save(placed, "placed")
     split = placed.groupBy("shingle").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("shingle")
     rest = placed.join(split, "shingle")
-    one, two = (rest.select("shingle", F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    fits = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= share * F.greatest("na", "nb"))
-    more = one.join(two, "shingle").where(fits).select("a", "b").distinct()
-    links = links.unionByName(save(_verified(more, parts, share), "links"))
+    one, two = (rest.select("shingle", F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
+    fits = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= share * F.greatest("na", "nb")) & _reaches("na", "pa", "nb", "pb", share)
+    links = links.unionByName(verified(one.join(two, "shingle").where(fits).select("a", "b")))
 
     label = components(links).select("node.h1", "node.h2", "component")
     named = classes.join(label, ["h1", "h2"], "left")
-    least = named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
-    named = named.join(least, "component", "left").select("h1", "h2", F.coalesce("least", "rep").alias("component_id"))
+    smallest = named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
+    named = named.join(smallest, "component", "left").select("h1", "h2", F.coalesce("least", "rep").alias("component_id"))
     linked = known.where("n > 0").join(named, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.union(known.where("n = 0").select("doc_id", "n", "doc_id"))
 
