@@ -14,7 +14,6 @@ __all__ = ["components", "save", "scratch"]
 
 #: An odd multiplier with no short cycle, for polynomial hashes modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
-MASK = (1 << 64) - 1
 
 
 def partitions(spark: SparkSession) -> int:
@@ -34,10 +33,6 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
-def batch_of(schema: pa.Schema, *data) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(data, schema.types, strict=True)], schema=schema)
-
-
 class WordHashes(dict):
     """64-bit hashes of words, kept for words seen again; emptied when it holds too many."""
 

@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import decontaminate, huffman, jaccard, language, lattice, neighbours, packing, pii, substrings, urls
 from .common import scratch, table
