@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, WordHashes, columns, components, mixed, partitions, save, texts
+from .tokens import tokenizer_of
 
 #: Text bytes in a block whose frequencies are counted; least count in a block; most frequent shingles kept.
 BLOCK_BYTES, FREQUENT, KEPT = 24 << 20, 4, 200_000
@@ -40,6 +41,7 @@ FRAGMENT, HELD, PARTS, BITS = 500_000, 1_000_000, 4, 4096
 
 class Shingler:
     def __init__(self, width: int):
+        tokenizer_of.cache_clear()  # a worker that tokenized before gives its memory back
         self.width, self.words, self.rolling = width, WordHashes(), Rolling()
 
     def of(self, text: bytes) -> np.ndarray:
