@@ -121,6 +121,136 @@ class Lattice:
                 beta[start] = t if b < -1e299 else (b + log(1 + exp(t - b)) if b > t else t + log(1 + exp(b - t)))
 
 
+class Lattices:
+    """The same recursions over many words side by side: words of like length share each numpy step.
+
+    Pieces are found by the hash of each substring, so no Python runs for a single word. Words longer than
+    LONG go through Lattice one by one; both give the same numbers (tests compare them).
+    """
+
+    LONG, CELLS, NEVER, FACTOR, PAD = 200, 40_000, -1e30, np.uint64(0x9E3779B97F4A7C15), 0x110000
+
+    def __init__(self, path: str, logs: np.ndarray):
+        self.single, self.logs = Lattice(path, logs), np.append(logs, self.NEVER)
+        pieces = list(self.single.pieces)
+        hashes = np.zeros(len(pieces), np.uint64)
+        for i, piece in enumerate(pieces):
+            h = 0
+            for c in piece:
+                h = (h * int(self.FACTOR) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            hashes[i] = h
+        order = np.argsort(hashes)
+        self.hashes, self.numbers = hashes[order], np.array([self.single.pieces[pieces[i]] for i in order], np.int32)
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[self._slot(self.hashes)] = True
+        self.powers = np.ones(self.single.longest + 1, np.uint64)
+        np.multiply.accumulate(np.full(len(self.powers) - 1, self.FACTOR), out=self.powers[1:])
+        self.spelled: dict[int, float] = {}
+
+    @staticmethod
+    def _slot(h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(0xD1342543DE82EF95) >> np.uint64(42)).astype(np.int64)
+
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        """The piece of each hash, or -1, the place of NEVER."""
+        out = np.full(h.shape, -1, np.int32)
+        maybe = np.nonzero(self.filter[self._slot(h)])
+        own = h[maybe]
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        out[maybe] = np.where(self.hashes[at] == own, self.numbers[at], -1)
+        return out
+
+    def groups(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Numbers of words of like length, as many as fit CELLS characters."""
+        n = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        order = np.argsort(n, kind="stable")
+        order = order[n[order] <= self.LONG]
+        while len(order):
+            size = int(np.searchsorted(np.arange(1, len(order) + 1) * n[order], self.CELLS, side="right"))
+            yield order[: max(1, size)]
+            order = order[max(1, size) :]
+
+    def _table(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lengths, characters, pieces by (word, end, length - 1), and the log probability of each character in bytes."""
+        texts = [MARK + w for w in words]
+        n = np.fromiter(map(len, texts), np.int64, len(texts))
+        width = int(n.max())
+        chars = np.full((len(texts), width), self.PAD, np.uint32)
+        chars[np.arange(width) < n[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), np.uint32)
+        sums = np.zeros((len(texts), width + 1), np.uint64)
+        for j in range(width):
+            sums[:, j + 1] = sums[:, j] * self.FACTOR + chars[:, j] + np.uint64(1)
+        most = min(width, self.single.longest)
+        piece = np.full((len(texts), width + 1, most), -1, np.int32)
+        for k in range(1, most + 1):
+            piece[:, k:, k - 1] = self._found(sums[:, k:] - sums[:, :-k] * self.powers[k])
+        piece[np.arange(width + 1) > n[:, None]] = -1  # past the word's end
+        known, place = np.unique(chars, return_inverse=True)
+        for c in known.tolist():
+            if c not in self.spelled:
+                self.spelled[c] = float(sum(self.logs[self.single.bytes[b]] for b in chr(c).encode("utf-8", "replace"))) if c != self.PAD else self.NEVER
+        spelled = np.array([self.spelled[c] for c in known.tolist()])[place].reshape(chars.shape)
+        spelled[np.arange(width) >= n[:, None]] = self.NEVER
+        return n, chars, piece, spelled
+
+    def _forward(self, n: np.ndarray, logs: np.ndarray, spelled: np.ndarray) -> np.ndarray:
+        rows, width, most = len(n), spelled.shape[1], logs.shape[2]
+        alpha = np.full((rows, most + width), self.NEVER)  # place j is column most - 1 + j
+        alpha[:, most - 1] = 0.0
+        for j in range(1, width + 1):
+            terms = np.empty((rows, most + 1))
+            terms[:, :most] = alpha[:, j - 1 : j - 1 + most][:, ::-1] + logs[:, j]
+            terms[:, most] = alpha[:, most + j - 2] + spelled[:, j - 1]
+            top = terms.max(1)
+            alpha[:, most - 1 + j] = top + np.log(np.exp(terms - top[:, None]).sum(1))
+        return alpha[:, most - 1 :]
+
+    def marginals(self, words: list[str]) -> np.ndarray:
+        out = np.zeros(len(words))
+        for own in self.groups(words):
+            n, _, piece, spelled = self._table([words[i] for i in own])
+            out[own] = self._forward(n, self.logs[piece], spelled)[np.arange(len(n)), n]
+        for i, w in enumerate(words):
+            if len(w) >= self.LONG:
+                out[i] = self.single.marginal(w)
+        return out
+
+    def expect(self, words: list[str], counts: np.ndarray, total: np.ndarray) -> None:
+        """Add the expected number of each piece in the words, each counts times."""
+        for own in self.groups(words):
+            n, chars, piece, spelled = self._table([words[i] for i in own])
+            logs = self.logs[piece]
+            rows, width, most = len(n), spelled.shape[1], logs.shape[2]
+            alpha = self._forward(n, logs, spelled)
+            whole = alpha[np.arange(rows), n]
+            beta = np.full((rows, width + 1 + most), self.NEVER)
+            beta[np.arange(rows), n] = 0.0
+            for j in range(width - 1, -1, -1):
+                terms = np.full((rows, most + 1), self.NEVER)
+                reach = min(most, width - j)
+                terms[:, :reach] = beta[:, j + 1 : j + 1 + reach] + logs[:, np.arange(j + 1, j + 1 + reach), np.arange(reach)]
+                terms[:, most] = beta[:, j + 1] + spelled[:, j]
+                top = terms.max(1)
+                beta[:, j] = np.where(j < n, top + np.log(np.exp(terms - top[:, None]).sum(1)), beta[:, j])
+            weight = counts[own].astype(np.float64)
+            for k in range(1, most + 1):
+                used = piece[:, k:, k - 1]
+                at = np.nonzero(used >= 0)
+                if len(at[0]):
+                    row, end = at[0], at[1] + k
+                    share = np.exp(alpha[row, end - k] + logs[row, end, k - 1] + beta[row, end] - whole[row]) * weight[row]
+                    total += np.bincount(used[at], share, len(total))
+            share = np.exp(alpha[:, :-1] + spelled + beta[:, 1 : width + 1] - whole[:, None]) * weight[:, None]
+            known, place = np.unique(chars, return_inverse=True)
+            for c, x in zip(known.tolist(), np.bincount(place.ravel(), np.where(chars != self.PAD, share, 0.0).ravel(), len(known)).tolist(), strict=True):
+                if c != self.PAD:
+                    for b in chr(c).encode("utf-8", "replace"):
+                        total[self.single.bytes[b]] += x
+        for w, c in zip(words, counts.tolist(), strict=True):
+            if len(w) >= self.LONG:
+                self.single.expect(w, c, total)
+
+
 def word_counts(docs: DataFrame, train: Column) -> DataFrame:
     """word, c (its count in training documents) and n (in all documents)."""
 
@@ -154,10 +284,10 @@ def reweighted(words: DataFrame, path: str, logs: np.ndarray, ends: int) -> np.n
     """One round of expectation-maximisation over all training words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, total = Lattice(path, logs), np.zeros(len(logs))
+        lattice, total = Lattices(path, logs), np.zeros(len(logs))
         for batch in batches:
-            for word, n in zip(*columns(batch, "word", "c"), strict=True):
-                lattice.expect(word.decode("utf-8", "replace"), n, total)
+            words, n = columns(batch, "word", "c")
+            lattice.expect([w.decode("utf-8", "replace") for w in words], np.array(n), total)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "n"])
 
@@ -182,10 +312,10 @@ def score(docs: DataFrame, train: Column, path: str | None = None, rounds: int =
     buckets = max(partitions(spark), all_words // BUCKET_WORDS)
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, hashes = Lattice(path, logs), WordHashes()
+        lattice, hashes = Lattices(path, logs), WordHashes()
         for batch in batches:
             words = columns(batch, "word")[0]
-            lp = [lattice.marginal(w.decode("utf-8", "replace")) for w in words]
+            lp = lattice.marginals([w.decode("utf-8", "replace") for w in words])
             bucket = (hashes.of(words) % np.uint64(buckets)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp, pa.float64()), pa.array(bucket)], [*batch.schema.names, "lp", "bucket"])
 

@@ -67,6 +67,19 @@ def test_marginals_sum_all_segmentations():
         assert plain <= 2 * (len(word) + 1) + 1e-6 and total.sum() > 0
 
 
+def test_words_side_by_side_score_as_one_by_one(rows):
+    path = lattice.default_path()
+    logs = lattice.first_logs(path)
+    words = sorted({w for r in rows for w in (r[1] or "").split()})[:400] + ["x" * 300, "a" * 199, "a" * 200, "é漢\x00z", "\U0010ffff"]
+    many, one = lattice.Lattices(path, logs), lattice.Lattice(path, logs)
+    assert np.allclose(many.marginals(words), [one.marginal(w) for w in words], rtol=1e-10)
+    counts, got, want = np.arange(len(words)) % 5 + 1, np.zeros(len(logs)), np.zeros(len(logs))
+    many.expect(words, counts, got)
+    for w, c in zip(words, counts.tolist(), strict=True):
+        one.expect(w, c, want)
+    assert np.allclose(got, want, rtol=1e-8, atol=1e-9)
+
+
 def test_scores_equal_brute_force(docs, rows, none):
     out = lattice.score(docs, ~language.fold(7, 2), rounds=1).collect()
     train = [r for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
