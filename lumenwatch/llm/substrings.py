@@ -9,8 +9,9 @@ Shards. A task takes its classes in chunks of at most SHARD_WORDS words and buil
 classes are then streamed against it: backward search over the wavelet ranks extends a match to the left
 as long as its suffix interval holds a smaller document (a range minimum), which gives the matching
 statistic at that end; matches of WINDOW words and more are reported. A range sort may put one frequent
-anchor into several chunks: windows of a chunk's outer anchors that nothing smaller in the chunk covers
-meet by their hash in one combinable minimum, so no anchor is ever gathered whole.
+anchor into several chunks: of an anchor whose classes aren't all in a chunk, the windows that nothing
+smaller in the chunk covers go on, packed by buckets of their hash, and meet their equals there, so no
+anchor is ever gathered whole.
 
 Window and class hashes have 128 bits. Defined cases: null, empty or short texts lose nothing; a window
 repeated within one document only stays; a null doc_id is smaller than none and loses nothing; rows that
@@ -21,6 +22,7 @@ no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,29 +148,35 @@ def covered(words: list[np.ndarray], doc: np.ndarray, window: int = WINDOW) -> l
 
 
 def _judged(classes: DataFrame, window: int) -> DataFrame:
-    """Rows (doc_id, start, windows) that are covered, and rows (doc_id, start, 1, g1, g2) of outer windows still to compare."""
-    kind = classes.schema["doc_id"].dataType.simpleString()
+    """Rows (doc_id, start, windows) that are covered, and rows (bucket, docs, starts, g1, g2) of windows still to compare."""
+    spark, kind = classes.sparkSession, classes.schema["doc_id"].dataType.simpleString()
+    ids = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
+    buckets = partitions(spark)
+    names = ["doc_id", "start", "windows", "bucket", "docs", "starts", "g1", "g2"]
+    types = (ids, pa.int32(), pa.int32(), pa.int32(), pa.list_(ids), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def chunk(rows: list[tuple]) -> pa.RecordBatch:
         words = [np.frombuffer(r[3], np.int64).view(np.uint64) for r in rows]
-        ids = np.array([r[1] for r in rows])
-        outer, spans, out = {rows[0][0], rows[-1][0]}, Spans(), []
-        for (anchor, doc_id, start, _), w, gone in zip(rows, words, covered(words, ids, window), strict=True):
+        docs = np.array([r[1] for r in rows])
+        here, spans, out, rest = Counter(r[0] for r in rows), Spans(), [], []
+        for i, ((anchor, doc_id, start, _, whole), w, gone) in enumerate(zip(rows, words, covered(words, docs, window), strict=True)):
             edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
-            out += [(doc_id, start + a, b - a, None, None) for a, b in zip(edges[::2], edges[1::2], strict=True)]
-            if anchor in outer:
+            out += [(doc_id, start + a, b - a, None, None, None, None, None) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            if here[anchor] < whole:
                 own = np.flatnonzero(~gone)
-                g = spans.of(w, own, own + window)
-                out += [(doc_id, start + i, 1, a, b) for i, a, b in zip(own.tolist(), g[0].tolist(), g[1].tolist(), strict=True)]
-        types = (classes_id, pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["doc_id", "start", "windows", "g1", "g2"])
-
-    classes_id = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+                rest.append((np.full(len(own), i), start + own, *spans.of(w, own, own + window)))
+        if rest:
+            row, start, g1, g2 = (np.concatenate(c) for c in zip(*rest, strict=True))
+            bucket = g1 % buckets
+            order = np.argsort(bucket, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+                out.append((None, None, None, int(bucket[part[0]]), docs[row[part]].tolist(), start[part].tolist(), g1[part].tolist(), g2[part].tolist()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*columns(batch, "anchor", "doc_id", "start", "words"), strict=True):
+            for row in zip(*columns(batch, "anchor", "doc_id", "start", "words", "k"), strict=True):
                 rows.append(row)
                 size += len(row[3]) // 8
                 if size >= SHARD_WORDS:
@@ -177,13 +185,30 @@ def _judged(classes: DataFrame, window: int) -> DataFrame:
         if rows:
             yield chunk(rows)
 
-    ordered = classes.repartitionByRange(partitions(classes.sparkSession), "anchor", "h1", "h2").sortWithinPartitions("anchor", "h1", "h2")
-    return ordered.select("anchor", "doc_id", "start", "words").mapInArrow(run, f"doc_id {kind}, start int, windows int, g1 long, g2 long")
+    ordered = classes.repartitionByRange(partitions(spark), "anchor", "h1", "h2").sortWithinPartitions("anchor", "h1", "h2")
+    return ordered.select("anchor", "doc_id", "start", "words", "k").mapInArrow(run, f"doc_id {kind}, start int, windows int, bucket int, docs array<{kind}>, starts array<int>, g1 array<long>, g2 array<long>")
+
+
+def _met(judged: DataFrame) -> DataFrame:
+    """Windows whose equal in another chunk belongs to a smaller document."""
+    kind = judged.schema["doc_id"].dataType.simpleString()
+
+    def meet(group: pa.Table) -> pa.Table:
+        docs, starts, g1, g2 = (group.column(c).combine_chunks().flatten() for c in ("docs", "starts", "g1", "g2"))
+        rank = np.unique(np.array(docs.to_pylist()), return_inverse=True)[1] if len(docs) else np.zeros(0, np.int64)
+        a, b = g1.to_numpy(), g2.to_numpy()
+        order = np.lexsort((rank, b, a))
+        fresh = np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])[: len(order)]
+        least = rank[order][np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else rank
+        late = pa.array(order[rank[order] > least])
+        return pa.table({"doc_id": docs.take(late), "start": starts.take(late), "windows": pa.array(np.ones(len(late), np.int32))})
+
+    return judged.where("bucket IS NOT NULL").select("bucket", "docs", "starts", "g1", "g2").groupBy("bucket").applyInArrow(meet, f"doc_id {kind}, start int, windows int")
 
 
 def _fetched(docs: DataFrame, classes: DataFrame, window: int) -> DataFrame:
-    """The classes (anchor, h1, h2, doc_id, start, windows) with their words' hashes."""
-    wanted = classes.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "h1", "h2", "start", "windows")).alias("own"))
+    """The classes (anchor, h1, h2, doc_id, start, windows, and k, the anchor's number of classes) with their words' hashes."""
+    wanted = classes.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "h1", "h2", "start", "windows", "k")).alias("own"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,11 +222,11 @@ def _fetched(docs: DataFrame, classes: DataFrame, window: int) -> DataFrame:
                         w = words[s["start"] : s["start"] + s["windows"] + window - 1]
                         h = spans.of(w, np.array([0]), np.array([len(w)]))
                         if len(w) >= window and (int(h[0][0]), int(h[1][0])) == (s["h1"], s["h2"]):  # else another row of that doc_id
-                            out.append((s["anchor"], s["h1"], s["h2"], doc_id, s["start"], w.tobytes()))
-                types = (pa.int64(), pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["anchor", "h1", "h2", "doc_id", "start", "words"])
+                            out.append((s["anchor"], s["h1"], s["h2"], doc_id, s["start"], w.tobytes(), s["k"]))
+                types = (pa.int64(), pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int32(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["anchor", "h1", "h2", "doc_id", "start", "words", "k"])
 
-    return texts(docs).join(wanted, "doc_id").mapInArrow(run, f"anchor long, h1 long, h2 long, doc_id {kind}, start int, words binary")
+    return texts(docs).join(wanted, "doc_id").mapInArrow(run, f"anchor long, h1 long, h2 long, doc_id {kind}, start int, words binary, k long")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -214,13 +239,10 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     classes = save(classes.select("anchor", "h1", "h2", "m.doc_id", "m.start", "m.windows", "last"), "classes")
     copied = classes.where("doc_id < last").select("h1", "h2", F.col("doc_id").alias("first_id"))
     whole = some.join(copied, ["h1", "h2"]).where("doc_id > first_id").select("doc_id", "start", "windows")
-    mixed = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("k > 1 AND lo < hi").select("anchor")
+    mixed = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("k > 1 AND lo < hi").select("anchor", "k")
     fetched = save(_fetched(docs, classes.drop("last").join(mixed, "anchor"), window), "fetched")
     judged = save(_judged(fetched, window), "judged")
-    outer = judged.where("g1 IS NOT NULL")
-    least = outer.groupBy("g1", "g2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("g1", "g2", "lo")
-    met = outer.join(least, ["g1", "g2"]).where("doc_id > lo").select("doc_id", "start", "windows")
-    return whole.unionByName(judged.where("g1 IS NULL").select("doc_id", "start", "windows")).unionByName(met)
+    return whole.unionByName(judged.where("bucket IS NULL").select("doc_id", "start", "windows")).unionByName(_met(judged))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:

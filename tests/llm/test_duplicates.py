@@ -59,7 +59,8 @@ def brute_windows(rows, window):
 
 
 def test_substrings_equal_brute_force(docs, rows, none, monkeypatch):
-    for window in (50, 20):
+    for window, shard in ((50, substrings.SHARD_WORDS), (20, 200)):  # whole anchors in one chunk, or split over many
+        monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
         want = brute_windows(rows, window)
         got = substrings.deduplicate(docs, window).collect()
         assert len(got) == len(rows)
