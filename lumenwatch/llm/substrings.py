@@ -3,7 +3,8 @@
 Routing. Equal windows share their smallest hashed GRAM-gram (their anchor), so a document is cut into
 segments: the runs of windows with one anchor occurrence. Only segments whose anchor occurs in several
 documents go on. Segments of equal content are one class: all but the class's smallest document lose them
-whole. Classes that share an anchor but differ are sorted by anchor into shards.
+whole, and what that document loses of one it loses of all that it has. Classes that share an anchor but
+differ are sorted by anchor into shards.
 
 Shards. A task takes its classes in chunks of at most SHARD_WORDS words and builds an FM-index of each. The
 classes are then streamed against it: backward search over the wavelet ranks extends a match to the left
@@ -159,12 +160,13 @@ def _judged(classes: DataFrame, window: int) -> DataFrame:
         words = [np.frombuffer(r[3], np.int64).view(np.uint64) for r in rows]
         docs = np.array([r[1] for r in rows])
         here, spans, out, rest = Counter(r[0] for r in rows), Spans(), [], []
-        for i, ((anchor, doc_id, start, _, whole), w, gone) in enumerate(zip(rows, words, covered(words, docs, window), strict=True)):
+        for i, ((anchor, doc_id, starts, _, whole), w, gone) in enumerate(zip(rows, words, covered(words, docs, window), strict=True)):
             edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
-            out += [(doc_id, start + a, b - a, None, None, None, None, None) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            out += [(doc_id, start + a, b - a, None, None, None, None, None) for start in starts for a, b in zip(edges[::2], edges[1::2], strict=True)]
             if here[anchor] < whole:
                 own = np.flatnonzero(~gone)
-                rest.append((np.full(len(own), i), start + own, *spans.of(w, own, own + window)))
+                h = spans.of(w, own, own + window)
+                rest += [(np.full(len(own), i), start + own, *h) for start in starts]
         if rest:
             row, start, g1, g2 = (np.concatenate(c) for c in zip(*rest, strict=True))
             bucket = g1 % buckets
@@ -176,7 +178,7 @@ def _judged(classes: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
         for batch in batches:
-            for row in zip(*columns(batch, "anchor", "doc_id", "start", "words", "k"), strict=True):
+            for row in zip(*columns(batch, "anchor", "doc_id", "starts", "words", "k"), strict=True):
                 rows.append(row)
                 size += len(row[3]) // 8
                 if size >= SHARD_WORDS:
@@ -186,7 +188,7 @@ def _judged(classes: DataFrame, window: int) -> DataFrame:
             yield chunk(rows)
 
     ordered = classes.repartitionByRange(partitions(spark), "anchor", "h1", "h2").sortWithinPartitions("anchor", "h1", "h2")
-    return ordered.select("anchor", "doc_id", "start", "words", "k").mapInArrow(run, f"doc_id {kind}, start int, windows int, bucket int, docs array<{kind}>, starts array<int>, g1 array<long>, g2 array<long>")
+    return ordered.select("anchor", "doc_id", "starts", "words", "k").mapInArrow(run, f"doc_id {kind}, start int, windows int, bucket int, docs array<{kind}>, starts array<int>, g1 array<long>, g2 array<long>")
 
 
 def _met(judged: DataFrame) -> DataFrame:
@@ -207,8 +209,8 @@ def _met(judged: DataFrame) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, classes: DataFrame, window: int) -> DataFrame:
-    """The classes (anchor, h1, h2, doc_id, start, windows, and k, the anchor's number of classes) with their words' hashes."""
-    wanted = classes.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "h1", "h2", "start", "windows", "k")).alias("own"))
+    """The classes (anchor, h1, h2, doc_id, its starts, windows, and k, the anchor's number of classes) with their words' hashes."""
+    wanted = classes.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "h1", "h2", "starts", "windows", "k")).alias("own"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,14 +221,14 @@ def _fetched(docs: DataFrame, classes: DataFrame, window: int) -> DataFrame:
                 for doc_id, text, own in zip(*columns(batch, "doc_id", "text", "own"), strict=True):
                     words = hashes.of(text.split())
                     for s in own:
-                        w = words[s["start"] : s["start"] + s["windows"] + window - 1]
+                        w = words[s["starts"][0] : s["starts"][0] + s["windows"] + window - 1]
                         h = spans.of(w, np.array([0]), np.array([len(w)]))
                         if len(w) >= window and (int(h[0][0]), int(h[1][0])) == (s["h1"], s["h2"]):  # else another row of that doc_id
-                            out.append((s["anchor"], s["h1"], s["h2"], doc_id, s["start"], w.tobytes(), s["k"]))
-                types = (pa.int64(), pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.int32(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["anchor", "h1", "h2", "doc_id", "start", "words", "k"])
+                            out.append((s["anchor"], s["h1"], s["h2"], doc_id, s["starts"], w.tobytes(), s["k"]))
+                types = (pa.int64(), pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.list_(pa.int32()), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["anchor", "h1", "h2", "doc_id", "starts", "words", "k"])
 
-    return texts(docs).join(wanted, "doc_id").mapInArrow(run, f"anchor long, h1 long, h2 long, doc_id {kind}, start int, words binary, k long")
+    return texts(docs).join(wanted, "doc_id").mapInArrow(run, f"anchor long, h1 long, h2 long, doc_id {kind}, starts array<int>, words binary, k long")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -235,12 +237,17 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     some = save(every.join(shared, "anchor"), "shared")
     first = F.min(F.struct("doc_id", "start", "windows")).alias("m")
-    classes = some.groupBy("h1", "h2").agg(first, F.max("doc_id").alias("last"), F.first("anchor").alias("anchor"))
-    classes = save(classes.select("anchor", "h1", "h2", "m.doc_id", "m.start", "m.windows", "last"), "classes")
+    far = F.min(F.struct("doc_id", (-F.col("start")).alias("back"))).alias("f")  # its last place in its smallest document
+    classes = some.groupBy("h1", "h2").agg(first, far, F.max("doc_id").alias("last"), F.first("anchor").alias("anchor"))
+    classes = save(classes.select("anchor", "h1", "h2", "m.doc_id", "m.start", "m.windows", (-F.col("f.back")).alias("far"), "last"), "classes")
     copied = classes.where("doc_id < last").select("h1", "h2", F.col("doc_id").alias("first_id"))
     whole = some.join(copied, ["h1", "h2"]).where("doc_id > first_id").select("doc_id", "start", "windows")
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("k > 1 AND lo < hi").select("anchor", "k")
-    fetched = save(_fetched(docs, classes.drop("last").join(mixed, "anchor"), window), "fetched")
+    open_ = classes.drop("last").join(mixed, "anchor")
+    once = open_.where("far = start").select("anchor", "h1", "h2", "doc_id", "windows", "k", F.array("start").alias("starts"))
+    again = some.select("h1", "h2", "doc_id", "start").join(open_.where("far > start").drop("start", "far"), ["h1", "h2", "doc_id"])
+    again = again.groupBy(*once.columns[:-1]).agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    fetched = save(_fetched(docs, once.unionByName(again), window), "fetched")
     judged = save(_judged(fetched, window), "judged")
     return whole.unionByName(judged.where("bucket IS NULL").select("doc_id", "start", "windows")).unionByName(_met(judged))
 

@@ -73,6 +73,19 @@ def test_substrings_equal_brute_force(docs, rows, none, monkeypatch):
     assert substrings.deduplicate(none).count() == 0
 
 
+def test_a_passage_twice_in_one_document_goes_twice(spark, monkeypatch):
+    """Its windows start in a smaller document with other surroundings, whose segments differ."""
+    part = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    p, q, twice = part("p", 60), part("q", 90), f"{part('c', 100)} {part('p', 60)} {part('d', 100)}"
+    rows = [(1, f"{part('a', 100)} {p} {part('b', 100)}"), (2, f"{twice} {twice}"), (3, f"{part('e', 70)} {q}"), (4, " ".join([q, part("f", 30)] * 3)), (5, f"{part('g', 80)} {twice} {q}")]
+    for window, shard in ((50, substrings.SHARD_WORDS), (50, 60), (20, 200)):
+        monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
+        want = brute_windows(rows, window)
+        assert [want[d][1] for d in (2, 4)] == [120, 270]
+        got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), window).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+
+
 def test_shards_of_any_size_agree(rows):
     """Matching statistics of one chunk equal those by comparing windows."""
     rng = np.random.default_rng(1)
