@@ -140,6 +140,30 @@ def test_redaction_and_defined_cases(spark, docs, rows, none):
     assert pii.digest(pii.find(none, pii.fit(none))).count() == 0
 
 
+def test_spelled_and_unprefixed_data_is_added_and_digit_groups_stay(spark):
+    """The training rows hold base spans and number groups only; none of the planted forms."""
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefghilmnorstu"), rng.integers(2, 9))) for _ in range(200)]
+    some = lambda n: " ".join(rng.choice(words, n))
+    spans = [lambda: f"{rng.choice(words)}.{rng.choice(words)}{rng.integers(99)}@{rng.choice(words)}.example.com", lambda: f"+1 ({rng.integers(100, 999)}) 555-{rng.integers(1000, 9999)}"]
+    rows = [(i, f"{some(9)} {spans[i % 2]()} {some(9)} {rng.integers(1950, 2030)} {rng.integers(1000, 9999)} {rng.integers(1000, 9999)} {some(3)}") for i in range(1200)]
+    model = pii.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    mails = ["jane.doe (at) posteo (dot) org", "max[at]firma-bau[dot]de", "ann.lee {at} mail {dot} example {dot} net"]
+    phones = ["212 555-7713", "646-555-2091", "312/555/8834"]
+    harmless = ["1000 2000 3000 4000", "2024-03-05 2024", "12.50 13.75 14.00", "see me (at) home. then"]
+    texts = [f"{some(6)} {t} {some(6)}" for t in mails + phones + harmless]
+    added = [[(k, t[a:b]) for k, a, b, _ in model.added(t, pii.candidates(t))] for t in texts]
+    assert added[:3] == [[("email", m)] for m in mails]
+    assert added[3:6] == [[("phone", p)] for p in phones]
+    assert added[6:] == [[]] * 4
+
+
+def test_equal_scores_pass_or_fail_together():
+    y = np.array([True] * 100 + [False, True])
+    assert 1 < pii.least_score(y, np.array([2.0] * 100 + [1.0, 1.0])) < 2
+    assert pii.least_score(np.zeros(30, bool), np.ones(30)) == np.inf
+
+
 def test_trees_separate_what_thresholds_can():
     rng = np.random.default_rng(0)
     x = rng.uniform(size=(2000, 5))
