@@ -9,7 +9,7 @@ from ..functions import redaction
 from ..operators import context, detection, quality, search
 from ..operators.incidents import correlate, roll_up
 from ..sources.events import V, X, by_entity, security_events
-from .detection import DAY, FOUND, INCIDENTS, _findings, _serious
+from .detection import FOUND, INCIDENTS, _findings, _serious, _window, of_all
 
 RANGES = [("corp", "10.0.0.0/13"), ("branch", "10.2.0.0/16"), ("branch-2-lab", "10.2.2.0/24"), ("lab", "203.0.113.0/25")]
 BUNDLE = [("i1", "bad address", "[ipv4-addr:value = '203.0.113.12']"), ("i2", "tooling", "[process:command_line = 'cmd.exe /c STEP3'] OR [file:name = 'powershell.exe']"), ("i3", "text", "SQBF"), ("i4", "two", "[ipv4-addr:value = '10.1.1.2'] AND [ipv4-addr:value = '10.1.1.3']")]
@@ -77,8 +77,8 @@ def entity_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.entity_profile(by_entity(security_events(spark, sf_dir)))
 
 
-def incident_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = correlate(_serious(spark, sf_dir), DAY // 4)
+def incident_timeline(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    members = correlate(_serious(spark, sf_dir, whole), _window(whole))
     return search.timeline(roll_up(members), members, security_events(spark, sf_dir))
 
 
@@ -135,7 +135,7 @@ _assets_sql = """a AS (SELECT key, arg_max(m, pos) AS m FROM (SELECT 'h' || (c_c
 _number = "list_sum([CAST(split_part(ip, '.', 1 + i) AS BIGINT) * CAST(pow(256, 3 - i) AS BIGINT) FOR i IN range(4)])"
 _ranges = ", ".join(f"('{label}', {context.cidr_range(c)[0]}, {context.cidr_range(c)[1]})" for label, c in RANGES)
 
-QUERIES = [address_context, criticality_risk, routine_roles, host_exposure, indicator_findings, event_search, latest_events, source_health, entity_profiles, incident_timeline, audit_verification, redaction_audit, redacted_text, keyword_retrieval, decision_quality, decision_confusion]
+QUERIES = [address_context, criticality_risk, routine_roles, host_exposure, indicator_findings, event_search, latest_events, source_health, entity_profiles, incident_timeline, audit_verification, redaction_audit, redacted_text, keyword_retrieval, decision_quality, decision_confusion, of_all(incident_timeline)]
 SQL = {
     "address_context": f"""WITH {V}, a AS (SELECT src_ip AS ip, count(*) AS n FROM v WHERE src_ip IS NOT NULL GROUP BY 1), r(label, lo, hi) AS (VALUES {_ranges}), b AS (SELECT *, {_number} AS k FROM a),
 l AS (SELECT ip, string_agg(label, ',' ORDER BY label) AS labels FROM b JOIN r ON k BETWEEN lo AND hi GROUP BY 1)

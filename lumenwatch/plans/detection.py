@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,31 +91,46 @@ def entity_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.entity_risk(_findings(spark, sf_dir)).withColumn("reasons", F.concat_ws(",", "reasons"))
 
 
-def _serious(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the serious rules, with one entity-rich rule among them."""
-    return _findings(spark, sf_dir).where("severity >= 75")
+def of_all(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query over all findings with the operators' own window and limits; too slow in recursive SQL, so it has none."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(spark, sf_dir, whole=True)
 
-def _incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.save_incidents(_serious(spark, sf_dir), DAY // 4)
+    run.__name__, run.__doc__ = f"all_{query.__name__}", query.__doc__
+    return run
 
 
-def incident_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _incidents(spark, sf_dir)
+def _serious(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Findings of the serious rules, with one entity-rich rule among them; or all."""
+    return _findings(spark, sf_dir) if whole else _findings(spark, sf_dir).where("severity >= 75")
+
+
+def _window(whole: bool) -> int:
+    return incidents.WINDOW_US if whole else DAY // 4
+
+
+def _incidents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return incidents.save_incidents(_serious(spark, sf_dir, whole), _window(whole))
+
+
+def incident_rollup(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    rows = _incidents(spark, sf_dir, whole)
     return rows.select("incident_key", "risk_score", "severity", "findings", "primary_entity", "title", F.concat_ws(",", "entities").alias("entities"), F.concat_ws(",", "kill_chain").alias("kill_chain"), "first_us", "last_us")
 
 
-def incident_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triage.decide(triage.confidence(_incidents(spark, sf_dir))).select("incident_key", "confidence", "decision", "owner")
+def incident_triage(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return triage.decide(triage.confidence(_incidents(spark, sf_dir, whole))).select("incident_key", "confidence", "decision", "owner")
 
 
-def incident_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triage.proposals(triage.decide(triage.confidence(_incidents(spark, sf_dir))))
+def incident_proposals(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return triage.proposals(triage.decide(triage.confidence(_incidents(spark, sf_dir, whole))))
 
 
-def incident_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures outside the serious rules, matched with the stored serious incidents of their entities."""
-    return incidents.merge_targets(_incidents(spark, sf_dir), _findings(spark, sf_dir).where("severity < 75"), DAY // 4)
+def incident_merge(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Failures outside the serious rules, matched with the stored serious incidents of their entities; or all with all."""
+    found = _findings(spark, sf_dir)
+    return incidents.merge_targets(_incidents(spark, sf_dir, whole), found if whole else found.where("severity < 75"), _window(whole))
 
 
 def duplicate_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +177,7 @@ dec AS (SELECT *, least(20 + CASE WHEN risk_score >= 200 THEN 25 WHEN risk_score
   CASE WHEN severity >= 75 AND risk_score >= 200 THEN 'containment_proposed' WHEN risk_score >= 100 OR severity >= 50 THEN 'escalate' WHEN risk_score >= 30 THEN 'suspicious_monitor' ELSE 'likely_benign' END AS decision,
   CASE WHEN severity >= 75 AND risk_score >= 200 THEN 'tier-2-incident-responder' WHEN risk_score >= 100 OR severity >= 50 THEN 'tier-2-analyst' ELSE 'tier-1-queue' END AS owner FROM inc)"""
 
-QUERIES = [detect_findings, rule_backtest, rule_state_overlay, rule_applicability, technique_coverage, exceptions_applied, repeat_suppression, feedback_weights, feedback_reweighted, feedback_rejected, entity_risk, incident_rollup, incident_triage, incident_proposals, incident_merge, duplicate_alerts]
+QUERIES = [detect_findings, rule_backtest, rule_state_overlay, rule_applicability, technique_coverage, exceptions_applied, repeat_suppression, feedback_weights, feedback_reweighted, feedback_rejected, entity_risk, incident_rollup, incident_triage, incident_proposals, incident_merge, duplicate_alerts, *map(of_all, (incident_rollup, incident_triage, incident_proposals, incident_merge))]
 SQL = {
     "detect_findings": f"WITH {FOUND} SELECT finding_id, event_id, rule_id, severity, risk_points, array_to_string(entities, ',') AS entities, array_to_string(techniques, ',') AS techniques FROM found",
     "rule_backtest": f"WITH {FOUND} SELECT rule_id, count(*) AS hits, count(*) FILTER (outcome = 'failure') AS tp, count(*) FILTER (outcome <> 'failure') AS fp FROM hits GROUP BY 1",

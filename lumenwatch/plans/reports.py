@@ -11,7 +11,7 @@ from ..functions import redaction
 from ..operators import incidents, quality, reports, search
 from ..sources import mappers
 from ..sources.events import V, by_entity, security_events
-from .detection import DAY, INCIDENTS, _serious
+from .detection import INCIDENTS, _serious, _window, of_all
 
 RUNBOOKS = [("contain", "T1059", "isolate_host", "host"), ("reset", "T1110", "disable_user", "user"), ("block", "T1562", "block_indicator", "ip")]
 
@@ -32,27 +32,27 @@ def mapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incidents.correlate(_serious(spark, sf_dir), DAY // 4)
+def _members(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return incidents.correlate(_serious(spark, sf_dir, whole), _window(whole))
 
 
-def related_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = incidents.exploded(_members(spark, sf_dir)).select("incident_key", "event_id", "entity")
+def related_events(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    members = incidents.exploded(_members(spark, sf_dir, whole)).select("incident_key", "event_id", "entity")
     return reports.related_events(members, by_entity(security_events(spark, sf_dir)))
 
 
-def incident_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = _members(spark, sf_dir)
+def incident_reports(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    members = _members(spark, sf_dir, whole)
     return reports.report_text(incidents.roll_up(members), members)
 
 
-def incident_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.features(_members(spark, sf_dir))
+def incident_features(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return reports.features(_members(spark, sf_dir, whole))
 
 
-def runbook_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+def runbook_plan(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     books = spark.createDataFrame(RUNBOOKS, "runbook string, technique string, action string, kind string")
-    return reports.runbook_steps(incidents.roll_up(_members(spark, sf_dir)), books)
+    return reports.runbook_steps(incidents.roll_up(_members(spark, sf_dir, whole)), books)
 
 
 def triage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +75,10 @@ def dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.groupBy(reports.disposition(a, b, F.col("quality") != F.col("toxic")).alias("disposition")).agg(F.count("*").alias("n"))
 
 
-def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table_counts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Rows of each stored table, and of them by tenant, here an event's source."""
     e = security_events(spark, sf_dir).groupBy(F.col("source").alias("tenant")).agg(F.count("*").alias("n")).select(F.lit("events").alias("name"), "tenant", "n")
-    f = incidents.exploded(_serious(spark, sf_dir)).join(security_events(spark, sf_dir).select("event_id", F.col("source").alias("tenant")), "event_id").groupBy("tenant").agg(F.countDistinct("finding_id").alias("n"))
+    f = incidents.exploded(_serious(spark, sf_dir, whole)).join(security_events(spark, sf_dir).select("event_id", F.col("source").alias("tenant")), "event_id").groupBy("tenant").agg(F.countDistinct("finding_id").alias("n"))
     return e.unionByName(f.select(F.lit("findings").alias("name"), "tenant", "n"))
 
 
@@ -88,19 +88,21 @@ def seal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.seal_summary(log)
 
 
-def open_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def open_incidents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """The newest open incidents of some entities in each tenant; an incident belongs to its primary entity's kind."""
-    rows = incidents.roll_up(_members(spark, sf_dir)).withColumn("tenant", F.substring_index("primary_entity", ":", 1))
+    rows = incidents.roll_up(_members(spark, sf_dir, whole)).withColumn("tenant", F.substring_index("primary_entity", ":", 1))
     rows = rows.withColumn("status", F.when(F.col("risk_score") >= 70, "open").when(F.col("risk_score") >= 40, "investigating").otherwise("closed"))
-    return search.open_incidents(rows, [f"user:u{i}" for i in range(40)], 5).select("tenant", "incident_key", "status", "place")
+    entities = [f"user:u{i}" for i in range(40)]
+    found = search.open_incidents(rows, entities) if whole else search.open_incidents(rows, entities, 5)
+    return found.select("tenant", "incident_key", "status", "place")
 
 
-def incident_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.incident_documents(incidents.roll_up(_members(spark, sf_dir)))
+def incident_documents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return search.incident_documents(incidents.roll_up(_members(spark, sf_dir, whole)))
 
 
-def baseline_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.baseline_decision(incidents.roll_up(_members(spark, sf_dir)))
+def baseline_decisions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return quality.baseline_decision(incidents.roll_up(_members(spark, sf_dir, whole)))
 
 
 def address_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +115,7 @@ def address_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 _title = "CASE WHEN others <= 0 THEN 'Suspicious activity involving ' || primary_entity ELSE 'Correlated activity involving ' || primary_entity || ' and ' || others || ' related entit' || CASE WHEN others = 1 THEN 'y' ELSE 'ies' END END"
 _books = ", ".join(str(b) for b in RUNBOOKS)
 QUERIES = [mapped_records, related_events, incident_reports, incident_features, runbook_plan, triage_state, decision_stats, dispositions, table_counts, seal_summary, open_incidents, incident_documents, baseline_decisions, address_tokens]
+QUERIES += map(of_all, (related_events, incident_reports, incident_features, runbook_plan, table_counts, open_incidents, incident_documents, baseline_decisions))
 SQL = {
     "mapped_records": f"""WITH {V} SELECT seq, CASE WHEN category <> 'network' THEN user_name END AS user_name, CASE WHEN category = 'process' THEN host END AS host, CASE WHEN category <> 'process' THEN src_ip END AS src_ip,
   CASE category WHEN 'process' THEN 'process_start' WHEN 'network' THEN 'GET' WHEN 'authentication' THEN CASE WHEN outcome = 'failure' THEN 'login_failed' ELSE 'login_success' END ELSE CASE WHEN value > 150 THEN 'login_failed' ELSE 'login_success' END END AS action,
