@@ -90,11 +90,17 @@ def audit_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of each pattern by source over all documents."""
+    """Hits of the four patterns that SQL has too, by source over all documents."""
     docs = _table(spark, sf_dir, "documents")
     return docs.groupBy("source").agg(*[F.sum(c).alias(n) for n, c in redaction.hits(F.col("text")).items() if n in ("ipv4", "email", "ssn", "aws_key")])
 
 
+def all_redaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of each pattern by source over all documents."""
+    docs = _table(spark, sf_dir, "documents")
+    return docs.groupBy("source").agg(*[F.sum(c).alias(n) for n, c in redaction.hits(F.col("text")).items()])
+
+
 def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns and documents with secrets and personal data masked."""
     docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), redaction.mask(F.col("text")).alias("text"))
@@ -135,7 +141,7 @@ _assets_sql = """a AS (SELECT key, arg_max(m, pos) AS m FROM (SELECT 'h' || (c_c
 _number = "list_sum([CAST(split_part(ip, '.', 1 + i) AS BIGINT) * CAST(pow(256, 3 - i) AS BIGINT) FOR i IN range(4)])"
 _ranges = ", ".join(f"('{label}', {context.cidr_range(c)[0]}, {context.cidr_range(c)[1]})" for label, c in RANGES)
 
-QUERIES = [address_context, criticality_risk, routine_roles, host_exposure, indicator_findings, event_search, latest_events, source_health, entity_profiles, incident_timeline, audit_verification, redaction_audit, redacted_text, keyword_retrieval, decision_quality, decision_confusion, of_all(incident_timeline)]
+QUERIES = [address_context, criticality_risk, routine_roles, host_exposure, indicator_findings, event_search, latest_events, source_health, entity_profiles, incident_timeline, audit_verification, redaction_audit, all_redaction_audit, redacted_text, keyword_retrieval, decision_quality, decision_confusion, of_all(incident_timeline)]
 SQL = {
     "address_context": f"""WITH {V}, a AS (SELECT src_ip AS ip, count(*) AS n FROM v WHERE src_ip IS NOT NULL GROUP BY 1), r(label, lo, hi) AS (VALUES {_ranges}), b AS (SELECT *, {_number} AS k FROM a),
 l AS (SELECT ip, string_agg(label, ',' ORDER BY label) AS labels FROM b JOIN r ON k BETWEEN lo AND hi GROUP BY 1)
