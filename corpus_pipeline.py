@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences: five stages, each a Spark job over all that its predecessor kept.
 
-1. language: documents without letters, or without a language that makes up half of them, go.
+1. language: documents without letters go; any mixture of learned languages stays.
 2. near_duplicates: of each group of documents linked by a Jaccard similarity of 0.8 or more on 5-word
    shingles, the one with the smallest doc_id stays.
 3. decontamination: passages that share a 10-word window with a benchmark item are cut out; documents
@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from lumenwatch.llm import decontaminate, jaccard, language, packing, pii
 from lumenwatch.llm.common import save, table
 
-LEAST_SHARE = 0.5
-
 
 def _wrapped(docs: DataFrame) -> DataFrame:
     """text, and all other columns as one named doc_id, which operators carry along unread: no name can clash."""
@@ -40,7 +38,7 @@ def _unwrapped(found: DataFrame, text: Column, columns: list[str]) -> DataFrame:
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.learn(docs.select("lang", "text"))
     found = language.identify(_wrapped(docs), model, "text")
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
+    kept = found.where(F.col("lang_pred") != "und")
     return kept.select(*[F.col("text") if c == "text" else F.col("doc_id")[c].alias(c) for c in docs.columns])
 
 

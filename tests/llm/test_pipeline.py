@@ -31,6 +31,14 @@ def test_stages_take_effect(spark, docs, rows):
     assert left == {1: left[1], 2: "clean words only"} and left[1].startswith("before ") and left[1].endswith(" after") and len(left[1]) < 30
 
 
+def test_mixtures_of_languages_stay(spark):
+    texts = {"en": "the cat and the dog sat with them ", "de": "der hund und die katze sitzen noch ", "es": "el perro y los gatos duermen juntos ", "fr": "le chien dort avec ses beaux chats "}
+    rows = [(i, text * 30, lang) for i, (lang, text) in enumerate(texts.items())]
+    rows += [(8, texts["en"] * 12 + texts["de"] * 9 + texts["es"] * 9, None), (9, "12 34 --", None)]
+    kept = corpus_pipeline.languages(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), SF)
+    assert {r.doc_id for r in kept.collect()} == {0, 1, 2, 3, 8}
+
+
 def test_run_gives_packed_pieces(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns) and out.count() > 0
