@@ -31,6 +31,46 @@ def test_chunks_give_the_ids_of_whole_texts(rows):
     assert flat.tolist() == [i for w in want for i in w]
 
 
+def fewest_by_best_fit(lengths, capacity):
+    """Sequences that best fit uses, one piece at a time, longest first."""
+    rooms = []
+    for x in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= x]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else capacity) - x)
+    return len(rooms)
+
+
+def fewest(lengths, capacity):
+    """The exact minimum, by trying all packings."""
+    best = len(lengths)
+
+    def put(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(lengths):
+            best = len(rooms)
+            return
+        for r in {r for r in rooms if r >= lengths[i]}:
+            put(i + 1, tuple(sorted([*rooms[: rooms.index(r)], *rooms[rooms.index(r) + 1 :], r - lengths[i]])))
+        put(i + 1, (*rooms, capacity - lengths[i]))
+
+    lengths = sorted(lengths, reverse=True)
+    put(0, ())
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=9))
+def test_plan_is_near_the_exact_minimum(lengths):
+    used = lambda x: len({p[3] + i for p in packing.plan({n: x.count(n) for n in x}, 30) for i in range(-(-(p[2] - p[1]) // p[4]))})
+    large = [x for x in lengths if 3 * x > 30]
+    assert not large or used(large) == fewest(large, 30)  # matching is exact
+    assert fewest(lengths, 30) <= used(lengths) <= min(fewest_by_best_fit(lengths, 30) + 1, fewest(lengths, 30) + 1)
+
+
 def test_packing_covers_every_id_once_without_gaps(docs, rows):
     out = packing.pack_documents(docs, capacity=256).collect()
     assert sorted((r.ids_crc32, r.length) for r in out) == sorted((crc(p), len(p)) for _, t, *_ in rows for ids in [ids_of(t, 1)] for p in [ids[i : i + 256] for i in range(0, len(ids), 256)])
@@ -44,7 +84,7 @@ def test_packing_covers_every_id_once_without_gaps(docs, rows):
             assert offset == at
             at += length
         assert at <= 256
-    assert len(by) <= -(-sum(r.length for r in out) // 256) + 2
+    assert len(by) <= fewest_by_best_fit([r.length for r in out], 256)
     assert {len(r.ids) for r in packing.sequences(packing.pack_documents(docs, capacity=256)).collect()} == {sum(n for _, n in p) for p in by.values()}
 
 
