@@ -2,10 +2,16 @@
 
 Each tree splits recursively along random directions at a median; a vector within the spill margin of a
 split goes down both sides, so close pairs rarely part. All rows are indexed; only the medians come from
-a bounded sample (SAMPLE vectors with the smallest hashes). The depth follows the number of vectors, so
-leaves hold about LEAF of them, and the number of trees follows the depth. Pairs are compared within
-leaves, in blocks of BLOCK rows for leaves that are larger (so no leaf has a cap), and verified in double
-precision. Equal vectors are one class before any comparison.
+a bounded sample (about SAMPLE vectors, by hash). The depth follows the number of vectors, so leaves hold
+about LEAF of them. The number of trees follows the depth: PART is the chance that one split parts a pair
+at a cosine of 0.9, so that MISSED at most of such pairs part in every tree (tests measure it); a forest
+without splits is one leaf, compared once. Pairs are compared within leaves, in blocks of BLOCK rows for
+leaves that are larger (so no leaf has a cap), and verified in double precision.
+
+A pair may share several leaves. It counts in the first of them, which the task finds by sending the pair's
+vectors down the forest again, so pairs never leave their task: each leaf passes on one row a vector, with
+its number of links there and the smallest vector it reaches. Equal vectors are one class before any
+comparison.
 
 Defined cases: null, empty or zero vectors, and those that hold null or non-finite components, link with
 nothing, and so does a row with a null vec_id; vectors of other lengths than another never link with it;
@@ -23,7 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import columns, components, save
 
-SAMPLE, LEAF, BLOCK, TREES, MARGIN, SUPPORT = 20_000, 1024, 2048, 8, 0.025, 64
+SAMPLE, LEAF, BLOCK, TREES, SUPPORT = 20_000, 1024, 2048, 4, 64
+#: Spill margin times the square root of the vectors' length; chance that a split parts a pair; pairs missed.
+MARGIN, PART, MISSED = 0.16, 0.052, 0.01
 
 
 def unit(raw: list[bytes]) -> np.ndarray:
@@ -53,18 +61,18 @@ def usable(vectors: DataFrame) -> DataFrame:
 class Forest:
     """Directions for each tree and level, and medians for the paths that the sample reaches."""
 
-    def __init__(self, sample: np.ndarray, size: int, trees: int = TREES, leaf: int = LEAF, margin: float = MARGIN):
-        rng = np.random.default_rng(7)
+    def __init__(self, sample: np.ndarray, size: int, leaf: int = LEAF):
+        rng, d = np.random.default_rng(7), sample.shape[1]
         self.depth = max(0, int(np.ceil(np.log2(max(1, size / leaf)))))
-        self.trees, self.margin = max(trees, self.depth), margin
-        d = sample.shape[1]
+        self.trees = max(TREES, int(np.ceil(np.log(MISSED) / np.log1p(-((1 - PART) ** self.depth))))) if self.depth else 1
+        self.margin = MARGIN / d**0.5
         self.directions = rng.standard_normal((self.trees, self.depth, d))
         self.directions /= np.linalg.norm(self.directions, axis=2, keepdims=True)
         self.cuts: list[list[dict[int, float]]] = []
         for t in range(self.trees):
-            node, levels = np.zeros(len(sample), np.int64), []
+            node, levels, values = np.zeros(len(sample), np.int64), [], self._values(sample, t)
             for level in range(self.depth):
-                value = sample @ self.directions[t, level]
+                value = values[:, level]
                 cut = {-1: float(np.median(value))}  # for paths with too few of the sample
                 order = np.argsort(node, kind="stable")
                 paths, first, n = np.unique(node[order], return_index=True, return_counts=True)
@@ -75,17 +83,21 @@ class Forest:
                 node = node * 2 + (value > self._cuts(cut, node))
             self.cuts.append(levels)
 
+    def _values(self, x: np.ndarray, tree: int) -> np.ndarray:
+        """Projections, the same for a vector whatever its neighbours in the array (a matrix product may round otherwise)."""
+        return np.einsum("ij,kj->ik", x, self.directions[tree])
+
     @staticmethod
     def _cuts(cut: dict[int, float], node: np.ndarray) -> np.ndarray:
         paths, inverse = np.unique(node, return_inverse=True)
         return np.array([cut.get(p, cut[-1]) for p in paths.tolist()])[inverse]
 
-    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, tree, leaf) of every leaf that each row reaches."""
+    def leaves(self, x: np.ndarray, trees: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, tree, leaf) of every leaf that each row reaches in the first `trees` trees (in all by default)."""
         out = []
-        for t in range(self.trees):
+        for t in range(trees or self.trees):
             row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
-            values = x @ self.directions[t].T
+            values = self._values(x, t)
             for level in range(self.depth):
                 away = values[row, level] - self._cuts(self.cuts[t][level], node)
                 right, left = away > -self.margin, away <= self.margin
@@ -105,20 +117,58 @@ def close_pairs(a: np.ndarray, b: np.ndarray, least: float) -> tuple[np.ndarray,
     return np.concatenate(i), np.concatenate(j)
 
 
-def links(classes: DataFrame, least: float = 0.9) -> DataFrame:
-    """Pairs (a, b), a < b, of linked classes (rep, key)."""
+def first_shared(forest: Forest, x: np.ndarray, i: np.ndarray, j: np.ndarray, tree: int, leaf: int) -> np.ndarray:
+    """Whether (tree, leaf) is the first leaf that the rows i and j of x share."""
+    used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i, j = place[: len(i)], place[len(i) :]
+    row, trees, leaves = forest.leaves(x[used], tree + 1)
+    before = (trees < tree) | (leaves < leaf)
+    row, code = row[before], np.unique(np.stack([trees[before], leaves[before]]), axis=1, return_inverse=True)[1].ravel()
+    order = np.argsort(row, kind="stable")
+    row, code = row[order], code[order]
+    n = np.bincount(row, minlength=len(used))
+    own = np.full((len(used), int(n.max(initial=0))), -1, np.int32)
+    own[row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)] = code
+    other = np.where(own < 0, -2, own)
+    out = np.ones(len(i), bool)
+    for at in range(0, len(i), 1 << 14):
+        a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+        for column in range(own.shape[1]):
+            out[at : at + len(a)] &= ~(other[b] == own[a, column, None]).any(1)
+    return out
+
+
+def smallest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row that each of n rows reaches over the pairs (i, j)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def near(classes: DataFrame, least: float = 0.9) -> DataFrame:
+    """Rows (a, b, n) for classes (rep, key, n vectors): a links with n vectors of other classes and reaches b."""
     sizes = classes.groupBy(F.length("key").alias("w")).count().collect()  # a row for each length of vector
-    pairs = None
+    rows = None
     for w, size in sizes:
-        own = classes.where(F.length("key") == w).select("rep", "key")
-        picked = own.withColumn("h", F.xxhash64("key")).orderBy("h", "rep").limit(SAMPLE).select("key").toPandas()["key"]
-        forest = Forest(unit([bytes(k) for k in picked]), size)
-        found = _links(own, forest, least)
-        pairs = found if pairs is None else pairs.union(found)
-    return pairs.distinct() if pairs is not None else classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-
-
-def _links(own: DataFrame, forest: Forest, least: float) -> DataFrame:
+        own = classes.where(F.length("key") == w).select("rep", "key", "n")
+        share = min(1.0, SAMPLE / size)  # keys are distinct, so the hash deals them evenly
+        picked = own.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("rep", "key").toPandas()
+        if not len(picked):
+            picked = own.select("rep", "key").limit(SUPPORT).toPandas()
+        forest = Forest(unit([bytes(k) for k in picked.sort_values("rep")["key"]]), size)
+        found = _near(own, forest, least)
+        rows = found if rows is None else rows.union(found)
+    return rows if rows is not None else classes.select(F.col("rep").alias("a"), F.col("rep").alias("b"), "n").limit(0)
+
+
+def _near(own: DataFrame, forest: Forest, least: float) -> DataFrame:
     def route(with_key: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -126,45 +176,48 @@ def _links(own: DataFrame, forest: Forest, least: float) -> DataFrame:
                     batch = whole.slice(at, 1024)
                     row, tree, leaf = forest.leaves(unit(columns(batch, "key")[0]))
                     out = [pa.array(tree, pa.int32()), pa.array(leaf)] + ([c.take(pa.array(row)) for c in batch.columns] if with_key else [])
-                    yield pa.RecordBatch.from_arrays(out, ["tree", "leaf"] + (["rep", "key"] if with_key else []))
+                    yield pa.RecordBatch.from_arrays(out, ["tree", "leaf"] + (["rep", "key", "n"] if with_key else []))
 
         return run
 
     def compare(group: pa.Table) -> pa.Table:
-        side = np.array(group.column("side").to_pylist())
-        rep = np.array(group.column("rep").to_pylist(), np.int64)
-        x = unit(group.column("key").to_pylist())
-        a, b = side <= 0, (side == 1) if (side == 1).any() else side <= 0
-        i, j = close_pairs(x[a], x[b], least) if group.column("bi")[0] == group.column("bj")[0] or (side == 1).any() else (np.zeros(0, int),) * 2
-        p, q = rep[a][i], rep[b][j]
-        low, high = np.minimum(p, q), np.maximum(p, q)
-        keep = low < high
-        pair = np.unique(np.stack([low[keep], high[keep]], 1), axis=0)
-        return pa.table({"a": pair[:, 0], "b": pair[:, 1]})
+        rep, n, side = (group.column(c).to_numpy() for c in ("rep", "n", "side"))
+        order = np.argsort(rep, kind="stable")
+        rep, n, side, x = rep[order], n[order], side[order], unit(group.column("key").to_pylist())[order]
+        tree, leaf, bi, bj = (group.column(c)[0].as_py() for c in ("tree", "leaf", "bi", "bj"))
+        one, two = (np.arange(len(x)),) * 2 if bi == bj else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        i, j = close_pairs(x[one], x[two], least)
+        i, j = one[i], two[j]
+        if bi == bj:
+            i, j = i[i < j], j[i < j]
+        if len(i) and forest.depth:
+            first = first_shared(forest, x, i, j, tree, leaf)
+            i, j = i[first], j[first]
+        links = np.bincount(i, n[j], len(x)) + np.bincount(j, n[i], len(x))
+        used = np.flatnonzero(links)
+        return pa.table({"a": rep[used], "b": rep[smallest(len(x), i, j)[used]], "n": links[used].astype(np.int64)})
 
     counts = own.mapInArrow(route(False), "tree int, leaf long").groupBy("tree", "leaf").count()
     large = counts.where(F.col("count") > BLOCK).select("tree", "leaf", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    rows = own.mapInArrow(route(True), "tree int, leaf long, rep long, key binary").join(large, ["tree", "leaf"], "left")
+    rows = own.mapInArrow(route(True), "tree int, leaf long, rep long, key binary, n long").join(large, ["tree", "leaf"], "left")
     blocks = F.coalesce("blocks", F.lit(1))
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # block i meets block j in the unit (i, j), i <= j; a row of block i has side 0 there, one of block j side 1
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("other", other).select("tree", "leaf", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep", "key")
-    return rows.groupBy("tree", "leaf", "bi", "bj").applyInArrow(compare, "a long, b long")
+    rows = rows.withColumn("other", other).select("tree", "leaf", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), (F.col("block") > F.col("other")).cast("int").alias("side"), "rep", "key", "n")
+    return rows.groupBy("tree", "leaf", "bi", "bj").applyInArrow(compare, "a long, b long, n long")
 
 
 def cluster(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding)."""
     keyed = save(usable(vectors), "vectors")
     classes = save(keyed.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    pairs = save(links(classes, least), "pairs")
-    found = components(pairs)
-    both = pairs.union(pairs.select("b", "a")).toDF("rep", "other")
-    size = classes.select("rep", "n")
-    linked = both.join(size.toDF("other", "m"), "other").groupBy("rep").agg(F.sum("m").alias("m"))
-    near = classes.join(linked, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    near = near.select("key", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    good = keyed.join(near, "key").select("vec_id", "n_links", "component_id")
+    rows = save(near(classes, least), "near")
+    found = components(rows.select("a", "b"))
+    linked = rows.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("m"))
+    known = classes.join(linked, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    known = known.select("key", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    good = keyed.join(known, "key").select("vec_id", "n_links", "component_id")
     rest = vectors.select(F.col("vec_id").cast("long")).exceptAll(keyed.select("vec_id")).select("vec_id", F.lit(0).cast("long"), "vec_id")
     out = good.union(rest).toDF("vec_id", "n_links", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -169,7 +169,7 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     want = smallest(links, range(len(vectors)))
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     for block in (2048, 16):  # whole leaves, or leaves cut into blocks
-        monkeypatch.setattr(neighbours, "LEAF", 64)
+        monkeypatch.setattr(neighbours.Forest.__init__, "__defaults__", (64,))
         monkeypatch.setattr(neighbours, "BLOCK", block)
         got = {r.vec_id: r for r in neighbours.cluster(df).collect()}
         found = sum(r.n_links for r in got.values()) / 2
@@ -177,3 +177,37 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
         assert np.mean([got[i].component_id == c for i, c in want.items()]) > 0.97
         assert all(got[1000 + i].n_links == 0 and got[1000 + i].kept for i in range(len(bad)))
     assert neighbours.cluster(df.limit(0)).count() == 0
+
+
+def test_forest_keeps_pairs_together_at_depth():
+    """Recall of pairs at a cosine of exactly 0.9, and copies a row, at depths of 6 and more."""
+    rng = np.random.default_rng(1)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base, n = unit(rng.standard_normal((12_000, 64))), 1000
+    away = rng.standard_normal((n, 64))
+    away = unit(away - (away * base[:n]).sum(1, keepdims=True) * base[:n])
+    other = 0.9 * base[:n] + 0.19**0.5 * away
+    for depth, copies in ((6, 10), (10, 25), (17, 80)):
+        forest = neighbours.Forest(base, neighbours.LEAF << depth)
+        assert forest.depth == depth
+        one, two = ({(r, t, leaf) for r, t, leaf in zip(*map(np.ndarray.tolist, forest.leaves(x)), strict=True)} for x in (base[:n], other))
+        assert len({r for r, *_ in one & two}) >= 0.98 * n and len(one) <= copies * n
+
+
+def test_a_hot_cluster_counts_each_link_once(spark, monkeypatch):
+    """A third of the rows are near copies: links as by brute force, and no pair leaves its task."""
+    rng = np.random.default_rng(4)
+    middle = rng.standard_normal(24)
+    x = np.concatenate([rng.standard_normal((800, 24)), middle + 0.12 * rng.standard_normal((400, 24)), np.repeat(middle[None], 30, 0)])
+    near = (u := x / np.linalg.norm(x, axis=1, keepdims=True)) @ u.T >= 0.9
+    want = near.sum(1) - 1
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    for leaf, block in ((32, 2048), (32, 50), (4096, 2048)):
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        monkeypatch.setattr(neighbours.Forest.__init__, "__defaults__", (leaf,))
+        got = {r.vec_id: r for r in neighbours.cluster(df).collect()}
+        n = np.array([got[i].n_links for i in range(len(x))])
+        assert (n <= want).all() and n.sum() >= 0.97 * want.sum()
+        assert len({got[i].component_id for i in range(800, len(x))}) == 1
+        if leaf == 4096:
+            assert (n == want).all()
