@@ -58,7 +58,8 @@ class FMIndex:
 
     SAMPLE = 16
 
-    def __init__(self, text: np.ndarray, keep_order: bool = False):
+    def __init__(self, text: np.ndarray, carry: np.ndarray | None = None):
+        """carry: a number for each place of the text; carried has them in the suffixes' order."""
         order = suffixes(text)
         n = len(text)
         last = text[order - 1]
@@ -76,7 +77,7 @@ class FMIndex:
         sampled = runs | (np.arange(n) % self.SAMPLE == 0)
         self.marks = Bits(sampled[order])
         self.samples = order[sampled[order]]
-        self.order = order if keep_order else None
+        self.carried = None if carry is None else carry[order]
 
     def _down(self, number: np.ndarray, at: np.ndarray) -> np.ndarray:
         for level, bits in zip(range(self.depth - 1, -1, -1), self.levels, strict=True):

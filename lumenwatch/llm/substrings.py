@@ -14,10 +14,11 @@ anchor into several chunks: of an anchor whose classes aren't all in a chunk, th
 smaller in the chunk covers go on, packed by buckets of their hash, and meet their equals there, so no
 anchor is ever gathered whole.
 
-Window and class hashes have 128 bits. Defined cases: null, empty or short texts lose nothing; a window
-repeated within one document only stays; a null doc_id is smaller than none and loses nothing; rows that
-repeat a doc_id are one document, and each loses the places that any of them loses; an empty table gives
-no rows; other columns are ignored.
+Window and class hashes have 128 bits over words' hashes of 64 bits. Defined cases: null, empty or short
+texts lose nothing; a window repeated within one document only stays; a null doc_id is smaller than none
+and loses nothing; rows that repeat a doc_id are one document, so a window that starts in several of them
+only stays in each, but every row loses its own places alone (rows are told apart by their text's hash);
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,9 +49,14 @@ class Spans:
         return tuple((r.of(r.sums(words), starts, ends) ^ (ends - starts).astype(np.uint64)).view(np.int64) for r in self.rolling)
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and t, which tells rows of one doc_id apart."""
+    return texts(docs).withColumn("t", F.xxhash64("text"))
+
+
 def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """anchor, h1, h2 (of the content), doc_id, start and windows of each segment: windows start at start, start + 1, ..."""
-    docs = texts(docs.where("doc_id IS NOT NULL"))
+    """anchor, h1, h2 (of the content), doc_id, t (its text's hash), start and windows of each segment: windows start at start, start + 1, ..."""
+    docs = hashed(docs.where("doc_id IS NOT NULL"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, spans = WordHashes(), Spans()
@@ -70,26 +76,44 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
                     n = np.diff(start, append=len(view))
                     out.append((grams[place[start]].view(np.int64), *spans.of(words, start, start + n + window - 1), np.full(len(start), i), start, n))
                 anchor, h1, h2, doc, start, n = (np.concatenate(c) for c in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(h1), pa.array(h2), batch.column(0).take(pa.array(doc)), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["anchor", "h1", "h2", "doc_id", "start", "windows"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(h1), pa.array(h2), batch.column(0).take(pa.array(doc)), batch.column(2).take(pa.array(doc)), pa.array(start, pa.int32()), pa.array(n, pa.int32())], ["anchor", "h1", "h2", "doc_id", "t", "start", "windows"])
 
-    return docs.mapInArrow(run, f"anchor long, h1 long, h2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, windows int")
+    return docs.mapInArrow(run, f"anchor long, h1 long, h2 long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, start int, windows int")
 
 
 class RangeMinimum:
+    """Minima of ranges: of blocks by a sparse table over blocks, of a block's ends by running minima."""
+
+    BLOCK = 16
+
     def __init__(self, values: np.ndarray):
-        self.levels = [values]
-        step = 1
-        while 2 * step <= len(values):
-            below = self.levels[-1]
-            self.levels.append(np.minimum(below[:-step], below[step:]))
+        n = -(-max(1, len(values)) // self.BLOCK) * self.BLOCK
+        self.values = np.full(n, np.iinfo(values.dtype).max, values.dtype)
+        self.values[: len(values)] = values
+        blocks = self.values.reshape(-1, self.BLOCK)
+        self.up, self.down = (np.ascontiguousarray(np.minimum.accumulate(b, axis=1)) for b in (blocks, blocks[:, ::-1]))
+        self.up, self.down = self.up.ravel(), np.ascontiguousarray(self.down[:, ::-1]).ravel()
+        levels, step = [blocks.min(1)], 1
+        while 2 * step <= len(blocks):
+            levels.append(np.minimum(levels[-1][:-step], levels[-1][step:]))
             step *= 2
-        width = len(values)
-        self.flat = np.concatenate([np.append(x, np.zeros(width - len(x), x.dtype)) for x in self.levels])
-        self.width = width
+        self.width = len(blocks)
+        self.flat = np.concatenate([np.append(x, np.zeros(self.width - len(x), x.dtype)) for x in levels])
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        return np.minimum(self.flat[level * self.width + lo], self.flat[level * self.width + hi - (1 << level)])
+        """The minimum of values[lo:hi], each range with one value at least."""
+        a, b = lo // self.BLOCK, (hi - 1) // self.BLOCK
+        out = np.minimum(self.down[lo], self.up[hi - 1])
+        far = np.flatnonzero(b - a > 1)
+        first, last = a[far] + 1, b[far]
+        level = np.frexp((last - first).astype(np.float64))[1] - 1
+        out[far] = np.minimum(out[far], np.minimum(self.flat[level * self.width + first], self.flat[level * self.width + last - (1 << level)]))
+        same = np.flatnonzero(a == b)
+        if len(same):
+            place = lo[same, None] + np.arange(self.BLOCK)
+            inside = place < hi[same, None]
+            out[same] = np.where(inside, self.values[np.where(inside, place, lo[same, None])], np.iinfo(self.values.dtype).max).min(1)
+        return out
 
 
 def covered(words: list[np.ndarray], doc: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
@@ -104,9 +128,9 @@ def covered(words: list[np.ndarray], doc: np.ndarray, window: int = WINDOW) -> l
     text = np.zeros(int((n + 1).sum()), np.int64)
     text[np.arange(len(dense)) + np.repeat(np.arange(len(n)), n)] = dense + 1
     rank = np.unique(doc, return_inverse=True)[1].astype(np.int32)
-    index = FMIndex(text, keep_order=True)
-    owner = np.repeat(np.arange(len(n)), n + 1)
-    least = RangeMinimum(rank[owner[index.order]])
+    owner = rank[np.repeat(np.arange(len(n)), n + 1)]
+    index = FMIndex(text, owner)
+    least = RangeMinimum(index.carried)
 
     def back(cls: np.ndarray, end: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """How far left each match that ends before `end` reaches, `stop` at the furthest."""
@@ -149,38 +173,41 @@ def covered(words: list[np.ndarray], doc: np.ndarray, window: int = WINDOW) -> l
 
 
 def _judged(classes: DataFrame, window: int) -> DataFrame:
-    """Rows (doc_id, start, windows) that are covered, and rows (bucket, docs, starts, g1, g2) of windows still to compare."""
+    """Rows (doc_id, t, start, windows) that are covered, and rows (bucket, docs, ts, starts, g1, g2) of windows still to compare."""
     spark, kind = classes.sparkSession, classes.schema["doc_id"].dataType.simpleString()
     ids = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
     buckets = partitions(spark)
-    names = ["doc_id", "start", "windows", "bucket", "docs", "starts", "g1", "g2"]
-    types = (ids, pa.int32(), pa.int32(), pa.int32(), pa.list_(ids), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    names = ["doc_id", "t", "start", "windows", "bucket", "docs", "ts", "starts", "g1", "g2"]
+    types = (ids, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(ids), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
     def chunk(rows: list[tuple]) -> pa.RecordBatch:
-        words = [np.frombuffer(r[3], np.int64).view(np.uint64) for r in rows]
+        words = [np.frombuffer(r[4], np.int64).view(np.uint64) for r in rows]
         docs = np.array([r[1] for r in rows])
         here, spans, out, rest = Counter(r[0] for r in rows), Spans(), [], []
-        for i, ((anchor, doc_id, starts, _, whole), w, gone) in enumerate(zip(rows, words, covered(words, docs, window), strict=True)):
+        for i, ((anchor, doc_id, ts, starts, _, whole, *_), w, gone) in enumerate(zip(rows, words, covered(words, docs, window), strict=True)):
             edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
-            out += [(doc_id, start + a, b - a, None, None, None, None, None) for start in starts for a, b in zip(edges[::2], edges[1::2], strict=True)]
+            out += [(doc_id, t, start + a, b - a, *[None] * 6) for t, start in zip(ts, starts, strict=True) for a, b in zip(edges[::2], edges[1::2], strict=True)]
             if here[anchor] < whole:
                 own = np.flatnonzero(~gone)
                 h = spans.of(w, own, own + window)
-                rest += [(np.full(len(own), i), start + own, *h) for start in starts]
+                rest += [(np.full(len(own), i), np.full(len(own), t), start + own, *h) for t, start in zip(ts, starts, strict=True)]
         if rest:
-            row, start, g1, g2 = (np.concatenate(c) for c in zip(*rest, strict=True))
+            row, t, start, g1, g2 = (np.concatenate(c) for c in zip(*rest, strict=True))
             bucket = g1 % buckets
             order = np.argsort(bucket, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-                out.append((None, None, None, int(bucket[part[0]]), docs[row[part]].tolist(), start[part].tolist(), g1[part].tolist(), g2[part].tolist()))
+                out.append((*[None] * 4, int(bucket[part[0]]), docs[row[part]].tolist(), t[part].tolist(), start[part].tolist(), g1[part].tolist(), g2[part].tolist()))
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
+        rows, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*columns(batch, "anchor", "doc_id", "starts", "words", "k"), strict=True):
+            for row in zip(*columns(batch, "anchor", "doc_id", "ts", "starts", "words", "k", "h1", "h2"), strict=True):
+                if (row[0], *row[6:]) == last:  # a repeated row's: once
+                    continue
+                last = (row[0], *row[6:])
                 rows.append(row)
-                size += len(row[3]) // 8
+                size += len(row[4]) // 8
                 if size >= SHARD_WORDS:
                     yield chunk(rows)
                     rows, size = [], 0
@@ -188,7 +215,7 @@ def _judged(classes: DataFrame, window: int) -> DataFrame:
             yield chunk(rows)
 
     ordered = classes.repartitionByRange(partitions(spark), "anchor", "h1", "h2").sortWithinPartitions("anchor", "h1", "h2")
-    return ordered.select("anchor", "doc_id", "starts", "words", "k").mapInArrow(run, f"doc_id {kind}, start int, windows int, bucket int, docs array<{kind}>, starts array<int>, g1 array<long>, g2 array<long>")
+    return ordered.mapInArrow(run, f"doc_id {kind}, t long, start int, windows int, bucket int, docs array<{kind}>, ts array<long>, starts array<int>, g1 array<long>, g2 array<long>")
 
 
 def _met(judged: DataFrame) -> DataFrame:
@@ -196,66 +223,65 @@ def _met(judged: DataFrame) -> DataFrame:
     kind = judged.schema["doc_id"].dataType.simpleString()
 
     def meet(group: pa.Table) -> pa.Table:
-        docs, starts, g1, g2 = (group.column(c).combine_chunks().flatten() for c in ("docs", "starts", "g1", "g2"))
+        docs, ts, starts, g1, g2 = (group.column(c).combine_chunks().flatten() for c in ("docs", "ts", "starts", "g1", "g2"))
         rank = np.unique(np.array(docs.to_pylist()), return_inverse=True)[1] if len(docs) else np.zeros(0, np.int64)
         a, b = g1.to_numpy(), g2.to_numpy()
         order = np.lexsort((rank, b, a))
         fresh = np.concatenate([[True], (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)])[: len(order)]
         least = rank[order][np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else rank
         late = pa.array(order[rank[order] > least])
-        return pa.table({"doc_id": docs.take(late), "start": starts.take(late), "windows": pa.array(np.ones(len(late), np.int32))})
+        return pa.table({"doc_id": docs.take(late), "t": ts.take(late), "start": starts.take(late), "windows": pa.array(np.ones(len(late), np.int32))})
 
-    return judged.where("bucket IS NOT NULL").select("bucket", "docs", "starts", "g1", "g2").groupBy("bucket").applyInArrow(meet, f"doc_id {kind}, start int, windows int")
+    return judged.where("bucket IS NOT NULL").select("bucket", "docs", "ts", "starts", "g1", "g2").groupBy("bucket").applyInArrow(meet, f"doc_id {kind}, t long, start int, windows int")
 
 
 def _fetched(docs: DataFrame, classes: DataFrame, window: int) -> DataFrame:
-    """The classes (anchor, h1, h2, doc_id, its starts, windows, and k, the anchor's number of classes) with their words' hashes."""
-    wanted = classes.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "h1", "h2", "starts", "windows", "k")).alias("own"))
+    """The classes (anchor, h1, h2, doc_id, its places as ts and starts, windows, and k, the anchor's number of classes) with their words' hashes."""
+    one = classes.withColumn("t", F.col("ts")[0])
+    wanted = one.groupBy("doc_id", "t").agg(F.collect_list(F.struct("anchor", "h1", "h2", "ts", "starts", "windows", "k")).alias("own"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, spans = WordHashes(), Spans()
+        hashes = WordHashes()
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 out, batch = [], whole.slice(at, 128)
                 for doc_id, text, own in zip(*columns(batch, "doc_id", "text", "own"), strict=True):
                     words = hashes.of(text.split())
-                    for s in own:
-                        w = words[s["starts"][0] : s["starts"][0] + s["windows"] + window - 1]
-                        h = spans.of(w, np.array([0]), np.array([len(w)]))
-                        if len(w) >= window and (int(h[0][0]), int(h[1][0])) == (s["h1"], s["h2"]):  # else another row of that doc_id
-                            out.append((s["anchor"], s["h1"], s["h2"], doc_id, s["starts"], w.tobytes(), s["k"]))
-                types = (pa.int64(), pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.list_(pa.int32()), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["anchor", "h1", "h2", "doc_id", "starts", "words", "k"])
+                    out += [(s["anchor"], s["h1"], s["h2"], doc_id, s["ts"], s["starts"], words[s["starts"][0] : s["starts"][0] + s["windows"] + window - 1].tobytes(), s["k"]) for s in own]
+                types = (pa.int64(), pa.int64(), pa.int64(), batch.schema.field("doc_id").type, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["anchor", "h1", "h2", "doc_id", "ts", "starts", "words", "k"])
 
-    return texts(docs).join(wanted, "doc_id").mapInArrow(run, f"anchor long, h1 long, h2 long, doc_id {kind}, starts array<int>, words binary, k long")
+    return hashed(docs).join(wanted, ["doc_id", "t"]).mapInArrow(run, f"anchor long, h1 long, h2 long, doc_id {kind}, ts array<long>, starts array<int>, words binary, k long")
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, windows): runs of windows that a smaller document holds; word places start .. start + windows + window - 2."""
+    """(doc_id, t, start, windows): runs of windows that a smaller document holds; word places start .. start + windows + window - 2."""
     every = save(segments(docs, window), "segments")
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     some = save(every.join(shared, "anchor"), "shared")
-    first = F.min(F.struct("doc_id", "start", "windows")).alias("m")
-    far = F.min(F.struct("doc_id", (-F.col("start")).alias("back"))).alias("f")  # its last place in its smallest document
+    first = F.min(F.struct("doc_id", "start", "t", "windows")).alias("m")
+    far = F.min(F.struct("doc_id", (-F.col("start")).alias("back"), F.bitwise_not("t").alias("not_t"))).alias("f")  # its last place in its smallest document
     classes = some.groupBy("h1", "h2").agg(first, far, F.max("doc_id").alias("last"), F.first("anchor").alias("anchor"))
-    classes = save(classes.select("anchor", "h1", "h2", "m.doc_id", "m.start", "m.windows", (-F.col("f.back")).alias("far"), "last"), "classes")
+    once = ((F.col("f.back") == -F.col("m.start")) & (F.col("f.not_t") == F.bitwise_not("m.t"))).alias("once")
+    classes = save(classes.select("anchor", "h1", "h2", "m.doc_id", "m.t", "m.start", "m.windows", once, "last"), "classes")
     copied = classes.where("doc_id < last").select("h1", "h2", F.col("doc_id").alias("first_id"))
-    whole = some.join(copied, ["h1", "h2"]).where("doc_id > first_id").select("doc_id", "start", "windows")
+    whole = some.join(copied, ["h1", "h2"]).where("doc_id > first_id").select("doc_id", "t", "start", "windows")
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("k > 1 AND lo < hi").select("anchor", "k")
     open_ = classes.drop("last").join(mixed, "anchor")
-    once = open_.where("far = start").select("anchor", "h1", "h2", "doc_id", "windows", "k", F.array("start").alias("starts"))
-    again = some.select("h1", "h2", "doc_id", "start").join(open_.where("far > start").drop("start", "far"), ["h1", "h2", "doc_id"])
-    again = again.groupBy(*once.columns[:-1]).agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    fetched = save(_fetched(docs, once.unionByName(again), window), "fetched")
+    single = open_.where("once").select("anchor", "h1", "h2", "doc_id", "windows", "k", F.array("t").alias("ts"), F.array("start").alias("starts"))
+    again = some.select("h1", "h2", "doc_id", "t", "start").join(open_.where("NOT once").drop("t", "start", "once"), ["h1", "h2", "doc_id"])
+    places = F.sort_array(F.collect_set(F.struct("t", "start")))
+    again = again.groupBy("anchor", "h1", "h2", "doc_id", "windows", "k").agg(places.alias("p")).select("anchor", "h1", "h2", "doc_id", "windows", "k", F.col("p.t").alias("ts"), F.col("p.start").alias("starts"))
+    fetched = save(_fetched(docs, single.unionByName(again), window), "fetched")
     judged = save(_judged(fetched, window), "judged")
-    return whole.unionByName(judged.where("bucket IS NULL").select("doc_id", "start", "windows")).unionByName(_met(judged))
+    return whole.unionByName(judged.where("bucket IS NULL").select("doc_id", "t", "start", "windows")).unionByName(_met(judged))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, with_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with_text, kept: the words that stay, joined by one space."""
-    spans = repeats(docs, window).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("runs"))
-    rows = texts(docs).join(spans, "doc_id", "left")
+    spans = repeats(docs, window).groupBy("doc_id", "t").agg(F.collect_list("start").alias("starts"), F.collect_list("windows").alias("runs"))
+    rows = hashed(docs).join(spans, ["doc_id", "t"], "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

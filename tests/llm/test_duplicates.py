@@ -86,6 +86,27 @@ def test_a_passage_twice_in_one_document_goes_twice(spark, monkeypatch):
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
 
 
+def test_rows_of_one_doc_id_lose_their_own_places_only(spark, monkeypatch):
+    part = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, part("w", 60)), (2, part("w", 60)), (2, part("v", 70)), (3, f"{part('x', 40)} {part('v', 60)} {part('y', 30)}"), (3, f"{part('z', 9)} {part('v', 60)}"), (3, part("u", 55)), (3, part("u", 55))]
+    want = {part("w", 60): {1: 0, 2: 60}, part("v", 70): {2: 0}, rows[3][1]: {3: 60}, rows[4][1]: {3: 60}, part("u", 55): {3: 0}}
+    for shard in (substrings.SHARD_WORDS, 60):
+        monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
+        got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert len(got) == len(rows)
+        kept = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got)
+        drop = {60: lambda t: " ".join(w for w in t.split() if w[0] not in "vw"), 0: str}
+        assert kept == sorted((d, len(t.split()), want[t][d], drop[want[t][d]](t)) for d, t in rows)
+
+
+def test_range_minima():
+    rng = np.random.default_rng(0)
+    for n in (1, 15, 16, 17, 300):
+        v = rng.integers(0, 99, n).astype(np.int32)
+        pairs = np.array([(a, b) for a in range(n) for b in range(a + 1, n + 1)])
+        assert substrings.RangeMinimum(v).of(pairs[:, 0], pairs[:, 1]).tolist() == [v[a:b].min() for a, b in pairs]
+
+
 def test_shards_of_any_size_agree(rows):
     """Matching statistics of one chunk equal those by comparing windows."""
     rng = np.random.default_rng(1)
