@@ -2,11 +2,15 @@
 
 import math
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 from itertools import product
+from urllib.parse import urljoin, urlsplit
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lumenwatch.llm import language, lattice, pii, urls
 
@@ -173,6 +177,50 @@ def test_trees_separate_what_thresholds_can():
     assert ((BoostedTrees().fit(x[:1500], y[:1500].astype(float)).score(x[1500:]) > 0) == y[1500:]).mean() > 0.95
 
 
+class Links(HTMLParser):
+    """Canonical links, refreshes and the base of a page, by the standard library's parser."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.base, self.found = "", []
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        if tag == "base" and not self.base:
+            self.base = a.get("href", "")
+        if tag == "link" and a.get("rel", "").lower() == "canonical":
+            self.found.append(a.get("href", ""))
+        if tag == "meta" and a.get("http-equiv", "").lower() == "refresh" and "url=" in a.get("content", "").lower():
+            self.found.append(re.split("url=", a["content"], flags=re.I)[1].strip())
+
+
+def test_links_resolve_as_the_standard_library_resolves_them(spark):
+    pages = ["http://c.net/y", "http://c.net", "https://C.net/a/b/c.html?q=1#f", "http://c.net/a/b/"]
+    refs = ["/y?src=http://b.example.com/de/1", "x", "../x", "../../../x/./y/..", "?page=2", "#top", "//d.org/z", "HTTP://E.com/q", "a&amp;b=c/d", "./", "mailto:me@x.org", "javascript:void(0)", "/a//b", "x.y/../z"]
+    heads = ["", '<base href="http://f.net/k/l">', "<BASE href='/up/'>"]
+    forms = [lambda r: f'<link rel="canonical" href="{r}">', lambda r: f"<LINK  type=x\nhref='{r}' rel=canonical />", lambda r: f'<meta http-equiv="refresh" content="3;url={r}">']
+    rows = [(p, h + f(r)) for p in pages for h in heads for f in forms for r in refs]
+    rows += [("http://c.net/two", "<link rel=canonical href=/1><link rel=canonical href=/2>"), ("http://c.net/not", "<link rel=stylesheet href=/canonical><a href=x rel=canonical>")]
+    want = Counter()
+    for page, html in rows:
+        seen = Links(html)
+        for ref in seen.found:
+            to = urlsplit(urljoin(urljoin(page, seen.base), ref))
+            if to.scheme.lower() in ("http", "https"):
+                want[page, to.netloc.lower(), to.path] += 1
+    df = spark.createDataFrame([(i, p, h) for i, (p, h) in enumerate(rows)], "page_id int, url string, html string")
+    got = urls.link_edges(df).select("from_url", urls.host_of(F.col("to_url")).alias("h"), urls.path_of(F.col("to_url")).alias("p")).collect()
+    assert Counter(map(tuple, got)) == want
+
+
+def test_unclosed_tags_take_no_longer(spark):
+    html = "<link " * 200_000 + "<link rel=canonical href=/x>"
+    began = time.time()
+    assert urls.link_edges(spark.createDataFrame([("http://a.b/c", html)], "url string, html string")).count() == 1
+    assert time.time() - began < 20
+
+
 def test_block_decisions_reach_aliases(spark):
     rules = spark.createDataFrame(urls.RULES, "host string, path string, verdict string")
     link = lambda u: f"<HEAD><link href='{u}' rel=\"canonical\"></HEAD>"
@@ -181,6 +229,7 @@ def test_block_decisions_reach_aliases(spark):
         (2, "https://b.example.com/de/1?q#f", None),
         (3, "http://c.net/y", '<meta http-equiv="refresh" content="0; url=/x2">'),
         (4, "http://c.net/x2", link("http://a.example.net/x")),
+        (12, "http://h.net/y", link("/y?src=http://b.example.com/de/1")),
         (5, "http://d.net/z", link("http://e.org/ok")),
         (6, "http://d.net/z#again", link("http://b.example.com/de/9")),
         (7, None, None),
@@ -194,7 +243,7 @@ def test_block_decisions_reach_aliases(spark):
     df = spark.createDataFrame([(*p, "clash", "clash") for p in pages], "page_id long, url string, html string, host string, verdict string")
     moved = spark.createDataFrame([("http://lonely.net", "http://b.example.com/de/1")], "from_url string, to_url string")
     got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(df, rules).collect()}
-    assert got == {1: (None, "block"), 2: ("com/de/", "block"), 3: (None, "block"), 4: (None, "block"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "allow"), 9: ("example.org/en/1", "block"), 10: ("com/fr/", "allow"), 11: (None, "allow"), None: ("example.org/es/", "block")}
+    assert got == {1: (None, "block"), 2: ("com/de/", "block"), 3: (None, "block"), 4: (None, "block"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "allow"), 8: (None, "allow"), 9: ("example.org/en/1", "block"), 10: ("com/fr/", "allow"), 11: (None, "allow"), 12: (None, "allow"), None: ("example.org/es/", "block")}
     again = urls.judge(df, rules, moved).collect()
     assert [r.verdict for r in again if r.page_id == 11] == ["block", "block"] and len(again) == len(pages)
     assert urls.judge(df.limit(0), rules).count() == 0
