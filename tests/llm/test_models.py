@@ -162,6 +162,31 @@ def test_spelled_and_unprefixed_data_is_added_and_digit_groups_stay(spark):
     assert added[6:] == [[]] * 4
 
 
+def test_a_text_of_many_candidates_takes_linear_time():
+    model = pii.Model(np.zeros((0, 1)), np.zeros(0, bool), np.zeros(0, bool))
+    model.trees = type("All", (), {"score": staticmethod(lambda x: np.zeros(len(x)))})()
+    model.least = dict.fromkeys(pii.KINDS, 0.0)
+    took = []
+    for n in (10_000, 50_000):
+        text = "".join(f"a{i}@b.org 212 555-{i:05d} x" for i in range(n))
+        began = time.time()
+        found = pii.candidates(text)
+        assert len(model.added(text, found)) >= n and len(found) >= 2 * n
+        assert len(list(pii.examples(text))) >= n
+        took.append(time.time() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_copies_teach_once_and_the_sample_is_bounded(spark):
+    rows = [(i, f"call me at +1 (212) 555-{7000 + i % 40} or mail a{i % 40}@b.org") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    all_ = pii.sample(docs).collect()
+    want = {e for _, t in rows for e in pii.examples(t)}
+    assert len(all_) == len(want) and Counter(r.y for r in all_) == Counter(e[4] for e in want)
+    few = pii.sample(docs, 25).collect()
+    assert len(few) == 25 and {r.h for r in few} == set(sorted((r.h for r in all_), key=lambda h: h & 0xFFFFFFFFFFFFFFFF)[:25])
+
+
 def test_equal_scores_pass_or_fail_together():
     y = np.array([True] * 100 + [False, True])
     assert 1 < pii.least_score(y, np.array([2.0] * 100 + [1.0, 1.0])) < 2
