@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, texts
+from .common import BASE, columns, mixed, texts
 from .fmindex import FIRST, SEPARATOR, FMIndex
 
 SHARD_WORDS, BLOCK_BYTES = 3_000_000, 32 << 20
@@ -38,21 +38,51 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of a block of benchmark items, by length, as word numbers."""
+    """The distinct windows of a block of benchmark items, by length: a place in the items' word numbers each, and its items.
+
+    All in arrays, about 30 bytes a window; windows are told apart by hashes of 128 bits.
+    """
 
     def __init__(self, items: list[tuple[str, bytes]], size: int):
         self.numbers: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            w = [self.numbers.setdefault(x, len(self.numbers) + FIRST) for x in words_of(text)]
-            for i in range(max(1, len(w) - size + 1) if w else 0):
-                found.setdefault(tuple(w[i : i + size]), set()).add(item)
-        self.by_length: dict[int, tuple[np.ndarray, list[list[str]]]] = {}
-        for k in sorted({len(x) for x in found}):
-            own = sorted(x for x in found if len(x) == k)
-            self.by_length[k] = np.array(own, np.int64), [sorted(found[x]) for x in own]
+        parts = []
+        for _, text in items:
+            w = words_of(text)
+            parts.append(np.fromiter((self.numbers.setdefault(x, len(self.numbers) + FIRST) for x in w), np.int32, len(w)))
+        n = np.array([len(p) for p in parts], np.int64)
+        begin = np.cumsum(n) - n
+        self.flat = np.concatenate([*parts, np.zeros(0, np.int32)])
+        self.names, name = np.unique(np.array([i for i, _ in items], object), return_inverse=True) if items else (np.zeros(0, object), np.zeros(0, np.int64))
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in np.unique(np.minimum(n[n > 0], size)).tolist():
+            own = np.flatnonzero(np.minimum(n, size) == k)
+            each = n[own] - k + 1
+            at = np.arange(int(each.sum())) + np.repeat(begin[own] - (np.cumsum(each) - each), each)
+            self.by_length[k] = self._distinct(at, np.repeat(name[own].astype(np.int32), each), k)
         self.shortest = min(self.by_length, default=0)
 
+    def _distinct(self, at: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the distinct windows, where each one's owners begin, and the owners."""
+        keys = np.zeros((2, len(at)), np.uint64)
+        for i in range(k):
+            word = self.flat[at + i].astype(np.uint64)
+            keys[0] = mixed(keys[0] * np.uint64(BASE) + word)
+            keys[1] = keys[1] * np.uint64(0xD1342543DE82EF95) + mixed(word)
+        order = np.lexsort(keys)
+        keys = keys[:, order]
+        first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
+        return at[order[first]], np.append(first, len(order)), owner[order]
+
+    def chunks(self, k: int, size: int = 100_000) -> Iterator[tuple[int, np.ndarray]]:
+        """The first number and the words of some windows of length k at a time."""
+        at = self.by_length[k][0]
+        for i in range(0, len(at), size):
+            yield i, self.flat[at[i : i + size, None] + np.arange(k)].astype(np.int64)
+
+    def owners(self, k: int, window: int) -> list[str]:
+        _, first, owner = self.by_length[k]
+        return self.names[owner[first[window] : first[window + 1]]].tolist()
+
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans that overlap or touch, merged; the spans come sorted by start."""
@@ -85,18 +115,19 @@ def search_shard(texts: list[bytes], windows: Windows) -> tuple[list[int], list[
     index = FMIndex(flat[places])
     edges = np.cumsum([0, *(s + 1 for s in sizes)])
     at, reach, docs = [], [], []
-    for k, (patterns, owners) in windows.by_length.items():
-        lo, hi = index.search(patterns)
-        hit = np.flatnonzero(lo < hi)
-        n = hi[hit] - lo[hit]
-        rows = np.arange(int(n.sum())) + np.repeat(lo[hit] - (np.cumsum(n) - n), n)
-        found = places[index.locate(rows)]
-        doc = np.searchsorted(edges, found, side="right") - 1
-        for d, w in set(zip(doc.tolist(), np.repeat(hit, n).tolist(), strict=True)):
-            items[d].update(owners[w])
-        at.append(found)
-        reach.append(found + k)
-        docs.append(doc)
+    for k in windows.by_length:
+        for base, patterns in windows.chunks(k):
+            lo, hi = index.search(patterns)
+            hit = np.flatnonzero(lo < hi)
+            n = hi[hit] - lo[hit]
+            rows = np.arange(int(n.sum())) + np.repeat(lo[hit] - (np.cumsum(n) - n), n)
+            found = places[index.locate(rows)]
+            doc = np.searchsorted(edges, found, side="right") - 1
+            for d, w in set(zip(doc.tolist(), np.repeat(hit + base, n).tolist(), strict=True)):
+                items[d].update(windows.owners(k, w))
+            at.append(found)
+            reach.append(found + k)
+            docs.append(doc)
     at, reach, docs = np.concatenate(at), np.concatenate(reach), np.concatenate(docs)
     order = np.argsort(at, kind="stable")
     at, reach, docs = at[order], reach[order], docs[order]

@@ -145,9 +145,37 @@ def test_order_and_fragments_do_not_change_groups(spark, rows, monkeypatch):
     monkeypatch.setattr(jaccard, "FREQUENT", 2)
     monkeypatch.setattr(jaccard, "FRAGMENT", 200)
     monkeypatch.setattr(jaccard, "HELD", 300)
+    monkeypatch.setattr(jaccard, "HEAVY", 100_000)  # all classes are hot
+    monkeypatch.setattr(jaccard, "SENT", 2)
     assert sorted(map(tuple, jaccard.groups(few).collect())) == want
 
 
+def test_rows_without_an_id_take_their_equals_component(spark):
+    text = [f"w{i}" for i in range(60)]
+    near = [*text[:59], "other"]
+    rows = [(7, " ".join(text)), (None, " ".join(text)), (None, " ".join(near)), (None, "a b c d e f g"), (3, None)]
+    got = jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 3, 0), (0, 56, 0), (0, 56, 7), (3, 0, 3), (7, 56, 7)]
+
+
+def test_a_large_benchmark_is_held_in_arrays():
+    """Windows of 4 MB of items: what a task holds of them, and what it finds."""
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    words = [f"w{i:05d}".encode() for i in range(20_000)]
+    items = [(str(i), b" ".join(words[j] for j in rng.integers(0, len(words), 600))) for i in range(1000)]
+    tracemalloc.start()
+    windows = decontaminate.Windows(items, 10)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    size = sum(len(t) for _, t in items)
+    assert size > 4e6 and peak < 16 * size and held < 8 * size
+    some = items[17][1].split()
+    sizes, spans, found = decontaminate.search_shard([b"x " + b" ".join(some[3:40]) + b" y", b"nothing"], windows)
+    assert sizes == [39, 1] and found == [{"17"}, set()] and spans[0][0].tolist() == [1] and spans[0][1].tolist() == [38]
+
+
 def test_decontamination_equals_brute_force(spark, docs, rows, none, monkeypatch):
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     fold = lambda t: word.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
