@@ -14,11 +14,15 @@ Documents with equal sets are one class before the join. Candidates come in two
 group of near copies gives about one pair a member, not one for any two: first each class with the
 leader of its length band for each shared shingle; then, once components are known, every pair that
 shares a prefix shingle, fits in length and still lies in different components. No link that could
-join two components is left out.
+join two components is left out. Classes that hold more than 1 / HEAVY of the documents, or of the
+pairs (at most HEAVY, or twice as many, whatever the corpus), don't meet their rows in one task: the first
+are broadcast, the sets of the others go to SALTS places, and their pairs are dealt to these.
 
 Defined cases: null, empty or wordless texts have an empty set and link with nothing; texts of fewer words
-than a shingle are one shingle; repeated rows fall into one class; a null doc_id is judged, and is no
-component's smallest id; an empty table gives no rows; other columns are ignored.
+than a shingle are one shingle; repeated rows fall into one class; a row with a null doc_id takes the
+component of named documents with an equal set, and is no component's smallest id; if no named document
+has its set, it links with nothing and its component is null; an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from .tokens import tokenizer_of
 BLOCK_BYTES, FREQUENT, KEPT = 24 << 20, 4, 200_000
 #: Prefix entries a fragment aims at; entries gathered before they are dealt to fragments.
 FRAGMENT, HELD, PARTS, BITS = 500_000, 1_000_000, 4, 4096
+#: Shares that make a class a hot key; places for its sets; classes whose parities a task remembers having sent.
+HEAVY, SALTS, SENT = 1000, 32, 200_000
 
 
 class Shingler:
@@ -72,11 +78,11 @@ def parity(u: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """kind 0: doc_id, n, class key and parities of each document; kind 1: h1, n of shingles frequent in a block."""
+    """kind 0: doc_id, n, class key and parities (null if the task sent the class's before) of each document; kind 1: h1, n of shingles frequent in a block."""
     docs = texts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, held, size = Shingler(width), [], 0
+        shingles, held, size, sent = Shingler(width), [], 0, set()
         names = ["kind", "doc_id", "n", "h1", "h2", "bits"]
 
         def frequent() -> pa.RecordBatch:
@@ -90,8 +96,11 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             rows, bits = [], []
             for t in text:
                 u = shingles.of(t)
-                rows.append((len(u), *class_key(u)))
-                bits.append(parity(u))
+                rows.append((len(u), *(key := class_key(u))))
+                bits.append(None if key in sent else parity(u))
+                sent.add(key)
+                if len(sent) > SENT:
+                    sent.clear()
                 held.append(u)
                 size += len(t)
                 if size >= BLOCK_BYTES:
@@ -219,12 +228,14 @@ def _parts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.select("text", "h1", "h2").mapInArrow(run, kinds).select(F.struct("h1", "h2").alias("c"), "part", "n", "shingles")
 
 
-def _verified(pairs: DataFrame, parts: DataFrame, share: int) -> DataFrame:
+def _verified(pairs: DataFrame, parts: DataFrame, hot: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) of classes whose similarity reaches the threshold: partial overlaps, summed per pair."""
-    left = parts.select(F.col("c").alias("a"), "part", F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    right = parts.select(F.col("c").alias("b"), "part", F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    placed = _placed(parts, hot)
+    left = placed.select(F.col("c").alias("a"), "part", "salt", F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    right = placed.select(F.col("c").alias("b"), "part", "salt", F.col("n").alias("nb"), F.col("shingles").alias("sb"))
     each = pairs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    each = each.join(right, ["b", "part"]).join(left, ["a", "part"])
+    each = _dealt(each, hot, "b", "a").join(right, ["b", "part", "salt"]).drop("salt")
+    each = _dealt(each, hot, "a", "b").join(left, ["a", "part", "salt"])
     overlap = F.size(F.array_intersect("sa", "sb")).cast("long")
     once = each.select("a", "b", "part", "na", "nb", overlap.alias("o")).groupBy("a", "b", "part").agg(F.max("o").alias("o"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     total = once.groupBy("a", "b").agg(F.sum("o").alias("o"), F.max("na").alias("na"), F.max("nb").alias("nb"))
@@ -236,10 +247,30 @@ def _reaches(na: str, pa_: str, nb: str, pb: str, share: int) -> Column:
     return F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb)) * (100 + share) >= share * (F.col(na) + F.col(nb))
 
 
-def _alike(pairs: DataFrame, bitmaps: DataFrame, share: int) -> DataFrame:
+def _hot(pairs: DataFrame) -> DataFrame:
+    """The classes c in more than 1 / HEAVY of the pairs (a, b): 2 * HEAVY at most."""
+    counts = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).groupBy("c").count()
+    return counts.where(F.col("count") * HEAVY > F.lit(pairs.count())).select("c")
+
+
+def _dealt(pairs: DataFrame, hot: DataFrame, side: str, *columns: str) -> DataFrame:
+    """pairs with salt: where to meet the class of that side, by the other columns; 0 if it isn't hot."""
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")).otherwise(0)
+    return pairs.join(F.broadcast(hot.select(F.col("c").alias(side), F.lit(True).alias("_hot"))), side, "left").withColumn("salt", salt).drop("_hot")
+
+
+def _placed(sets: DataFrame, hot: DataFrame) -> DataFrame:
+    """sets (c, ...) with salt: a row for each place where pairs of the class may be dealt to."""
+    known = sets.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "c", "left")
+    return known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(0)))).drop("_hot")
+
+
+def _alike(pairs: DataFrame, bitmaps: DataFrame, hot: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) whose parities differ in no more bits than similar sets can."""
-    left, right = (bitmaps.select(F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}")) for x in "ab")
-    both = pairs.distinct().join(right, "b").join(left, "a")
+    placed = _placed(bitmaps, hot)
+    left, right = (placed.select(F.col("c").alias(x), "salt", F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}")) for x in "ab")
+    both = _dealt(pairs, hot, "b", "a").join(right, ["b", "salt"]).drop("salt")
+    both = _dealt(both, hot, "a", "b").join(left, ["a", "salt"])
     differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     total = F.col("na") + F.col("nb")
     return both.where((total - differ) * (100 + share) >= 2 * share * total).select("a", "b")
@@ -256,15 +287,17 @@ def groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     fragments = max(1, total * (100 - share) // 100 // FRAGMENT)
     tasks = max(partitions(spark), 2 * fragments)
     shared = save(_shared(_entries(docs, width, share, frequent, fragments), share, tasks), "shared")
-    classes = known.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    bitmaps = sets.where("kind = 0 AND n > 0").join(shared.select("h1", "h2").distinct(), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
+    classes = save(known.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("docs")), "classes")
+    bitmaps = sets.where("kind = 0 AND n > 0 AND bits IS NOT NULL").join(shared.select("h1", "h2").distinct(), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
     bitmaps = save(bitmaps.select(F.struct("h1", "h2").alias("c"), "n", "bits"), "bitmaps")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = save(_alike(pairs, bitmaps, share), "pairs")
+        pairs = save(pairs.distinct(), "candidates")
+        hot = save(_hot(pairs), "hot")
+        pairs = save(_alike(pairs, bitmaps, hot, share), "pairs")
         wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().select("c.h1", "c.h2")
-        parts = save(_parts(docs, wanted.join(classes, ["h1", "h2"]).where("rep IS NOT NULL"), width), "parts")
-        return save(_verified(pairs, parts, share), "links")
+        parts = save(_parts(docs, wanted.join(classes.drop("docs"), ["h1", "h2"]).where("rep IS NOT NULL"), width), "parts")
+        return save(_verified(pairs, parts, hot, share), "links")
 
     mine, leader = F.struct("h1", "h2"), F.struct(F.col("l1").alias("h1"), F.col("l2").alias("h2"))
     star = shared.where(_reaches("n", "place", "ln", "lplace", share)).select(F.least(mine, leader).alias("a"), F.greatest(mine, leader).alias("b"))
@@ -281,9 +314,11 @@ def groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     label = components(links).select("node.h1", "node.h2", "component")
     named = classes.join(label, ["h1", "h2"], "left")
     smallest = named.where("component IS NOT NULL").groupBy("component").agg(F.min("rep").alias("least"))
-    named = named.join(smallest, "component", "left").select("h1", "h2", F.coalesce("least", "rep").alias("component_id"))
-    linked = known.where("n > 0").join(named, ["h1", "h2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.union(known.where("n = 0").select("doc_id", "n", "doc_id"))
+    named = save(named.join(smallest, "component", "left").select("h1", "h2", "docs", F.coalesce("least", "rep").alias("component_id")), "named")
+    heavy = F.broadcast(named.where(F.col("docs") * HEAVY > F.lit(known.count())).select("h1", "h2", "component_id"))
+    some = known.where("n > 0")
+    linked = some.join(heavy, ["h1", "h2"]).unionByName(some.join(heavy, ["h1", "h2"], "left_anti").join(named.drop("docs"), ["h1", "h2"]))
+    return linked.select("doc_id", F.col("n").alias("n_shingles"), "component_id").union(known.where("n = 0").select("doc_id", "n", "doc_id"))
 
 
 SQL = r"""
