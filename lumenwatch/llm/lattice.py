@@ -6,12 +6,15 @@ start with the vocabulary's word mark and no piece crosses a word, so it is the
 marginals, each by a forward recursion in log space. A character can also be spelled in byte pieces.
 
 The existing scores are ranks; read as a Zipf law, 1 / (2 - score), they are the first piece
-probabilities. Expectation-maximisation over all training words' lattices (weighted by the words' counts
-in all training documents) then re-weights them. The driver gets one number for each piece.
+probabilities. Expectation-maximisation over the lattices of all distinct training words then re-weights
+them: each word teaches once, whatever its count, as pieces are there for words that training didn't hold.
+The first PASSES steps go over disjoint shares of the words, one after the other, the last over all words.
+The driver gets one number for each piece.
 
 A word seen in training is also one whole piece of the lattice: its last place has one arc more, from the
-start, with the word's share of the training tokens. Whole words together get the mass (1 - escape), the
-vocabulary's pieces the rest; escape = V / (N + V) as in Witten-Bell. lattice_score leaves these arcs out.
+start, with the word's discounted share of the training tokens, (c - D) / N. The mass that this leaves,
+D * V / N, goes to the vocabulary's pieces. D = n1 / (n1 + 2 * n2) follows from the words seen once and
+twice (absolute discounting; a half without any). lattice_score leaves these arcs out.
 
 Word counts are the only table that grows with the corpus. Words that make up more than 1 / FREQUENT of
 all tokens (at most FREQUENT words, whatever the corpus) are scored where the documents are; all others
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, columns, partitions, save
 
-FREQUENT, SMOOTHING, ROUNDS, MARK = 400_000, 0.1, 2, "▁"
+FREQUENT, SMOOTHING, PASSES, MARK = 400_000, 0.1, 4, "▁"
 FLUSH, BLOCK_BYTES, BUCKET_WORDS = 300_000, 8 << 20, 100_000
 
 
@@ -60,12 +63,12 @@ def vocabulary(path: str) -> tuple[dict[str, int], list[int], np.ndarray, int]:
     return plain, [raw[f"<0x{b:02X}>"] for b in range(256)], weight, max(map(len, plain))
 
 
-def with_whole_words(c: np.ndarray, lp: np.ndarray, total: int, kinds: int) -> np.ndarray:
+def with_whole_words(c: np.ndarray, lp: np.ndarray, total: int, kinds: int, discount: float) -> np.ndarray:
     """The forward recursion's last step once the whole-word arc is added to each word's marginal."""
     if not total:
         return lp
     with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log(total / (total + kinds)) + np.log(c / total), np.log(kinds / (total + kinds)) + lp)
+        return np.logaddexp(np.log(np.maximum(c - discount, 0) / total), np.log(discount * kinds / total) + lp)
 
 
 class Lattice:
@@ -280,35 +283,38 @@ def first_logs(path: str) -> np.ndarray:
     return np.log(np.append(weight, weight.mean()) / (weight.sum() + weight.mean()))
 
 
-def reweighted(words: DataFrame, path: str, logs: np.ndarray, ends: int) -> np.ndarray:
-    """One round of expectation-maximisation over all training words."""
+def reweighted(words: DataFrame, path: str, logs: np.ndarray, ends: float, scale: int = 1) -> np.ndarray:
+    """One step of expectation-maximisation over distinct words; ends: the end's count beside all; scale: all words for one of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, total = Lattices(path, logs), np.zeros(len(logs))
         for batch in batches:
-            words, n = columns(batch, "word", "c")
-            lattice.expect([w.decode("utf-8", "replace") for w in words], np.array(n), total)
+            words = columns(batch, "word")[0]
+            lattice.expect([w.decode("utf-8", "replace") for w in words], np.ones(len(words)), total)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "n"])
 
-    rows = words.where("c > 0").select("word", "c").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    rows = words.select("word").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     counts = np.full(len(logs), SMOOTHING)
     for piece, n in rows:
-        counts[piece] += n
+        counts[piece] += n * scale
     counts[-1] += ends
     return np.log(counts / counts.sum())
 
 
-def score(docs: DataFrame, train: Column, path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, train: Column, path: str | None = None, passes: int = PASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and lattice_score (all log10) of every document."""
     spark, path = docs.sparkSession, path or default_path()
     counted = save(word_counts(docs, train), "words")
     ends, everything = docs.agg(F.coalesce(F.sum(train.cast("long")), F.lit(0)), F.count("*")).first()
-    seen, distinct, tokens, all_words = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    seen, distinct, tokens, all_words, once, twice = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     total, kinds = seen + ends, distinct + (ends > 0)
     logs = first_logs(path)
-    for _ in range(rounds if seen else 0):
-        logs = reweighted(counted, path, logs, ends)
+    discount = once / (once + 2 * twice) if once and twice else 0.5
+    learned, share = counted.where("c > 0"), F.pmod(F.xxhash64("word"), F.lit(max(1, passes)))
+    for i in range(passes + 1 if seen else 0):
+        some, scale = (learned.where(share == i), passes) if i < passes else (learned, 1)
+        logs = reweighted(some, path, logs, ends * distinct / seen, scale)  # as many ends a word as in the texts
     buckets = max(partitions(spark), all_words // BUCKET_WORDS)
 
     def marginals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,12 +329,12 @@ def score(docs: DataFrame, train: Column, path: str | None = None, rounds: int =
     hot = scored.where(F.col("n") * FREQUENT > tokens).select("word", "c", "lp").toPandas()  # FREQUENT words at most
     known = spark.sparkContext.broadcast((dict(zip(map(bytes, hot["word"]), range(len(hot)), strict=True)), hot["c"].to_numpy(np.float64), hot["lp"].to_numpy(np.float64)))
     below = total + kinds + 1
-    parts = save(_blocks(docs, train, known, buckets, total, kinds, ends, float(logs[-1])), "blocks")
+    parts = save(_blocks(docs, train, known, buckets, total, kinds, discount, ends, float(logs[-1])), "blocks")
 
     def meet(words: pa.Table, blobs: pa.Table) -> pa.Table:
         number = {w: i for i, w in enumerate(words.column("word").to_pylist())}
         c, lp = words.column("c").to_numpy(), words.column("lp").to_numpy()
-        base, some, whole = np.log10((c + 1) / below), (c > 0).astype(np.float64), with_whole_words(c, lp, total, kinds)
+        base, some, whole = np.log10((c + 1) / below), (c > 0).astype(np.float64), with_whole_words(c, lp, total, kinds, discount)
         out = []
         for block, text, owners in zip(*(blobs.column(n).to_pylist() for n in ("block", "words", "owners")), strict=True):
             at = np.fromiter(map(number.__getitem__, text.split(b" ")), np.int64)
@@ -358,7 +364,7 @@ def score(docs: DataFrame, train: Column, path: str | None = None, rounds: int =
     return rows.groupBy("block").applyInArrow(added, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double")
 
 
-def _blocks(docs: DataFrame, train: Column, known, buckets: int, total: int, kinds: int, ends: int, end_log: float) -> DataFrame:
+def _blocks(docs: DataFrame, train: Column, known, buckets: int, total: int, kinds: int, discount: float, ends: int, end_log: float) -> DataFrame:
     """Blocks of documents: a row (bucket -1) with their ids and what frequent words and ends add, and their rare words by bucket."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), (~train).alias("held"))
@@ -366,10 +372,10 @@ def _blocks(docs: DataFrame, train: Column, known, buckets: int, total: int, kin
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, c, lp = known.value
         below = total + kinds + 1
-        base, some, joint = np.append(np.log10((c + 1) / below), 0), np.append((c > 0).astype(np.float64), 0), np.append(with_whole_words(c, lp, total, kinds), 0)
+        base, some, joint = np.append(np.log10((c + 1) / below), 0), np.append((c > 0).astype(np.float64), 0), np.append(with_whole_words(c, lp, total, kinds, discount), 0)
         lp, get, hashes = np.append(lp, 0), number.get, WordHashes()
         block, miss = TaskContext.get().partitionId() << 32, len(c)
-        fixed = np.array([float(ends > 0), np.log10((ends + 1) / below), with_whole_words(np.array(ends), np.array(end_log), total, kinds), end_log])
+        fixed = np.array([float(ends > 0), np.log10((ends + 1) / below), with_whole_words(np.array(ends), np.array(end_log), total, kinds, discount), end_log])
 
         def out(ids: list[pa.Array], held: list[bool], texts: list[bytes]) -> pa.RecordBatch:
             sums, tokens, rare, owners = [], [], [], []

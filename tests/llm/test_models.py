@@ -85,7 +85,7 @@ def test_words_side_by_side_score_as_one_by_one(rows):
 
 
 def test_scores_equal_brute_force(docs, rows, none):
-    out = lattice.score(docs, ~language.fold(7, 2), rounds=1).collect()
+    out = lattice.score(docs, ~language.fold(7, 2), passes=1).collect()
     train = [r for r in rows if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
     words = lambda t: [w.encode() for w in re.findall("[^\x20\x09-\x0d]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))]
     counts = Counter(w for r in train for w in words(r[1]))
@@ -103,12 +103,45 @@ def test_scores_equal_brute_force(docs, rows, none):
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in lonely)
 
 
+def test_score_equals_the_model_written_out(spark, monkeypatch):
+    """The score of short texts by enumerating all segmentations, with the pieces' weights learnt the same way."""
+    rows = [(i, t) for i, t in enumerate(["the cat sat", "a cat", "the the dog", "cow cat", "ox", None])]
+    docs, train = spark.createDataFrame(rows, "doc_id int, text string"), F.col("doc_id") < 3
+    path = lattice.default_path()
+    words = [w for _, t in rows[:3] for w in t.split()]
+    counts, logs = Counter(words), lattice.first_logs(path)
+    model = lattice.Lattice(path, logs)
+    total, kinds = len(words) + 3, len(counts) + 1
+    total_pieces = np.full(len(logs), lattice.SMOOTHING)
+    for w in counts:  # one step of expectation-maximisation, by enumeration
+        text, whole = lattice.MARK + w, all_ways(w, model.pieces, logs, model.bytes)
+        for cuts in product((0, 1), repeat=len(text) - 1):
+            edges = [0, *[i + 1 for i, c in enumerate(cuts) if c], len(text)]
+            ways = [[]]
+            for a, b in zip(edges, edges[1:]):
+                part = text[a:b]
+                own = [[model.pieces[part]]] * (part in model.pieces) + [[model.bytes[x] for x in part.encode()]] * (len(part) == 1)
+                ways = [x + y for x in ways for y in own]
+            for way in ways:
+                for piece in way:
+                    total_pieces[piece] += math.exp(sum(logs[x] for x in way)) / whole
+    total_pieces[-1] += 3 * len(counts) / len(words)
+    logs = np.log(total_pieces / total_pieces.sum())
+    once, twice = (sum(c == k for c in counts.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice)
+    chance = lambda c, p: max(c - discount, 0) / total + discount * kinds / total * p
+    for r in lattice.score(docs, train, passes=0).collect():
+        text = dict(rows)[r.doc_id] or ""
+        want = sum(math.log10(chance(counts[w], all_ways(w, model.pieces, logs, model.bytes))) for w in text.split()) + math.log10(chance(3, math.exp(logs[-1])))
+        assert math.isclose(r.score, want, rel_tol=1e-9), r
+
+
 def test_frequent_words_score_as_rare_ones(docs, monkeypatch):
     key = lambda r: (str(r.doc_id), r.n_tokens, r.n_known, round(r.score, 6))
-    want = sorted(map(key, lattice.score(docs, ~language.fold(7, 2), rounds=1).collect()))
+    want = sorted(map(key, lattice.score(docs, ~language.fold(7, 2), passes=1).collect()))
     monkeypatch.setattr(lattice, "FREQUENT", 1)
     monkeypatch.setattr(lattice, "BLOCK_BYTES", 3000)
-    assert sorted(map(key, lattice.score(docs, ~language.fold(7, 2), rounds=1).collect())) == want
+    assert sorted(map(key, lattice.score(docs, ~language.fold(7, 2), passes=1).collect())) == want
 
 
 def plain(text):
