@@ -129,7 +129,8 @@ def pack(items: DataFrame, capacity: int = 4096) -> DataFrame:
     """
     spark = items.sparkSession
     salts = max(32, partitions(spark))
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    told = [c for c in ("doc_id", "piece", "ids_crc32") if c in items.columns]  # the last tells rows without a doc_id apart
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64(*told), F.lit(salts)).cast("int"))
     counts = save(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")), "lengths")
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("_n")).collect()}
     rows = plan(histogram, capacity)
