@@ -12,7 +12,8 @@ A block decodes alone from the code table: all its checkpoints are decoded side
 look-up for an id. Documents are never split over blocks.
 
 Defined cases: null or empty text holds the end id alone; null doc_ids come first and are written as
-NULL_ID; rows that repeat a doc_id are all kept, next to each other; an empty table gives no blocks.
+NULL_ID; rows that repeat a doc_id are all kept, next to each other, and may lie in several shards; doc_ids
+that aren't integers are refused before any work; an empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -183,6 +184,8 @@ def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 2) -> None:
     """Write all documents' ids to `path` (any folder Spark can write) in ascending doc_id order."""
     spark = docs.sparkSession
+    if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError("the file format holds integer doc_ids")
     name = tokenizer or default_path()
     size = tokenizer_of(name).size
     tokens = save(tokenized(docs, name, end), "tokens")
@@ -210,7 +213,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = 2
         if parts:
             yield out()
 
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+    ordered = tokens.select("doc_id", "ids", F.xxhash64("ids").alias("h")).repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h")
     ordered.mapInArrow(run, "shard int, block int, n_docs long, n_tokens long, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 
