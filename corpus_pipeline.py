@@ -6,7 +6,7 @@
 3. decontamination: passages that share a 10-word window with a benchmark item are cut out; documents
    that have no word left then go.
 4. pii: personal data is replaced by its kind in brackets.
-5. packing: token pieces of all documents with their places in sequences of at most 4096 tokens.
+5. packing: token pieces of all documents, ids included, with their places in sequences of at most 4096 tokens.
 
 All stages but the last return the columns of their input, extra ones included; n_chars follows the text.
 Defined cases: rows that repeat a doc_id are one document to stage 2 (one row stays); documents without
@@ -64,7 +64,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs.select("doc_id", "text"), with_ids=False)
+    return packing.pack_documents(docs.select("doc_id", "text"))
 
 
 STAGES = [("language", languages), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pii", personal_data), ("packing", pack)]
