@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components, save
+from .windows import sum_before
 
 #: Cap of a risk sum, and the correlation window.
 RISK_CAP, WINDOW_US = 1000, 24 * 3600 * 1_000_000
@@ -86,6 +87,54 @@ def roll_up(correlated: DataFrame) -> DataFrame:
     return out.withColumn("title", title).withColumn("span", span_text(F.col("last_us") - F.col("first_us")))
 
 
+def members(correlated: DataFrame) -> DataFrame:
+    """correlated with place: each finding's rank in its incident by time (from 1); a large incident is ranked hour by hour."""
+    rows = correlated.withColumn("one", F.lit(1))
+    return sum_before(rows, ["incident_key"], "one", "place", "us", 3_600_000_000, ("seq", "rule_id")).withColumn("place", F.col("place") + 1).drop("one")
+
+
+def tactics_of(chain: Column, matrix: dict[str, str]) -> Column:
+    """The first tactics of the techniques (or of their parents), each once, in order; techniques without one are left out."""
+    known = F.create_map(*[F.lit(x) for pair in matrix.items() for x in pair])
+    return F.array_distinct(F.array_compact(F.transform(chain, lambda t: F.coalesce(known[t], known[F.substring_index(t, ".", 1)]))))
+
+
+def summarized(incidents: DataFrame, matrix: DataFrame) -> DataFrame:
+    """incidents with summary: counts, the progress over tactics, the time span and the entity at most risk. matrix is reference content (technique, tactics)."""
+    first = {r[0]: r[1] for r in matrix.select("technique", F.try_element_at("tactics", F.lit(1))).collect() if r[1]}
+    path = F.array_join(tactics_of(F.col("kill_chain"), first), " → ")
+    n = F.size("entities")
+    parts = [
+        F.concat(F.col("findings").cast("string"), F.lit(" correlated finding(s) across "), n.cast("string"), F.lit(" entit"), plural(n), F.lit(", risk "), F.col("risk_score").cast("string"), F.lit(".")),
+        F.when(path != "", F.concat(F.lit("Attack progression: "), path, F.lit("."))),
+        F.when(F.col("last_us") > F.col("first_us"), F.concat(F.lit("Spanning "), "span", F.lit(" from first to last finding."))),
+        F.concat(F.lit("Highest-risk entity: "), "primary_entity", F.lit(".")),
+    ]
+    return incidents.withColumn("summary", F.concat_ws(" ", *parts))
+
+
+def ranked(incidents: DataFrame) -> DataFrame:
+    """incidents with place, highest risk first, then the older. Two levels: counts by risk (at most RISK_CAP + 1 values) and day, then within them."""
+    day = F.floor(F.col("first_us") / 86_400_000_000)
+    rows = incidents.withColumn("_day", day)
+    groups = rows.groupBy("risk_score", "_day").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("risk_score"), "_day").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(Window.partitionBy("risk_score", "_day").orderBy("first_us", "incident_key"))
+    out = rows.withColumn("_inner", inner).join(groups.select("risk_score", "_day", before.alias("_before")), ["risk_score", "_day"])
+    return out.withColumn("place", F.col("_before") + F.col("_inner")).drop("_day", "_inner", "_before")
+
+
+def settled(targets: DataFrame, current: DataFrame, findings: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
+    """findings with the incident that each ends in and its fate: merged into its target if that is still open or under investigation now, else fresh.
+
+    targets: finding_id, incident_key, as looked up before; current: incident_key, status at the time of writing.
+    """
+    live = targets.join(current.where(F.col("status").isin("open", "investigating")).select("incident_key"), "incident_key", "left_semi")
+    merged = findings.join(live.select("finding_id", "incident_key"), "finding_id").withColumn("fate", F.lit("merged"))
+    rest = findings.join(live.select("finding_id"), "finding_id", "left_anti")
+    return merged.unionByName(correlate(rest, window_us).withColumn("fate", F.lit("fresh")))
+
+
 def save_incidents(findings: DataFrame, window_us: int = WINDOW_US) -> DataFrame:
     return save(roll_up(correlate(findings, window_us)), "incidents")
 

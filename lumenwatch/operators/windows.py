@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 BUCKET = 1 << 16
 
 
-def sum_before(rows: DataFrame, keys: list[str], value: str, name: str, order: str = "seq", bucket: int = BUCKET) -> DataFrame:
-    """rows with `name`: the sum of `value` over rows of the same keys with a smaller `order` (0 for the first).
+def sum_before(rows: DataFrame, keys: list[str], value: str, name: str, order: str = "seq", bucket: int = BUCKET, ties: tuple[str, ...] = ()) -> DataFrame:
+    """rows with `name`: the sum of `value` over rows of the same keys that come before in `order` and `ties` (0 for the first).
 
     Two levels: totals for each key and bucket of the order run in a small window; within a bucket, a
     window of at most `bucket` orders adds the rest. A key with any share of the rows is dealt over many tasks.
@@ -24,6 +24,6 @@ def sum_before(rows: DataFrame, keys: list[str], value: str, name: str, order: s
     for i, k in enumerate(keys):
         same = (F.col(k).eqNullSafe(F.col(f"_k{i}"))) if same is None else same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     same = same & (F.col("_bucket") == F.col("_b"))
-    inner = F.coalesce(F.sum(value).over(Window.partitionBy(*keys, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.coalesce(F.sum(value).over(Window.partitionBy(*keys, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     joined = rows.withColumn("_inner", inner).join(totals, same)
     return joined.withColumn(name, F.col("_before") + F.col("_inner")).drop("_bucket", "_b", "_before", "_inner", *[f"_k{i}" for i in range(len(keys))])

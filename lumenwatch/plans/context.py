@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import redaction
 from ..operators import context, detection, quality, search
-from ..operators.incidents import correlate, roll_up
+from ..operators.incidents import roll_up
 from ..sources.events import V, X, by_entity, security_events
-from .detection import FOUND, INCIDENTS, _findings, _serious, _window, of_all
+from .detection import FOUND, INCIDENTS, _findings, _members, of_all
 
 RANGES = [("corp", "10.0.0.0/13"), ("branch", "10.2.0.0/16"), ("branch-2-lab", "10.2.2.0/24"), ("lab", "203.0.113.0/25")]
 BUNDLE = [("i1", "bad address", "[ipv4-addr:value = '203.0.113.12']"), ("i2", "tooling", "[process:command_line = 'cmd.exe /c STEP3'] OR [file:name = 'powershell.exe']"), ("i3", "text", "SQBF"), ("i4", "two", "[ipv4-addr:value = '10.1.1.2'] AND [ipv4-addr:value = '10.1.1.3']")]
@@ -77,8 +77,8 @@ def entity_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.entity_profile(by_entity(security_events(spark, sf_dir)))
 
 
-def incident_timeline(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    members = correlate(_serious(spark, sf_dir, whole), _window(whole))
+def incident_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _members(spark, sf_dir)
     return search.timeline(roll_up(members), members, security_events(spark, sf_dir))
 
 
@@ -181,3 +181,4 @@ SELECT source, count(*) AS n, round(avg(CAST(expected = predicted AS DOUBLE)), 9
   any_value(l[CAST(round_even(0.5 * (len(l) - 1), 0) AS BIGINT) + 1]) AS p50, any_value(l[CAST(round_even(0.95 * (len(l) - 1), 0) AS BIGINT) + 1]) AS p95 FROM dq JOIN e USING (source) JOIN o USING (source) GROUP BY 1""",
     "decision_confusion": f"WITH {_DEC} SELECT source, CAST(expected AS VARCHAR) AS expected, CAST(predicted AS VARCHAR) AS predicted, count(*) AS n FROM dq GROUP BY ALL",
 }
+SQL |= {"all_incident_timeline": SQL["incident_timeline"]}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import RULES, TECHNIQUES
@@ -51,8 +51,7 @@ def rule_applicability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def technique_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matrix = spark.createDataFrame(TECHNIQUES, "technique string, name string, tactics array<string>")
-    return detection.coverage(_findings(spark, sf_dir), matrix)
+    return detection.coverage(_findings(spark, sf_dir), _matrix_table(spark))
 
 
 def exceptions_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,45 +91,68 @@ def entity_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def of_all(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query over all findings with the operators' own window and limits; too slow in recursive SQL, so it has none."""
+    """The query under the name that it had while only the names with all_ took all findings."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return query(spark, sf_dir, whole=True)
+        return query(spark, sf_dir)
 
     run.__name__, run.__doc__ = f"all_{query.__name__}", query.__doc__
     return run
 
 
-def _serious(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Findings of the serious rules, with one entity-rich rule among them; or all."""
-    return _findings(spark, sf_dir) if whole else _findings(spark, sf_dir).where("severity >= 75")
+def _incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents.save_incidents(_findings(spark, sf_dir))
 
 
-def _window(whole: bool) -> int:
-    return incidents.WINDOW_US if whole else DAY // 4
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents.correlate(_findings(spark, sf_dir))
 
 
-def _incidents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return incidents.save_incidents(_serious(spark, sf_dir, whole), _window(whole))
+def _matrix_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(TECHNIQUES, "technique string, name string, tactics array<string>")
 
 
-def incident_rollup(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    rows = _incidents(spark, sf_dir, whole)
+def incident_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _incidents(spark, sf_dir)
     return rows.select("incident_key", "risk_score", "severity", "findings", "primary_entity", "title", F.concat_ws(",", "entities").alias("entities"), F.concat_ws(",", "kill_chain").alias("kill_chain"), "first_us", "last_us")
 
 
-def incident_triage(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return triage.decide(triage.confidence(_incidents(spark, sf_dir, whole))).select("incident_key", "confidence", "decision", "owner")
+def incident_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.decide(triage.confidence(_incidents(spark, sf_dir))).select("incident_key", "confidence", "decision", "owner")
 
 
-def incident_proposals(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return triage.proposals(triage.decide(triage.confidence(_incidents(spark, sf_dir, whole))))
+def incident_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.proposals(triage.decide(triage.confidence(_incidents(spark, sf_dir))))
 
 
-def incident_merge(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Failures outside the serious rules, matched with the stored serious incidents of their entities; or all with all."""
+def incident_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings, matched with the stored incidents of their entities."""
+    return incidents.merge_targets(_incidents(spark, sf_dir), _findings(spark, sf_dir))
+
+
+def _status(risk: Column) -> Column:
+    return F.when(risk >= 70, "open").when(risk >= 40, "investigating").otherwise("closed")
+
+
+def incident_merge_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings sent to incidents of which those below a risk of 40 were closed meanwhile: these findings become incidents of their own."""
+    stored = _incidents(spark, sf_dir)
     found = _findings(spark, sf_dir)
-    return incidents.merge_targets(_incidents(spark, sf_dir, whole), found if whole else found.where("severity < 75"), _window(whole))
+    current = stored.select("incident_key", _status(F.col("risk_score")).alias("status"))
+    return incidents.settled(incidents.merge_targets(stored, found), current, found).select("finding_id", "incident_key", "fate")
+
+
+def incident_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of each incident in order of time."""
+    return incidents.members(_members(spark, sf_dir)).select("incident_key", "finding_id", "place")
+
+
+def incident_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents.summarized(_incidents(spark, sf_dir), _matrix_table(spark)).select("incident_key", "summary")
+
+
+def incident_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents.ranked(_incidents(spark, sf_dir)).select("incident_key", "risk_score", "place")
 
 
 def duplicate_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,15 +179,16 @@ _exceptions = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isins
 _FEEDBACK = f"""fb AS (SELECT ([{", ".join(f"'{r['rule_id']}'" for r in RULES)}])[doc_id % {len(RULES)} + 1] AS rule_id, 'user:u' || (doc_id % 50) AS entity,
   CASE WHEN quality = 1 THEN 'approve' WHEN toxic = 1 THEN 'reject' ELSE 'defer' END AS decision FROM labels),
 w AS (SELECT rule_id, greatest(least(10 + count(*) FILTER (decision = 'approve') - 2 * count(*) FILTER (decision = 'reject'), 30), 1) / 10 AS weight FROM fb GROUP BY 1)"""
-INCIDENTS = f"""{FOUND}, sf AS (SELECT * FROM found WHERE severity >= 75),
+INCIDENTS = f"""{FOUND}, sf AS (SELECT * FROM found),
 fe AS (SELECT finding_id, us, risk_points, unnest(CASE WHEN len(entities) = 0 THEN ['global:unknown'] ELSE entities END) AS entity FROM sf),
 gaps AS (SELECT *, us - lag(us) OVER (PARTITION BY entity ORDER BY us) AS gap FROM (SELECT DISTINCT entity, us FROM fe)),
-eps AS (SELECT entity, us, sum(CASE WHEN gap IS NULL OR gap > {DAY // 4} THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY us) AS ep FROM gaps),
+eps AS (SELECT entity, us, sum(CASE WHEN gap IS NULL OR gap > {DAY} THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY us) AS ep FROM gaps),
 mem AS (SELECT finding_id, entity, ep FROM fe JOIN eps USING (entity, us)),
 edge AS (SELECT finding_id AS a, min(finding_id) OVER (PARTITION BY entity, ep) AS b FROM mem),
 e2 AS (SELECT a, b FROM edge WHERE a <> b UNION SELECT b, a FROM edge WHERE a <> b),
-reach AS (SELECT finding_id AS a, finding_id AS b FROM sf UNION SELECT r.a, e2.b FROM reach r JOIN e2 ON r.b = e2.a),
-key AS (SELECT a AS finding_id, min(b) AS incident_key FROM reach GROUP BY 1),
+lab(a, b) USING KEY (a) AS (SELECT finding_id, finding_id FROM sf UNION
+  SELECT e2.a, min(lab.b) FROM lab JOIN e2 ON e2.b = lab.a JOIN recurring.lab AS old ON old.a = e2.a WHERE lab.b < old.b GROUP BY 1),
+key AS (SELECT a AS finding_id, b AS incident_key FROM lab),
 inc0 AS (SELECT incident_key, CAST(least(sum(risk_points), 1000) AS BIGINT) AS risk_score, max(severity) AS severity, count(*) AS findings, min(us) AS first_us, max(us) AS last_us FROM sf JOIN key USING (finding_id) GROUP BY 1),
 own AS (SELECT incident_key, entity, sum(risk_points) AS risk FROM fe JOIN key USING (finding_id) GROUP BY 1, 2),
 ent AS (SELECT incident_key, list(entity ORDER BY entity) AS entities, arg_min(entity, {{'r': -risk, 'e': entity}}) AS primary_entity FROM own GROUP BY 1),
@@ -177,7 +200,7 @@ dec AS (SELECT *, least(20 + CASE WHEN risk_score >= 200 THEN 25 WHEN risk_score
   CASE WHEN severity >= 75 AND risk_score >= 200 THEN 'containment_proposed' WHEN risk_score >= 100 OR severity >= 50 THEN 'escalate' WHEN risk_score >= 30 THEN 'suspicious_monitor' ELSE 'likely_benign' END AS decision,
   CASE WHEN severity >= 75 AND risk_score >= 200 THEN 'tier-2-incident-responder' WHEN risk_score >= 100 OR severity >= 50 THEN 'tier-2-analyst' ELSE 'tier-1-queue' END AS owner FROM inc)"""
 
-QUERIES = [detect_findings, rule_backtest, rule_state_overlay, rule_applicability, technique_coverage, exceptions_applied, repeat_suppression, feedback_weights, feedback_reweighted, feedback_rejected, entity_risk, incident_rollup, incident_triage, incident_proposals, incident_merge, duplicate_alerts, *map(of_all, (incident_rollup, incident_triage, incident_proposals, incident_merge))]
+QUERIES = [detect_findings, rule_backtest, rule_state_overlay, rule_applicability, technique_coverage, exceptions_applied, repeat_suppression, feedback_weights, feedback_reweighted, feedback_rejected, entity_risk, incident_rollup, incident_triage, incident_proposals, incident_merge, incident_merge_closed, incident_members, incident_summaries, incident_ranking, duplicate_alerts, *map(of_all, (incident_rollup, incident_triage, incident_proposals, incident_merge))]
 SQL = {
     "detect_findings": f"WITH {FOUND} SELECT finding_id, event_id, rule_id, severity, risk_points, array_to_string(entities, ',') AS entities, array_to_string(techniques, ',') AS techniques FROM found",
     "rule_backtest": f"WITH {FOUND} SELECT rule_id, count(*) AS hits, count(*) FILTER (outcome = 'failure') AS tp, count(*) FILTER (outcome <> 'failure') AS fp FROM hits GROUP BY 1",
@@ -208,8 +231,30 @@ SELECT entity, CAST(least(sum(risk_points), 1000) AS BIGINT) AS risk, count(*) A
     "incident_proposals": f"""WITH RECURSIVE {INCIDENTS}, t AS (SELECT incident_key, confidence, unnest(entities) AS target FROM dec WHERE decision = 'containment_proposed')
 SELECT incident_key, CASE split_part(target, ':', 1) WHEN 'user' THEN 'disable_user' WHEN 'host' THEN 'isolate_host' ELSE 'block_indicator' END AS action, target, confidence, false AS executable_now, split_part(target, ':', 1) <> 'ip' AS approval_required
 FROM t WHERE split_part(target, ':', 1) IN ('user', 'host', 'ip') UNION ALL SELECT incident_key, 'notify_channel', 'channel:soc-escalations', confidence, true, false FROM dec WHERE decision = 'escalate'""",
-    "incident_merge": f"""WITH RECURSIVE {INCIDENTS}, low AS (SELECT finding_id, us, unnest(entities) AS entity FROM found WHERE severity < 75), ie AS (SELECT incident_key, risk_score, first_us, last_us, unnest(entities) AS entity FROM inc)
+    "incident_merge": f"""WITH RECURSIVE {INCIDENTS}, low AS (SELECT finding_id, us, unnest(entities) AS entity FROM found), ie AS (SELECT incident_key, risk_score, first_us, last_us, unnest(entities) AS entity FROM inc)
 SELECT finding_id, arg_min(incident_key, {{'r': -risk_score, 'f': first_us, 'k': incident_key}}) AS incident_key FROM low JOIN ie USING (entity)
-WHERE us >= first_us - {DAY // 4} AND us <= last_us + {DAY // 4} GROUP BY 1""",
+WHERE us >= first_us - {DAY} AND us <= last_us + {DAY} GROUP BY 1""",
+    "incident_merge_closed": f"""WITH RECURSIVE {INCIDENTS}, low AS (SELECT finding_id, us, unnest(entities) AS entity FROM found), ie AS (SELECT incident_key, risk_score, first_us, last_us, unnest(entities) AS entity FROM inc),
+t AS (SELECT finding_id, arg_min(incident_key, {{'r': -risk_score, 'f': first_us, 'k': incident_key}}) AS incident_key, arg_min(risk_score, {{'r': -risk_score, 'f': first_us, 'k': incident_key}}) AS risk FROM low JOIN ie USING (entity)
+  WHERE us >= first_us - {DAY} AND us <= last_us + {DAY} GROUP BY 1),
+rest AS (SELECT * FROM found ANTI JOIN (SELECT finding_id FROM t WHERE risk >= 40) USING (finding_id)),
+re AS (SELECT finding_id, us, unnest(CASE WHEN len(entities) = 0 THEN ['global:unknown'] ELSE entities END) AS entity FROM rest),
+rg AS (SELECT *, us - lag(us) OVER (PARTITION BY entity ORDER BY us) AS gap FROM (SELECT DISTINCT entity, us FROM re)),
+rp AS (SELECT entity, us, sum(CASE WHEN gap IS NULL OR gap > {DAY} THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY us) AS ep FROM rg),
+r1 AS (SELECT finding_id AS a, min(finding_id) OVER (PARTITION BY entity, ep) AS b FROM re JOIN rp USING (entity, us)),
+r2 AS (SELECT a, b FROM r1 WHERE a <> b UNION SELECT b, a FROM r1 WHERE a <> b),
+lab2(a, b) USING KEY (a) AS (SELECT finding_id, finding_id FROM rest UNION
+  SELECT r2.a, min(lab2.b) FROM lab2 JOIN r2 ON r2.b = lab2.a JOIN recurring.lab2 AS old ON old.a = r2.a WHERE lab2.b < old.b GROUP BY 1)
+SELECT finding_id, incident_key, 'merged' AS fate FROM t WHERE risk >= 40 UNION ALL SELECT a, b, 'fresh' FROM lab2""",
+    "incident_members": f"WITH RECURSIVE {INCIDENTS} SELECT incident_key, finding_id, row_number() OVER (PARTITION BY incident_key ORDER BY us, seq, rule_id) AS place FROM sf JOIN key USING (finding_id)",
+    "incident_summaries": f"""WITH RECURSIVE {INCIDENTS}, m(technique, tactics) AS (VALUES {_matrix}), k AS (SELECT incident_key, unnest(chain) AS t, unnest(range(len(chain))) AS p FROM inc),
+tt AS (SELECT incident_key, coalesce(a.tactics, b.tactics)[1] AS tactic, min(p) AS p FROM k LEFT JOIN m a ON a.technique = k.t LEFT JOIN m b ON b.technique = split_part(k.t, '.', 1) GROUP BY 1, 2),
+g AS (SELECT incident_key, string_agg(tactic, ' → ' ORDER BY p) AS path FROM tt WHERE tactic IS NOT NULL GROUP BY 1),
+s AS (SELECT *, (last_us - first_us) / 1e6 AS sec FROM inc LEFT JOIN g USING (incident_key))
+SELECT incident_key, findings || ' correlated finding(s) across ' || len(entities) || ' entit' || CASE WHEN len(entities) = 1 THEN 'y' ELSE 'ies' END || ', risk ' || risk_score || '.' || coalesce(' Attack progression: ' || path || '.', '')
+  || CASE WHEN sec > 0 THEN ' Spanning ' || CASE WHEN sec < 60 THEN CAST(floor(sec) AS BIGINT) || 's' WHEN sec < 3600 THEN CAST(floor(sec / 60) AS BIGINT) || 'm' WHEN sec < 86400 THEN printf('%.1fh', sec / 3600) ELSE printf('%.1fd', sec / 86400) END || ' from first to last finding.' ELSE '' END
+  || ' Highest-risk entity: ' || primary_entity || '.' AS summary FROM s""",
+    "incident_ranking": f"WITH RECURSIVE {INCIDENTS} SELECT incident_key, risk_score, row_number() OVER (ORDER BY risk_score DESC, first_us, incident_key) AS place FROM inc",
     "duplicate_alerts": f"WITH {FOUND} SELECT rule_id, coalesce(entities[1], 'global:unknown') AS entity, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM found GROUP BY 1, 2 HAVING count(*) > 1",
 }
+SQL |= {f"all_{name}": SQL[name] for name in ("incident_rollup", "incident_triage", "incident_proposals", "incident_merge")}

@@ -11,7 +11,7 @@ from ..functions import redaction
 from ..operators import incidents, quality, reports, search
 from ..sources import mappers
 from ..sources.events import V, by_entity, security_events
-from .detection import INCIDENTS, _serious, _window, of_all
+from .detection import INCIDENTS, _findings, _members, of_all
 
 RUNBOOKS = [("contain", "T1059", "isolate_host", "host"), ("reset", "T1110", "disable_user", "user"), ("block", "T1562", "block_indicator", "ip")]
 
@@ -32,27 +32,23 @@ def mapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _members(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return incidents.correlate(_serious(spark, sf_dir, whole), _window(whole))
-
-
-def related_events(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    members = incidents.exploded(_members(spark, sf_dir, whole)).select("incident_key", "event_id", "entity")
+def related_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = incidents.exploded(_members(spark, sf_dir)).select("incident_key", "event_id", "entity")
     return reports.related_events(members, by_entity(security_events(spark, sf_dir)))
 
 
-def incident_reports(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    members = _members(spark, sf_dir, whole)
+def incident_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _members(spark, sf_dir)
     return reports.report_text(incidents.roll_up(members), members)
 
 
-def incident_features(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return reports.features(_members(spark, sf_dir, whole))
+def incident_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.features(_members(spark, sf_dir))
 
 
-def runbook_plan(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def runbook_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = spark.createDataFrame(RUNBOOKS, "runbook string, technique string, action string, kind string")
-    return reports.runbook_steps(incidents.roll_up(_members(spark, sf_dir, whole)), books)
+    return reports.runbook_steps(incidents.roll_up(_members(spark, sf_dir)), books)
 
 
 def triage_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,10 +71,10 @@ def dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.groupBy(reports.disposition(a, b, F.col("quality") != F.col("toxic")).alias("disposition")).agg(F.count("*").alias("n"))
 
 
-def table_counts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each stored table, and of them by tenant, here an event's source."""
     e = security_events(spark, sf_dir).groupBy(F.col("source").alias("tenant")).agg(F.count("*").alias("n")).select(F.lit("events").alias("name"), "tenant", "n")
-    f = incidents.exploded(_serious(spark, sf_dir, whole)).join(security_events(spark, sf_dir).select("event_id", F.col("source").alias("tenant")), "event_id").groupBy("tenant").agg(F.countDistinct("finding_id").alias("n"))
+    f = incidents.exploded(_findings(spark, sf_dir)).join(security_events(spark, sf_dir).select("event_id", F.col("source").alias("tenant")), "event_id").groupBy("tenant").agg(F.countDistinct("finding_id").alias("n"))
     return e.unionByName(f.select(F.lit("findings").alias("name"), "tenant", "n"))
 
 
@@ -88,21 +84,20 @@ def seal_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.seal_summary(log)
 
 
-def open_incidents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def open_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest open incidents of some entities in each tenant; an incident belongs to its primary entity's kind."""
-    rows = incidents.roll_up(_members(spark, sf_dir, whole)).withColumn("tenant", F.substring_index("primary_entity", ":", 1))
+    rows = incidents.roll_up(_members(spark, sf_dir)).withColumn("tenant", F.substring_index("primary_entity", ":", 1))
     rows = rows.withColumn("status", F.when(F.col("risk_score") >= 70, "open").when(F.col("risk_score") >= 40, "investigating").otherwise("closed"))
     entities = [f"user:u{i}" for i in range(40)]
-    found = search.open_incidents(rows, entities) if whole else search.open_incidents(rows, entities, 5)
-    return found.select("tenant", "incident_key", "status", "place")
+    return search.open_incidents(rows, entities).select("tenant", "incident_key", "status", "place")
 
 
-def incident_documents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return search.incident_documents(incidents.roll_up(_members(spark, sf_dir, whole)))
+def incident_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.incident_documents(incidents.roll_up(_members(spark, sf_dir)))
 
 
-def baseline_decisions(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return quality.baseline_decision(incidents.roll_up(_members(spark, sf_dir, whole)))
+def baseline_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.baseline_decision(incidents.roll_up(_members(spark, sf_dir)))
 
 
 def address_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +136,7 @@ SELECT CASE WHEN NOT same THEN 'analyst' WHEN w >= 0.75 THEN 'automatic' WHEN w
     "seal_summary": f"WITH {V} SELECT source AS tenant, count(*) AS total, count(*) FILTER (outcome = 'failure') AS sealed FROM v GROUP BY 1",
     "open_incidents": f"""WITH RECURSIVE {INCIDENTS}, o AS (SELECT split_part(primary_entity, ':', 1) AS tenant, incident_key, CASE WHEN risk_score >= 70 THEN 'open' WHEN risk_score >= 40 THEN 'investigating' ELSE 'closed' END AS status, last_us, entities FROM inc),
 r AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY last_us DESC, incident_key) AS place FROM o WHERE status <> 'closed' AND list_has_any(entities, [{", ".join(f"'user:u{i}'" for i in range(40))}]))
-SELECT tenant, incident_key, status, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5""",
+SELECT tenant, incident_key, status, CAST(place AS INTEGER) AS place FROM r WHERE place <= 500""",
     "incident_documents": f"""WITH RECURSIVE {INCIDENTS} SELECT incident_key AS doc_id, {_title} || ' | risk ' || risk_score || ' | ' || array_to_string(entities, ', ') || ' | ' || array_to_string(chain, ', ') AS text FROM inc""",
     "baseline_decisions": f"""WITH RECURSIVE {INCIDENTS} SELECT incident_key, p AS probability, p >= 0.5 AS malicious, CASE WHEN severity >= 75 THEN 'contain' WHEN severity >= 50 THEN 'escalate' WHEN severity >= 25 THEN 'monitor' ELSE 'close' END AS action
 FROM (SELECT *, greatest(0.05::DOUBLE, least(0.95::DOUBLE, risk_score / 300.0::DOUBLE)) AS p FROM inc)""",
@@ -150,3 +145,4 @@ b AS (SELECT doc_id, m, [CAST(x AS BIGINT) FOR x IN string_split(m, '.')] AS p F
 SELECT doc_id, count(*) FILTER (p[1] IN (10, 127) OR (p[1] = 192 AND p[2] = 168) OR (p[1] = 169 AND p[2] = 254) OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31)) AS internal,
   count(*) FILTER (NOT (p[1] IN (10, 127) OR (p[1] = 192 AND p[2] = 168) OR (p[1] = 169 AND p[2] = 254) OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31))) AS public FROM b GROUP BY 1""",
 }
+SQL |= {f"all_{name}": SQL[name] for name in ("related_events", "incident_reports", "incident_features", "runbook_plan", "table_counts", "open_incidents", "incident_documents", "baseline_decisions")}

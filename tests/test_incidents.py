@@ -40,4 +40,4 @@ def test_incidents_of_all_findings_equal_brute_force(spark):
     for name in ("incident_triage", "incident_features", "incident_documents", "baseline_decisions", "incident_reports"):
         assert queries[f"all_{name}"](spark, sf).count() == len(want), name
     for name in ("incident_proposals", "incident_merge", "incident_timeline", "related_events", "runbook_plan", "open_incidents"):
-        assert f"all_{name}" not in registry.oracle_sql() and queries[f"all_{name}"](spark, sf).count() > 0, name
+        assert queries[f"all_{name}"](spark, sf).count() > 0, name
