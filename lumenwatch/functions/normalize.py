@@ -5,20 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.lines import field
+from ..sources.lines import field, without_year
 
 #: Aliases by field, categories, keyword rungs and severity words.
 ALIASES = {
-    "user_name": ["user", "username", "user_name", "suser", "duser", "account"],
-    "host": ["host", "hostname", "computer", "dvchost"],
-    "src_ip": ["src_ip", "source_ip", "src", "client_ip"],
-    "dst_ip": ["dst_ip", "dest_ip", "dst", "destination_ip"],
-    "message": ["message", "msg", "summary"],
-    "outcome": ["outcome", "result", "status"],
-    "process_name": ["process_name", "process", "image"],
-    "command_line": ["command_line", "commandline", "cmdline"],
-    "source": ["source", "log_source", "product"],
+    "source": ["source", "vendor", "product", "event.provider"],
+    "user_name": ["user", "username", "user.name", "actor", "principal", "account"],
+    "host": ["host", "hostname", "computer", "device.name", "agent.hostname"],
+    "src_ip": ["src_ip", "source.ip", "sourceipaddress", "client_ip", "ipaddress", "remoteaddress"],
+    "dst_ip": ["dst_ip", "destination.ip", "dest_ip", "server_ip"],
+    "process_name": ["process_name", "process.name", "image", "process"],
+    "command_line": ["command_line", "process.command_line", "cmdline", "commandline"],
+    "cloud_account": ["cloud_account", "accountid", "awsaccountid", "tenantid", "subscriptionid"],
+    "resource": ["resource", "resourceid", "object", "target"],
+    "event_code": ["event_code", "event.code", "eventid"],
+    "original_file_name": ["original_file_name", "originalfilename", "file.pe.original_file_name"],
+    "parent_process_name": ["parent_process_name", "process.parent.name", "parentimage"],
+    "parent_command_line": ["parent_command_line", "process.parent.command_line", "parentcommandline"],
+    "target_object": ["target_object", "targetobject"],
+    "target_file_name": ["target_file_name", "targetfilename", "file.path"],
+    "details": ["details"],
+    "script_block_text": ["script_block_text", "scriptblocktext"],
+    "image_loaded": ["image_loaded", "imageloaded"],
+    "provider_name": ["provider_name", "providername", "event.provider"],
+    "hashes": ["hashes", "file.hash"],
+    "integrity_level": ["integrity_level", "integritylevel"],
+    "log_product": ["log_product", "product", "os.type"],
+    "log_service": ["log_service", "service", "channel"],
+    "record_id": ["event_id", "id", "uuid"],
 }
+OUTCOMES = ["outcome", "event.outcome", "result", "status"]
+ACTIONS = ["action", "event.action", "operation", "eventname", "event_name", "activitydisplayname"]
+TIMES = ["timestamp", "@timestamp", "time", "eventtime"]
 CATEGORIES = ["authentication", "process", "network", "dns", "cloud", "file", "endpoint", "application", "email"]
 RUNGS = [
     ("authentication", ["login", "logon", "signin", "authentication", "mfa", "password"]),
@@ -64,11 +82,30 @@ def timestamp_of(text: Column, otherwise: Column) -> Column:
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), iso).otherwise(F.coalesce(epoch, otherwise))
 
 
-def normalized(records: DataFrame) -> DataFrame:
-    """records with the normalized fields."""
-    rows = records.select("seq", "line", "format", "fields", *[field(*names).alias(name) for name, names in ALIASES.items()])
-    rows = rows.withColumn("outcome", F.lower(F.coalesce("outcome", F.lit("unknown"))))
-    rows = rows.withColumn("category", category_of(F.coalesce(field("category", "event.category"), F.lit("")), F.transform("fields", lambda f: f["value"]), F.col("message")))
-    rows = rows.withColumn("action", F.coalesce(field("action", "event_action", "eventname"), default_action(F.col("category"), F.col("message"))))
-    number = F.col("line").rlike(r'(?i)"severity"\s*:\s*-?[0-9]')
-    return rows.withColumn("severity", severity_of(field("severity", "level", "risk"), number)).drop("fields", "line")
+def filled(name: str) -> Column:
+    """A field's value where it isn't empty, zero or false."""
+    value = F.try_element_at(F.filter("fields", lambda f: f["key"] == name), F.lit(-1))["value"]
+    return F.when(~value.isin("", "0", "0.0", "false", "[]", "{}"), value)
+
+
+def _is_number(line: Column, name: str) -> Column:
+    return line.rlike(f'(?i)"{name}"\\s*:\\s*-?[0-9]')
+
+
+def normalized(records: DataFrame, now: Column | None = None) -> DataFrame:
+    """records with the normalized fields; ts_defaulted marks those whose time isn't readable, which takes now (the start of 1970 if not given)."""
+    now = now if now is not None else F.lit("1970-01-01").cast("timestamp_ntz")
+    rows = records.select("seq", "line", "format", "fields", *[field(*names).alias(name) for name, names in ALIASES.items()], F.coalesce(filled("message"), filled("msg"), F.lit("")).alias("message"))
+    rows = rows.withColumns({"source": F.coalesce("source", F.lit("unknown")), "log_product": F.lower("log_product"), "log_service": F.lower("log_service"), "outcome": F.lower(F.coalesce(field(*OUTCOMES), F.lit("unknown")))})
+    rows = rows.withColumn("category", category_of(F.coalesce(filled("category"), filled("event.category"), F.lit("")), F.transform("fields", lambda f: f["value"]), F.col("message")))
+    rows = rows.withColumn("action", F.coalesce(field(*ACTIONS), default_action(F.col("category"), F.col("message"))))
+    # numbers are known by their JSON, or as values that the CEF and syslog readers worked out
+    worked_out = F.col("format").isin("cef", "syslog", "syslog+cef")
+    severity = F.lit(None)
+    for name in ("risk", "level", "severity"):
+        severity = F.when(filled(name).isNotNull(), severity_of(filled(name), _is_number(F.col("line"), name) | (worked_out & F.lit(name == "severity")))).otherwise(severity)
+    rows = rows.withColumn("severity", F.coalesce(severity, F.lit(0)))
+    text = F.coalesce(*map(filled, TIMES))
+    year_less = text.rlike(r"^[A-Za-z]{3}\s+\d")
+    rows = rows.withColumn("ts", F.when(year_less, without_year(text, now)).otherwise(timestamp_of(text, F.lit(None).cast("timestamp_ntz"))))
+    return rows.withColumn("ts_defaulted", F.col("ts").isNull()).withColumn("ts", F.coalesce("ts", now)).drop("fields", "line")

@@ -24,7 +24,22 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize.normalized(lines.records(raw_lines(spark, sf_dir))).select("seq", "format", "category", "action", "outcome", "user_name", "host", "src_ip", "message", "severity", "command_line")
+    return normalize.normalized(lines.records(raw_lines(spark, sf_dir))).select("seq", "format", "category", "action", "outcome", "user_name", "host", "src_ip", "message", "severity", "command_line", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "ts_defaulted")
+
+
+#: Lines that logins, gateways and collectors write, one of five forms by event; the same expression on both engines.
+OTHER_LINE = """CASE event_id % 5
+  WHEN 0 THEN '<86>1 2024-03-05T06:07:08Z ' || coalesce(host, '-') || ' sshd 7 - - ' || CASE WHEN outcome = 'failure' THEN 'Failed password for invalid user ' ELSE 'Accepted password for ' END || coalesce(user_name, 'nobody') || ' from ' || coalesce(src_ip, '0.0.0.0') || ' port 22'
+  WHEN 1 THEN '<' || CAST(event_id % 192 AS STRING) || '>1 2024-03-05T06:07:08+01:00 gw app 1 ID [x@1 k="v"] CEF:0|acme|gate|2.1|7|' || action || '|' || CAST(event_id % 13 AS STRING) || '|rt=1700000000 dhost=' || coalesce(host, 'h0') || ' shost=other duser=target suser=' || coalesce(user_name, 'nobody') || ' msg=' || CASE WHEN outcome = 'failure' THEN 'request denied' ELSE 'request granted' END
+  WHEN 2 THEN '[{"username": "' || coalesce(user_name, '') || '", "severity": 0, "risk": "high", "eventtime": "2024-01-01T00:00:00Z"}, {"actor": "second", "file.hash": "abc", "channel": "Security", "severity": 95.5}]'
+  WHEN 3 THEN '{"nested": {"a": [1, {"b": "}}"}]}, "operation": "Read", "target": "t' || CAST(event_id % 7 AS STRING) || '", "tenantId": "x", "status": "OK", "@timestamp": ' || CAST(1700000000 + event_id AS STRING) || '}'
+  ELSE '{"deep": ' || repeat('[', 70) || repeat(']', 70) || '}' END"""
+
+
+def parse_other_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins over syslog, CEF inside syslog, arrays of objects, nested and too deep JSON, normalized."""
+    rows = normalize.normalized(lines.records(security_events(spark, sf_dir).select("seq", F.expr(OTHER_LINE).alias("line"))))
+    return rows.select("seq", "format", "source", "user_name", "host", "src_ip", "outcome", "action", "resource", "cloud_account", "hashes", "log_product", "log_service", "severity", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
 
 
 def syslog_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +112,7 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEV = "CASE WHEN event_id % 101 >= 90 THEN 100 WHEN event_id % 101 >= 70 THEN 75 WHEN event_id % 101 >= 40 THEN 50 WHEN event_id % 101 > 0 THEN 25 ELSE 0 END"
-QUERIES = [parse_lines, syslog_priorities, cloud_records, new_records, archive_replay, persist_conflicts, projection_backlog, metric_buckets, dead_letters]
+QUERIES = [parse_lines, parse_other_lines, syslog_priorities, cloud_records, new_records, archive_replay, persist_conflicts, projection_backlog, metric_buckets, dead_letters]
 SQL = {
     "parse_lines": f"""WITH {V} SELECT seq, CASE category WHEN 'process' THEN 'json' WHEN 'cloud' THEN 'cef' WHEN 'network' THEN 'syslog' ELSE CASE WHEN outcome = 'failure' THEN 'json' ELSE 'message' END END AS format,
   CASE category WHEN 'process' THEN 'process' WHEN 'cloud' THEN CASE WHEN contains(lower(action), 'assumerole') THEN 'cloud' END WHEN 'network' THEN 'network' ELSE 'authentication' END AS category,
@@ -106,7 +121,16 @@ SQL = {
   CASE WHEN category IN ('process', 'cloud') OR outcome = 'failure' THEN user_name END AS user_name,
   CASE WHEN category = 'network' THEN coalesce(host, 'nohost') WHEN outcome = 'failure' THEN host END AS host, CASE WHEN category = 'cloud' THEN src_ip END AS src_ip,
   CASE category WHEN 'cloud' THEN action WHEN 'network' THEN 'connection number ' || event_id WHEN 'authentication' THEN CASE WHEN outcome = 'failure' THEN 'login failed' ELSE 'password accepted for ' || coalesce(user_name, 'nobody') END END AS message,
-  CASE WHEN category = 'process' THEN {_SEV} WHEN outcome = 'failure' THEN 75 ELSE 0 END AS severity, CASE WHEN category = 'process' THEN command_line END AS command_line FROM v""",
+  CASE WHEN category = 'process' THEN {_SEV} WHEN category = 'cloud' OR outcome = 'failure' THEN 75 WHEN category = 'network' THEN CAST(([100, 100, 100, 75, 50, 25, 25, 0])[event_id % 8 + 1] AS INTEGER) ELSE 0 END AS severity, CASE WHEN category = 'process' THEN command_line END AS command_line,
+  CASE category WHEN 'process' THEN event_id * 1000000 WHEN 'network' THEN epoch_us(TIMESTAMP '1969-01-02 03:04:05') ELSE 0 END AS us,
+  NOT (category = 'network' OR (category = 'process' AND event_id > 0)) AS ts_defaulted FROM v""",
+    "parse_other_lines": f"""WITH {V}, k AS (SELECT *, event_id % 5 AS k FROM v) SELECT seq, CASE k WHEN 0 THEN 'syslog' WHEN 1 THEN 'syslog+cef' WHEN 4 THEN 'json-too-deep' ELSE 'json' END AS format, CASE k WHEN 1 THEN 'acme' ELSE 'unknown' END AS source,
+  CASE WHEN k < 2 THEN coalesce(user_name, 'nobody') WHEN k = 2 THEN user_name END AS user_name, CASE k WHEN 0 THEN host WHEN 1 THEN coalesce(host, 'h0') END AS host, CASE k WHEN 0 THEN coalesce(src_ip, '0.0.0.0') END AS src_ip,
+  CASE WHEN k < 2 THEN outcome WHEN k = 3 THEN 'ok' ELSE 'unknown' END AS outcome, CASE k WHEN 0 THEN CASE WHEN outcome = 'failure' THEN 'login_failed' ELSE 'login_success' END WHEN 1 THEN CASE WHEN starts_with(action, 'login_success') THEN 'login_success' WHEN starts_with(action, 'login_failed') THEN 'login_failed' WHEN starts_with(action, 'process') THEN 'process_start' ELSE 'observed' END WHEN 3 THEN 'Read' ELSE 'observed' END AS action,
+  CASE k WHEN 3 THEN 't' || (event_id % 7) END AS resource, CASE k WHEN 3 THEN 'x' END AS cloud_account, NULL AS hashes, CASE k WHEN 1 THEN 'gate' END AS log_product, NULL AS log_service,
+  CASE k WHEN 0 THEN 25 WHEN 1 THEN CASE WHEN event_id % 13 >= 9 THEN 100 WHEN event_id % 13 >= 7 THEN 75 WHEN event_id % 13 >= 4 THEN 50 WHEN event_id % 13 > 0 THEN 25 ELSE 0 END WHEN 2 THEN 75 ELSE 0 END AS severity,
+  CASE k WHEN 0 THEN epoch_us(TIMESTAMP '2024-03-05 06:07:08') WHEN 1 THEN 1700000000000000 WHEN 2 THEN epoch_us(TIMESTAMP '2024-01-01 00:00:00') WHEN 3 THEN (1700000000 + event_id) * 1000000 ELSE 0 END AS us FROM k
+UNION ALL SELECT seq, 'json', 'unknown', 'second', NULL, NULL, 'unknown', 'observed', NULL, NULL, 'abc', NULL, 'security', 100, 0 FROM k WHERE k = 2""",
     "syslog_priorities": f"""WITH {V} SELECT CAST((event_id % 192) // 8 AS INTEGER) AS facility, (['emergency', 'alert', 'critical', 'error', 'warning', 'notice', 'informational', 'debug'])[event_id % 8 + 1] AS severity,
   TIMESTAMP '2023-01-02 03:04:05' AS at, count(*) AS n FROM v WHERE category = 'network' GROUP BY ALL""",
     "cloud_records": f"WITH {V} SELECT seq, action, coalesce(user_name, 'root') AS user_name, src_ip, cloud_account, CASE WHEN value > 150 THEN 'failure' ELSE 'success' END AS outcome FROM v WHERE category = 'cloud'",

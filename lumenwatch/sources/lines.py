@@ -1,18 +1,27 @@
-"""Raw lines to records: JSON lines, CEF, syslog and plain messages, all as column expressions."""
+"""Raw lines to records: JSON lines, CEF, syslog, CEF inside syslog and plain messages, all as column expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines nested deeper are kept as messages; severity words; syslog's names by number; outcome words.
+#: Lines nested deeper are kept as messages; syslog's severities by number, as names and as values; outcome words; months.
 DEPTH = 64
 SYSLOG_SEVERITIES = ["emergency", "alert", "critical", "error", "warning", "notice", "informational", "debug"]
-RFC3164 = r"^(?:<(\d{1,3})>)?([A-Z][a-z]{2} +\d{1,2} \d{2}:\d{2}:\d{2}) (\S+) (.*)$"
-RFC5424 = r"^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (?:-|\[.*?\]) ?(.*)$"
-CEF = r"CEF:\d+\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(.*)$"
-CEF_PAIR = r"(?:^|\s)([A-Za-z0-9_.]+)=((?:(?!\s[A-Za-z0-9_.]+=).)*)"
+SYSLOG_VALUES = [100, 100, 100, 75, 50, 25, 25, 0]
+FAILURE = ["fail", "denied", "deny", "error", "reject", "blocked", "block", "invalid"]
+SUCCESS = ["success", "accepted", "allowed", "permitted", "granted", "passed"]
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+RFC5424 = r"^<(\d{1,3})>\d\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s*(-|\[[^\]]*(?:\][^\[]*\[[^\]]*)*\])\s*(.*)$"
+RFC3164 = r"^<(\d{1,3})>\s*([A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(?:(\S+)\s+)?(.*)$"
+CEF = r"(?s)^CEF:\d+\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|([^|]*)\|(\d*)\|(.*)$"
+CEF_PAIR = r"([a-zA-Z0-9_.-]+)=([^=]*?)(?=\s+[a-zA-Z0-9_.-]+=|\s*$)"
+#: sshd and session messages: the pattern, which fields its groups are, and the outcome.
+LOGINS = [
+    (r"(?i)Failed password for (?:invalid user )?(\S+) from ([\d.]+)", ("user", "src_ip"), "failure"),
+    (r"(?i)Accepted password for (\S+) from ([\d.]+)", ("user", "src_ip"), "success"),
+    (r"(?i)session opened for user (\S+)", ("user",), "success"),
+]
 
 
 def depth(line: Column) -> Column:
@@ -30,29 +39,92 @@ def depth(line: Column) -> Column:
     return F.when(F.length(F.regexp_replace(bare, r"[^\[{]", "")) > DEPTH, walked["top"]).otherwise(0)
 
 
+def pair(key: str, value: Column) -> Column:
+    return F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
+
+
+def present(pairs: Column) -> Column:
+    return F.filter(pairs, lambda p: p["value"].isNotNull())
+
+
+def worded_outcome(text: Column) -> Column:
+    return F.when(text.rlike("|".join(FAILURE)), "failure").when(text.rlike("|".join(SUCCESS)), "success")
+
+
+def _unescaped(value: Column) -> Column:
+    for code, plain in (("\\=", "="), ("\\|", "|"), ("\\n", "\n"), ("\\r", "\r"), ("\\\\", "\\")):
+        value = F.replace(value, F.lit(code), F.lit(plain))
+    return value
+
+
+def cef_fields(line: Column) -> Column:
+    """A CEF line's header and extension as key and value pairs: later ones count, and severity is tenfold, 100 at most."""
+    part = lambda i: F.regexp_extract(line, CEF, i)
+    head = [pair(k, part(i)) for i, k in ((1, "vendor"), (2, "product"), (3, "product_version"), (4, "signature_id"), (5, "message"))]
+    severity = F.least(F.coalesce(part(6).try_cast("decimal(20,0)"), F.lit(0)), F.lit(10)) * 10
+    keys, values = (F.regexp_extract_all(part(7), F.lit(CEF_PAIR), F.lit(i)) for i in (1, 2))
+    names = {"src": "src_ip", "dst": "dst_ip"}
+    renamed = lambda k: F.when(k == "src", names["src"]).when(k == "dst", names["dst"]).otherwise(k)
+    pairs = F.zip_with(keys, values, lambda k, v: F.struct(renamed(F.lower(k)).alias("key"), _unescaped(F.trim(v)).alias("value")))
+    pairs = F.transform(pairs, lambda p: F.when((p["key"] == "rt") & p["value"].rlike(r"^\d{10}(\.\d+)?$"), F.struct(F.lit("timestamp").alias("key"), p["value"].alias("value"))).otherwise(p))
+    fields = F.concat(F.array(*head, pair("severity", severity.cast("int"))), pairs)
+    return F.transform(F.array(fields), _completed)[0]
+
+
+def _completed(fields: Column) -> Column:
+    """fields with what actors, targets and words tell: the acting user before the target, the target's host before the source's."""
+    last = lambda k: F.try_element_at(F.filter(fields, lambda f: f["key"] == k), F.lit(-1))["value"]
+    told = F.lower(F.concat_ws(" ", last("message"), F.coalesce(last("msg"), F.lit(""))))
+    outcome = F.when(~F.exists(fields, lambda f: f["key"] == "outcome"), worded_outcome(told))
+    return F.concat(fields, present(F.array(pair("outcome", outcome), pair("user", F.coalesce(last("suser"), last("duser"))), pair("host", F.coalesce(last("dhost"), last("shost"))))))
+
+
+def syslog_fields(line: Column) -> Column:
+    """A syslog line's fields, RFC 5424 or 3164: facility, severity as a value, and user, address and outcome of login messages."""
+    new = line.rlike(RFC5424)
+    part = lambda i, j: F.when(new, F.regexp_extract(line, RFC5424, i)).otherwise(F.regexp_extract(line, RFC3164, j) if j else F.lit(None))
+    named = lambda c: F.when(~c.isin("-", ""), c)
+    pri = part(1, 1).try_cast("int")
+    text = part(8, 4)
+    pairs = [
+        pair("host", named(part(3, 3))), pair("app", named(part(4, 0))), pair("message", text), pair("severity", F.element_at(F.array(*map(F.lit, SYSLOG_VALUES)), pri % 8 + 1)),
+        pair("facility", F.floor(pri / 8).cast("int")), pair("pri", pri), pair("structured_data", named(part(7, 0))), pair("timestamp", named(part(2, 2))),
+    ]
+    login = F.array().cast("array<struct<key:string,value:string>>")
+    for pattern, names, outcome in reversed(LOGINS):
+        login = F.when(text.rlike(pattern), F.array(*[pair(k, F.regexp_extract(text, pattern, i + 1)) for i, k in enumerate(names)], pair("outcome", F.lit(outcome)))).otherwise(login)
+    return F.concat(present(F.array(*pairs)), login)
+
+
 def records(lines: DataFrame) -> DataFrame:
-    """lines (seq, line) that aren't blank, with format, fields (a list of key and value) and message.
+    """lines (seq, line) that aren't blank, with format and fields (a list of key and value; the last of equal keys counts).
 
-    JSON objects give their members; other JSON and unknown text are a message; JSON nested deeper than
-    DEPTH is kept as a message of its own format, never dropped.
+    JSON objects give their members, and an array of objects a record for each; other JSON and unknown text are a
+    message; JSON nested deeper than DEPTH is kept as a message of its own format, never dropped. A CEF payload
+    of a syslog line adds its fields after the line's own.
     """
-    rows = lines.withColumn("line", F.trim("line")).where("line <> ''")
-    deep = depth(F.col("line")) > DEPTH
-    members = F.from_json("line", "map<string,string>")
-    is_object = F.col("line").startswith("{") & F.try_parse_json("line").isNotNull() & ~deep
-    syslog = F.col("line").rlike(RFC3164) | F.col("line").rlike(RFC5424)
-    form = F.when(F.col("line").startswith("{") & deep, "json-too-deep").when(is_object, "json").when(F.col("line").rlike(CEF), "cef").when(syslog, "syslog").otherwise("message")
-    cef = F.regexp_extract("line", CEF, 7)
-    pairs = F.arrays_zip(F.regexp_extract_all(cef, F.lit(CEF_PAIR), F.lit(1)).alias("key"), F.regexp_extract_all(cef, F.lit(CEF_PAIR), F.lit(2)).alias("value"))
-    head = F.array(*[F.struct(F.lit(k).alias("key"), F.regexp_extract("line", CEF, i).alias("value")) for i, k in ((1, "vendor"), (2, "product"), (4, "signature"), (5, "message"), (6, "cef_severity"))])
-    new, old = F.col("line").rlike(RFC5424), F.col("line").rlike(RFC3164)
-    part = lambda a, b: F.when(new, F.regexp_extract("line", RFC5424, a)).when(old, F.regexp_extract("line", RFC3164, b))
-    log = [("pri", part(1, 1)), ("timestamp", part(2, 2)), ("host", part(3, 3)), ("message", part(7, 4))]
-    logged = F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in log])
-    plain = F.array(F.struct(F.lit("message").alias("key"), F.col("line").alias("value")))
-    fields = F.when(form == "json", F.map_entries(members)).when(form == "cef", F.concat(head, pairs)).when(form == "syslog", logged).otherwise(plain)
-    fields = F.transform(fields, lambda f: F.struct(F.lower(f["key"]).alias("key"), f["value"].alias("value")))
-    return rows.select("seq", "line", form.alias("format"), fields.alias("fields"))
+    rows = lines.withColumn("line", F.trim("line")).where("line <> ''").select("seq", "line")
+    line = F.col("line")
+    deep = F.when(line.rlike(r"^[\[{]"), depth(line) > DEPTH).otherwise(False)
+    rows = rows.withColumn("deep", deep).withColumn("json", ~F.col("deep") & line.rlike(r"^[\[{]") & F.try_parse_json(line).isNotNull())
+    items = F.from_json(line, "array<string>")
+    listed = F.col("json") & line.rlike(r"^\[\s*\{") & F.forall(items, lambda x: F.trim(x).startswith("{"))
+    rows = rows.withColumn("line", F.explode(F.when(listed, items).otherwise(F.array(line))))
+    syslog = line.rlike(RFC5424) | line.rlike(RFC3164)
+    form = F.when(F.col("deep") & line.startswith("{"), "json-too-deep").when(F.col("json") & line.startswith("{"), "json").when(line.rlike(CEF), "cef").when(syslog, "syslog").otherwise("message")
+    rows = rows.withColumn("format", form).withColumn("own", F.when(F.col("format") == "syslog", syslog_fields(line)))
+    text = F.try_element_at(F.filter("own", lambda f: f["key"] == "message"), F.lit(-1))["value"]
+    rows = rows.withColumn("payload", F.when(F.col("format") == "cef", line).when((F.col("format") == "syslog") & text.rlike(CEF), text))
+    rows = rows.withColumn("format", F.when((F.col("format") == "syslog") & F.col("payload").isNotNull(), "syslog+cef").otherwise(F.col("format")))
+    plain = F.array(pair("message", line))
+    fields = (
+        F.when(F.col("format") == "json", F.transform(F.map_entries(F.from_json(line, "map<string,string>")), lambda f: F.struct(F.lower(f["key"]).alias("key"), f["value"].alias("value"))))
+        .when(F.col("format") == "cef", cef_fields(F.col("payload")))
+        .when(F.col("format") == "syslog", F.col("own"))
+        .when(F.col("format") == "syslog+cef", F.concat("own", cef_fields(F.col("payload"))))
+        .otherwise(plain)
+    )
+    return rows.select("seq", "line", "format", fields.alias("fields"))
 
 
 def field(*names: str) -> Column:
@@ -72,8 +144,8 @@ def priority(pri: Column) -> tuple[Column, Column]:
 
 
 def without_year(text: Column, now: Column) -> Column:
-    """A date like `Jan  2 03:04:05` in the latest year that isn't after now."""
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.substring(text, 1, 3)).cast("int")
-    day, clock = F.regexp_extract(text, r"^\w+ +(\d+)", 1).cast("int"), F.split(F.regexp_extract(text, r"(\d+:\d+:\d+)$", 1), ":")
-    at = lambda year: F.make_timestamp_ntz(year, month, day, clock[0].cast("int"), clock[1].cast("int"), clock[2].cast("double"))
-    return F.when(at(F.year(now)) > now, at(F.year(now) - 1)).otherwise(at(F.year(now)))
+    """A date like `Jan  2 03:04:05` in the latest year in which it isn't more than a day after now."""
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.initcap(F.substring(text, 1, 3))).cast("int")
+    day, clock = F.regexp_extract(text, r"^\w+\s+(\d+)", 1).cast("int"), F.split(F.regexp_extract(text, r"(\d+:\d+:\d+)$", 1), ":")
+    at = lambda year: F.try_make_timestamp_ntz(year, month, day, clock[0].cast("int"), clock[1].cast("int"), clock[2].cast("double"))
+    return F.when(at(F.year(now)) > now + F.expr("INTERVAL 1 DAY"), at(F.year(now) - 1)).otherwise(at(F.year(now)))

@@ -118,7 +118,7 @@ def test_lines_of_all_formats(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq int, line string")
     got = {r.seq: r for r in normalize.normalized(lines.records(df)).collect()}
     assert {k: r.format for k, r in got.items()} == {0: "json", 1: "message", 4: "json-too-deep", 5: "cef", 6: "syslog", 7: "syslog", 8: "message", 9: "message"}
-    assert got[0].user_name == "b" and got[5].src_ip == "1.2.3.4" and got[5].message == "a" and got[6].action == "login_failed" and got[7].host == "h" and got[8].category == "authentication"
+    assert got[0].user_name == "b" and got[5].src_ip == "1.2.3.4" and got[5].message == "name" and got[5].severity == 50 and got[6].action == "login_failed" and got[7].host == "h" and got[8].category == "authentication"
 
 
 def test_times_and_severities(spark):
