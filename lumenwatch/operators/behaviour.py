@@ -2,11 +2,14 @@
 
 Everything is judged against strictly earlier events (seq). First occurrences are minima of seq by key,
 which combine before any shuffle; running totals go through two-level sums, so neither a busy entity, one
-common action nor the few kinds of entities are gathered in one task.
+common action nor the few kinds of entities are gathered in one task. Bursts look at blocks of an entity's rows.
+A saved state joins in as pairs seen before any event and as counts to add.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,75 +26,127 @@ def _signal(rows: DataFrame, name: str, entity: Column | str, points: Column | i
     return rows.select("event_id", "seq", F.col(entity).alias("entity") if isinstance(entity, str) else entity.alias("entity"), F.lit(name).alias("signal"), (points if isinstance(points, Column) else F.lit(points)).cast("long").alias("points"))
 
 
-def first_seen(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.min("seq").alias("first_seq"))
+#: Rows of an entity that burst() looks at in one window.
+BLOCK = 1 << 14
+
+
+def stored_pairs(stored: DataFrame | None, name: str, key: str, value: str) -> DataFrame | None:
+    """A saved state's pairs under the given column names, as seen before any event: first_seq 0."""
+    return None if stored is None else stored.where(F.col("name") == name).select(F.col("key").alias(key), F.col("value").alias(value), F.lit(0).cast("long").alias("first_seq"))
+
 
+def first_seen(rows: DataFrame, *keys: str, stored: DataFrame | None = None) -> DataFrame:
+    seen = rows.groupBy(*keys).agg(F.min("seq").cast("long").alias("first_seq"))
+    return seen if stored is None else seen.unionByName(stored).groupBy(*keys).agg(F.min("first_seq").alias("first_seq"))
 
-def novel(rows: DataFrame, owner: str, value: str) -> DataFrame:
+
+def novel(rows: DataFrame, owner: str, value: str, stored: DataFrame | None = None) -> DataFrame:
     """Rows whose value the owner shows for the first time, other than the owner's first row."""
-    known = first_seen(rows, owner, value)
+    known = first_seen(rows, owner, value, stored=stored)
     opening = known.groupBy(owner).agg(F.min("first_seq").alias("opening"))
     fresh = known.join(opening, owner).where("first_seq > opening").select(owner, value, F.col("first_seq").alias("seq"))
     return rows.join(fresh, [owner, value, "seq"])
 
 
-def off_hours(rows: DataFrame) -> DataFrame:
-    """First activity in an hour of day, once the entity has WARM_ENTITY earlier events."""
-    warm = rows.select("entity", "seq").withColumn("n", F.row_number().over(Window.partitionBy("entity").orderBy("seq"))).where(F.col("n") <= WARM_ENTITY)
-    warm = warm.where(F.col("n") == WARM_ENTITY).select("entity", F.col("seq").alias("warm_seq"))
-    hours = rows.withColumn("hour", F.hour("ts"))
-    fresh = first_seen(hours, "entity", "hour").join(warm, "entity").where("first_seq > warm_seq").select("entity", "hour", F.col("first_seq").alias("seq"))
-    return hours.join(fresh, ["entity", "hour", "seq"])
+def counted(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows with before: how many rows of the same keys came earlier."""
+    return sum_before(rows.withColumn("one", F.lit(1)), list(keys), "one", "before").drop("one")
+
 
+def plus(rows: DataFrame, column: str, stored: DataFrame | None, name: str, *keys: str) -> DataFrame:
+    """rows with the saved count of their keys (the state's key, or its key and value) added to a column."""
+    if stored is None:
+        return rows
+    some = stored.where(F.col("name") == name).select(*[F.col(c).alias(k) for c, k in zip(("key", "value"), keys)], F.col("n").alias("_n"))
+    return rows.join(some, list(keys), "left").withColumn(column, F.col(column) + F.coalesce("_n", F.lit(0))).drop("_n")
 
-def burst(rows: DataFrame, window_us: int) -> DataFrame:
-    """Events with BURST - 1 others among the entity's last REMEMBERED within the window; adds in_window."""
-    last = Window.partitionBy("entity").orderBy("seq").rowsBetween(-REMEMBERED, -1)
-    recent = F.filter(F.collect_list("us").over(last), lambda t: t >= F.col("us") - window_us)
-    return rows.withColumn("in_window", (F.size(recent) + 1).cast("long")).where(F.col("in_window") >= BURST)
+
+def off_hours(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """First activity in an hour of day, once the entity has WARM_ENTITY earlier events."""
+    hours = counted(rows.withColumn("hour", F.hour("ts").cast("string")), "entity")
+    fresh = first_seen(hours, "entity", "hour", stored=stored_pairs(stored, "entity_hour", "entity", "hour"))
+    fresh = fresh.select("entity", "hour", F.col("first_seq").alias("seq"))
+    return plus(hours.join(fresh, ["entity", "hour", "seq"]), "before", stored, "entity", "entity").where(F.col("before") >= WARM_ENTITY)
+
+
+def burst(rows: DataFrame, window_us: int, recent: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """Events with BURST - 1 others among the entity's last REMEMBERED within the window; adds in_window.
+
+    An entity's rows are dealt in blocks of their order, each with the REMEMBERED rows before it, so a busy
+    entity is spread over tasks. recent: saved times (entity, place, us), which come before all rows.
+    """
+    rows = rows.withColumn("_own", F.lit(True))
+    if recent is not None:
+        rows = rows.unionByName(recent.select("entity", "us", (F.col("place") - REMEMBERED - 1).cast("long").alias("seq"), F.lit(False).alias("_own")), allowMissingColumns=True)
+    ranked = counted(rows, "entity")
+    at = F.floor(F.col("before") / block)
+    lent = F.when((F.pmod(F.col("before"), F.lit(block)) >= block - REMEMBERED), F.array(at, at + 1)).otherwise(F.array(at))
+    dealt = ranked.withColumn("_home", at).withColumn("_block", F.explode(lent))
+    last = Window.partitionBy("entity", "_block").orderBy("seq").rowsBetween(-REMEMBERED, -1)
+    near = F.filter(F.collect_list("us").over(last), lambda t: t >= F.col("us") - window_us)
+    out = dealt.withColumn("in_window", (F.size(near) + 1).cast("long")).where((F.col("in_window") >= BURST) & F.col("_own") & (F.col("_home") == F.col("_block")))
+    return out.drop("_own", "_home", "_block", "before")
 
 
 def scaled(points: int, fraction: Column, limit: float) -> Column:
     return F.greatest(F.lit(1.0), F.rint(F.lit(points) * (F.lit(1.0) - fraction / F.lit(limit))))
 
 
-def rare_action(events: DataFrame) -> DataFrame:
-    """Actions of at most RARE of all earlier traffic; adds seen."""
-    seen = sum_before(events.withColumn("one", F.lit(1)), ["action"], "one", "seen")
-    share = F.col("seen") / (F.col("seq") - 1)
-    return seen.where((F.col("seq") - 1 >= WARM_TOTAL) & (share <= RARE)).withColumn("rare_points", scaled(POINTS["rare_action"], share, RARE))
+def _total(stored: DataFrame | None) -> DataFrame | None:
+    """The saved number of events: one row."""
+    return None if stored is None else stored.where("name = 'action'").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_n"))
+
+
+def rare_action(events: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Actions of at most RARE of all earlier traffic; adds seen and total."""
+    rows = counted(counted(events, "action").withColumnRenamed("before", "seen")).withColumnRenamed("before", "total")
+    if stored is not None:
+        rows = plus(rows, "seen", stored, "action", "action").crossJoin(F.broadcast(_total(stored))).withColumn("total", F.col("total") + F.col("_n")).drop("_n")
+    return _rare(rows)
+
+
+def _rare(rows: DataFrame) -> DataFrame:
+    share = F.col("seen") / F.greatest(F.col("total"), F.lit(1))
+    return rows.where((F.col("total") >= WARM_TOTAL) & (share <= RARE)).withColumn("rare_points", scaled(POINTS["rare_action"], share, RARE))
+
 
+def _peers(stored: DataFrame | None) -> DataFrame | None:
+    """Saved entities by kind, in the state's form."""
+    return None if stored is None else stored.where("name = 'entity'").groupBy(F.substring_index("key", ":", 1).alias("key")).agg(F.count("*").alias("n")).select(F.lit("kind").alias("name"), "key", F.lit("").alias("value"), "n")
 
-def peer_rare(rows: DataFrame) -> DataFrame:
+
+def peer_rare(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """Actions that at most PEER_RARE of the other entities of the kind have done; adds other_doers and other_peers."""
-    acts = first_seen(rows, "entity", "action").withColumnRenamed("first_seq", "act_seq")
+    acts = first_seen(rows, "entity", "action", stored=stored_pairs(stored, "entity_action", "entity", "action")).withColumnRenamed("first_seq", "act_seq")
     opening = acts.groupBy("entity").agg(F.min("act_seq").alias("opening"))
     marked = rows.join(acts, ["entity", "action"]).join(opening, "entity")
     marked = marked.withColumn("new_doer", (F.col("seq") == F.col("act_seq")).cast("long")).withColumn("new_peer", (F.col("seq") == F.col("opening")).cast("long"))
-    counted = sum_before(sum_before(marked, ["kind"], "new_peer", "peers"), ["kind", "action"], "new_doer", "doers")
-    counted = counted.withColumn("other_doers", F.col("doers") - (F.col("act_seq") < F.col("seq")).cast("long")).withColumn("other_peers", F.col("peers") - 1)
-    fraction = F.col("other_doers") / F.col("other_peers")
-    return counted.where((F.col("peers") >= PEERS) & (fraction <= PEER_RARE)).withColumn("rare_points", scaled(POINTS["peer_rare"], fraction, PEER_RARE))
+    found = sum_before(sum_before(marked, ["kind"], "new_peer", "peers"), ["kind", "action"], "new_doer", "doers")
+    found = plus(plus(found, "peers", _peers(stored), "kind", "kind"), "doers", stored, "kind_action", "kind", "action")
+    return _few_peers(found.withColumn("done", F.col("act_seq") < F.col("seq")))
+
 
+def _few_peers(rows: DataFrame) -> DataFrame:
+    rows = rows.withColumn("other_doers", F.col("doers") - F.col("done").cast("long")).withColumn("other_peers", F.col("peers") - 1)
+    fraction = F.col("other_doers") / F.greatest(F.col("other_peers"), F.lit(1))
+    return rows.where((F.col("peers") >= PEERS) & (fraction <= PEER_RARE)).withColumn("rare_points", scaled(POINTS["peer_rare"], fraction, PEER_RARE))
 
-def signals(events: DataFrame, burst_us: int = 120_000_000) -> DataFrame:
-    """All signals: event_id, seq, entity, signal, points."""
+
+def signals(events: DataFrame, burst_us: int = 120_000_000, stored: DataFrame | None = None, recent: DataFrame | None = None) -> DataFrame:
+    """All signals: event_id, seq, entity, signal, points. With a saved state (baseline, recent_times) the batch is scored warm, as if what the state learnt from had come before it."""
     rows = by_entity(events)
     user = F.concat(F.lit("user:"), F.col("user_name"))
     named = events.where("user_name <> ''")
     parts = [
-        _signal(novel(rows, "entity", "action"), "novel_action", "entity"),
-        _signal(novel(named.where("src_ip <> ''"), "user_name", "src_ip"), "novel_src_ip", user),
-        _signal(novel(named.where("host <> ''"), "user_name", "host"), "novel_host", user),
-        _signal(off_hours(rows), "off_hours", "entity"),
-        _signal(burst(rows, burst_us), "burst", "entity"),
-        _signal(rare_action(events), "rare_action", F.coalesce(F.try_element_at("entities", F.lit(1)), F.lit("global:unknown")), F.col("rare_points")),
-        _signal(peer_rare(rows), "peer_rare", "entity", F.col("rare_points")),
+        _signal(novel(rows, "entity", "action", stored_pairs(stored, "entity_action", "entity", "action")), "novel_action", "entity"),
+        _signal(novel(named.where("src_ip <> ''"), "user_name", "src_ip", stored_pairs(stored, "user_src_ip", "user_name", "src_ip")), "novel_src_ip", user),
+        _signal(novel(named.where("host <> ''"), "user_name", "host", stored_pairs(stored, "user_host", "user_name", "host")), "novel_host", user),
+        _signal(off_hours(rows, stored), "off_hours", "entity"),
+        _signal(burst(rows, burst_us, recent), "burst", "entity"),
+        _signal(rare_action(events, stored), "rare_action", F.coalesce(F.try_element_at("entities", F.lit(1)), F.lit("global:unknown")), F.col("rare_points")),
+        _signal(peer_rare(rows, stored), "peer_rare", "entity", F.col("rare_points")),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def findings(found: DataFrame) -> DataFrame:
@@ -129,15 +184,40 @@ def merge_baselines(one: DataFrame, two: DataFrame) -> DataFrame:
     return both.unionByName(kinds.select(F.lit("kind_action").alias("name"), "key", "value", "n"))
 
 
-def score_only(events: DataFrame, stored: DataFrame) -> DataFrame:
-    """Novel actions, addresses and hosts of events against a stored baseline, which learns nothing."""
-    rows = by_entity(events)
+def recent_times(events: DataFrame) -> DataFrame:
+    """The last REMEMBERED times of each entity, oldest first: entity, place (REMEMBERED is the newest) and us."""
+    rows = counted(by_entity(events), "entity")
+    n = rows.groupBy("entity").agg(F.count("*").alias("n"))
+    place = (F.lit(REMEMBERED) - F.col("n") + F.col("before") + 1).cast("long")
+    return rows.join(n, "entity").select("entity", place.alias("place"), "us").where("place >= 1")
+
+
+def score_only(events: DataFrame, stored: DataFrame, recent: DataFrame, burst_us: int = 120_000_000) -> DataFrame:
+    """All signals of events against a saved state that learns nothing from them."""
+    rows = by_entity(events).withColumn("hour", F.hour("ts").cast("string"))
 
     def unseen(df: DataFrame, name: str, key: str, value: str) -> DataFrame:
-        pairs = stored.where(F.col("name") == name).select(F.col("key").alias(key), F.col("value").alias(value))
+        pairs = stored_pairs(stored, name, key, value)
         return df.join(pairs.select(key).distinct(), key, "left_semi").join(pairs, [key, value], "left_anti")
 
+    def with_counts(df: DataFrame, **columns: tuple[DataFrame, str, tuple[str, ...]]) -> DataFrame:
+        for column, (state, name, keys) in columns.items():
+            df = plus(df.withColumn(column, F.lit(0).cast("long")), column, state, name, *keys)
+        return df
+
     named, user = events.where("user_name <> ''"), F.concat(F.lit("user:"), F.col("user_name"))
-    out = _signal(unseen(rows, "entity_action", "entity", "action"), "novel_action", "entity")
-    out = out.unionByName(_signal(unseen(named.where("src_ip <> ''"), "user_src_ip", "user_name", "src_ip"), "novel_src_ip", user))
-    return out.unionByName(_signal(unseen(named.where("host <> ''"), "user_host", "user_name", "host"), "novel_host", user))
+    known = with_counts(rows, peers=(_peers(stored), "kind", ("kind",)), doers=(stored, "kind_action", ("kind", "action")), own=(stored, "entity_action", ("entity", "action")), seen_before=(stored, "entity", ("entity",)))
+    rare = with_counts(events, seen=(stored, "action", ("action",))).crossJoin(F.broadcast(_total(stored).withColumnRenamed("_n", "total")))  # one row
+    times = recent.groupBy("entity").agg(F.collect_list("us").alias("times"))  # REMEMBERED at most
+    near = F.size(F.filter("times", lambda t: t >= F.col("us") - burst_us)) + 1
+    warm = known.where(F.col("seen_before") >= WARM_ENTITY)
+    parts = [
+        _signal(unseen(rows, "entity_action", "entity", "action"), "novel_action", "entity"),
+        _signal(unseen(named.where("src_ip <> ''"), "user_src_ip", "user_name", "src_ip"), "novel_src_ip", user),
+        _signal(unseen(named.where("host <> ''"), "user_host", "user_name", "host"), "novel_host", user),
+        _signal(unseen(warm, "entity_hour", "entity", "hour"), "off_hours", "entity"),
+        _signal(warm.join(times, "entity").where(near >= BURST), "burst", "entity"),
+        _signal(_rare(rare), "rare_action", F.coalesce(F.try_element_at("entities", F.lit(1)), F.lit("global:unknown")), F.col("rare_points")),
+        _signal(_few_peers(known.withColumn("done", F.col("own") > 0)), "peer_rare", "entity", F.col("rare_points")),
+    ]
+    return reduce(DataFrame.unionByName, parts)

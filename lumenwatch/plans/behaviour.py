@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import behaviour
+from ..operators import behaviour, graph
 from ..sources.events import X, security_events
 
 BURST_US = 6 * 3600 * 1_000_000
@@ -35,7 +35,18 @@ def behaviour_score_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = security_events(spark, sf_dir)
     cut = events.agg((F.max("us") - 10 * 86_400_000_000).alias("cut"))
     events = events.crossJoin(F.broadcast(cut))  # one row
-    return behaviour.score_only(events.where("us > cut"), behaviour.baseline(events.where("us <= cut")))
+    old = events.where("us <= cut")
+    return behaviour.score_only(events.where("us > cut"), behaviour.baseline(old), behaviour.recent_times(old), BURST_US)
+
+
+def behaviour_warm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the last ten days scored warm: the state of the days before, and what the batch itself showed earlier."""
+    events = security_events(spark, sf_dir)
+    cut = events.agg((F.max("us") - 10 * 86_400_000_000).alias("cut"))
+    events = events.crossJoin(F.broadcast(cut))  # one row
+    old = events.where("us <= cut").drop("cut")
+    state, recent = graph.save(behaviour.baseline(old), "baseline"), graph.save(behaviour.recent_times(old), "recent")
+    return behaviour.signals(events.where("us > cut").drop("cut"), BURST_US, state, recent)
 
 
 _LAST = "OVER (PARTITION BY entity ORDER BY seq ROWS BETWEEN 256 PRECEDING AND 1 PRECEDING)"
@@ -74,13 +85,22 @@ def _unseen(rows: str, key: str, value: str, name: str, entity: str, points: int
   AND NOT EXISTS (SELECT 1 FROM {rows} o WHERE o.us <= {_CUT} AND o.{key} = r.{key} AND o.{value} = r.{value})"""
 
 
-QUERIES = [behaviour_signals, behaviour_findings, behaviour_baseline, behaviour_baseline_merge, behaviour_score_only]
+_OLD = f"""o AS (SELECT * FROM x WHERE us <= {_CUT}), nw AS (SELECT * FROM x WHERE us > {_CUT}), ov AS (SELECT * FROM ve WHERE us <= {_CUT}), nv AS (SELECT * FROM ve WHERE us > {_CUT}),
+en AS (SELECT entity, count(*) AS n, list(us ORDER BY seq DESC)[1:256] AS times FROM o GROUP BY 1), eh AS (SELECT DISTINCT entity, hour FROM o), ea AS (SELECT DISTINCT kind, entity, action FROM o),
+ka AS (SELECT kind, action, count(*) AS doers FROM ea GROUP BY ALL), kp AS (SELECT kind, count(DISTINCT entity) AS peers FROM o GROUP BY 1), an AS (SELECT action, count(*) AS seen FROM ov GROUP BY 1), tn AS (SELECT count(*) AS total FROM ov)"""
+_STATIC = f"""SELECT event_id, seq, entity, 'off_hours', 20 FROM nw JOIN en USING (entity) WHERE n >= 5 AND NOT EXISTS (SELECT 1 FROM eh WHERE eh.entity = nw.entity AND eh.hour = nw.hour)
+UNION ALL SELECT event_id, seq, entity, 'burst', 25 FROM nw JOIN en USING (entity) WHERE n >= 5 AND len(list_filter(times, lambda t: t >= us - {BURST_US})) + 1 >= 8
+UNION ALL SELECT event_id, seq, coalesce(entities[1], 'global:unknown'), 'rare_action', CAST(greatest(1.0, round_even(20 * (1.0 - f / 0.05), 0)) AS BIGINT) FROM (SELECT *, CAST(coalesce(seen, 0) AS DOUBLE) / total AS f FROM nv LEFT JOIN an USING (action), tn) WHERE total >= 20 AND f <= CAST(0.05 AS DOUBLE)
+UNION ALL SELECT event_id, seq, entity, 'peer_rare', CAST(greatest(1.0, round_even(20 * (1.0 - f / 0.2), 0)) AS BIGINT) FROM (SELECT nw.*, CAST(coalesce(doers, 0) - CASE WHEN ea.entity IS NULL THEN 0 ELSE 1 END AS DOUBLE) / (peers - 1) AS f
+  FROM nw JOIN kp USING (kind) LEFT JOIN ka ON ka.kind = nw.kind AND ka.action = nw.action LEFT JOIN ea ON ea.entity = nw.entity AND ea.action = nw.action WHERE peers >= 5) WHERE f <= CAST(0.2 AS DOUBLE)"""
+QUERIES = [behaviour_signals, behaviour_findings, behaviour_baseline, behaviour_baseline_merge, behaviour_score_only, behaviour_warm]
 SQL = {
     "behaviour_signals": f"WITH {SIGNALS} SELECT event_id, seq, entity, signal, CAST(points AS BIGINT) AS points FROM s",
     "behaviour_findings": f"""WITH {SIGNALS}, t AS (SELECT event_id, CAST(least(sum(points), 100) AS BIGINT) AS score, string_agg(DISTINCT signal, ', ' ORDER BY signal) AS names FROM s GROUP BY 1)
 SELECT *, CASE WHEN score >= 50 THEN 'high' ELSE 'medium' END AS severity FROM t WHERE score >= 25""",
     "behaviour_baseline": f"WITH {X} {_COUNTS.format(w='', a=' WHERE')}",
     "behaviour_baseline_merge": f"WITH {X} {_COUNTS.format(w='', a=' WHERE')}",
-    "behaviour_score_only": f"WITH {X} "
-    + " UNION ALL ".join((_unseen("x", "entity", "action", "novel_action", "entity", 15), _unseen("v", "user_name", "src_ip", "novel_src_ip", "'user:' || user_name", 25), _unseen("v", "user_name", "host", "novel_host", "'user:' || user_name", 20))),
+    "behaviour_warm": f"WITH {SIGNALS} SELECT event_id, s.seq, entity, signal, CAST(points AS BIGINT) AS points FROM s JOIN v USING (event_id) WHERE us > {_CUT}",
+    "behaviour_score_only": f"WITH {X}, {_OLD} "
+    + " UNION ALL ".join((_unseen("x", "entity", "action", "novel_action", "entity", 15), _unseen("v", "user_name", "src_ip", "novel_src_ip", "'user:' || user_name", 25), _unseen("v", "user_name", "host", "novel_host", "'user:' || user_name", 20), _STATIC)),
 }

@@ -120,7 +120,7 @@ SQL = {
   CASE category WHEN 'process' THEN 'ok' WHEN 'cloud' THEN 'success' ELSE 'unknown' END AS outcome,
   CASE WHEN category IN ('process', 'cloud') OR outcome = 'failure' THEN user_name END AS user_name,
   CASE WHEN category = 'network' THEN coalesce(host, 'nohost') WHEN outcome = 'failure' THEN host END AS host, CASE WHEN category = 'cloud' THEN src_ip END AS src_ip,
-  CASE category WHEN 'cloud' THEN action WHEN 'network' THEN 'connection number ' || event_id WHEN 'authentication' THEN CASE WHEN outcome = 'failure' THEN 'login failed' ELSE 'password accepted for ' || coalesce(user_name, 'nobody') END END AS message,
+  CASE category WHEN 'cloud' THEN action WHEN 'network' THEN 'connection number ' || event_id WHEN 'authentication' THEN CASE WHEN outcome = 'failure' THEN 'login failed' ELSE 'password accepted for ' || coalesce(user_name, 'nobody') END ELSE '' END AS message,
   CASE WHEN category = 'process' THEN {_SEV} WHEN category = 'cloud' OR outcome = 'failure' THEN 75 WHEN category = 'network' THEN CAST(([100, 100, 100, 75, 50, 25, 25, 0])[event_id % 8 + 1] AS INTEGER) ELSE 0 END AS severity, CASE WHEN category = 'process' THEN command_line END AS command_line,
   CASE category WHEN 'process' THEN event_id * 1000000 WHEN 'network' THEN epoch_us(TIMESTAMP '1969-01-02 03:04:05') ELSE 0 END AS us,
   NOT (category = 'network' OR (category = 'process' AND event_id > 0)) AS ts_defaulted FROM v""",
