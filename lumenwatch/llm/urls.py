@@ -54,7 +54,7 @@ def without_dots(path: Column) -> Column:
     up = lambda kept: F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
     step = lambda kept, x: F.when(x == "..", up(kept)).when(x == ".", kept).otherwise(F.concat(kept, F.array(x)))
     kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
-    slash = lambda k: F.when(path.rlike(r"/\.\.?$") & (F.element_at(k, -1) != ""), "/").otherwise("")
+    slash = lambda k: F.when(path.rlike(r"/\.\.?$") & (F.try_element_at(k, F.lit(-1)) != ""), "/").otherwise("")
     joined = let(kept, lambda k: F.concat(F.array_join(k, "/"), slash(k)))
     return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), let(joined, lambda x: F.when(x == "", "/").otherwise(x))).otherwise(path)
 
