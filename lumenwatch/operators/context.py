@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.events import value_of
@@ -135,3 +137,55 @@ def indicator_hits(events: DataFrame, clauses: DataFrame, address: str, haystack
     by_text = events.select("event_id", F.lower(haystack).alias("hay")).join(F.broadcast(rest), F.contains("hay", "value")).select("event_id", "indicator")
     found = by_ip.union(by_text).groupBy("event_id").agg(F.array_sort(F.collect_set("indicator")).alias("indicators"))
     return found.select("event_id", F.concat_ws(",", "indicators").alias("indicators"), F.lit(75).alias("severity"), F.lit(75).alias("risk_points"))
+
+
+#: The fields that name an identity, in order, words for yes, and states of disabled accounts.
+IDENTITY_KEYS = ["username", "user", "name", "sam_account_name", "upn", "email"]
+YES, DISABLED = ["1", "true", "yes", "y"], ["disabled", "inactive", "terminated", "suspended"]
+
+
+def identity_index(records: DataFrame) -> DataFrame:
+    """A row for each key that names a record of a directory export (IDENTITY_KEYS as far as there, position and any other columns).
+
+    A full value names the last record that has it; a mail address's local part names the first, and only where it is no full value.
+    """
+    rest = [c for c in records.columns if c not in IDENTITY_KEYS]
+    names = F.array(*[F.struct(F.lit(i).alias("place"), F.col(k).cast("string").alias("value")) for i, k in enumerate(IDENTITY_KEYS) if k in records.columns])
+    rows = records.select(F.struct(*rest).alias("row"), "position", F.explode(F.filter(names, lambda x: F.trim(x["value"]) != "")).alias("n"))
+    key = F.lower(F.trim("n.value"))
+    both = F.explode(F.array(F.struct(key.alias("key"), F.lit(True).alias("whole")), F.struct(F.lower(F.trim(F.substring_index("n.value", "@", 1))).alias("key"), F.lit(False).alias("whole"))))
+    rows = rows.select("row", F.struct("position", "n.place").alias("order"), both.alias("k")).select("row", "order", "k.key", "k.whole").where("key <> ''")
+    found = F.coalesce(F.max_by(F.when(F.col("whole"), F.col("row")), F.when(F.col("whole"), F.col("order"))), F.min_by("row", "order"))
+    return rows.groupBy("key").agg(found.alias("row")).select("key", "row.*")
+
+
+def highest(levels: Column) -> Column:
+    """The highest of an array of criticality levels, or null."""
+    return F.try_element_at(F.array_sort(F.transform(F.array_compact(levels), lambda x: F.struct(multiplier(x).alias("m"), x.alias("level")))), F.lit(-1))["level"]
+
+
+def identity_context(entities: DataFrame, index: DataFrame) -> DataFrame:
+    """entity, source, criticality and tags of user entities in the index (key, privileged, status, criticality): privileged and disabled accounts are critical."""
+    users = entities.select("entity").distinct().where(F.col("entity").startswith("user:")).withColumn("key", F.lower(F.trim(value_of(F.col("entity")))))
+    rows = users.join(index, "key")
+    strong = F.coalesce(F.lower(F.col("privileged").cast("string")).isin(*YES), F.lit(False))
+    off = F.coalesce(F.lower(F.trim("status")).isin(*DISABLED), F.lit(False))
+    level = F.when(strong | off, "critical").otherwise(criticality(F.col("criticality")))
+    tags = F.array_compact(F.array(F.when(strong, "privileged"), F.when(off, "disabled-account")))
+    return rows.select("entity", F.lit("identity").alias("source"), level.alias("criticality"), tags.alias("tags"))
+
+
+def indicator_lookup(entities: DataFrame, clauses: DataFrame, listed: int = 10) -> DataFrame:
+    """entity, how many indicator clauses (indicator, name, type, value) equal its value, and the first names by indicator."""
+    by_value = clauses.groupBy("value", F.coalesce("name", "indicator").alias("name")).agg(F.count("*").alias("n"), F.min("indicator").alias("first"))
+    order = Window.partitionBy("value").orderBy("first", "name")
+    by_value = by_value.withColumn("r", F.row_number().over(order)).groupBy("value").agg(F.sum("n").alias("hits"), F.array_sort(F.collect_list(F.when(F.col("r") <= listed, F.struct("r", "name")))).alias("l"))
+    known = entities.select("entity").distinct().withColumn("value", F.lower(F.trim(value_of(F.col("entity")))))
+    return known.join(by_value, "value").select("entity", "hits", F.transform("l", lambda x: x["name"]).alias("indicators"))
+
+
+def context_table(*parts: DataFrame) -> DataFrame:
+    """All that enrichers (entity, source, criticality, tags; a row an entity each) know of each entity: sources, the highest criticality, and tags."""
+    rows = reduce(DataFrame.unionByName, [p.select("entity", "source", "criticality", "tags", F.lit(i).alias("place")) for i, p in enumerate(parts)])
+    found = rows.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("place", "source", "criticality", "tags"))).alias("c"))
+    return found.select("entity", F.transform("c", lambda x: x["source"]).alias("sources"), highest(F.col("c.criticality")).alias("criticality"), F.array_distinct(F.flatten("c.tags")).alias("tags"))

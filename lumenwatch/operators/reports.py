@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: techniques in text.
+from .windows import newest_of
+
+#: Techniques in text, and names of severities.
 TECHNIQUE = r"\bT\d{4}(?:\.\d{3})?\b"
+SEVERITIES = {0: "informational", 25: "low", 50: "medium", 75: "high", 100: "critical"}
 
 
 def related_events(members: DataFrame, rows: DataFrame, newest: int = 25) -> DataFrame:
@@ -14,7 +17,7 @@ def related_events(members: DataFrame, rows: DataFrame, newest: int = 25) -> Dat
 
     members: incident_key, event_id and entity; rows: a row for each event and entity.
     """
-    last = rows.withColumn("_r", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("us"), F.desc("seq")))).where(F.col("_r") <= newest)
+    last = newest_of(rows, ["entity"], [F.desc("us"), F.desc("seq")], newest)
     pairs = members.select("incident_key", "entity").distinct().join(last.select("entity", "event_id"), "entity")
     pairs = pairs.join(members.select("incident_key", "event_id").distinct(), ["incident_key", "event_id"], "left_anti")
     return pairs.groupBy("incident_key", "event_id").agg(F.count("*").alias("entities"))
@@ -22,13 +25,28 @@ def related_events(members: DataFrame, rows: DataFrame, newest: int = 25) -> Dat
 
 def report_text(incidents: DataFrame, members: DataFrame, first: int = 10) -> DataFrame:
     """A plain report of each incident: its title and its first findings in order of time."""
-    ranked = members.withColumn("_r", F.row_number().over(Window.partitionBy("incident_key").orderBy("us", "seq", "rule_id"))).where(F.col("_r") <= first)
+    ranked = newest_of(members, ["incident_key"], [F.col("us"), F.col("seq"), F.col("rule_id")], first).withColumnRenamed("place", "_r")
     told = ranked.groupBy("incident_key").agg(F.array_sort(F.collect_list(F.struct("_r", "rule_id", "risk_points"))).alias("f"))
     told = told.withColumn("body", F.array_join(F.transform("f", lambda x: F.concat(F.lit("- "), x["rule_id"], F.lit(" (risk "), x["risk_points"].cast("string"), F.lit(")"))), "\n"))
     head = F.concat("title", F.lit("\nRisk "), F.col("risk_score").cast("string"), F.lit(", "), F.col("findings").cast("string"), F.lit(" finding(s)\n"))
     return incidents.join(told, "incident_key").select("incident_key", F.concat(head, "body").alias("report"))
 
 
+def case_notes(incidents: DataFrame, members: DataFrame, listed: int = 5) -> DataFrame:
+    """A triage note for each incident: risk, techniques, the first rules by name, how many events its entities had besides, and entities."""
+    rules = members.groupBy("incident_key").agg(F.slice(F.array_sort(F.collect_set("rule_name")), 1, listed).alias("rules"))
+    n, words = F.size("entities"), F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair])
+    lines = [
+        F.concat(F.lit("AI triage note for "), "title"),
+        F.lit(""),
+        F.concat(F.lit("Risk "), F.col("risk_score").cast("string"), F.lit(" / severity "), words[F.col("severity")], F.lit(" from "), F.col("findings").cast("string"), F.lit(" finding(s) across "), n.cast("string"), F.lit(" entit"), F.when(n == 1, "y").otherwise("ies"), F.lit(".")),
+        F.when(F.size("kill_chain") > 0, F.concat(F.lit("ATT&CK progression: "), F.array_join("kill_chain", " -> "), F.lit("."))),
+        F.when(F.size("rules") > 0, F.concat(F.lit("Detections: "), F.array_join("rules", "; "), F.lit("."))),
+        F.concat(F.lit("Entities: "), F.array_join("entities", ", "), F.lit(".")),
+    ]
+    return incidents.join(rules, "incident_key").select("incident_key", F.concat_ws("\n", *lines).alias("note"))
+
+
 def current_state(changes: DataFrame, key: str, *fields: str) -> DataFrame:
     """The latest value of each field of a change log (order column at); a null leaves the field as it was."""
     return changes.groupBy(key).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col("at"))).alias(f) for f in fields])

@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import newest_of
+
 #: Words that searches leave out.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with"]
 SEARCHED = ["event_id", "action", "user_name", "host", "src_ip", "source", "command_line"]
@@ -31,7 +33,7 @@ def source_health(events: DataFrame) -> DataFrame:
 
 def entity_profile(rows: DataFrame, newest: int = 25) -> DataFrame:
     """Per entity, over its newest events: how many, first and last time, and distinct actions and categories."""
-    last = rows.withColumn("_r", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("us"), F.desc("seq")))).where(F.col("_r") <= newest)
+    last = newest_of(rows, ["entity"], [F.desc("us"), F.desc("seq")], newest)
     return last.groupBy("entity").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.concat_ws(",", F.array_sort(F.collect_set("action"))).alias("actions"), F.concat_ws(",", F.array_sort(F.collect_set("category"))).alias("categories"))
 
 
@@ -95,8 +97,37 @@ def seal_summary(log: DataFrame) -> DataFrame:
 def open_incidents(stored: DataFrame, entities: list[str], newest: int = 500) -> DataFrame:
     """Per tenant, the newest open incidents that share one of the entities (a top-k report)."""
     rows = stored.where(F.col("status").isin("open", "investigating") & F.arrays_overlap("entities", F.array(*map(F.lit, entities))))
-    last = Window.partitionBy("tenant").orderBy(F.desc("last_us"), "incident_key")
-    return rows.withColumn("place", F.row_number().over(last)).where(F.col("place") <= newest)
+    return newest_of(rows, ["tenant"], [F.desc("last_us"), F.asc("incident_key")], newest)
+
+
+def search_incidents(stored: DataFrame, text: str | None = None, entity: str | None = None, status: str | None = None, newest: int = 50) -> DataFrame:
+    """Incidents (incident_key, title, severity, status, entities, kill_chain) by case-insensitive LIKE over their fields, part of an entity and status: the highest risk first, then the newer (a top-k report)."""
+    data = F.to_json(F.struct("entities", "kill_chain"))
+    fields = [F.col("incident_key"), F.col("title"), F.col("severity").cast("string"), data]
+    tests = [reduce(or_, [f.ilike(f"%{text}%") for f in fields])] if text else []
+    tests += [data.ilike(f"%{entity}%")] if entity else []
+    tests += [F.col("status") == status] if status else []
+    found = stored.where(reduce(lambda a, b: a & b, tests, F.lit(True)))
+    return found.orderBy(F.desc("risk_score"), F.desc("first_us"), "incident_key").limit(newest)
+
+
+def incident_bundle(incidents: DataFrame, members: DataFrame, proposals: DataFrame, log: DataFrame) -> DataFrame:
+    """All that is stored about each incident: a row (incident_key, part, ref, told) for its findings, their events, its proposals and its latest decision in a log (incident_key, decision, at)."""
+    row = lambda df, part, ref, told: df.select("incident_key", F.lit(part).alias("part"), ref.cast("string").alias("ref"), told.cast("string").alias("told"))
+    own = members.join(incidents.select("incident_key"), "incident_key", "left_semi")
+    latest = log.groupBy("incident_key").agg(F.max_by("decision", "at").alias("decision"), F.max("at").alias("at"))
+    parts = [
+        row(own, "finding", F.col("finding_id"), F.col("rule_id")),
+        row(own.select("incident_key", "event_id").distinct(), "event", F.col("event_id"), F.lit("")),
+        row(proposals, "proposal", F.concat_ws(" ", "action", "target"), F.when(F.col("approval_required"), "approval").otherwise("free")),
+        row(latest.join(incidents.select("incident_key"), "incident_key", "left_semi"), "decision", F.col("at"), F.col("decision")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def audit_list(log: DataFrame, newest: int = 100) -> DataFrame:
+    """The newest audit rows of each tenant (a top-k report)."""
+    return newest_of(log, ["tenant"], [F.desc("seq")], newest)
 
 
 def incident_documents(incidents: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Running sums over arrival order that no single key can overload."""
+"""Running sums and newest rows by key that no single key can overload."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of the arrival order in one bucket.
@@ -27,3 +27,10 @@ def sum_before(rows: DataFrame, keys: list[str], value: str, name: str, order: s
     inner = F.coalesce(F.sum(value).over(Window.partitionBy(*keys, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     joined = rows.withColumn("_inner", inner).join(totals, same)
     return joined.withColumn(name, F.col("_before") + F.col("_inner")).drop("_bucket", "_b", "_before", "_inner", *[f"_k{i}" for i in range(len(keys))])
+
+
+def newest_of(rows: DataFrame, keys: list[str], order: list[Column], newest: int, salts: int = 32) -> DataFrame:
+    """The first `newest` rows of each key in the given order, with place (from 1): a busy key is first cut in salted parts."""
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    few = salted.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("place") <= newest)
+    return few.drop("_salt").withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= newest)

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rules import RULES
+from ..operators.detection import evaluate
 from ..sources import events as view
 from ..streaming import jobs
+from .detection import SQL as INCIDENT_SQL
+from .detection import _incidents, _status
 
 DAY = 86_400_000_000
 
@@ -40,8 +44,15 @@ def stream_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.drained(jobs.novelty(rows, "entity", "action"))
 
 
-QUERIES = [stream_health, stream_redelivery, stream_sessions, stream_repeats, stream_novelty]
+def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings that arrive, late ones too, and join the stored incidents of which those below a risk of 40 are closed."""
+    stored = _incidents(spark, sf_dir).withColumn("status", _status(F.col("risk_score")))
+    return jobs.merged_findings(evaluate(_stream(spark, sf_dir), RULES), stored, "merge").where("fate = 'merged'").select("finding_id", "incident_key")
+
+
+QUERIES = [stream_merge, stream_health, stream_redelivery, stream_sessions, stream_repeats, stream_novelty]
 SQL = {
+    "stream_merge": f"SELECT finding_id, incident_key FROM ({INCIDENT_SQL['incident_merge_closed']}) WHERE fate = 'merged'",
     "stream_health": f"WITH {view.V} SELECT us // {DAY} * {DAY} AS start_us, coalesce(source, 'unknown') AS source, count(*) AS n, max(us) AS last_us FROM v GROUP BY 1, 2",
     "stream_redelivery": f"WITH {view.V} SELECT source, count(*) AS n, count(*) AS ids FROM v GROUP BY 1",
     "stream_sessions": f"""WITH {view.X}, g AS (SELECT entity, us, CASE WHEN us - lag(us) OVER (PARTITION BY entity ORDER BY us) <= {DAY} THEN 0 ELSE 1 END AS s FROM x WHERE outcome = 'failure'),

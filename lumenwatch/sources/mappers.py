@@ -50,7 +50,7 @@ def github(df: DataFrame, *keep: str) -> DataFrame:
     raw = F.coalesce(at("@timestamp"), at("created_at"))
     number = raw.try_cast("double")
     seconds = F.when(number > 1e12, number / 1000).otherwise(number)
-    return _mapped(df, keep, user_name=at("actor"), src_ip=at("actor_ip"), action=at("action"), category=F.lit("application"), outcome=F.lit("success"), resource=F.coalesce(at("repo"), at("org")), ts_text=F.coalesce(seconds.cast("string"), raw))
+    return _mapped(df, keep, user_name=at("actor"), src_ip=at("actor_ip"), action=at("action"), category=F.lit("application"), outcome=F.lit("success"), resource=F.coalesce(at("repo"), at("org")), ts_text=F.coalesce(seconds.cast("decimal(20,3)").cast("string"), raw))
 
 
 def entra(df: DataFrame, *keep: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import incidents
 from ..operators.graph import scratch
 
 
@@ -56,6 +57,20 @@ def sessions(stream: DataFrame, key: str, gap: str = "24 hours") -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us")).select(key, "n", "first_us", "last_us")
 
 
+def merged_findings(stream: DataFrame, stored: DataFrame, path: str) -> DataFrame:
+    """Findings of each micro-batch with the stored open incident that they join, late ones too; the rest correlate among their batch. Each batch replaces its own output."""
+    spark = stream.sparkSession
+    where, current = f"{scratch(spark)}/{path}-{uuid.uuid4().hex}", stored.select("incident_key", "status")
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        found = batch.dropDuplicates(["finding_id"])
+        out = incidents.settled(incidents.merge_targets(stored, found), current, found)
+        out.select("finding_id", "incident_key", "fate").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{where}/out/batch_id={batch_id}")
+
+    stream.writeStream.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.schema("finding_id string, incident_key string, fate string, batch long").parquet(f"{where}/out").drop("batch_id")
+
+
 def _stateful(stream: DataFrame, keys: list[str], step: Callable, output: str, state: str) -> DataFrame:
     return stream.groupBy(*keys).applyInPandasWithState(step, output, state, "append", GroupStateTimeout.NoTimeout)
 

@@ -156,3 +156,80 @@ def test_rules_fire_and_stay_silent(spark):
     df = spark.createDataFrame([(1, "process", "x", "success", "u", "h", "1.1.1.1", None, "cmd.exe /c -enc A", "cmd.exe"), (2, "dns", "y", "success", "u", "h", None, None, None, None)], "event_id int, category string, action string, outcome string, user_name string, host string, src_ip string, cloud_account string, command_line string, process_name string")
     assert [(r.event_id, r.rule_id) for r in detection.hits(df, RULES).collect()] == [(1, "SEED-EXEC-1")]
     assert behaviour.POINTS["burst"] == 25 and events.value_of is not None
+
+
+def test_cef_syslog_and_their_mixture(spark):
+    texts = [
+        "CEF:0|v|p|1|9|login ok|7|src=1.2.3.4 rt=1700000000 duser=bob suser=al dhost=h2 shost=h1 msg=password accepted a\\=b",
+        "<38>Jan  2 03:04:05 box sshd[1]: Failed password for invalid user root from 9.8.7.6 port 22",
+        "<11>1 2024-01-02T03:04:05Z h app 1 ID1 - CEF:0|v|p|1|9|virus blocked|12|shost=q suser=z",
+        '[{"user": "a"}, {"user": "b", "severity": 0, "level": "High", "risk": 1}]',
+        '{"severity": 95, "time": 1700000000, "Product": "WIN", "file.hash": "x"}',
+        "<165>1 2024-01-02T03:04:05Z - - 1 ID1 - hello",
+        "CEF:0|v|p|1|9|x||act=y",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq int, line string")
+    got = normalize.normalized(lines.records(df), F.lit("2024-06-01").cast("timestamp_ntz")).orderBy("seq", "user_name").collect()
+    seen = [(r.seq, r.format, r.source, r.user_name, r.host, r.src_ip, r.outcome, r.severity, str(r.ts)[:10], r.ts_defaulted) for r in got]
+    assert seen == [
+        (0, "cef", "v", "al", "h2", "1.2.3.4", "unknown", 75, "2023-11-14", False),
+        (1, "syslog", "unknown", "root", "box", "9.8.7.6", "failure", 25, "2024-01-02", False),
+        (2, "syslog+cef", "v", "z", "q", None, "failure", 100, "2024-01-02", False),
+        (3, "json", "unknown", "a", None, None, "unknown", 0, "2024-06-01", True),
+        (3, "json", "unknown", "b", None, None, "unknown", 75, "2024-06-01", True),
+        (4, "json", "WIN", None, None, None, "unknown", 100, "2023-11-14", False),
+        (5, "syslog", "unknown", None, None, None, "unknown", 25, "2024-01-02", False),
+        (6, "cef", "v", None, None, None, "unknown", 0, "2024-06-01", True),
+    ]
+    assert got[5].hashes == "x" and got[5].log_product == "win"
+
+
+def test_bursts_by_blocks_equal_one_window(spark):
+    import random
+
+    rng = random.Random(3)
+    us = [0]
+    for _ in range(1499):
+        us.append(us[-1] + rng.choice([1, 5, 40, -3]))
+    rows = spark.createDataFrame([(i, i + 1, "user:a" if i % 7 else "user:b", t) for i, t in enumerate(us)], "event_id long, seq long, entity string, us long")
+    got = {r.event_id: r.in_window for r in behaviour.burst(rows, 60, block=300).collect()}
+    want = {}
+    for e in ("user:a", "user:b"):
+        own = [(i, t) for i, t in enumerate(us) if ("user:a" if i % 7 else "user:b") == e]
+        for k, (i, t) in enumerate(own):
+            n = 1 + sum(x >= t - 60 for _, x in own[max(0, k - 256) : k])
+            if n >= 8:
+                want[i] = n
+    assert got == want and len(want) > 100
+
+
+def test_identities_by_every_key(spark):
+    rows = [(1, "Ann", None, "ann@x.org", "yes", None), (2, None, "ann", "other@x.org", None, "Disabled"), (3, "bob", None, "ann@y.org", None, "active"), (4, None, None, "zed@x.org", None, None), (5, None, None, "zed@y.org", "no", None)]
+    index = context.identity_index(spark.createDataFrame(rows, "position int, username string, user string, email string, privileged string, status string").withColumn("criticality", F.lit("low")))
+    got = {r.key: r.position for r in index.collect()}
+    assert got == {"ann": 2, "bob": 3, "ann@x.org": 1, "other@x.org": 2, "other": 2, "ann@y.org": 3, "zed@x.org": 4, "zed@y.org": 5, "zed": 4}
+    who = spark.createDataFrame([("user:ANN",), ("user:bob",), ("user:zed",), ("host:ann",)], "entity string")
+    found = {r.entity: (r.criticality, r.tags) for r in context.identity_context(who, index).collect()}
+    assert found == {"user:ANN": ("critical", ["disabled-account"]), "user:bob": ("low", []), "user:zed": ("low", [])}
+
+
+def test_newest_rows_and_closed_targets(spark):
+    rows = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").alias("t"))
+    got = windows.newest_of(rows, ["k"], [F.desc("t")], 3).orderBy("k", "place").collect()
+    assert [(r.k, r.t, r.place) for r in got] == [(0, 998, 1), (0, 996, 2), (0, 994, 3), (1, 999, 1), (1, 997, 2), (1, 995, 3)]
+    found = findings(spark, [("a", ["user:x"], 0), ("b", ["user:y"], 0), ("c", ["user:y"], HOUR), ("d", [], 0)])
+    targets = spark.createDataFrame([("a", "i1"), ("b", "i2"), ("c", "i2")], "finding_id string, incident_key string")
+    current = spark.createDataFrame([("i1", "open"), ("i2", "closed")], "incident_key string, status string")
+    assert {r.finding_id: (r.incident_key, r.fate) for r in incidents.settled(targets, current, found).collect()} == {"a": ("i1", "merged"), "b": ("b", "fresh"), "c": ("b", "fresh"), "d": ("d", "fresh")}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://head:7077"
+
+    with pytest.raises(RuntimeError):
+        graph.scratch(Session)
