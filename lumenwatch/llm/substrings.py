@@ -29,13 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BASE, Rolling, WordHashes, columns, partitions, save, texts
 from .fmindex import FMIndex
 
-WINDOW, GRAM, SHARD_WORDS = 50, 8, 300_000
+WINDOW, GRAM, SHARD_WORDS, HEAVY = 50, 8, 300_000, 1000
 SECOND = 0xD1342543DE82EF95  # the other hash's multiplier
 
 
@@ -255,20 +255,27 @@ def _fetched(docs: DataFrame, classes: DataFrame, window: int) -> DataFrame:
     return hashed(docs).join(wanted, ["doc_id", "t"]).mapInArrow(run, f"anchor long, h1 long, h2 long, doc_id {kind}, ts array<long>, starts array<int>, words binary, k long")
 
 
+def _with(rows: DataFrame, keys: DataFrame, total: Column, *on: str) -> DataFrame:
+    """rows joined with keys (with their numbers of rows): those of more than 1 / HEAVY of the total, HEAVY at most, are broadcast."""
+    heavy = F.broadcast(keys.where(F.col("rows") * HEAVY > total).drop("rows"))
+    return rows.join(heavy, list(on)).unionByName(rows.join(heavy, list(on), "left_anti").join(keys.drop("rows"), list(on)))
+
+
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, t, start, windows): runs of windows that a smaller document holds; word places start .. start + windows + window - 2."""
     every = save(segments(docs, window), "segments")
-    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    some = save(every.join(shared, "anchor"), "shared")
+    total = F.lit(every.count())
+    shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("rows")).where("lo < hi").drop("lo", "hi")
+    some = save(_with(every, save(shared, "anchors"), total, "anchor"), "shared")
     first = F.min(F.struct("doc_id", "start", "t", "windows")).alias("m")
     far = F.min(F.struct("doc_id", (-F.col("start")).alias("back"), F.bitwise_not("t").alias("not_t"))).alias("f")  # its last place in its smallest document
-    classes = some.groupBy("h1", "h2").agg(first, far, F.max("doc_id").alias("last"), F.first("anchor").alias("anchor"))
+    classes = some.groupBy("h1", "h2").agg(first, far, F.max("doc_id").alias("last"), F.first("anchor").alias("anchor"), F.count("*").alias("rows"))
     once = ((F.col("f.back") == -F.col("m.start")) & (F.col("f.not_t") == F.bitwise_not("m.t"))).alias("once")
-    classes = save(classes.select("anchor", "h1", "h2", "m.doc_id", "m.t", "m.start", "m.windows", once, "last"), "classes")
-    copied = classes.where("doc_id < last").select("h1", "h2", F.col("doc_id").alias("first_id"))
-    whole = some.join(copied, ["h1", "h2"]).where("doc_id > first_id").select("doc_id", "t", "start", "windows")
+    classes = save(classes.select("anchor", "h1", "h2", "m.doc_id", "m.t", "m.start", "m.windows", once, "last", "rows"), "classes")
+    copied = classes.where("doc_id < last").select("h1", "h2", F.col("doc_id").alias("first_id"), "rows")
+    whole = _with(some, copied, total, "h1", "h2").where("doc_id > first_id").select("doc_id", "t", "start", "windows")
     mixed = classes.groupBy("anchor").agg(F.count("*").alias("k"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("k > 1 AND lo < hi").select("anchor", "k")
-    open_ = classes.drop("last").join(mixed, "anchor")
+    open_ = classes.drop("last", "rows").join(mixed, "anchor")
     single = open_.where("once").select("anchor", "h1", "h2", "doc_id", "windows", "k", F.array("t").alias("ts"), F.array("start").alias("starts"))
     again = some.select("h1", "h2", "doc_id", "t", "start").join(open_.where("NOT once").drop("t", "start", "once"), ["h1", "h2", "doc_id"])
     places = F.sort_array(F.collect_set(F.struct("t", "start")))
