@@ -40,6 +40,49 @@ def test_mixtures_and_defined_cases(spark, docs, rows, none):
     assert len(language.identify(docs, language.learn(docs), "spans").collect()) == len(rows)
 
 
+def test_mixtures_equal_the_rule_written_out(spark):
+    """Counts, expectation-maximisation and the choice of languages in plain loops; with null ids and repeated rows."""
+    train = [("en", "the cat and the dog " * 9), ("de", "der hund und die katze " * 7), ("fr", "le chat et le chien " * 8), ("de", "noch ein satz"), (None, "not read")]
+    texts = ["the hund", "le chien and the katze und der chat " * 3, "die katze " * 20, "xyz", "a", "ÄÖ straße", None, "12 !", ""]
+    rows = [(i if i != 3 else None, t) for i, t in enumerate(texts)] + [(1, texts[1]), (1, texts[0])]
+    seen = {}
+    for lang, t in train:
+        if lang:
+            for g in language.grams(t).tolist():
+                seen.setdefault(lang, Counter())[g] += 1
+    chance = {x: (lambda g, c=c, n=sum(c.values()): (c[g] + language.SMOOTHING) / (n + language.SMOOTHING * language.BUCKETS)) for x, c in seen.items()}
+
+    def fitted(langs, grams):
+        share = dict.fromkeys(langs, 1 / len(langs))
+        for _ in range(language.ROUNDS if len(langs) > 1 else 0):
+            new = dict.fromkeys(langs, 0.0)
+            for g in grams:
+                whole = sum(share[x] * chance[x](g) for x in langs)
+                for x in langs:
+                    new[x] += share[x] * chance[x](g) / whole
+            share = {x: v / len(grams) for x, v in new.items()}
+        return share, sum(math.log(sum(share[x] * chance[x](g) for x in langs)) for g in grams)
+
+    def told(text):
+        if not text or not any(c.isalpha() for c in text):
+            return ("und", 0.0, ())
+        grams = language.grams(text).tolist()
+        share, _ = fitted(sorted(seen), grams)
+        order = sorted(seen, key=lambda x: (-share[x], x))
+        best, value = fitted(order[:1], grams)
+        for k in (2, 3):
+            more, gain = fitted(order[:k], grams)
+            if gain - value <= language.PENALTY * math.log(max(2, len(grams))):
+                break
+            best, value = more, gain
+        first = max(best, key=lambda x: best[x])
+        return (first, round(best[first], 9), tuple(sorted(best)))
+
+    model = language.learn(spark.createDataFrame(train, "lang string, text string"))
+    got = language.identify(spark.createDataFrame(rows, "doc_id int, text string"), model).collect()
+    assert Counter((r.doc_id, r.lang_pred, round(r.score, 9), tuple(sorted(r.languages))) for r in got) == Counter((d, *told(t)) for d, t in rows)
+
+
 def all_ways(word, tokens, logs, spelled):
     """Probability of all segmentations, one by one."""
     text, total = lattice.MARK + word, 0.0

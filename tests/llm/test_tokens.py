@@ -143,5 +143,7 @@ def test_files_give_back_ids_in_order(spark, docs, rows, none, tmp_path):
         at += r.n_tokens
     known = [r.doc_id for r in sorted(out, key=lambda r: r.start) if r.doc_id is not None]
     assert known == sorted(known)
+    with pytest.raises(TypeError):
+        huffman.write(docs.selectExpr("cast(doc_id AS string) AS doc_id", "text"), f"file://{tmp_path}/text")
     huffman.write(none, f"file://{tmp_path}/none")
     assert huffman.read(spark, f"file://{tmp_path}/none").count() == 0
