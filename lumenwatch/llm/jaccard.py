@@ -38,16 +38,17 @@ from .common import Rolling, WordHashes, columns, components, mixed, partitions,
 from .tokens import tokenizer_of
 
 #: Text bytes in a block whose frequencies are counted; least count in a block; most frequent shingles kept.
-BLOCK_BYTES, FREQUENT, KEPT = 24 << 20, 4, 200_000
+BLOCK_BYTES, FREQUENT, KEPT = 12 << 20, 4, 200_000
 #: Prefix entries a fragment aims at; entries gathered before they are dealt to fragments.
-FRAGMENT, HELD, PARTS, BITS = 500_000, 1_000_000, 4, 4096
+FRAGMENT, HELD, PARTS, BITS = 250_000, 500_000, 4, 4096
 #: Shares that make a class a hot key; places for its sets; classes whose parities a task remembers having sent.
-HEAVY, SALTS, SENT = 1000, 32, 200_000
+HEAVY, SALTS, SENT = 1000, 32, 20_000
 
 
 class Shingler:
     def __init__(self, width: int):
-        tokenizer_of.cache_clear()  # a worker that tokenized before gives its memory back
+        tokenizer_of.cache_clear()  # a worker that did other work before gives its memory back
+        pa.default_memory_pool().release_unused()
         self.width, self.words, self.rolling = width, WordHashes(), Rolling()
 
     def of(self, text: bytes) -> np.ndarray:
