@@ -38,7 +38,8 @@ from .common import Rolling, WordHashes, columns, components, mixed, partitions,
 from .tokens import tokenizer_of
 
 #: Text bytes in a block whose frequencies are counted; least count in a block; most frequent shingles kept.
-BLOCK_BYTES, FREQUENT, KEPT = 12 << 20, 4, 200_000
+#: A shingle that b of B blocks hold twice is known, so one of frequency f is missed only while f * f is small beside 2 * B.
+BLOCK_BYTES, FREQUENT, KEPT = 12 << 20, 2, 1_000_000
 #: Prefix entries a fragment aims at; entries gathered before they are dealt to fragments.
 FRAGMENT, HELD, PARTS, BITS = 250_000, 500_000, 4, 4096
 #: Shares that make a class a hot key; places for its sets; classes whose parities a task remembers having sent.
@@ -99,11 +100,12 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                 u = shingles.of(t)
                 rows.append((len(u), *(key := class_key(u))))
                 bits.append(None if key in sent else parity(u))
+                if key not in sent:  # copies are one class to the join, so they count once
+                    held.append(u)
+                    size += len(t)
                 sent.add(key)
                 if len(sent) > SENT:
                     sent.clear()
-                held.append(u)
-                size += len(t)
                 if size >= BLOCK_BYTES:
                     yield frequent()
                     held, size = [], 0
