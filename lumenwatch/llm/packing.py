@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import columns, partitions, save, texts
 from .tokens import default_path, tokenizer_of
 
+#: Chunks a worker remembers where it also holds ids for its output, so that the executor's JVM has the rest.
+KNOWN_WITH_IDS = 500_000
+
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096, end: int = 1, with_ids: bool = True) -> DataFrame:
     """Token pieces of at most `capacity` ids: doc_id, piece, start, length, ids_crc32 and, if asked, ids."""
@@ -35,7 +38,8 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 4096,
     docs = texts(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokenizer_of(path)
+        coder = tokenizer_of(path, KNOWN_WITH_IDS) if with_ids else tokenizer_of(path)
+        pa.default_memory_pool().release_unused()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)

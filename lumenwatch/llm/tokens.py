@@ -16,9 +16,9 @@ def default_path() -> str:
 
 
 @lru_cache(maxsize=2)
-def tokenizer_of(path: str) -> WordTokenizer:
+def tokenizer_of(path: str, limit: int = 1_200_000) -> WordTokenizer:
     """One for each Python worker, so that tasks share the chunks it has seen."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, limit)
 
 
 class _Numbers(dict):
@@ -31,14 +31,14 @@ class WordTokenizer:
     """Encodes texts with the tokenizers library, each distinct blank-separated chunk once.
 
     word_bpe_49k lower-cases, drops white space and never joins characters across it, so a text's ids
-    are its chunks' ids in order (tests compare with encoding whole texts). Chunks kept: at most LIMIT.
+    are its chunks' ids in order (tests compare with encoding whole texts). Chunks kept: at most limit.
     """
 
-    LIMIT = 1_200_000
     #: Chunks in one call. A chunk of letters, or of letters and one of these marks, has 1 or 2 tokens that end a word.
     GROUP, MARKS = 400, frozenset(".,;:?")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 1_200_000):
+        self.limit = limit
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -80,7 +80,7 @@ class WordTokenizer:
 
     def encode(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and each text's number of ids; end closes each text."""
-        if len(self.numbers) > self.LIMIT:
+        if len(self.numbers) > self.limit:
             self.clear()
         known, number = len(self.numbers), self.numbers.__getitem__
         parts = [np.fromiter(map(number, w := t.lower().split()), np.int64, len(w)) for t in texts]
