@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,15 @@ SCOPES = [
     ("private", ["0.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31", "192.168.0.0/16", "198.18.0.0/15", "240.0.0.0/4"]),
     ("reserved", ["100.64.0.0/10"]),
 ]
+#: The same for IPv6, tested in this order; an address in none of them is public, an IPv4-mapped one has its IPv4 address's scope.
+SCOPES6 = [
+    ("loopback", ["::1/128"]),
+    ("link-local", ["fe80::/10"]),
+    ("multicast", ["ff00::/8"]),
+    ("documentation", ["2001:db8::/32"]),
+    ("public", ["2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28"]),
+    ("private", ["::/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2002::/16", "fc00::/7"]),
+]
 
 
 def cidr_range(cidr: str) -> tuple[int, int]:
@@ -45,18 +55,47 @@ def ip_scope(number: Column) -> Column:
     return out.otherwise("public")
 
 
+def ipv6_digits(text: Column) -> Column:
+    """The 32 hexadecimal digits of an IPv6 address, with `::` and an IPv4 tail written out; null if it is none."""
+    tail = F.regexp_extract(text, r":([0-9]+\.[0-9.]+)$", 1)
+    last = F.lpad(F.hex(ipv4(tail)), 8, "0")
+    text = F.lower(F.when(tail == "", text).otherwise(F.concat(F.regexp_replace(text, r"[0-9.]+$", ""), F.substring(last, 1, 4), F.lit(":"), F.substring(last, 5, 4))))
+    sides = F.split(text, "::")
+    groups = lambda side: F.when(side == "", F.array().cast("array<string>")).otherwise(F.split(side, ":"))
+    a, b = groups(F.try_element_at(sides, F.lit(1))), groups(F.coalesce(F.try_element_at(sides, F.lit(2)), F.lit("")))
+    left = F.lit(8) - F.size(a) - F.size(b)
+    whole = F.when(F.size(sides) == 1, left == 0).when(F.size(sides) == 2, left >= 1).otherwise(False)
+    digits = lambda g: F.array_join(F.transform(g, lambda x: F.lpad(x, 4, "0")), "")
+    valid = whole & F.forall(F.concat(a, b), lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(valid, F.concat(digits(a), F.repeat(F.lit("0000"), left), digits(b)))
+
+
+def ip6_scope(digits: Column) -> Column:
+    mapped = F.lit("0" * 20 + "ffff")
+    out = F.when(digits.isNull(), None).when(F.substring(digits, 1, 24) == mapped, ip_scope(F.conv(F.substring(digits, 25, 8), 16, 10).cast("long")))
+    for scope, cidrs in SCOPES6:
+        for net in map(ipaddress.IPv6Network, cidrs):
+            out = out.when(digits.between(f"{int(net[0]):032x}", f"{int(net[-1]):032x}"), scope)
+    return out.otherwise("public")
+
+
+def scope_of(text: Column) -> Column:
+    """The scope of an IPv4 or IPv6 address; null if the text is neither."""
+    return F.coalesce(ip_scope(ipv4(text)), ip6_scope(ipv6_digits(text)))
+
+
 def named_ranges(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """addresses (ip) with labels of all named ranges (label, prefix, net) that hold them, sorted.
 
     An equi-join on (prefix length, leading bits): each address is cut once for each prefix length in use
-    (33 at most), so a large range table needs no range comparison.
+    (33 at most), so a large range table needs no range comparison. Ranges are IPv4; scopes are of both kinds.
     """
     lengths = [r[0] for r in ranges.select("prefix").distinct().collect()]  # at most 33
     cuts = F.explode(F.array(*[F.struct(F.lit(p).alias("prefix"), F.shiftright(F.col("ip_number"), 32 - p).alias("net")) for p in lengths]))
     rows = addresses.select("ip").distinct().withColumn("ip_number", ipv4(F.col("ip"))).where("ip_number IS NOT NULL")
     found = rows.withColumn("cut", cuts).select("ip", "cut.prefix", "cut.net").join(ranges, ["prefix", "net"])
     found = found.groupBy("ip").agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    out = addresses.join(found, "ip", "left").withColumn("scope", ip_scope(ipv4(F.col("ip"))))
+    out = addresses.join(found, "ip", "left").withColumn("scope", scope_of(F.col("ip")))
     unknown = F.when(F.col("scope") == "public", F.array(F.lit("unknown-external"))).otherwise(F.array().cast("array<string>"))
     return out.withColumn("labels", F.coalesce("labels", unknown))
 

@@ -5,12 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Dollars for a million input and output tokens.
+PRICES = (0.042, 0.0)
+
 
 def accuracy(rows: DataFrame, *keys: str) -> DataFrame:
     same = (F.lower(F.col("expected").cast("string")) == F.lower(F.col("predicted").cast("string"))).cast("double")
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(same).alias("accuracy"), F.avg(F.col("fallback").cast("double")).alias("fallback_rate"))
 
 
+def usage(rows: DataFrame, *keys: str, prices: tuple[float, float] = PRICES) -> DataFrame:
+    """Cases, rates of errors and fallbacks, token sums, and their cost in dollars (null where no tokens are reported)."""
+    rate = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    tokens = [F.coalesce(F.sum(c), F.lit(0)).cast("long") for c in ("input_tokens", "output_tokens")]
+    out = rows.groupBy(*keys).agg(F.count("*").alias("cases"), rate(F.col("error")).alias("error_rate"), rate(F.col("fallback")).alias("fallback_rate"), tokens[0].alias("input_tokens"), tokens[1].alias("output_tokens"))
+    cost = F.col("input_tokens") / 1e6 * prices[0] + F.col("output_tokens") / 1e6 * prices[1]
+    return out.withColumn("cost_usd", F.when(F.col("input_tokens") + F.col("output_tokens") > 0, cost))
+
+
 def confusion(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, F.col("expected").cast("string").alias("expected"), F.col("predicted").cast("string").alias("predicted")).agg(F.count("*").alias("n"))
 

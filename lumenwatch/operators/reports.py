@@ -87,3 +87,16 @@ def runbook_steps(incidents: DataFrame, runbooks: DataFrame) -> DataFrame:
     rows = used.join(F.broadcast(runbooks), "technique").withColumn("targets", F.filter("entities", lambda e: F.substring_index(e, ":", 1) == F.col("kind")))
     rows = rows.select("incident_key", "action", F.explode_outer("targets").alias("target"), F.when(F.size("targets") == 0, F.concat(F.lit("no "), "kind", F.lit(" in scope"))).alias("dropped"))
     return rows.distinct()
+
+
+def step_confidence(severity: Column, findings: Column) -> Column:
+    """How well a runbook fits: half, a quarter by severity, and 0.05 for each of up to three findings; 0.90 at most, to two places."""
+    return F.least(F.rint(F.lit(50) + severity / 4 + F.least(findings, F.lit(3)) * 5), F.lit(90.0)) / 100
+
+
+def runbook_additions(steps: DataFrame, incidents: DataFrame, proposed: DataFrame) -> DataFrame:
+    """Steps of runbook_steps() that have a target and aren't proposed for the incident yet, with their confidence. A sub-technique as target is its parent."""
+    same = F.when(F.col("target").rlike(r"^T\d{4}\.\d{3}$"), F.substring_index("target", ".", 1)).otherwise(F.col("target"))
+    wanted = steps.where("target IS NOT NULL").select("incident_key", "action", same.alias("target")).distinct()
+    fresh = wanted.join(proposed.select("incident_key", "action", same.alias("target")), ["incident_key", "action", "target"], "left_anti")
+    return fresh.join(incidents.select("incident_key", step_confidence(F.col("severity"), F.col("findings")).alias("confidence")), "incident_key")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 from operator import or_
 
@@ -89,6 +90,23 @@ def verify_chain(log: DataFrame) -> DataFrame:
     return rows.select("seq", problem.alias("problem")).where("problem IS NOT NULL")
 
 
+def seal(key: bytes, text: Column) -> Column:
+    """HMAC-SHA256 of the text under the key, in lower-case hexadecimal digits."""
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda x: F.lit(bytes(b ^ x for b in key))
+    inner = F.sha2(F.concat(pad(0x36), text.cast("binary")), 256)
+    return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
+
+
+def verify_seals(log: DataFrame, key: bytes) -> DataFrame:
+    """Rows of a log (seq, hash, mac) whose mac isn't their hash's seal, or that have none although an earlier row has one."""
+    sealed = F.coalesce("mac", F.lit("")) != ""
+    first = log.where(sealed).agg(F.min("seq").alias("_first"))  # one row
+    rows = log.crossJoin(F.broadcast(first))
+    problem = F.when(sealed & (F.col("mac") != seal(key, F.coalesce("hash", F.lit("")))), "mac").when(~sealed & (F.col("seq") > F.col("_first")), "unsigned")
+    return rows.select("seq", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def seal_summary(log: DataFrame) -> DataFrame:
     """Per tenant: rows of an audit log, and those with a seal."""
     return log.groupBy("tenant").agg(F.count("*").alias("total"), F.count("mac").alias("sealed"))

@@ -90,9 +90,9 @@ def audit_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of the four patterns that SQL has too, by source over all documents."""
+    """Hits of the five patterns that SQL has too, by source over all documents."""
     docs = _table(spark, sf_dir, "documents")
-    return docs.groupBy("source").agg(*[F.sum(c).alias(n) for n, c in redaction.hits(F.col("text")).items() if n in ("ipv4", "email", "ssn", "aws_key")])
+    return docs.groupBy("source").agg(*[F.sum(c).alias(n) for n, c in redaction.hits(F.col("text")).items() if n in ("ipv4", "email", "ssn", "ipv6", "aws_key")])
 
 
 def all_redaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,8 +170,8 @@ SELECT entity, count(*) AS n, min(us) AS first_us, max(us) AS last_us, string_ag
     "incident_timeline": f"""WITH RECURSIVE {INCIDENTS} SELECT incident_key, sf.us, 'finding' AS kind, finding_id AS ref, concat_ws(' ', v.action, 'by ' || v.user_name, 'on ' || v.host, 'from ' || v.src_ip) AS text FROM sf JOIN key USING (finding_id) JOIN v USING (event_id)
 UNION ALL SELECT incident_key, first_us, 'incident_created', incident_key, CASE WHEN others <= 0 THEN 'Suspicious activity involving ' || primary_entity ELSE 'Correlated activity involving ' || primary_entity || ' and ' || others || ' related entit' || CASE WHEN others = 1 THEN 'y' ELSE 'ies' END END FROM inc""",
     "audit_verification": f"WITH {V} SELECT seq, CASE WHEN contains(action, '_rare0') THEN 'payload' ELSE 'link' END AS problem FROM v WHERE contains(action, '_rare0') OR (outcome = 'failure' AND contains(action, '_rare1'))",
-    "redaction_audit": r"""SELECT source, CAST(sum(len(regexp_extract_all(text, '\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b'))) AS BIGINT) AS ipv4, CAST(sum(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'))) AS BIGINT) AS email,
-  CAST(sum(len(regexp_extract_all(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b'))) AS BIGINT) AS ssn, CAST(sum(len(regexp_extract_all(text, '\b(AKIA|ASIA)[A-Z0-9]{16}\b'))) AS BIGINT) AS aws_key FROM documents GROUP BY 1""",
+    "redaction_audit": r"""SELECT source, CAST(sum(len(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b'))) AS BIGINT) AS ipv4, CAST(sum(len(regexp_extract_all(text, '\b[\w.+-]+@[\w-]+\.[\w.]+\b'))) AS BIGINT) AS email, CAST(sum(len(regexp_extract_all(text, '\b\d{3}-\d{2}-\d{4}\b'))) AS BIGINT) AS ssn,
+  CAST(sum(len(regexp_extract_all(text, '\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b'))) AS BIGINT) AS ipv6, CAST(sum(len(regexp_extract_all(text, '\bAKIA[0-9A-Z]{16}\b'))) AS BIGINT) AS aws_key FROM documents GROUP BY 1""",
     "keyword_retrieval": f"""WITH q AS (SELECT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark), p0 AS (SELECT doc_id, unnest({_TOK}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM p0 GROUP BY ALL),
 w AS (SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM p GROUP BY 1), s AS (SELECT query_id, doc_id, round(sum(tf * idf), 6) AS score FROM q JOIN p USING (term) JOIN w USING (term) GROUP BY 1, 2)
 SELECT query_id, doc_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 5""",

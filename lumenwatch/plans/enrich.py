@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import compile_selection
 from ..functions.rules import RULES
-from ..operators import context, incidents, reports, search, suppression, triage
+from ..operators import context, incidents, quality, reports, search, suppression, triage
 from ..sources import mappers
 from ..sources.events import V, X, by_entity, security_events
 from .context import BUNDLE, _assets, _assets_sql, _table
 from .detection import INCIDENTS, _findings, _incidents, _members, _status
+from .reports import RUNBOOKS
+from .reports import SQL as REPORT_SQL
+
+SEAL_KEY = b"a key for this query's own chain"
+#: Starts of IPv6 addresses that a decimal number ends, and the scope of the whole.
+NETWORKS6 = [("fe80::", "link-local"), ("ff02::1:", "multicast"), ("2001:db8::", "documentation"), ("fd00:1::", "private"), ("2606:4700::", "public"), ("2001:20::", "public"), ("2001:0:0:0:0:0:0:", "private"), ("::ffff:10.0.0.", "private"), ("::ffff:", "public"), ("1::2::", "invalid"), ("1:2:3:4:5:6:7:8:", "invalid")]
 
 #: One selection for each predicate of the language, and the same test in SQL.
 PREDICATES = {
@@ -194,8 +200,48 @@ _state = "CASE WHEN risk_score >= 70 THEN 'open' WHEN risk_score >= 40 THEN 'inv
 _PROPOSED = """pr AS (SELECT incident_key, CASE split_part(target, ':', 1) WHEN 'user' THEN 'disable_user' WHEN 'host' THEN 'isolate_host' ELSE 'block_indicator' END AS action, target, split_part(target, ':', 1) <> 'ip' AS approval
   FROM (SELECT incident_key, unnest(entities) AS target FROM dec WHERE decision = 'containment_proposed') WHERE split_part(target, ':', 1) IN ('user', 'host', 'ip') UNION ALL SELECT incident_key, 'notify_channel', 'channel:soc-escalations', false FROM dec WHERE decision = 'escalate')"""
 
-QUERIES = [predicate_hits, identity_contexts, indicator_contexts, entity_contexts, incident_search, incident_bundles, audit_rows, case_notes, mapped_alerts, catalogues, suppression_state, proposals_left, technique_mentions]
+def runbook_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runbook steps that the proposals don't hold yet."""
+    rows = _incidents(spark, sf_dir)
+    books = spark.createDataFrame(RUNBOOKS, "runbook string, technique string, action string, kind string")
+    return reports.runbook_additions(reports.runbook_steps(rows, books), rows, triage.proposals(triage.decide(triage.confidence(rows))))
+
+
+def audit_seals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An audit chain sealed after its hundredth row, in which rows of one rare action carry the seal of another key and those of another lost theirs."""
+    log = search.audit_log(security_events(spark, sf_dir))
+    mac = F.when(F.col("payload").contains("_rare0"), search.seal(b"other", F.col("hash"))).otherwise(search.seal(SEAL_KEY, F.col("hash")))
+    return search.verify_seals(log.withColumn("mac", F.when((F.col("seq") > 100) & ~F.col("payload").contains("_rare1"), mac)), SEAL_KEY)
+
+
+def address6_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IPv6 addresses of the events' users in networks of every scope: events and distinct addresses by scope."""
+    prefix = F.element_at(F.array(*[F.lit(p) for p, _ in NETWORKS6]), (F.col("event_id") % len(NETWORKS6) + 1).cast("int"))
+    user = F.coalesce(F.substring("user_name", 2, 9).cast("long"), F.lit(0)) % 250
+    rows = security_events(spark, sf_dir).select(F.concat(prefix, user.cast("string")).alias("ip"))
+    return rows.groupBy(F.coalesce(context.scope_of(F.col("ip")), F.lit("invalid")).alias("scope")).agg(F.count("*").alias("n"), F.countDistinct("ip").alias("addresses"))
+
+
+def decision_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as decisions by language, that of English reporting no tokens."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    told = F.when(F.col("lang") != "en", F.col("n_chars"))
+    rows = docs.select("lang", (F.col("n_chars") % 11 == 0).alias("error"), (F.col("n_chars") < 300).alias("fallback"), told.alias("input_tokens"), (told % 7).alias("output_tokens"))
+    out = quality.usage(rows, "lang")
+    return out.select("lang", "cases", *[F.round(c, 9).alias(c) for c in ("error_rate", "fallback_rate")], "input_tokens", "output_tokens", F.round("cost_usd", 9).alias("cost_usd"))
+
+
+QUERIES = [runbook_additions, audit_seals, address6_scopes, decision_usage, predicate_hits, identity_contexts, indicator_contexts, entity_contexts, incident_search, incident_bundles, audit_rows, case_notes, mapped_alerts, catalogues, suppression_state, proposals_left, technique_mentions]
 SQL = {
+    "runbook_additions": f"""WITH RECURSIVE {INCIDENTS}, {_PROPOSED}, plan AS ({REPORT_SQL["runbook_plan"]})
+SELECT incident_key, action, target, least(round_even(50 + severity / 4.0::DOUBLE + least(findings, 3) * 5, 0), 90.0::DOUBLE) / 100 AS confidence FROM plan JOIN inc USING (incident_key)
+WHERE target IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pr WHERE pr.incident_key = plan.incident_key AND pr.action = plan.action AND pr.target = plan.target)""",
+    "audit_seals": f"""WITH {V}, s AS (SELECT seq, action, seq > 100 AND NOT contains(action, '_rare1') AS sealed FROM v)
+SELECT seq, CASE WHEN sealed THEN 'mac' ELSE 'unsigned' END AS problem FROM s WHERE (sealed AND contains(action, '_rare0')) OR (NOT sealed AND seq > (SELECT min(seq) FROM s WHERE sealed))""",
+    "address6_scopes": f"""WITH {V}, a AS (SELECT [{", ".join(f"'{p}'" for p, _ in NETWORKS6)}][event_id % {len(NETWORKS6)} + 1] || (coalesce(CAST(substr(user_name, 2) AS BIGINT), 0) % 250) AS ip, [{", ".join(f"'{s}'" for _, s in NETWORKS6)}][event_id % {len(NETWORKS6)} + 1] AS scope FROM v)
+SELECT scope, count(*) AS n, count(DISTINCT ip) AS addresses FROM a GROUP BY 1""",
+    "decision_usage": f"""WITH t AS (SELECT lang, n_chars, CASE WHEN lang <> 'en' THEN n_chars END AS told FROM documents), u AS (SELECT lang, count(*) AS cases, avg(CAST(n_chars % 11 = 0 AS DOUBLE)) AS e, avg(CAST(n_chars < 300 AS DOUBLE)) AS f, CAST(coalesce(sum(told), 0) AS BIGINT) AS i, CAST(coalesce(sum(told % 7), 0) AS BIGINT) AS o FROM t GROUP BY 1)
+SELECT lang, cases, round(e, 9) AS error_rate, round(f, 9) AS fallback_rate, i AS input_tokens, o AS output_tokens, CASE WHEN i + o > 0 THEN round(i / 1e6 * {quality.PRICES[0]}::DOUBLE + o / 1e6 * {quality.PRICES[1]}::DOUBLE, 9) END AS cost_usd FROM u""",
     "predicate_hits": f"WITH {V} " + " UNION ALL ".join(f"SELECT '{n}' AS predicate, count(*) FILTER ({t}) AS hits FROM v" for n, (_, t) in PREDICATES.items()),
     "identity_contexts": f"WITH {X}, {_IDENTITIES} SELECT entity, criticality, array_to_string(tags, ',') AS tags FROM ident",
     "indicator_contexts": f"WITH {X}, {_INTEL} SELECT * FROM intel",
