@@ -81,21 +81,22 @@ def ip6_scope(digits: Column) -> Column:
 
 def scope_of(text: Column) -> Column:
     """The scope of an IPv4 or IPv6 address; null if the text is neither."""
-    return F.coalesce(ip_scope(ipv4(text)), ip6_scope(ipv6_digits(text)))
+    once = lambda value, f: F.element_at(F.transform(F.array(value), f), 1)
+    return F.coalesce(ip_scope(ipv4(text)), once(once(text, ipv6_digits), ip6_scope))  # each value computed once, else the expression grows out of hand
 
 
 def named_ranges(addresses: DataFrame, ranges: DataFrame) -> DataFrame:
     """addresses (ip) with labels of all named ranges (label, prefix, net) that hold them, sorted.
 
     An equi-join on (prefix length, leading bits): each address is cut once for each prefix length in use
-    (33 at most), so a large range table needs no range comparison. Ranges are IPv4; scopes are of both kinds.
+    (33 at most), so a large range table needs no range comparison. IPv4 alone; scope_of() knows both kinds.
     """
     lengths = [r[0] for r in ranges.select("prefix").distinct().collect()]  # at most 33
     cuts = F.explode(F.array(*[F.struct(F.lit(p).alias("prefix"), F.shiftright(F.col("ip_number"), 32 - p).alias("net")) for p in lengths]))
     rows = addresses.select("ip").distinct().withColumn("ip_number", ipv4(F.col("ip"))).where("ip_number IS NOT NULL")
     found = rows.withColumn("cut", cuts).select("ip", "cut.prefix", "cut.net").join(ranges, ["prefix", "net"])
     found = found.groupBy("ip").agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    out = addresses.join(found, "ip", "left").withColumn("scope", scope_of(F.col("ip")))
+    out = addresses.join(found, "ip", "left").withColumn("scope", ip_scope(ipv4(F.col("ip"))))
     unknown = F.when(F.col("scope") == "public", F.array(F.lit("unknown-external"))).otherwise(F.array().cast("array<string>"))
     return out.withColumn("labels", F.coalesce("labels", unknown))
 
