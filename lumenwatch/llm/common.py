@@ -33,6 +33,15 @@ def columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
+#: Lower-cases A-Z and blanks every other ASCII character that isn't a letter or digit.
+_FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Runs of ASCII letters, digits and other characters beyond ASCII, only A-Z lower-cased."""
+    return text.translate(_FOLD).split()
+
+
 class WordHashes(dict):
     """64-bit hashes of words, kept for words seen again; emptied when it holds too many."""
 

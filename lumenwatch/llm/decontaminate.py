@@ -24,19 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, columns, mixed, texts
+from .common import BASE, columns, mixed, texts, words_of
 from .fmindex import FIRST, SEPARATOR, FMIndex
 
 SHARD_WORDS, BLOCK_BYTES = 3_000_000, 32 << 20
-#: Lower-cases A-Z and blanks every other ASCII character that isn't a letter or digit.
-_FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in bytes(range(256)).lower())
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_FOLD).split()
-
-
 class Windows:
     """The distinct windows of a block of benchmark items, by length: a place in the items' word numbers each, and its items.
 

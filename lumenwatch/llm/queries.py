@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, huffman, jaccard, language, lattice, neighbours, packing, pii, substrings, urls
+from . import decontaminate, huffman, jaccard, language, lattice, lexical, lines, neighbours, packing, pii, resample, substrings, urls
 from .common import scratch, table
 
 
@@ -57,9 +57,22 @@ def op3_fm_index_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11_bitsliced_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.deduplicate(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op13_bag_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_subword_lattice, op3_fm_index_substrings, op4_huffman_token_files, op5_fm_index_decontamination, op6_redirect_url_filter, op7_vertical_jaccard, op8_language_mixture, op9_projection_forest, op10_boosted_pii)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_subword_lattice, op3_fm_index_substrings, op4_huffman_token_files, op5_fm_index_decontamination, op6_redirect_url_filter, op7_vertical_jaccard, op8_language_mixture, op9_projection_forest, op10_boosted_pii, op11_bitsliced_resampling, op12_line_dedup, op13_bag_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_fm_index_substrings": substrings.SQL, "op5_fm_index_decontamination": decontaminate.SQL, "op6_redirect_url_filter": urls.SQL, "op7_vertical_jaccard": jaccard.SQL, "op9_projection_forest": neighbours.SQL}
+    return {"op3_fm_index_substrings": substrings.SQL, "op5_fm_index_decontamination": decontaminate.SQL, "op6_redirect_url_filter": urls.SQL, "op7_vertical_jaccard": jaccard.SQL, "op9_projection_forest": neighbours.SQL, "op11_bitsliced_resampling": resample.SQL, "op12_line_dedup": lines.SQL, "op13_bag_lexical_search": lexical.SQL}
