@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Dollars for a million input and output tokens.
@@ -51,8 +51,17 @@ def percentiles(rows: DataFrame, value: str, *keys: str) -> DataFrame:
     return ranked.groupBy(*keys).agg((F.sum(F.col(value) * F.col("m")) / F.sum("m")).alias("mean"), at(0.5).alias("p50"), at(0.95).alias("p95"))
 
 
-def baseline_decision(incidents: DataFrame) -> DataFrame:
-    """The deterministic decision path: probability from risk, and an action by severity."""
-    probability = F.greatest(F.lit(0.05), F.least(F.lit(0.95), F.col("risk_score") / 300.0))
-    action = F.when(F.col("severity") >= 75, "contain").when(F.col("severity") >= 50, "escalate").when(F.col("severity") >= 25, "monitor").otherwise("close")
-    return incidents.select("incident_key", probability.alias("probability"), (probability >= 0.5).alias("malicious"), action.alias("action"))
+#: The action for each severity from the highest down.
+BASELINE_ACTIONS = {100: "escalate", 75: "investigate", 50: "investigate", 25: "monitor", 0: "suppress"}
+
+
+def baseline_decision(incidents: DataFrame, signals: Column | None = None) -> DataFrame:
+    """The deterministic path's four answers: malicious with its probability, severity and action with a confidence, and whether a narrative is needed. signals: the number of behaviour signals (none if left out)."""
+    risk, severity = F.col("risk_score"), F.col("severity")
+    share = F.greatest(F.lit(0.02), F.least(F.lit(0.98), risk / 500.0))
+    probability = F.when(severity >= 75, F.greatest(share, F.lit(0.9))).when(risk >= 100, F.greatest(share, F.lit(0.6))).otherwise(share)
+    action = F.lit("suppress")
+    for level, name in sorted(BASELINE_ACTIONS.items()):
+        action = F.when(severity >= level, name).otherwise(action)
+    narrative = F.when((severity >= 50) & (severity < 100) & ((F.lit(0) if signals is None else signals) > 1), 0.7).otherwise(0.2)
+    return incidents.select("incident_key", probability.alias("probability"), (probability >= 0.5).alias("malicious"), "severity", action.alias("action"), share.alias("confidence"), narrative.alias("narrative"), (narrative >= 0.5).alias("needs_narrative"))

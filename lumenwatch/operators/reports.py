@@ -56,10 +56,14 @@ def decision_stats(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("fallback").alias("fallbacks"), F.count_if("escalated").alias("escalations"), F.round(F.avg("latency_ms"), 6).alias("avg_latency_ms"))
 
 
-def disposition(certainty_a: Column, certainty_b: Column, same: Column) -> Column:
-    """By the weaker of two answers' certainties: automatic from 0.75, assisted from 0.50; disagreement goes to an analyst."""
-    weaker = F.least(certainty_a, certainty_b)
-    return F.when(~same, "analyst").when(weaker >= 0.75, "automatic").when(weaker >= 0.50, "assisted").otherwise("analyst")
+#: Certainties from which an answer is accepted, and reviewed.
+ACCEPT, REVIEW = 0.75, 0.5
+
+
+def disposition(malicious: Column, severity: Column) -> Column:
+    """accepted, review or ignored, by the weaker of two answers' certainties (null: not answered); unavailable without either."""
+    weaker = F.least(malicious, severity)
+    return F.when(weaker >= ACCEPT, "accepted").when(weaker >= REVIEW, "review").when(weaker.isNotNull(), "ignored").otherwise("unavailable")
 
 
 def technique_codes(text: Column) -> Column:

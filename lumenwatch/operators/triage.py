@@ -5,9 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The action for each kind of entity, and (action, risk, kinds of target).
+#: The action for each kind of entity; targets that give context; and (action, risk, needs approval, kinds of target).
 ACTIONS = [("user", "disable_user"), ("host", "isolate_host"), ("ip", "block_indicator")]
-POLICIES = [("disable_user", "high", ["user"]), ("isolate_host", "high", ["host"]), ("block_indicator", "reversible", ["indicator"]), ("notify_channel", "low", ["channel"]), ("add_context", "read", ["technique", "incident", "user", "host", "indicator", "cloud_account"])]
+CONTEXT = ["technique", "incident", "user", "host", "indicator", "cloud_account"]
+POLICIES = [
+    ("search_related_events", "read", False, CONTEXT),
+    ("enrich_entities", "read", False, CONTEXT),
+    ("create_case_note", "low", False, CONTEXT),
+    ("link_duplicate_alerts", "low", False, CONTEXT),
+    ("notify_channel", "reversible", False, ["channel", "technique", "incident"]),
+    ("disable_user", "high", True, ["user"]),
+    ("isolate_host", "high", True, ["host"]),
+    ("block_indicator", "high", True, ["indicator"]),
+    ("close_incident", "critical", True, ["incident"]),
+]
+#: Levels of autonomy, and the confidence that lets the highest act alone on high risk.
+OBSERVE, LOW_RISK, REVERSIBLE, APPROVAL_GATED, POLICY_BOUNDED = range(5)
+BOUNDED_CONFIDENCE = 0.98
 #: Target prefixes and what they name; a technique id is one of its own.
 PREFIXES = {"user": "user", "host": "host", "ip": "indicator", "domain": "indicator", "url": "indicator", "hash": "indicator", "md5": "indicator", "sha1": "indicator", "sha256": "indicator", "file_hash": "indicator", "cloud_account": "cloud_account", "channel": "channel", "incident": "incident"}
 SHARED = "vpn"
@@ -41,22 +55,33 @@ def target_kind(target: Column) -> Column:
     return F.when(F.trim(target).rlike(r"^T\d{4}(\.\d{3})?$"), "technique").when(named, kinds[F.lower(F.trim(F.substring_index(target, ":", 1)))])
 
 
-def proposals(decided: DataFrame, autonomy: int = 2) -> DataFrame:
-    """Actions for decided incidents: action, target, whether it may run now and whether it needs approval.
+def gate(autonomy: int, risk: Column, confidence: Column, by_model: Column | None = None) -> Column:
+    """What policy says of an action: executable_now, approval_required and reason. risk null is an unknown action; by_model: whether a model gave the confidence, which never lets high risk act alone."""
+    by_model = F.lit(False) if by_model is None else F.coalesce(by_model, F.lit(False))
+    say = lambda run, ask, why: F.struct(F.lit(run).alias("executable_now"), F.lit(ask).alias("approval_required"), F.lit(why).alias("reason"))
+    high = say(False, True, "proposal only" if autonomy < APPROVAL_GATED else "human approval")
+    if autonomy >= POLICY_BOUNDED:
+        sure = confidence >= BOUNDED_CONFIDENCE
+        high = F.when(sure & by_model, say(False, True, "a model's confidence authorizes nothing")).when(sure, say(True, False, "policy-bounded")).otherwise(high)
+    step = lambda name, level: F.when(risk == name, say(autonomy >= level, False, "allowed" if autonomy >= level else "disabled"))
+    return F.coalesce(step("read", OBSERVE), step("low", LOW_RISK), step("reversible", REVERSIBLE), F.when(risk == "high", high), F.when(risk == "critical", say(False, True, "always human approval")), say(False, True, "unknown action"))
 
-    autonomy: 0 read only, 1 propose, 2 low-risk, 3 reversible, 4 approval-gated response.
-    """
-    spark = decided.sparkSession
-    acts = F.broadcast(spark.createDataFrame(ACTIONS, "kind string, action string"))
+
+def allowed(rows: DataFrame, autonomy: int = REVERSIBLE, by_model: Column | None = None) -> DataFrame:
+    """Rows (action, target, confidence) whose target is of a kind that the action takes, with executable_now, approval_required and reason; shared infrastructure is never isolated."""
+    policies = F.broadcast(rows.sparkSession.createDataFrame(POLICIES, "action string, _risk string, _asks boolean, _kinds array<string>"))  # the table above
+    shared = (F.col("action") == "isolate_host") & F.lower("target").contains(SHARED)
+    known = rows.join(policies, "action").where(F.array_contains("_kinds", target_kind(F.col("target"))) & ~shared)
+    return known.withColumn("_gate", gate(autonomy, F.col("_risk"), F.col("confidence"), by_model)).select(*rows.columns, "_gate.*")
+
+
+def proposals(decided: DataFrame, autonomy: int = REVERSIBLE) -> DataFrame:
+    """Actions for decided incidents: action, target, whether it may run now and whether it needs approval."""
+    acts = F.broadcast(decided.sparkSession.createDataFrame(ACTIONS, "kind string, action string"))
     contain = decided.where("decision = 'containment_proposed'").select("incident_key", "confidence", F.explode("entities").alias("target"))
     contain = contain.withColumn("kind", F.substring_index("target", ":", 1)).join(acts, "kind").select("incident_key", "confidence", "action", "target")
     notify = decided.where("decision = 'escalate'").select("incident_key", "confidence", F.lit("notify_channel").alias("action"), F.lit(CHANNEL).alias("target"))
-    rows = contain.unionByName(notify).join(F.broadcast(spark.createDataFrame(POLICIES, "action string, risk string, kinds array<string>")), "action")
-    kind = target_kind(F.col("target"))
-    shared = (F.col("action") == "isolate_host") & F.lower("target").contains(SHARED)
-    rows = rows.where(F.array_contains("kinds", kind) & ~shared)
-    executable = F.when(F.col("risk") == "read", True).when(F.col("risk") == "low", F.lit(autonomy >= 2)).when(F.col("risk") == "reversible", F.lit(autonomy >= 3)).otherwise(False)
-    return rows.select("incident_key", "action", "target", "confidence", executable.alias("executable_now"), F.col("risk").isin("high", "critical").alias("approval_required"))
+    return allowed(contain.unionByName(notify), autonomy).select("incident_key", "action", "target", "confidence", "executable_now", "approval_required")
 
 
 def without_live(proposed: DataFrame, log: DataFrame) -> DataFrame:

@@ -229,7 +229,7 @@ SELECT entity, CAST(least(sum(risk_points), 1000) AS BIGINT) AS risk, count(*) A
   array_to_string(entities, ',') AS entities, array_to_string(chain, ',') AS kill_chain, first_us, last_us FROM inc""",
     "incident_triage": f"WITH RECURSIVE {INCIDENTS} SELECT incident_key, confidence, decision, owner FROM dec",
     "incident_proposals": f"""WITH RECURSIVE {INCIDENTS}, t AS (SELECT incident_key, confidence, unnest(entities) AS target FROM dec WHERE decision = 'containment_proposed')
-SELECT incident_key, CASE split_part(target, ':', 1) WHEN 'user' THEN 'disable_user' WHEN 'host' THEN 'isolate_host' ELSE 'block_indicator' END AS action, target, confidence, false AS executable_now, split_part(target, ':', 1) <> 'ip' AS approval_required
+SELECT incident_key, CASE split_part(target, ':', 1) WHEN 'user' THEN 'disable_user' WHEN 'host' THEN 'isolate_host' ELSE 'block_indicator' END AS action, target, confidence, false AS executable_now, true AS approval_required
 FROM t WHERE split_part(target, ':', 1) IN ('user', 'host', 'ip') UNION ALL SELECT incident_key, 'notify_channel', 'channel:soc-escalations', confidence, true, false FROM dec WHERE decision = 'escalate'""",
     "incident_merge": f"""WITH RECURSIVE {INCIDENTS}, low AS (SELECT finding_id, us, unnest(entities) AS entity FROM found), ie AS (SELECT incident_key, risk_score, first_us, last_us, unnest(entities) AS entity FROM inc)
 SELECT finding_id, arg_min(incident_key, {{'r': -risk_score, 'f': first_us, 'k': incident_key}}) AS incident_key FROM low JOIN ie USING (entity)

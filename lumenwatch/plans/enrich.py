@@ -136,15 +136,17 @@ def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mapped_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as the records of four further vendors and mapped back."""
     e = security_events(spark, sf_dir)
-    github = F.to_json(F.struct(F.col("user_name").alias("actor"), F.col("src_ip").alias("actor_ip"), F.concat(F.lit("repo."), "outcome").alias("action"), F.col("source").alias("org"), (F.lit(1_700_000_000_000) + F.col("event_id") * 1000).alias("@timestamp")))
-    suricata = F.to_json(F.struct("src_ip", F.struct(F.col("action").alias("signature"), (F.col("event_id") % 5 + 1).alias("severity"), F.when(F.col("outcome") == "failure", "blocked").otherwise("allowed").alias("action")).alias("alert")))
-    asset = F.to_json(F.struct(F.col("host").alias("name"), F.col("src_ip").alias("ip"), F.col("user_name").alias("owner"), F.lit("tier0").alias("criticality")))
+    n = F.col("event_id")
+    github = F.to_json(F.struct(F.col("user_name").alias("user"), F.col("src_ip").alias("ip"), F.concat(F.lit("repo."), "outcome").alias("action"), F.col("source").alias("org"), F.col("host").alias("repo"), F.when(n % 8 == 0, F.col("outcome")).alias("result"), (n * 1000 + 1_700_000_000_000).alias("@timestamp")))
+    suricata = F.to_json(F.struct("src_ip", F.col("host").alias("dest_ip"), F.struct(F.col("action").alias("signature"), (n % 6).alias("severity")).alias("alert"), F.when(n % 8 == 1, "flow").alias("event_type")))
+    asset = F.to_json(F.struct(F.lit("").alias("hostname"), F.col("host").alias("fqdn"), F.col("src_ip").alias("ip"), F.col("user_name").alias("owner"), F.col("source").alias("os"), F.col("cloud_account").alias("org")))
     text = lambda name, c: F.concat(F.lit(f'<Data Name="{name}">'), F.coalesce(c, F.lit("")), F.lit("</Data>"))
-    xml = F.concat(F.lit("<Event><System><EventID>1</EventID><Computer>"), F.coalesce("host", F.lit("")), F.lit("</Computer></System><EventData>"), text("User", F.col("user_name")), text("Image", F.lit("C:\\bin\\cmd.exe")), F.lit("</EventData></Event>"))
+    xml = F.concat(F.lit('<Event xmlns="urn:e"><System><Provider Name="p1"/><EventID>1</EventID><Computer>'), F.coalesce("host", F.lit("")), F.lit("</Computer></System><EventData>"), text("ParentImage", F.col("user_name")), text("Image", F.lit("C:\\bin\\cmd.exe")), F.lit("</EventData></Event>"))
     parts = []
     for i, (name, body) in enumerate((("github", github), ("suricata", suricata), ("assets", asset), ("sysmon_xml", xml))):
-        rows = e.where(F.col("event_id") % 4 == i).select("seq", body.alias("body"))
-        parts.append(mappers.MAPPERS[name](rows, "seq").select("seq", F.lit(name).alias("vendor"), "user_name", "host", "src_ip", "action", "category", "outcome", "resource", F.substring_index("ts_text", ".", 1).alias("ts_text")))
+        rows = mappers.MAPPERS[name](e.where(n % 4 == i).select("seq", body.alias("body")), "seq")
+        process = F.col("process_name") if name == "sysmon_xml" else F.lit(None).cast("string").alias("process_name")
+        parts.append(rows.select("seq", F.lit(name).alias("vendor"), "user_name", "host", "src_ip", "dst_ip", "cloud_account", "action", "category", "outcome", "resource", "severity", "ts_text", process))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -197,7 +199,7 @@ _DATA = "'{\"entities\":[\"' || array_to_string(entities, '\",\"') || '\"],\"kil
 _title = "CASE WHEN others <= 0 THEN 'Suspicious activity involving ' || primary_entity ELSE 'Correlated activity involving ' || primary_entity || ' and ' || others || ' related entit' || CASE WHEN others = 1 THEN 'y' ELSE 'ies' END END"
 _names = ", ".join(f"('{r['rule_id']}', '{r['name']}')" for r in RULES)
 _state = "CASE WHEN risk_score >= 70 THEN 'open' WHEN risk_score >= 40 THEN 'investigating' ELSE 'closed' END"
-_PROPOSED = """pr AS (SELECT incident_key, CASE split_part(target, ':', 1) WHEN 'user' THEN 'disable_user' WHEN 'host' THEN 'isolate_host' ELSE 'block_indicator' END AS action, target, split_part(target, ':', 1) <> 'ip' AS approval
+_PROPOSED = """pr AS (SELECT incident_key, CASE split_part(target, ':', 1) WHEN 'user' THEN 'disable_user' WHEN 'host' THEN 'isolate_host' ELSE 'block_indicator' END AS action, target, true AS approval
   FROM (SELECT incident_key, unnest(entities) AS target FROM dec WHERE decision = 'containment_proposed') WHERE split_part(target, ':', 1) IN ('user', 'host', 'ip') UNION ALL SELECT incident_key, 'notify_channel', 'channel:soc-escalations', false FROM dec WHERE decision = 'escalate')"""
 
 def runbook_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,9 +260,11 @@ UNION ALL SELECT incident_key, 'proposal', action || ' ' || target, CASE WHEN ap
     "case_notes": f"""WITH RECURSIVE {INCIDENTS}, nm(rule_id, rule_name) AS (VALUES {_names}), rn AS (SELECT incident_key, list(rule_name ORDER BY rule_name)[1:5] AS rules FROM (SELECT DISTINCT incident_key, rule_name FROM sf JOIN key USING (finding_id) JOIN nm USING (rule_id)) GROUP BY 1)
 SELECT incident_key, 'AI triage note for ' || {_title} || chr(10) || chr(10) || 'Risk ' || risk_score || ' / severity ' || CASE severity WHEN 0 THEN 'informational' WHEN 25 THEN 'low' WHEN 50 THEN 'medium' WHEN 75 THEN 'high' ELSE 'critical' END || ' from ' || findings || ' finding(s) across ' || len(entities) || ' entit' || CASE WHEN len(entities) = 1 THEN 'y' ELSE 'ies' END || '.'
   || CASE WHEN len(chain) > 0 THEN chr(10) || 'ATT&CK progression: ' || array_to_string(chain, ' -> ') || '.' ELSE '' END || chr(10) || 'Detections: ' || array_to_string(rules, '; ') || '.' || chr(10) || 'Entities: ' || array_to_string(entities, ', ') || '.' AS note FROM inc JOIN rn USING (incident_key)""",
-    "mapped_alerts": f"""WITH {V}, k AS (SELECT *, event_id % 4 AS k FROM v) SELECT seq, (['github', 'suricata', 'assets', 'sysmon_xml'])[k + 1] AS vendor, CASE WHEN k IN (0, 3) THEN user_name END AS user_name, CASE WHEN k >= 2 THEN host END AS host, CASE WHEN k <= 2 THEN src_ip END AS src_ip,
-  CASE k WHEN 0 THEN 'repo.' || outcome WHEN 1 THEN action WHEN 2 THEN 'asset_seen' ELSE 'process_start' END AS action, CASE k WHEN 0 THEN 'application' WHEN 1 THEN 'network' WHEN 2 THEN 'endpoint' ELSE 'process' END AS category,
-  CASE k WHEN 0 THEN 'success' WHEN 1 THEN CASE WHEN outcome = 'failure' THEN 'unknown' ELSE 'success' END ELSE 'unknown' END AS outcome, CASE k WHEN 0 THEN source WHEN 2 THEN user_name END AS resource, CASE k WHEN 0 THEN CAST(1700000000 + event_id AS VARCHAR) END AS ts_text FROM k""",
+    "mapped_alerts": f"""WITH {V}, k AS (SELECT *, event_id % 4 AS k FROM v) SELECT seq, (['github', 'suricata', 'assets', 'sysmon_xml'])[k + 1] AS vendor, CASE WHEN k IN (0, 2) THEN user_name END AS user_name, CASE WHEN k >= 2 THEN host END AS host, CASE WHEN k <= 2 THEN src_ip END AS src_ip,
+  CASE k WHEN 1 THEN host END AS dst_ip, CASE k WHEN 0 THEN source WHEN 2 THEN cloud_account END AS cloud_account,
+  CASE k WHEN 0 THEN 'repo.' || outcome WHEN 1 THEN CASE WHEN event_id % 8 = 1 THEN 'flow' ELSE 'alert' END WHEN 2 THEN 'asset_inventory_observed' ELSE 'process_start' END AS action, (['cloud', 'network', 'endpoint', 'process'])[k + 1] AS category,
+  CASE k WHEN 0 THEN CASE WHEN event_id % 8 = 0 THEN outcome ELSE 'unknown' END END AS outcome, CASE k WHEN 0 THEN host WHEN 1 THEN action WHEN 2 THEN source ELSE user_name END AS resource,
+  CASE k WHEN 1 THEN (['info', 'critical', 'high', 'medium', 'low', 'info'])[event_id % 6 + 1] END AS severity, CASE k WHEN 0 THEN (1700000000 + event_id) || '.000' END AS ts_text, CASE k WHEN 3 THEN 'cmd.exe' END AS process_name FROM k""",
     "catalogues": """SELECT 'exploited' AS catalogue, 'CVE-2024-' || lpad(CAST(p_partkey AS VARCHAR), 5, '0') AS id, CASE WHEN p_partkey % 2 = 0 THEN 'true' ELSE 'false' END AS told FROM part WHERE p_partkey % 3 < 2
 UNION ALL SELECT 'technique', 'T' || p_partkey, 'execution' FROM part WHERE p_partkey % 7 > 0 AND p_partkey % 11 > 0 AND p_partkey % 5 > 0
 UNION ALL SELECT 'lookup', CAST(p_partkey AS VARCHAR), '' FROM part, unnest(range(CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END)) AS t(i)""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize
 from ..operators import graph
-from ..sources import lines
+from ..sources import lines, mappers
 from ..sources.events import V, security_events
 
 #: A line for each event, in the format of its kind; the same expression on both engines.
@@ -49,16 +49,21 @@ def syslog_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(facility.alias("facility"), severity.alias("severity"), at.alias("at")).groupBy("facility", "severity", "at").agg(F.count("*").alias("n"))
 
 
+#: Records of one export at most.
+EXPORT = 1 << 12
+
+
 def cloud_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exports of {"Records": [...]} for each user and day, exploded and mapped."""
+    """Exports of {"Records": [...]} for each source and run of EXPORT events, exploded and mapped."""
     events = security_events(spark, sf_dir).where("category = 'cloud'")
     arn = F.concat(F.lit("arn:aws:iam::1:user/"), F.coalesce("user_name", F.lit("root")))
-    record = F.struct(F.col("seq").cast("string").alias("eventID"), F.col("action").alias("eventName"), F.struct(arn.alias("arn"), F.col("cloud_account").alias("accountId")).alias("userIdentity"), F.col("src_ip").alias("sourceIPAddress"), F.when(F.col("value") > 150, "AccessDenied").alias("errorCode"))
-    files = events.groupBy("source", F.floor(F.col("us") / 86_400_000_000).alias("day")).agg(F.to_json(F.struct(F.collect_list(record).alias("Records"))).alias("body"))
-    kind = "Records array<struct<eventID:string,eventName:string,sourceIPAddress:string,errorCode:string,userIdentity:struct<arn:string,accountId:string,userName:string>>>"
-    r = files.select(F.explode(F.from_json("body", kind)["Records"]).alias("r"))
-    user = F.coalesce("r.userIdentity.userName", F.element_at(F.split("r.userIdentity.arn", "/"), -1))
-    return r.select(F.col("r.eventID").cast("long").alias("seq"), F.col("r.eventName").alias("action"), user.alias("user_name"), F.col("r.sourceIPAddress").alias("src_ip"), F.col("r.userIdentity.accountId").alias("cloud_account"), F.when(F.col("r.errorCode").isNull(), "success").otherwise("failure").alias("outcome"))
+    role = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("arn:aws:iam::1:role/"), "source"))
+    record = F.struct(
+        F.col("seq").cast("string").alias("eventID"), F.col("action").alias("eventName"), F.struct(arn.alias("arn"), F.col("cloud_account").alias("accountId")).alias("userIdentity"), F.col("src_ip").alias("sourceIPAddress"),
+        F.when(F.col("value") > 150, "AccessDenied").alias("errorCode"), F.struct(role.alias("roleArn"), F.col("outcome").alias("roleName")).alias("requestParameters"),
+    )
+    files = events.groupBy("source", F.floor(F.col("seq") / EXPORT).alias("part")).agg(F.to_json(F.struct(F.collect_list(record).alias("Records"))).alias("body"))
+    return mappers.cloudtrail(mappers.exported(files)).select(F.col("record_id").cast("long").alias("seq"), "action", "user_name", "src_ip", "cloud_account", "outcome", "resource", "log_service")
 
 
 def new_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +138,7 @@ SQL = {
 UNION ALL SELECT seq, 'json', 'unknown', 'second', NULL, NULL, 'unknown', 'observed', NULL, NULL, 'abc', NULL, 'security', 100, 0 FROM k WHERE k = 2""",
     "syslog_priorities": f"""WITH {V} SELECT CAST((event_id % 192) // 8 AS INTEGER) AS facility, (['emergency', 'alert', 'critical', 'error', 'warning', 'notice', 'informational', 'debug'])[event_id % 8 + 1] AS severity,
   TIMESTAMP '2023-01-02 03:04:05' AS at, count(*) AS n FROM v WHERE category = 'network' GROUP BY ALL""",
-    "cloud_records": f"WITH {V} SELECT seq, action, coalesce(user_name, 'root') AS user_name, src_ip, cloud_account, CASE WHEN value > 150 THEN 'failure' ELSE 'success' END AS outcome FROM v WHERE category = 'cloud'",
+    "cloud_records": f"WITH {V} SELECT seq, action, coalesce(user_name, 'root') AS user_name, src_ip, cloud_account, CASE WHEN value > 150 THEN 'failure' ELSE 'success' END AS outcome, CASE WHEN event_id % 2 = 0 THEN source ELSE outcome END AS resource, 'cloudtrail' AS log_service FROM v WHERE category = 'cloud'",
     "new_records": f"""WITH {V} SELECT host AS record_id, min(seq) AS seq FROM v WHERE host IS NOT NULL AND host NOT IN (SELECT host FROM v WHERE category = 'network' AND host IS NOT NULL) GROUP BY 1
 UNION ALL SELECT host, seq FROM v WHERE host IS NULL""",
     "archive_replay": f"WITH {V} SELECT seq, {LINE} AS line FROM v WHERE seq >= (SELECT max(seq) // 2 FROM v)",

@@ -19,19 +19,26 @@ RUNBOOKS = [("contain", "T1059", "isolate_host", "host"), ("reset", "T1110", "di
 def mapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events written as the records of four vendors, by category, and mapped back."""
     e = security_events(spark, sf_dir)
-    word = F.when(F.col("outcome") == "failure", "DENY").otherwise("SUCCESS")
-    okta = F.struct(F.lit("user.session.start").alias("eventType"), F.struct(word.alias("result")).alias("outcome"), F.array(F.struct(F.col("user_name").alias("alternateId"))).alias("actor"), F.struct(F.col("src_ip").alias("ipAddress")).alias("client"))
-    entra = F.struct(F.col("user_name").alias("userPrincipalName"), F.col("src_ip").alias("ipAddress"), F.struct(F.when(F.col("value") > 150, 50126).otherwise(0).alias("errorCode")).alias("status"), F.col("cloud_account").alias("appDisplayName"))
-    sysmon = F.struct(F.struct(F.struct(F.lit("1").alias("EventID"), F.col("host").alias("Computer")).alias("System"), F.struct(F.col("user_name").alias("User"), F.concat(F.lit("C:\\bin\\"), "process_name").alias("Image"), F.col("command_line").alias("CommandLine")).alias("EventData")).alias("Event"))
-    zeek = F.struct(F.col("src_ip").alias("id.orig_h"), F.lit("GET").alias("method"), F.col("host").alias("host"), F.lit("/p").alias("uri"))
+    n = F.col("event_id")
+    kind = F.when(n % 3 == 0, "user.session.start").when(n % 3 == 1, "policy.evaluate").otherwise("app.user.sso")
+    result = F.when(F.col("outcome") == "failure", "FAILURE").when(n % 4 == 0, "ALLOW").otherwise("SUCCESS")
+    okta = F.struct(kind.alias("eventType"), F.struct(result.alias("result")).alias("outcome"), F.array(F.struct(F.lit("").alias("alternateId"), F.col("user_name").alias("displayName"))).alias("actor"), F.struct(F.col("src_ip").alias("ipAddress")).alias("client"), F.array(F.struct(F.col("source").alias("id"))).alias("target"))
+    code = F.when(F.col("value") > 150, "50126").when(n % 5 == 1, "Success").when(n % 5 > 1, "0")
+    entra = F.struct(F.col("user_name").alias("userPrincipalName"), F.col("src_ip").alias("ipAddress"), code.alias("resultType"), F.col("source").alias("appDisplayName"), F.struct(F.col("host").alias("displayName")).alias("deviceDetail"), F.col("cloud_account").alias("userId"))
+    data = F.struct(F.concat(F.lit("C:\\bin\\"), "process_name").alias("Image"), F.col("command_line").alias("CommandLine"), F.col("user_name").alias("ParentImage"))
+    sysmon = F.struct(F.struct(F.struct(F.lit("1").alias("EventID"), F.col("host").alias("Computer"), n.alias("EventRecordID")).alias("System"), data.alias("EventData")).alias("Event"))
+    zeek = F.struct(F.col("src_ip").alias("id.orig_h"), F.lit("192.0.2.1").alias("id.resp_h"), F.lit("tcp").alias("proto"), F.col("host").alias("host"), F.when(n % 2 == 0, "p").when(n % 3 == 0, "/q").alias("uri"), (n * 1000 + 1_700_000_000_000).alias("ts"))
     parts = []
-    for category, body in (("authentication", okta), ("cloud", entra), ("process", sysmon), ("network", zeek)):
-        name = {"authentication": "okta", "cloud": "entra", "process": "sysmon", "network": "zeek"}[category]
+    for category, name, body in (("authentication", "okta", okta), ("cloud", "entra", entra), ("process", "sysmon", sysmon), ("network", "zeek", zeek)):
         rows = e.where(F.col("category") == category).select("seq", F.to_json(body).alias("body"))
-        parts.append(mappers.MAPPERS[name](rows, "seq").select("seq", "user_name", "host", "src_ip", "action", "category", "outcome", "resource"))
+        own = [F.col(c) if c in _OWN[name] else F.lit(None).cast("string").alias(c) for c in ("process_name", "command_line", "url")]
+        parts.append(mappers.MAPPERS[name](rows, "seq").select("seq", "record_id", "user_name", "host", "src_ip", "dst_ip", "cloud_account", "action", "category", "outcome", "resource", "ts_text", *own))
     return reduce(DataFrame.unionByName, parts)
 
 
+_OWN = {"okta": (), "entra": (), "sysmon": ("process_name", "command_line"), "zeek": ("url",)}
+
+
 def related_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = incidents.exploded(_members(spark, sf_dir)).select("incident_key", "event_id", "entity")
     return reports.related_events(members, by_entity(security_events(spark, sf_dir)))
@@ -66,9 +73,10 @@ def decision_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as assessments: by disposition, how many there are and how many disagree with the engine, which changes nothing."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars"), "doc_id")
-    a, b = F.least(F.lit(1.0), F.col("n_chars") / 3000.0), F.least(F.lit(1.0), F.col("n_chars") / 2000.0)
-    return labels.groupBy(reports.disposition(a, b, F.col("quality") != F.col("toxic")).alias("disposition")).agg(F.count("*").alias("n"))
+    a, b = F.when(F.col("n_chars") % 5 > 0, F.least(F.lit(1.0), F.col("n_chars") / 3000.0)), F.when(F.col("n_chars") % 3 > 0, F.least(F.lit(1.0), F.col("n_chars") / 2000.0))
+    return labels.groupBy(reports.disposition(a, b).alias("disposition")).agg(F.count("*").alias("n"), F.count_if(F.col("quality") == F.col("toxic")).alias("disagreements"))
 
 
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,10 +120,15 @@ _books = ", ".join(str(b) for b in RUNBOOKS)
 QUERIES = [mapped_records, related_events, incident_reports, incident_features, runbook_plan, triage_state, decision_stats, dispositions, table_counts, seal_summary, open_incidents, incident_documents, baseline_decisions, address_tokens]
 QUERIES += map(of_all, (related_events, incident_reports, incident_features, runbook_plan, table_counts, open_incidents, incident_documents, baseline_decisions))
 SQL = {
-    "mapped_records": f"""WITH {V} SELECT seq, CASE WHEN category <> 'network' THEN user_name END AS user_name, CASE WHEN category = 'process' THEN host END AS host, CASE WHEN category <> 'process' THEN src_ip END AS src_ip,
-  CASE category WHEN 'process' THEN 'process_start' WHEN 'network' THEN 'GET' WHEN 'authentication' THEN CASE WHEN outcome = 'failure' THEN 'login_failed' ELSE 'login_success' END ELSE CASE WHEN value > 150 THEN 'login_failed' ELSE 'login_success' END END AS action,
-  CASE WHEN category = 'cloud' THEN 'authentication' ELSE category END AS category, CASE category WHEN 'authentication' THEN outcome WHEN 'cloud' THEN CASE WHEN value > 150 THEN 'failure' ELSE 'success' END ELSE 'unknown' END AS outcome,
-  CASE category WHEN 'cloud' THEN cloud_account WHEN 'network' THEN host || '/p' END AS resource FROM v""",
+    "mapped_records": f"""WITH {V}, k AS (SELECT *, CASE category WHEN 'authentication' THEN 'okta' WHEN 'cloud' THEN 'entra' WHEN 'process' THEN 'sysmon' ELSE 'zeek' END AS k, event_id % 6 IN (0, 2, 3, 4) AS asked FROM v)
+SELECT seq, CASE k WHEN 'sysmon' THEN CAST(event_id AS VARCHAR) END AS record_id, CASE WHEN k IN ('okta', 'entra') THEN user_name END AS user_name,
+  CASE WHEN k IN ('entra', 'sysmon') OR (k = 'zeek' AND asked) THEN host END AS host, CASE WHEN k <> 'sysmon' THEN src_ip END AS src_ip, CASE k WHEN 'zeek' THEN '192.0.2.1' END AS dst_ip, CASE k WHEN 'entra' THEN cloud_account END AS cloud_account,
+  CASE k WHEN 'okta' THEN CASE WHEN outcome = 'failure' THEN 'login_failed' WHEN event_id % 4 > 0 AND event_id % 3 = 0 THEN 'login' ELSE (['user.session.start', 'policy.evaluate', 'app.user.sso'])[event_id % 3 + 1] END
+    WHEN 'entra' THEN CASE WHEN value > 150 THEN 'login_failed' ELSE 'login' END WHEN 'sysmon' THEN 'process_start' ELSE CASE WHEN asked THEN 'http_request' ELSE 'network_connection' END END AS action,
+  CASE k WHEN 'okta' THEN CASE WHEN event_id % 3 <> 1 THEN 'authentication' END WHEN 'entra' THEN 'authentication' WHEN 'sysmon' THEN 'process' ELSE 'network' END AS category,
+  CASE k WHEN 'okta' THEN outcome WHEN 'entra' THEN CASE WHEN value > 150 THEN 'failure' WHEN event_id % 5 = 0 THEN 'unknown' ELSE 'success' END END AS outcome,
+  CASE k WHEN 'sysmon' THEN user_name WHEN 'zeek' THEN 'tcp' ELSE source END AS resource, CASE k WHEN 'zeek' THEN (1700000000 + event_id) || '.000' END AS ts_text,
+  CASE k WHEN 'sysmon' THEN process_name END AS process_name, CASE k WHEN 'sysmon' THEN command_line END AS command_line, CASE WHEN k = 'zeek' AND asked THEN host || CASE WHEN event_id % 2 = 0 THEN '/p' ELSE '/q' END END AS url FROM k""",
     "related_events": f"""WITH RECURSIVE {INCIDENTS}, m AS (SELECT DISTINCT incident_key, entity FROM fe JOIN key USING (finding_id)), own2 AS (SELECT DISTINCT incident_key, event_id FROM sf JOIN key USING (finding_id)),
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY us DESC, seq DESC) AS r FROM x) WHERE r <= 25)
 SELECT incident_key, event_id, count(*) AS entities FROM m JOIN l USING (entity) WHERE NOT EXISTS (SELECT 1 FROM own2 WHERE own2.incident_key = m.incident_key AND own2.event_id = l.event_id) GROUP BY 1, 2""",
@@ -130,16 +143,18 @@ s AS (SELECT incident_key, action, kind, list_filter(entities, lambda e: starts_
 SELECT DISTINCT incident_key, action, unnest(targets) AS target, NULL AS dropped FROM s WHERE len(targets) > 0 UNION ALL SELECT DISTINCT incident_key, action, NULL, 'no ' || kind || ' in scope' FROM s WHERE len(targets) = 0""",
     "triage_state": f"WITH {V} SELECT host, arg_max(CASE WHEN category <> 'network' THEN outcome END, seq) FILTER (category <> 'network') AS status, arg_max(user_name, seq) FILTER (user_name IS NOT NULL) AS assignee FROM v WHERE host IS NOT NULL GROUP BY 1",
     "decision_stats": "SELECT o_orderpriority, o_orderstatus, count(*) AS n, count(*) FILTER (o_totalprice < 50000) AS fallbacks, count(*) FILTER (o_totalprice > 200000) AS escalations, round(avg(o_orderkey % 997), 6) AS avg_latency_ms FROM orders GROUP BY ALL",
-    "dispositions": """WITH a AS (SELECT least(least(1.0, n_chars / 3000.0), least(1.0, n_chars / 2000.0)) AS w, quality <> toxic AS same FROM labels JOIN documents USING (doc_id))
-SELECT CASE WHEN NOT same THEN 'analyst' WHEN w >= 0.75 THEN 'automatic' WHEN w >= 0.5 THEN 'assisted' ELSE 'analyst' END AS disposition, count(*) AS n FROM a GROUP BY 1""",
+    "dispositions": """WITH a AS (SELECT CASE WHEN n_chars % 5 > 0 THEN least(1.0, n_chars / 3000.0) END AS a, CASE WHEN n_chars % 3 > 0 THEN least(1.0, n_chars / 2000.0) END AS b, quality = toxic AS other FROM labels JOIN documents USING (doc_id)),
+w AS (SELECT other, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN a < b THEN a ELSE b END AS w FROM a)
+SELECT CASE WHEN w >= 0.75 THEN 'accepted' WHEN w >= 0.5 THEN 'review' WHEN w IS NULL THEN 'unavailable' ELSE 'ignored' END AS disposition, count(*) AS n, count(*) FILTER (other) AS disagreements FROM w GROUP BY 1""",
     "table_counts": f"""WITH RECURSIVE {INCIDENTS} SELECT 'events' AS name, source AS tenant, count(*) AS n FROM v GROUP BY ALL UNION ALL SELECT 'findings', v.source, count(DISTINCT finding_id) FROM sf JOIN v USING (event_id) GROUP BY ALL""",
     "seal_summary": f"WITH {V} SELECT source AS tenant, count(*) AS total, count(*) FILTER (outcome = 'failure') AS sealed FROM v GROUP BY 1",
     "open_incidents": f"""WITH RECURSIVE {INCIDENTS}, o AS (SELECT split_part(primary_entity, ':', 1) AS tenant, incident_key, CASE WHEN risk_score >= 70 THEN 'open' WHEN risk_score >= 40 THEN 'investigating' ELSE 'closed' END AS status, last_us, entities FROM inc),
 r AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY last_us DESC, incident_key) AS place FROM o WHERE status <> 'closed' AND list_has_any(entities, [{", ".join(f"'user:u{i}'" for i in range(40))}]))
 SELECT tenant, incident_key, status, CAST(place AS INTEGER) AS place FROM r WHERE place <= 500""",
     "incident_documents": f"""WITH RECURSIVE {INCIDENTS} SELECT incident_key AS doc_id, {_title} || ' | risk ' || risk_score || ' | ' || array_to_string(entities, ', ') || ' | ' || array_to_string(chain, ', ') AS text FROM inc""",
-    "baseline_decisions": f"""WITH RECURSIVE {INCIDENTS} SELECT incident_key, p AS probability, p >= 0.5 AS malicious, CASE WHEN severity >= 75 THEN 'contain' WHEN severity >= 50 THEN 'escalate' WHEN severity >= 25 THEN 'monitor' ELSE 'close' END AS action
-FROM (SELECT *, greatest(0.05::DOUBLE, least(0.95::DOUBLE, risk_score / 300.0::DOUBLE)) AS p FROM inc)""",
+    "baseline_decisions": f"""WITH RECURSIVE {INCIDENTS}, b AS (SELECT incident_key, severity, risk_score, greatest(0.02::DOUBLE, least(0.98::DOUBLE, risk_score / 500.0::DOUBLE)) AS c FROM inc),
+p AS (SELECT *, CASE WHEN severity IN (75, 100) THEN greatest(c, 0.9::DOUBLE) WHEN risk_score >= 100 THEN greatest(c, 0.6::DOUBLE) ELSE c END AS p FROM b)
+SELECT incident_key, p AS probability, p >= 0.5 AS malicious, severity, CASE severity WHEN 100 THEN 'escalate' WHEN 75 THEN 'investigate' WHEN 50 THEN 'investigate' WHEN 25 THEN 'monitor' ELSE 'suppress' END AS action, c AS confidence, 0.2::DOUBLE AS narrative, false AS needs_narrative FROM p""",
     "address_tokens": r"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9.]+')) AS m FROM documents),
 b AS (SELECT doc_id, m, [CAST(x AS BIGINT) FOR x IN string_split(m, '.')] AS p FROM a WHERE regexp_full_match(m, '(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}'))
 SELECT doc_id, count(*) FILTER (p[1] IN (10, 127) OR (p[1] = 192 AND p[2] = 168) OR (p[1] = 169 AND p[2] = 254) OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31)) AS internal,

@@ -1,99 +1,197 @@
 """Record mappers: vendor records (a JSON text column) to the common event fields, as projections.
 
-Each mapper takes a DataFrame with a column `body` and gives user_name, host, src_ip, action, category,
-outcome, resource and ts_text, with nulls where a source has nothing to say.
+Each mapper takes a DataFrame with a column `body` and gives FIELDS, with nulls where a source has nothing to
+say, and its own further fields. A body is parsed once, into a VARIANT; one that isn't JSON gives nulls.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FIELDS = ("user_name", "host", "src_ip", "action", "category", "outcome", "resource", "ts_text")
-#: Outcome words, and severity words of numbered alerts.
-GOOD, BAD = ["success", "allow", "allowed", "ok", "passed"], ["failure", "fail", "failed", "deny", "denied", "challenge", "error"]
-ALERT_SEVERITY = {"1": "high", "2": "medium", "3": "low", "4": "informational"}
+FIELDS = ("source", "log_product", "log_service", "record_id", "ts_text", "user_name", "host", "src_ip", "dst_ip", "cloud_account", "action", "category", "outcome", "resource", "severity")
+#: Severity words of numbered alerts, words of sign-in kinds, and words of failure.
+ALERT_SEVERITY = {1: "critical", 2: "high", 3: "medium", 4: "low"}
+SIGN_IN = ["session", "authentication", "authn", "mfa", "sso", "password"]
+OKTA_FAILURES, ENTRA_FAILURES = ["fail", "denied", "error"], ["fail", "denied", "error", "notapply"]
 
 
-def at(path: str) -> Column:
-    """The value at a JSON path of the body, as text; blank is null."""
-    value = F.get_json_object("body", f"$.{path}")
-    return F.when(F.trim(value) != "", value)
+def _key(path: str) -> str:
+    return "$" + "".join(f"[{p}]" if p.isdigit() else f"['{p}']" for p in path.split("/"))
 
 
-def outcome_of(word: Column) -> Column:
-    low = F.lower(word)
-    return F.when(low.isin(*GOOD), "success").when(low.isin(*BAD), "failure").otherwise("unknown")
+def raw(path: str, doc: str = "_doc") -> Column:
+    """The value at a path of names and places, as a VARIANT."""
+    return F.try_variant_get(doc, _key(path), "variant")
+
+
+def at(*paths: str, doc: str = "_doc") -> Column:
+    """The first of the values at these paths that isn't absent, null or an empty text, as text."""
+    values = [F.try_variant_get(doc, _key(p), "string") for p in paths]
+    return F.coalesce(*[F.when(v != "", v) for v in values])
+
+
+def is_text(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
+
+
+def holds(text: Column, words: list[str]) -> Column:
+    return reduce(or_, [text.contains(w) for w in words])
 
 
 def basename(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^\\/]*)$", 1)
+    return F.coalesce(F.nullif(F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1), F.lit("")), path)
+
 
+def seconds_of(*paths: str) -> Column:
+    """A time as text; numbers beyond 1e12 are milliseconds."""
+    value = F.coalesce(*[raw(p) for p in paths])
+    number = F.when(~is_text(value), F.try_variant_get(value, "$", "double"))
+    return F.when(number > 1e12, (number / 1000).cast("decimal(20,3)").cast("string")).otherwise(at(*paths))
 
-def _mapped(df: DataFrame, keep: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+
+def _mapped(df: DataFrame, keep: tuple[str, ...], **columns: Column | str) -> DataFrame:
+    rows = df.withColumn("_doc", F.try_parse_json("body"))
+    given = {k: F.lit(v) if isinstance(v, str) else v for k, v in columns.items()}
     empty = F.lit(None).cast("string")
-    extra = {k: v for k, v in columns.items() if k not in FIELDS}
-    return df.select(*keep, *[columns.get(f, empty).alias(f) for f in FIELDS], *[v.alias(k) for k, v in extra.items()])
+    return rows.select(*keep, *[given.pop(f, empty).alias(f) for f in FIELDS], *[v.alias(k) for k, v in given.items()])
+
+
+def cloudtrail(df: DataFrame, *keep: str) -> DataFrame:
+    arn, role = at("userIdentity/arn"), at("requestParameters/roleArn")
+    return _mapped(
+        df, keep, source="aws.cloudtrail", log_product="aws", log_service="cloudtrail", category="cloud",
+        record_id=at("eventID", "requestID"), ts_text=at("eventTime"), action=at("eventName"), src_ip=at("sourceIPAddress"),
+        user_name=F.coalesce(at("userIdentity/userName"), F.when(arn.contains("/"), F.nullif(F.substring_index(arn, "/", -1), F.lit("")))),
+        cloud_account=at("userIdentity/accountId", "recipientAccountId"),
+        resource=F.coalesce(F.substring_index(role, "/", -1), at("requestParameters/roleName")),
+        outcome=F.when(at("errorCode").isNull(), "success").otherwise("failure"),
+        event_source=at("eventSource"), event_type=at("eventType"), aws_region=at("awsRegion"),
+    )
 
 
 def okta(df: DataFrame, *keep: str) -> DataFrame:
+    """Results that speak of failure are failed logins, whatever the event; others succeed."""
     kind = F.lower(F.coalesce(at("eventType"), F.lit("")))
-    category = F.when(kind.contains("session") | kind.contains("auth"), "authentication").when(kind.contains("application"), "application").otherwise("cloud")
-    outcome = outcome_of(at("outcome.result"))
-    action = F.when((category == "authentication") & (outcome == "failure"), "login_failed").when((category == "authentication") & (outcome == "success"), "login_success").otherwise(at("eventType"))
-    return _mapped(df, keep, user_name=F.coalesce(at("actor.alternateId"), at("actor[0].alternateId")), src_ip=at("client.ipAddress"), action=action, category=category, outcome=outcome, resource=at("target[0].displayName"), ts_text=at("published"))
+    result = F.lower(F.coalesce(at("outcome/result"), F.lit("unknown")))
+    failed, told = holds(result, OKTA_FAILURES), F.coalesce(at("eventType"), F.lit("okta_event"))
+    named = F.when(holds(result, ["success", "succeed"]) & holds(kind, ["session", "authentication"]), "login").otherwise(told)
+    return _mapped(
+        df, keep, source="okta", log_product="okta", log_service="okta", record_id=at("uuid"), ts_text=at("published", "ts", "dateTime"),
+        user_name=at("actor/0/alternateId", "actor/0/displayName", "actor/0/login"), src_ip=at("client/ipAddress"),
+        action=F.when(failed, "login_failed").otherwise(named), category=F.when(holds(kind, SIGN_IN), "authentication"),
+        outcome=F.when(failed, result).otherwise("success"), resource=at("target/0/alternateId", "target/0/displayName", "target/0/id"),
+    )
 
 
 def github(df: DataFrame, *keep: str) -> DataFrame:
-    raw = F.coalesce(at("@timestamp"), at("created_at"))
-    number = raw.try_cast("double")
-    seconds = F.when(number > 1e12, number / 1000).otherwise(number)
-    return _mapped(df, keep, user_name=at("actor"), src_ip=at("actor_ip"), action=at("action"), category=F.lit("application"), outcome=F.lit("success"), resource=F.coalesce(at("repo"), at("org")), ts_text=F.coalesce(seconds.cast("decimal(20,3)").cast("string"), raw))
+    return _mapped(
+        df, keep, source="github", log_product="github", log_service="audit", category="cloud", ts_text=seconds_of("@timestamp", "timestamp"),
+        action=at("action"), user_name=at("actor", "user"), src_ip=at("ip", "ip_address"), cloud_account=at("org", "organization", "system"),
+        resource=at("repo", "repository"), outcome=F.coalesce(at("events_result", "result"), F.lit("unknown")),
+    )
 
 
 def entra(df: DataFrame, *keep: str) -> DataFrame:
     """Sign-ins: a numeric result code is a success only if it is 0; words are read otherwise."""
-    code = F.coalesce(at("status.errorCode"), at("resultType"))
-    outcome = F.when(code.rlike(r"^-*\d+$"), F.when(code.rlike("^-*0+$"), "success").otherwise("failure")).otherwise(outcome_of(code))
-    action = F.when(outcome == "success", "login_success").when(outcome == "failure", "login_failed").otherwise("login")
-    return _mapped(df, keep, user_name=at("userPrincipalName"), src_ip=at("ipAddress"), host=at("deviceDetail.displayName"), action=action, category=F.lit("authentication"), outcome=outcome, resource=at("appDisplayName"), ts_text=at("createdDateTime"))
+    code = F.trim(F.coalesce(F.try_variant_get("_doc", "$.resultType", "string"), F.try_variant_get("_doc", "$.result", "string")))
+    code = F.nullif(code, F.lit(""))
+    word = F.lower(code)
+    outcome = (
+        F.when(code.isNull(), "unknown")
+        .when(code.rlike(r"^-*\d+$"), F.when(code.rlike("^-*0$"), "success").otherwise("failure"))
+        .when(holds(word, ENTRA_FAILURES), "failure")
+        .when(word.contains("success"), "success")
+        .otherwise(word)
+    )
+    return _mapped(
+        df, keep, source="microsoft.entra", log_product="azure", log_service="signinlogs", category="authentication",
+        record_id=at("id"), ts_text=at("createdDateTime", "activityDateTime", "timestamp"), action=F.when(outcome == "failure", "login_failed").otherwise("login"),
+        user_name=at("userPrincipalName", "userDisplayName"), src_ip=at("ipAddress", "ip_address"), resource=at("appDisplayName"), host=at("deviceDetail/displayName"),
+        cloud_account=at("tenantId", "userId"), outcome=outcome, result_code=code,
+    )
+
+
+def event_code(text: Column) -> Column:
+    """An event number as a number; other texts have none."""
+    return F.when(F.trim(text).rlike(r"^-?\d+$"), F.trim(text).try_cast("int"))
+
+
+#: Fields of process records: our name, and theirs in the data part.
+SYSMON = {
+    "command_line": "CommandLine", "original_file_name": "OriginalFileName", "parent_process_name": "ParentImage", "parent_command_line": "ParentCommandLine", "target_object": "TargetObject",
+    "target_file_name": "TargetFilename", "details": "Details", "script_block_text": "ScriptBlockText", "image_loaded": "ImageLoaded", "hashes": "Hashes", "integrity_level": "IntegrityLevel",
+}
+
+
+def _process(df: DataFrame, keep: tuple[str, ...], image: Column, number: Column, fields: dict[str, Column], **more: Column) -> DataFrame:
+    return _mapped(df, keep, source="sysmon", log_product="windows", log_service="sysmon", category="process", action="process_start", resource=fields["parent_process_name"], event_code=event_code(number), process_name=basename(image), **fields, **more)
 
 
 def sysmon(df: DataFrame, *keep: str) -> DataFrame:
-    """Records with their fields at the top, under Event.System or under Event.EventData."""
-    pick = lambda *names: F.coalesce(*[at(p + n) for n in names for p in ("", "EventData.", "System.", "Event.EventData.", "Event.System.")])
-    number = pick("EventID").try_cast("int")
-    category = F.when(number == 1, "process").when(number == 3, "network").when(number == 22, "dns").when(number.isin(11, 23, 26), "file").otherwise("endpoint")
-    action = F.when(number == 1, "process_start").when(number == 3, "network_connection").when(number == 22, "dns_query").otherwise(F.concat(F.lit("sysmon_"), number.cast("string")))
-    return _mapped(df, keep, user_name=pick("User"), host=pick("Computer"), src_ip=pick("SourceIp"), action=action, category=category, outcome=F.lit("unknown"), resource=pick("TargetFilename", "QueryName"), ts_text=pick("UtcTime"), event_code=number, process_name=basename(pick("Image")), command_line=pick("CommandLine"))
+    """Records with a System and an EventData part, under Event or at the top; the image, command line and parent may lie in either or at the top."""
+    system, data = lambda n: (f"Event/System/{n}", f"System/{n}"), lambda n: (f"Event/EventData/{n}", f"EventData/{n}")
+    anywhere = lambda n: at(*data(n), *system(n), n)
+    both = ("Image", "CommandLine", "ParentImage")
+    fields = {ours: anywhere(n) if n in both else at(*data(n), n) for ours, n in SYSMON.items()}
+    provider = at("Event/System/Provider/Name", "System/Provider/Name", "ProviderName")
+    return _process(df, keep, anywhere("Image"), at(*system("EventID"), "EventID"), fields, record_id=at(*system("EventRecordID"), "EventRecordID"), ts_text=at(*system("UtcTime"), *data("UtcTime"), "UtcTime"), host=at(*system("Computer"), "Computer"), provider_name=provider)
 
 
 def sysmon_xml(df: DataFrame, *keep: str) -> DataFrame:
-    """The XML form: each Data element by its name."""
-    data = lambda name: F.expr(f"xpath_string(body, '//*[local-name()=\"Data\"][@Name=\"{name}\"]')")
-    number = F.expr("xpath_string(body, '//*[local-name()=\"EventID\"]')").try_cast("int")
-    host = F.expr("xpath_string(body, '//*[local-name()=\"Computer\"]')")
-    filled = lambda c: F.when(c != "", c)
-    return _mapped(df, keep, user_name=filled(data("User")), host=filled(host), src_ip=filled(data("SourceIp")), action=F.when(number == 1, "process_start").otherwise(F.concat(F.lit("sysmon_"), number.cast("string"))), category=F.when(number == 1, "process").otherwise("endpoint"), outcome=F.lit("unknown"), ts_text=filled(data("UtcTime")), event_code=number, process_name=basename(filled(data("Image"))), command_line=filled(data("CommandLine")))
+    """The XML form: elements of the System part, and each Data element by its name."""
+    filled = lambda path: F.nullif(F.expr(f"xpath_string(body, '{path}')"), F.lit(""))
+    system = lambda n: filled(f'//*[local-name()="System"]/*[local-name()="{n}"]')
+    data = lambda n: filled(f'//*[local-name()="EventData"]/*[@Name="{n}"]')
+    either = lambda n: F.coalesce(data(n), system(n))
+    fields = {ours: either(n) if n in ("CommandLine", "ParentImage") else data(n) for ours, n in SYSMON.items()}
+    provider = filled('//*[local-name()="System"]/*[local-name()="Provider"]/@Name')
+    return _process(df, keep, either("Image"), system("EventID"), fields, record_id=system("EventRecordID"), ts_text=F.coalesce(system("UtcTime"), data("UtcTime")), host=system("Computer"), provider_name=provider)
 
 
 def zeek(df: DataFrame, *keep: str) -> DataFrame:
-    dotted = lambda name: F.when(F.get_json_object("body", f"$['{name}']") != "", F.get_json_object("body", f"$['{name}']"))
-    return _mapped(df, keep, src_ip=dotted("id.orig_h"), action=F.coalesce(at("method"), F.lit("network_connection")), category=F.when(at("query").isNotNull(), "dns").otherwise("network"), outcome=F.lit("unknown"), resource=F.concat(at("host"), F.coalesce(at("uri"), F.lit(""))), ts_text=at("ts"), dst_ip=dotted("id.resp_h"))
+    """Records with a uri are requests; a url needs a host too."""
+    uri, host = at("uri"), at("host")
+    url = F.concat(host, F.when(uri.startswith("/"), uri).otherwise(F.concat(F.lit("/"), uri)))
+    return _mapped(
+        df, keep, source="zeek", category="network", record_id=at("uid"), ts_text=seconds_of("ts"), action=F.when(uri.isNull(), "network_connection").otherwise("http_request"),
+        src_ip=at("id.orig_h"), dst_ip=at("id.resp_h"), resource=at("proto"), host=F.when(url.isNotNull(), host), url=url,
+    )
 
 
 def suricata(df: DataFrame, *keep: str) -> DataFrame:
     words = F.create_map(*[F.lit(x) for pair in ALERT_SEVERITY.items() for x in pair])
-    return _mapped(df, keep, src_ip=at("src_ip"), action=F.coalesce(at("alert.signature"), at("event_type")), category=F.lit("network"), outcome=outcome_of(at("alert.action")), ts_text=at("timestamp"), severity=words[at("alert.severity")], dst_ip=at("dest_ip"))
+    number = raw("alert/severity")
+    severity = F.when(is_text(number), None).otherwise(words[F.try_variant_get(number, "$", "int")])
+    return _mapped(
+        df, keep, source="suricata", category="network", record_id=at("event_id"), ts_text=at("timestamp"), action=F.coalesce(at("event_type"), F.lit("alert")),
+        src_ip=at("src_ip"), dst_ip=at("dest_ip", "dst_ip"), resource=at("alert/signature"), severity=F.coalesce(severity, F.lit("info")),
+    )
 
 
 def assets(df: DataFrame, *keep: str) -> DataFrame:
-    return _mapped(df, keep, host=F.coalesce(at("hostname"), at("name")), src_ip=at("ip"), action=F.lit("asset_seen"), category=F.lit("endpoint"), outcome=F.lit("unknown"), resource=at("owner"), criticality=at("criticality"))
+    return _mapped(
+        df, keep, source="asset", category="endpoint", action="asset_inventory_observed", host=at("hostname", "fqdn", "name"), src_ip=at("ip", "ip_address"),
+        user_name=at("owner", "responsible_owner"), cloud_account=at("account", "org"), resource=at("os", "os_version"),
+    )
+
+
+MAPPERS: dict[str, Callable[..., DataFrame]] = {"cloudtrail": cloudtrail, "okta": okta, "github": github, "entra": entra, "sysmon": sysmon, "sysmon_xml": sysmon_xml, "zeek": zeek, "suricata": suricata, "assets": assets}
 
 
-MAPPERS: dict[str, Callable[..., DataFrame]] = {"okta": okta, "github": github, "entra": entra, "sysmon": sysmon, "sysmon_xml": sysmon_xml, "zeek": zeek, "suricata": suricata, "assets": assets}
+def exported(files: DataFrame, *keep: str) -> DataFrame:
+    """body of each record of exports (a text column `body`): {"Records": [...]}, one object, or an object a line; what is none of these gives no record."""
+    lines = F.split(F.trim("body", F.lit(" \t\r\n")), "\\n")
+    whole = F.try_parse_json(lines[0]).isNull() & F.try_parse_json("body").isNotNull()  # the parser stops after one value, so a first line that is one comes first
+    documents = F.when(whole, F.array("body")).otherwise(lines)
+    rows = files.select(*keep, F.explode(documents).alias("_text")).withColumn("_doc", F.try_parse_json("_text"))
+    listed = F.try_variant_get("_doc", "$.Records", "array<variant>")
+    rows = rows.select(*keep, F.explode(F.coalesce(listed, F.array("_doc"))).alias("_record")).where(F.schema_of_variant("_record").startswith("OBJECT"))
+    return rows.select(*keep, F.to_json("_record").alias("body"))
 
 
 def lookup_records(files: DataFrame, schema: str) -> DataFrame:
