@@ -13,8 +13,10 @@ part and summed per pair.
 Documents with equal sets are one class before the join. Candidates come in two rounds, so that a large
 group of near copies gives about one pair a member, not one for any two: first each class with the
 leader of its length band for each shared shingle; then, once components are known, every pair that
-shares a prefix shingle, fits in length and still lies in different components. No link that could
-join two components is left out. Classes that hold more than 1 / HEAVY of the documents, or of the
+shares a prefix shingle, fits in length and still lies in different components. Shingles that the same
+classes hold, such as those of one shared passage, count as one there (the first of them in the global
+order), and the parity test is part of the join, so texts that share some passages but aren't similar
+are compared and leave no row. No link that could join two components is left out. Classes that hold more than 1 / HEAVY of the documents, or of the
 pairs (at most HEAVY, or twice as many, whatever the corpus), don't meet their rows in one task: the first
 are broadcast, the sets of the others go to SALTS places, and their pairs are dealt to these.
 
@@ -44,6 +46,8 @@ BLOCK_BYTES, FREQUENT, KEPT = 12 << 20, 2, 1_000_000
 FRAGMENT, HELD, PARTS, BITS = 250_000, 500_000, 4, 4096
 #: Shares that make a class a hot key; places for its sets; classes whose parities a task remembers having sent.
 HEAVY, SALTS, SENT = 1000, 32, 20_000
+#: 64-bit words of the parities folded for the first test.
+WORDS = 8
 
 
 class Shingler:
@@ -268,15 +272,41 @@ def _placed(sets: DataFrame, hot: DataFrame) -> DataFrame:
     return known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_hot"), SALTS - 1).otherwise(0)))).drop("_hot")
 
 
+def _near(a: Column, b: Column, total: Column, share: int) -> Column:
+    """Whether parities differ in no more bits than sets of that total size that are similar can."""
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (total - differ) * (100 + share) >= 2 * share * total
+
+
 def _alike(pairs: DataFrame, bitmaps: DataFrame, hot: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) whose parities differ in no more bits than similar sets can."""
     placed = _placed(bitmaps, hot)
     left, right = (placed.select(F.col("c").alias(x), "salt", F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}")) for x in "ab")
     both = _dealt(pairs, hot, "b", "a").join(right, ["b", "salt"]).drop("salt")
     both = _dealt(both, hot, "a", "b").join(left, ["a", "salt"])
-    differ = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return both.where(_near(F.col("sa"), F.col("sb"), F.col("na") + F.col("nb"), share)).select("a", "b")
+
+
+def _first_of_alike(placed: DataFrame) -> DataFrame:
+    """The prefix shingles whose classes lie in several components; of those with the same classes, the first in the global order.
+
+    A class counts its places in that order, so of two shingles with the same classes the earlier has the smaller places.
+    """
+    held = [F.bit_xor(F.xxhash64(F.lit(i), "c")).alias(f"x{i}") for i in range(2)]
+    split = placed.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"), F.min("place").alias("place"), *held)
+    return split.where("lo < hi").groupBy("m", "x0", "x1").agg(F.min(F.struct("place", "shingle")).alias("first")).select("first.shingle")
+
+
+def _crossing(placed: DataFrame, bitmaps: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) of classes in different components that share a prefix shingle, fit in length and place, and whose parities are near; the first WORDS words of folded parities are tested first."""
+    fold = [F.expr("^".join(f"bits[{i}]" for i in range(w, BITS // 64, WORDS))).alias(f"w{w}") for w in range(WORDS)]
+    rest = save(placed.join(_first_of_alike(placed), "shingle").join(bitmaps.select("c", "bits", *fold), "c"), "rest")
+    one, two = (rest.select("shingle", *[F.col(x).alias(f"{y}{s}") for x, y in (("c", ""), ("n", "n"), ("place", "p"), ("component", "c"), ("bits", "s"), *((f"w{w}", f"w{w}") for w in range(WORDS)))]) for s in "ab")
     total = F.col("na") + F.col("nb")
-    return both.where((total - differ) * (100 + share) >= 2 * share * total).select("a", "b")
+    folded = F.expr(" + ".join(f"bit_count(w{w}a ^ w{w}b)" for w in range(WORDS)))
+    fits = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= share * F.greatest("na", "nb")) & _reaches("na", "pa", "nb", "pb", share)
+    near = ((total - folded) * (100 + share) >= 2 * share * total) & _near(F.col("sa"), F.col("sb"), total, share)
+    return one.join(two, (one["shingle"] == two["shingle"]) & fits & near).select("a", "b")
 
 
 def groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
@@ -294,10 +324,10 @@ def groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     bitmaps = sets.where("kind = 0 AND n > 0 AND bits IS NOT NULL").join(shared.select("h1", "h2").distinct(), ["h1", "h2"]).dropDuplicates(["h1", "h2"])
     bitmaps = save(bitmaps.select(F.struct("h1", "h2").alias("c"), "n", "bits"), "bitmaps")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, near: bool = False) -> DataFrame:
         pairs = save(pairs.distinct(), "candidates")
         hot = save(_hot(pairs), "hot")
-        pairs = save(_alike(pairs, bitmaps, hot, share), "pairs")
+        pairs = pairs if near else save(_alike(pairs, bitmaps, hot, share), "pairs")
         wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct().select("c.h1", "c.h2")
         parts = save(_parts(docs, wanted.join(classes.drop("docs"), ["h1", "h2"]).where("rep IS NOT NULL"), width), "parts")
         return save(_verified(pairs, parts, hot, share), "links")
@@ -307,12 +337,7 @@ def groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     links = verified(star.where("a <> b"))
     label = components(links)
     placed = shared.select("shingle", mine.alias("c"), "n", "place").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    placed = save(placed, "placed")
-    split = placed.groupBy("shingle").agg((F.min("component") < F.max("component")).alias("split")).where("split").select("shingle")
-    rest = placed.join(split, "shingle")
-    one, two = (rest.select("shingle", F.col("c").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-    fits = (F.col("ca") < F.col("cb")) & (F.least("na", "nb") * 100 >= share * F.greatest("na", "nb")) & _reaches("na", "pa", "nb", "pb", share)
-    links = links.unionByName(verified(one.join(two, "shingle").where(fits).select("a", "b")))
+    links = links.unionByName(verified(_crossing(save(placed, "placed"), bitmaps, share), near=True))
 
     label = components(links).select("node.h1", "node.h2", "component")
     named = classes.join(label, ["h1", "h2"], "left")
