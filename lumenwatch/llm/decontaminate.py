@@ -6,8 +6,9 @@ that the benchmark also uses and that is as long as the shortest window: no othe
 occurrence. Windows are searched backwards through wavelet ranks, occurrences are located from sampled
 suffix positions, and overlapping occurrences merge into removal spans.
 
-The benchmark is taken in blocks of at most BLOCK_BYTES of text; each block's windows go to every task,
-and documents pass through one search for each block.
+The benchmark is taken in blocks of about BLOCK_BYTES of text, one after the other: a block's items pass
+through the driver to every task, and its spans are saved before the next block is read, so neither the
+driver nor a task ever holds two. What several blocks found of a document is merged at the end.
 
 Defined cases: null, empty or wordless texts have no words, spans or items; items without words match
 nothing; a null item_id counts as 'null'; repeated rows are judged each; item rows with one item_id
@@ -18,13 +19,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, columns, mixed, texts, words_of
+from .common import BASE, columns, mixed, save, texts, words_of
 from .fmindex import FIRST, SEPARATOR, FMIndex
 
 SHARD_WORDS, BLOCK_BYTES = 3_000_000, 32 << 20
@@ -145,54 +147,74 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, with_text: boo
     """For each document: n_words, span_starts and span_ends (word places, end exclusive), item_ids, and with_text the text without its spans."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     blocks = max(1, -(-int(items.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0))).first()[0]) // BLOCK_BYTES))
-    docs = texts(docs)
-    sql = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text binary, n_words long, span_starts array<int>, span_ends array<int>, item_ids array<string>"
-    types = [pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
-    names = ["doc_id", "text", "n_words", "span_starts", "span_ends", "item_ids"]
-
-    def searched(rows: list[tuple[str, bytes]], first: bool, last: bool):
-        def shard(ids: list[pa.Array], held: list[bytes], old: list[tuple]) -> pa.RecordBatch:
-            sizes, spans, found = search_shard(held, windows[0])
-            starts, ends, items = [], [], []
-            for i, (a, b) in enumerate(spans):
-                if not first:
-                    a, b = np.concatenate([a, old[i][0]]).astype(np.int64), np.concatenate([b, old[i][1]]).astype(np.int64)
-                    order = np.argsort(a, kind="stable")
-                    a, b = merged(a[order], b[order])
-                    found[i].update(old[i][2])
-                starts.append(a.tolist())
-                ends.append(b.tolist())
-                items.append(sorted(found[i]))
-            if last:
-                held = [without(t, a, b) if a else t for t, a, b in zip(held, starts, ends, strict=True)] if with_text else [None] * len(held)
-            ids = pa.concat_arrays(ids)
-            return pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip((held, sizes, starts, ends, items), types, strict=True))], names)
-
-        windows: list[Windows] = []
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            windows[:] = [Windows(rows, window)]
-            ids, held, old, size = [], [], [], 0
-            for whole in batches:
-                for at in range(0, whole.num_rows, 256):
-                    batch = whole.slice(at, 256)
-                    text = columns(batch, "text")[0]
-                    ids.append(batch.column(0))
-                    held += text
-                    old += [] if first else zip(*columns(batch, "span_starts", "span_ends", "item_ids"), strict=True)
-                    size += sum(map(len, text)) // 6
-                    if size >= SHARD_WORDS:
-                        yield shard(ids, held, old)
-                        ids, held, old, size = [], [], [], 0
-            if held:
-                yield shard(ids, held, old)
-
-        return run
-
-    for block in range(blocks):
-        rows = [(r[0], bytes(r[1])) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()]
-        docs = docs.mapInArrow(searched(rows, block == 0, block == blocks - 1), sql)
-    return docs.withColumn("text", F.col("text").cast("string")) if with_text else docs.drop("text")
+    docs, kind = texts(docs), docs.schema["doc_id"].dataType.simpleString()
+    block = lambda b: [(r[0], bytes(r[1])) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).toLocalIterator()]
+    if blocks == 1:
+        out = docs.mapInArrow(_searched(block(0), window, with_text), f"doc_id {kind}, {_RESULT}")
+    else:
+        keyed = save(docs.withColumn("_row", F.monotonically_increasing_id()), "documents")  # numbered once, then read
+        hits = [save(keyed.select(F.col("_row").alias("doc_id"), "text").mapInArrow(_searched(block(b), window, False, hits_only=True), f"doc_id long, {_RESULT}").drop("text", "n_words"), "spans") for b in range(blocks)]
+        each = reduce(DataFrame.unionByName, hits).groupBy(F.col("doc_id").alias("_row")).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("span_starts", "span_ends", "item_ids")])
+        out = keyed.join(each, "_row", "left").drop("_row").mapInArrow(_merging(with_text), f"doc_id {kind}, {_RESULT}")
+    return out.withColumn("text", F.col("text").cast("string")) if with_text else out.drop("text")
+
+
+_RESULT = "text binary, n_words long, span_starts array<int>, span_ends array<int>, item_ids array<string>"
+_TYPES = [pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+_NAMES = ["doc_id", "text", "n_words", "span_starts", "span_ends", "item_ids"]
+
+
+def _batch(ids: pa.Array, *lists: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids, *(pa.array(x, t) for x, t in zip(lists, _TYPES, strict=True))], _NAMES)
+
+
+def _searched(rows: list[tuple[str, bytes]], window: int, with_text: bool, hits_only: bool = False):
+    """A task's search of its documents for a block of items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(rows, window)
+
+        def shard(ids: list[pa.Array], held: list[bytes]) -> pa.RecordBatch:
+            sizes, spans, found = search_shard(held, windows)
+            starts, ends, items = [a.tolist() for a, _ in spans], [b.tolist() for _, b in spans], [sorted(f) for f in found]
+            text = [without(t, a, b) if a else t for t, a, b in zip(held, starts, ends, strict=True)] if with_text else [None] * len(held)
+            out = _batch(pa.concat_arrays(ids), text, sizes, starts, ends, items)
+            return out.filter(pa.array([bool(a) for a in starts], pa.bool_())) if hits_only else out
+
+        ids, held, size = [], [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                text = columns(batch, "text")[0]
+                ids.append(batch.column(0))
+                held += text
+                size += sum(map(len, text)) // 6
+                if size >= SHARD_WORDS:
+                    yield shard(ids, held)
+                    ids, held, size = [], [], 0
+        if held:
+            yield shard(ids, held)
+
+    return run
+
+
+def _merging(with_text: bool):
+    """Documents with all blocks' spans and items (null: none) to results."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                held, starts, ends, items = columns(batch, "text", "span_starts", "span_ends", "item_ids")
+                spans = []
+                for a, b in zip(starts, ends, strict=True):
+                    order = np.argsort(np.array(a or [], np.int64), kind="stable")
+                    a, b = merged(np.array(a or [], np.int64)[order], np.array(b or [], np.int64)[order])
+                    spans.append((a.tolist(), b.tolist()))
+                text = [without(t, *s) if s[0] else t for t, s in zip(held, spans, strict=True)] if with_text else [None] * len(held)
+                yield _batch(batch.column(0), text, [len(words_of(t)) for t in held], [a for a, _ in spans], [b for _, b in spans], [sorted(set(i or [])) for i in items])
+
+    return run
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def pack(items: DataFrame, capacity: int = 4096) -> DataFrame:
     places = spark.createDataFrame(rows, "_length long, _from long, _to long, _first long, _each long, _offset long")
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select(F.col("length").alias("_l"), F.col("_salt").alias("_s"), F.coalesce(before, F.lit(0)).alias("_before"))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
+    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*told)) - 1)
     ranked = ranked.join(starts, (F.col("length") == F.col("_l")) & (F.col("_salt") == F.col("_s"))).withColumn("_rank", F.col("_rank") + F.col("_before"))
     i = F.col("_rank") - F.col("_from")
     placed = ranked.join(F.broadcast(places), (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
