@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.lines import field, without_year
+from ..sources.lines import Fields, without_year
 
 #: Aliases by field, categories, keyword rungs and severity words.
 ALIASES = {
@@ -37,6 +40,7 @@ ALIASES = {
 OUTCOMES = ["outcome", "event.outcome", "result", "status"]
 ACTIONS = ["action", "event.action", "operation", "eventname", "event_name", "activitydisplayname"]
 TIMES = ["timestamp", "@timestamp", "time", "eventtime"]
+SEVERITY, MESSAGE, CATEGORY = ["severity", "level", "risk"], ["message", "msg"], ["category", "event.category"]
 CATEGORIES = ["authentication", "process", "network", "dns", "cloud", "file", "endpoint", "application", "email"]
 RUNGS = [
     ("authentication", ["login", "logon", "signin", "authentication", "mfa", "password"]),
@@ -51,10 +55,14 @@ WORDS = {"info": 0, "informational": 0, "low": 25, "medium": 50, "moderate": 50,
 
 def category_of(explicit: Column, values: Column, message: Column) -> Column:
     hay = F.lower(F.concat_ws(" ", F.slice(values, 1, 20), F.coalesce(message, F.lit(""))))
-    out = F.when(F.lower(explicit).isin(*CATEGORIES), F.lower(explicit))
-    for name, words in RUNGS:
-        out = out.when(hay.rlike("|".join(w.replace(".", r"\.") for w in words)), name)
-    return out.otherwise("unknown")
+
+    def rung(hay: Column) -> Column:
+        out = F.when(F.lower(explicit).isin(*CATEGORIES), F.lower(explicit))
+        for name, words in RUNGS:
+            out = out.when(reduce(or_, [hay.contains(w) for w in words]), name)
+        return out.otherwise("unknown")
+
+    return F.transform(F.array(hay), rung)[0]
 
 
 def default_action(category: Column, message: Column) -> Column:
@@ -72,40 +80,33 @@ def severity_of(value: Column, is_number: Column) -> Column:
 
 
 def timestamp_of(text: Column, otherwise: Column) -> Column:
-    """ISO text (naive is UTC) or epoch seconds, without zone; anything else is `otherwise`."""
+    """ISO text (naive is UTC), without zone; anything else is `otherwise`."""
     zone = F.regexp_extract(text, r"([+-])(\d{2}):?(\d{2})$", 1)
     minutes = F.regexp_extract(text, r"[+-](\d{2}):?(\d{2})$", 1).try_cast("int") * 60 + F.regexp_extract(text, r"[+-]\d{2}:?(\d{2})$", 1).try_cast("int")
     naive = F.regexp_replace(F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", ""), "T", " ").try_cast("timestamp_ntz")
     shift = F.when(zone == "+", -minutes).when(zone == "-", minutes).otherwise(0)
     iso = naive + F.make_dt_interval(mins=shift)
-    epoch = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=text.try_cast("decimal(18,6)"))
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]"), iso).otherwise(F.coalesce(epoch, otherwise))
-
-
-def filled(name: str) -> Column:
-    """A field's value where it isn't empty, zero or false."""
-    value = F.try_element_at(F.filter("fields", lambda f: f["key"] == name), F.lit(-1))["value"]
-    return F.when(~value.isin("", "0", "0.0", "false", "[]", "{}"), value)
+    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]|$)"), F.coalesce(iso, otherwise)).otherwise(otherwise)
 
 
-def _is_number(line: Column, name: str) -> Column:
-    return line.rlike(f'(?i)"{name}"\\s*:\\s*-?[0-9]')
+def epoch_of(seconds: Column) -> Column:
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.try_cast("decimal(18,6)"))
 
 
 def normalized(records: DataFrame, now: Column | None = None) -> DataFrame:
     """records with the normalized fields; ts_defaulted marks those whose time isn't readable, which takes now (the start of 1970 if not given)."""
     now = now if now is not None else F.lit("1970-01-01").cast("timestamp_ntz")
-    rows = records.select("seq", "line", "format", "fields", *[field(*names).alias(name) for name, names in ALIASES.items()], F.coalesce(filled("message"), filled("msg"), F.lit("")).alias("message"))
-    rows = rows.withColumns({"source": F.coalesce("source", F.lit("unknown")), "log_product": F.lower("log_product"), "log_service": F.lower("log_service"), "outcome": F.lower(F.coalesce(field(*OUTCOMES), F.lit("unknown")))})
-    rows = rows.withColumn("category", category_of(F.coalesce(filled("category"), filled("event.category"), F.lit("")), F.transform("fields", lambda f: f["value"]), F.col("message")))
-    rows = rows.withColumn("action", F.coalesce(field(*ACTIONS), default_action(F.col("category"), F.col("message"))))
-    # numbers are known by their JSON, or as values that the CEF and syslog readers worked out
-    worked_out = F.col("format").isin("cef", "syslog", "syslog+cef")
-    severity = F.lit(None)
-    for name in ("risk", "level", "severity"):
-        severity = F.when(filled(name).isNotNull(), severity_of(filled(name), _is_number(F.col("line"), name) | (worked_out & F.lit(name == "severity")))).otherwise(severity)
-    rows = rows.withColumn("severity", F.coalesce(severity, F.lit(0)))
-    text = F.coalesce(*map(filled, TIMES))
-    year_less = text.rlike(r"^[A-Za-z]{3}\s+\d")
-    rows = rows.withColumn("ts", F.when(year_less, without_year(text, now)).otherwise(timestamp_of(text, F.lit(None).cast("timestamp_ntz"))))
-    return rows.withColumn("ts_defaulted", F.col("ts").isNull()).withColumn("ts", F.coalesce("ts", now)).drop("fields", "line")
+    look = Fields(*[n for names in (*ALIASES.values(), OUTCOMES, ACTIONS) for n in names], typed=(*TIMES, *SEVERITY, *MESSAGE, *CATEGORY))
+    found = {name: look.field(*names) for name, names in ALIASES.items()}
+    found |= {"source": F.coalesce(found["source"], F.lit("unknown")), "log_product": F.lower(found["log_product"]), "log_service": F.lower(found["log_service"])}
+    rows = look.of(records).select(
+        "seq", "format", "all_values", *[c.alias(name) for name, c in found.items()], F.coalesce(look.filled(*MESSAGE)["value"], F.lit("")).alias("message"), F.coalesce(look.filled(*CATEGORY)["value"], F.lit("")).alias("_explicit"),
+        look.field(*ACTIONS).alias("_action"), F.lower(F.coalesce(look.field(*OUTCOMES), F.lit("unknown"))).alias("outcome"), look.filled(*SEVERITY).alias("_severity"), look.filled(*TIMES).alias("_time"),
+    )
+    rows = rows.withColumn("category", category_of(F.col("_explicit"), F.col("all_values"), F.col("message")))
+    rows = rows.withColumns({"action": F.coalesce("_action", default_action(F.col("category"), F.col("message"))), "severity": severity_of(F.col("_severity.value"), ~F.col("_severity.text"))})
+    # numbers are seconds; numbers written as texts aren't times
+    text = F.when(F.col("_time.text"), F.col("_time.value"))
+    time = F.when(text.isNull(), epoch_of(F.col("_time.value"))).when(text.rlike(r"^[A-Za-z]{3}\s+\d"), without_year(text, now)).otherwise(timestamp_of(text, F.lit(None).cast("timestamp_ntz")))
+    rows = rows.withColumn("ts", time)
+    return rows.withColumn("ts_defaulted", F.col("ts").isNull()).withColumn("ts", F.coalesce("ts", now)).drop("all_values", "_explicit", "_action", "_time", "_severity")

@@ -58,9 +58,15 @@ def hits(text: Column) -> dict[str, Column]:
     return counts | {"card": F.size(F.filter(F.regexp_extract_all(text, F.lit(CARD), F.lit(0)), _is_card)).cast("long")}
 
 
+#: What looks like an IPv4 address, what is one, and the networks inside an organisation.
+ADDRESS = r"(?U)\b(?:\d{1,3}\.){3}\d{1,3}\b"
+VALID_ADDRESS = r"^(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])){3}$"
+INTERNAL = r"^(?:10\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|192\.168\.|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|127\.|169\.254\.)"
+
+
 def address_tokens(text: Column) -> Column:
-    """IPv4 addresses become <IP:internal> or <IP:public>; numbers that aren't addresses stay."""
-    octet = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-    whole = rf"(?<![0-9.]){octet}(?:\.{octet}){{3}}(?![0-9.])"
-    internal = rf"(?<![0-9.])(?:10\.{octet}|127\.{octet}|192\.168|169\.254|172\.(?:1[6-9]|2[0-9]|3[01]))(?:\.{octet}){{2}}(?![0-9.])"
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), internal, "<IP:internal>"), whole, "<IP:public>")
+    """IPv4 addresses become <IP:internal> or <IP:public>; what looks like one and isn't stays, so it is taken as a whole."""
+    text = F.coalesce(text, F.lit(""))
+    told = lambda a: F.when(~a.rlike(VALID_ADDRESS), a).when(a.rlike(INTERNAL), "<IP:internal>").otherwise("<IP:public>")
+    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0)), told), F.array(F.lit("")))
+    return F.when(~text.rlike(ADDRESS), text).otherwise(F.array_join(F.zip_with(F.split(text, ADDRESS), found, lambda a, b: F.concat(a, b)), ""))

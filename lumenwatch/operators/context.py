@@ -132,11 +132,19 @@ def risk_by_criticality(findings: DataFrame, assets: DataFrame) -> DataFrame:
     return out.withColumn("risk_points", F.when(F.col("m").isNull() | (F.col("risk_points") <= 0), F.col("risk_points")).otherwise(F.greatest(scaled, F.lit(1)))).drop("m")
 
 
+def routine_rules(identities: DataFrame, roles: DataFrame, never: list[str]) -> DataFrame:
+    """(key, rule_id) that are routine for an account (key, role, status and, if there, expected_rules): its role's rules (role, rule_id) and its own, without those of `never`; none for accounts that are off."""
+    on = identities.where(~F.coalesce(F.lower(F.trim("status")).isin(*DISABLED), F.lit(False)))
+    of_role = on.withColumn("role", F.lower(F.trim("role"))).join(roles, "role").select("key", "rule_id")
+    own = [on.select("key", F.explode("expected_rules").alias("rule_id")).where("rule_id <> ''")] if "expected_rules" in on.columns else []
+    return reduce(DataFrame.unionByName, own, of_role).where(~F.col("rule_id").isin(*never)).distinct()
+
+
 def routine_for_role(findings: DataFrame, identities: DataFrame, roles: DataFrame, never: list[str]) -> DataFrame:
-    """Findings whose rule is routine (role, rule_id) for the role of a user among their entities (key, role, status): severity at most 25, a quarter of the risk."""
-    users = findings.select("finding_id", "rule_id", F.explode("entities").alias("entity")).where(F.col("entity").startswith("user:") & ~F.col("rule_id").isin(*never))
-    active = identities.where("coalesce(status, 'active') <> 'disabled'").join(roles, "role").select("key", "rule_id")
-    routine = users.withColumn("key", F.lower(value_of(F.col("entity")))).join(active, ["key", "rule_id"], "left_semi").select("finding_id").distinct().withColumn("routine", F.lit(True))
+    """findings with routine: whether their rule is routine for a user among their entities. Such a finding below critical keeps a severity of at most 25 and a quarter of its risk."""
+    users = findings.select("finding_id", "rule_id", F.explode("entities").alias("entity")).where(F.col("entity").startswith("user:"))
+    active = routine_rules(identities, roles, never)
+    routine = users.withColumn("key", F.lower(F.trim(value_of(F.col("entity"))))).join(active, ["key", "rule_id"], "left_semi").select("finding_id").distinct().withColumn("routine", F.lit(True))
     out = findings.join(routine, "finding_id", "left").withColumn("routine", F.coalesce("routine", F.lit(False)) & (F.col("severity") < 100))
     less = F.when(F.col("risk_points") > 0, F.greatest(F.rint(F.col("risk_points") * 0.25).cast("int"), F.lit(1))).otherwise(F.col("risk_points"))
     return out.withColumn("risk_points", F.when(F.col("routine"), less).otherwise(F.col("risk_points"))).withColumn("severity", F.when(F.col("routine"), F.least("severity", F.lit(25))).otherwise(F.col("severity")))
@@ -156,11 +164,12 @@ def exposure(inventory: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def indicator_clauses(bundle: DataFrame) -> DataFrame:
-    """(indicator, name, type, value) of each [type:field = 'value'] clause of STIX patterns (id, name, pattern); free text is of type any."""
-    pattern = r"\[\s*([a-z0-9-]+):[^=\]]+=\s*'([^']*)'"
-    types, values = (F.regexp_extract_all("pattern", F.lit(pattern), F.lit(i)) for i in (1, 2))
-    clauses = F.when(F.size(types) > 0, F.arrays_zip(types.alias("type"), values.alias("value"))).otherwise(F.array(F.struct(F.lit("any").alias("type"), F.col("pattern").alias("value"))))
-    return bundle.select(F.col("id").alias("indicator"), "name", F.explode(clauses).alias("c")).select("indicator", "name", F.col("c.type").alias("type"), F.lower("c.value").alias("value")).where("value <> ''")
+    """(indicator, name, type, value) of each [type:field = 'value'] clause of STIX patterns (id, name, pattern); a pattern without clauses gives its quoted texts, of type any."""
+    pattern = r"\[\s*([\w.-]+):([\w.'-]+)\s*=\s*'([^']*)'"
+    types, values = (F.regexp_extract_all("pattern", F.lit(pattern), F.lit(i)) for i in (1, 3))
+    quoted = F.transform(F.regexp_extract_all("pattern", F.lit("'([^']*)'"), F.lit(1)), lambda v: F.struct(F.lit("any").alias("type"), v.alias("value")))
+    clauses = F.when(F.size(types) > 0, F.arrays_zip(types.alias("type"), values.alias("value"))).otherwise(quoted)
+    return bundle.select(F.col("id").alias("indicator"), "name", F.explode(clauses).alias("c")).select("indicator", F.coalesce("name", F.lit("threat indicator")).alias("name"), F.lower("c.type").alias("type"), F.lower("c.value").alias("value")).where("value <> ''")
 
 
 #: Substring clauses are compared row by row against a broadcast of at most as many.

@@ -23,13 +23,35 @@ def related_events(members: DataFrame, rows: DataFrame, newest: int = 25) -> Dat
     return pairs.groupBy("incident_key", "event_id").agg(F.count("*").alias("entities"))
 
 
+#: What every report recommends.
+NEXT_STEPS = [
+    "Validate whether the user/session/source IP is expected.",
+    "Pull surrounding events for the same user, host, and source IP for +/- 24 hours.",
+    "Check asset criticality, recent vulnerabilities, and identity privilege level.",
+    "Look for lateral movement, credential access, persistence, and exfiltration signals.",
+    "If confidence is high, preserve evidence and use approval-gated containment playbooks.",
+]
+
+
+def severity_name(severity: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair])[severity]
+
+
 def report_text(incidents: DataFrame, members: DataFrame, first: int = 10) -> DataFrame:
-    """A plain report of each incident: its title and its first findings in order of time."""
-    ranked = newest_of(members, ["incident_key"], [F.col("us"), F.col("seq"), F.col("rule_id")], first).withColumnRenamed("place", "_r")
-    told = ranked.groupBy("incident_key").agg(F.array_sort(F.collect_list(F.struct("_r", "rule_id", "risk_points"))).alias("f"))
-    told = told.withColumn("body", F.array_join(F.transform("f", lambda x: F.concat(F.lit("- "), x["rule_id"], F.lit(" (risk "), x["risk_points"].cast("string"), F.lit(")"))), "\n"))
-    head = F.concat("title", F.lit("\nRisk "), F.col("risk_score").cast("string"), F.lit(", "), F.col("findings").cast("string"), F.lit(" finding(s)\n"))
-    return incidents.join(told, "incident_key").select("incident_key", F.concat(head, "body").alias("report"))
+    """A plain report of each summarized incident: what it is, why it matters, its first findings by time (with rule_name and their event's action, user_name, host and src_ip), and steps."""
+    told = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    line = F.concat(F.lit("- "), "rule_name", F.lit(": action="), told("action"), F.lit(" user="), told("user_name"), F.lit(" host="), told("host"), F.lit(" src_ip="), told("src_ip"), F.lit(" severity="), severity_name(F.col("severity")))
+    ranked = newest_of(members.withColumn("_line", line), ["incident_key"], [F.col("us"), F.col("seq"), F.col("rule_id")], first)
+    evidence = ranked.groupBy("incident_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "_line"))), lambda x: x["_line"]).alias("_lines"))  # `first` lines at most
+    text = [
+        F.concat(F.lit("Incident: "), "title"),
+        F.concat(F.lit("Severity: "), severity_name(F.col("severity")), F.lit(" | Risk: "), F.col("risk_score").cast("string")),
+        F.concat(F.lit("Entities: "), F.array_join("entities", ", ")),
+        F.concat(F.lit("MITRE ATT&CK: "), F.when(F.size("kill_chain") > 0, F.array_join("kill_chain", ", ")).otherwise("not mapped")),
+        *map(F.lit, ("", "Why it matters:")), F.col("summary"), *map(F.lit, ("", "Key evidence:")), F.array_join("_lines", "\n"),
+        *map(F.lit, ("", "Recommended next steps:", *(f"{i}. {step}" for i, step in enumerate(NEXT_STEPS, 1)))),
+    ]
+    return incidents.join(evidence, "incident_key").select("incident_key", F.concat_ws("\n", *text).alias("report"))
 
 
 def case_notes(incidents: DataFrame, members: DataFrame, listed: int = 5) -> DataFrame:

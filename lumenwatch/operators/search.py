@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from .windows import newest_of
 
 #: Words that searches leave out.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with"]
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "of", "to", "in", "for", "on", "with",
+    "as", "by", "at", "from", "this", "that", "these", "those", "is", "are",
+    "was", "were", "be", "been",
+]
 SEARCHED = ["event_id", "action", "user_name", "host", "src_ip", "source", "command_line"]
 KINDS = {"user": "user_name", "host": "host", "ip": "src_ip"}
 
@@ -38,12 +42,18 @@ def entity_profile(rows: DataFrame, newest: int = 25) -> DataFrame:
     return last.groupBy("entity").agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.concat_ws(",", F.array_sort(F.collect_set("action"))).alias("actions"), F.concat_ws(",", F.array_sort(F.collect_set("category"))).alias("categories"))
 
 
+def event_summary() -> Column:
+    """One line about an event; fields it doesn't have are unknown."""
+    told = lambda c, none: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(none))
+    return F.concat(F.coalesce("action", F.lit("unknown")), F.lit(" user="), told("user_name", "unknown-user"), F.lit(" host="), told("host", "unknown-host"), F.lit(" src_ip="), told("src_ip", "unknown-ip"))
+
+
 def timeline(incidents: DataFrame, members: DataFrame, events: DataFrame) -> DataFrame:
-    """Rows of an incident's course: one for its creation and one for each finding, with the event's summary."""
-    told = F.concat_ws(" ", "action", F.concat(F.lit("by "), "user_name"), F.concat(F.lit("on "), "host"), F.concat(F.lit("from "), "src_ip"))
-    rows = members.join(events.select("event_id", told.alias("text")), "event_id", "left")
-    rows = rows.select("incident_key", "us", F.lit("finding").alias("kind"), F.col("finding_id").alias("ref"), F.coalesce("text", "rule_id").alias("text"))
-    return rows.unionByName(incidents.select("incident_key", F.col("first_us").alias("us"), F.lit("incident_created").alias("kind"), F.col("incident_key").alias("ref"), F.col("title").alias("text")))
+    """Rows of an incident's course: one for its creation (its title, risk and summary) and one for each finding (its rule_name, risk, and its event's summary)."""
+    rows = members.join(events.select("event_id", "action", "user_name", "host", "src_ip"), "event_id", "left")
+    rows = rows.select("incident_key", "us", F.lit("finding").alias("kind"), F.col("finding_id").alias("ref"), F.col("rule_name").alias("title"), "severity", F.col("risk_points").cast("long").alias("risk"), event_summary().alias("summary"))
+    made = incidents.select("incident_key", F.col("first_us").alias("us"), F.lit("incident_created").alias("kind"), F.col("incident_key").alias("ref"), "title", "severity", F.col("risk_score").cast("long").alias("risk"), F.coalesce("summary", F.lit("Incident created.")).alias("summary"))
+    return rows.unionByName(made)
 
 
 def tokens(text: Column) -> Column:
@@ -148,7 +158,15 @@ def audit_list(log: DataFrame, newest: int = 100) -> DataFrame:
     return newest_of(log, ["tenant"], [F.desc("seq")], newest)
 
 
-def incident_documents(incidents: DataFrame) -> DataFrame:
-    """Incidents as texts for retrieval: title, entities and techniques."""
-    parts = F.concat_ws(" | ", "title", F.concat(F.lit("risk "), F.col("risk_score").cast("string")), F.concat_ws(", ", "entities"), F.concat_ws(", ", "kill_chain"))
-    return incidents.select(F.col("incident_key").alias("doc_id"), parts.alias("text"))
+def incident_document() -> Column:
+    """A stored incident as a text for retrieval: title, status, resolution, techniques, entities and summary, as far as there."""
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, " "))
+    parts = [F.concat(F.lit("[past incident] "), F.coalesce("title", F.lit(""))), F.concat(F.lit("status="), "status"), F.concat(F.lit("resolution="), "resolution"), listed("kill_chain"), listed("entities"), F.nullif(F.col("summary"), F.lit(""))]
+    return F.concat_ws(" | ", *parts)
+
+
+def retrieval_corpus(stored: DataFrame, runbooks: DataFrame, newest: int = 50) -> DataFrame:
+    """doc_id and text of the runbooks (name, content) and of each tenant's newest incidents (a top-k corpus)."""
+    last = newest_of(stored, ["tenant"], [F.desc("first_us"), F.asc("incident_key")], newest)
+    books = runbooks.select(F.concat(F.lit("runbook:"), "name").alias("doc_id"), F.concat(F.lit("[runbook] "), "name", F.lit("\n"), "content").alias("text"))
+    return last.select(F.col("incident_key").alias("doc_id"), incident_document().alias("text")).unionByName(books)

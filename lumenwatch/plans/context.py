@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import redaction
 from ..operators import context, detection, quality, search
-from ..operators.incidents import roll_up
+from ..operators.incidents import roll_up, summarized
 from ..sources.events import V, X, by_entity, security_events
-from .detection import FOUND, INCIDENTS, _findings, _members, of_all
+from .detection import FOUND, INCIDENTS, SUMMARY, _findings, _matrix_table, _members, named
 
 RANGES = [("corp", "10.0.0.0/13"), ("branch", "10.2.0.0/16"), ("branch-2-lab", "10.2.2.0/24"), ("lab", "203.0.113.0/25")]
-BUNDLE = [("i1", "bad address", "[ipv4-addr:value = '203.0.113.12']"), ("i2", "tooling", "[process:command_line = 'cmd.exe /c STEP3'] OR [file:name = 'powershell.exe']"), ("i3", "text", "SQBF"), ("i4", "two", "[ipv4-addr:value = '10.1.1.2'] AND [ipv4-addr:value = '10.1.1.3']")]
+BUNDLE = [("i1", "bad address", "[ipv4-addr:value = '203.0.113.12']"), ("i2", "tooling", "[process:command_line = 'cmd.exe /c STEP3'] OR [file:name = 'powershell.exe']"), ("i3", "text", "marked 'SQBF' or 'NOWHERE', not step1"), ("i4", "two", "[ipv4-addr:value = '10.1.1.2'] AND [ipv4-addr:value = '10.1.1.3']")]
 ROLES = [("it-admin", "SEED-EXEC-2"), ("it-admin", "SEED-AUTH-1"), ("ci-deploy", "SEED-CLOUD-1"), ("backup", "SEED-RARE-1")]
 NEVER = ["SEED-RARE-1"]
 
@@ -39,9 +39,11 @@ def criticality_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def routine_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as an identity directory of roles."""
-    role = F.element_at(F.array(F.lit("it-admin"), F.lit("ci-deploy"), F.lit("backup"), F.lit("guest")), (F.col("c_nationkey") % 4 + 1).cast("int"))
-    people = _table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("key"), role.alias("role"), F.when(F.col("c_acctbal") < 0, "disabled").otherwise("active").alias("status"))
+    """Customers as an identity directory of roles, of rules that are routine for some of them alone, and of accounts that are off in several spellings."""
+    role = F.element_at(F.array(F.lit("it-admin"), F.lit(" CI-Deploy"), F.lit("backup"), F.lit("guest")), (F.col("c_nationkey") % 4 + 1).cast("int"))
+    off = F.element_at(F.array(F.lit("disabled"), F.lit("Disabled "), F.lit("SUSPENDED"), F.lit("terminated")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    expected = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("SEED-EXT-1"), F.lit(""), F.lit("SEED-RARE-1")))
+    people = _table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("key"), role.alias("role"), F.when(F.col("c_acctbal") < 0, off).otherwise("active").alias("status"), expected.alias("expected_rules"))
     roles = F.broadcast(spark.createDataFrame(ROLES, "role string, rule_id string"))
     return context.routine_for_role(_findings(spark, sf_dir), people, roles, NEVER).select("finding_id", "severity", "risk_points", "routine")
 
@@ -79,7 +81,7 @@ def entity_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incident_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = _members(spark, sf_dir)
-    return search.timeline(roll_up(members), members, security_events(spark, sf_dir))
+    return search.timeline(summarized(roll_up(members), _matrix_table(spark)), named(members), security_events(spark, sf_dir))
 
 
 def audit_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +143,7 @@ _assets_sql = """a AS (SELECT key, arg_max(m, pos) AS m FROM (SELECT 'h' || (c_c
 _number = "list_sum([CAST(split_part(ip, '.', 1 + i) AS BIGINT) * CAST(pow(256, 3 - i) AS BIGINT) FOR i IN range(4)])"
 _ranges = ", ".join(f"('{label}', {context.cidr_range(c)[0]}, {context.cidr_range(c)[1]})" for label, c in RANGES)
 
-QUERIES = [address_context, criticality_risk, routine_roles, host_exposure, indicator_findings, event_search, latest_events, source_health, entity_profiles, incident_timeline, audit_verification, redaction_audit, all_redaction_audit, redacted_text, keyword_retrieval, decision_quality, decision_confusion, of_all(incident_timeline)]
+QUERIES = [address_context, criticality_risk, routine_roles, host_exposure, indicator_findings, event_search, latest_events, source_health, entity_profiles, incident_timeline, audit_verification, redaction_audit, all_redaction_audit, redacted_text, keyword_retrieval, decision_quality, decision_confusion]
 SQL = {
     "address_context": f"""WITH {V}, a AS (SELECT src_ip AS ip, count(*) AS n FROM v WHERE src_ip IS NOT NULL GROUP BY 1), r(label, lo, hi) AS (VALUES {_ranges}), b AS (SELECT *, {_number} AS k FROM a),
 l AS (SELECT ip, string_agg(label, ',' ORDER BY label) AS labels FROM b JOIN r ON k BETWEEN lo AND hi GROUP BY 1)
@@ -149,9 +151,9 @@ SELECT ip, n, coalesce(labels, '') AS labels, CASE WHEN starts_with(ip, '10.') T
     "criticality_risk": f"""WITH {FOUND}, {_assets_sql}, e AS (SELECT finding_id, unnest(entities) AS entity FROM found),
 m AS (SELECT finding_id, max(m) AS m FROM e JOIN a ON a.key = lower(regexp_replace(entity, '^[^:]*:', '')) GROUP BY 1)
 SELECT finding_id, CASE WHEN m IS NULL OR risk_points <= 0 THEN risk_points ELSE greatest(CAST(round_even(risk_points * m / 100, 0) AS INTEGER), 1) END AS risk_points FROM found LEFT JOIN m USING (finding_id)""",
-    "routine_roles": f"""WITH {FOUND}, p AS (SELECT 'u' || c_custkey AS key, (['it-admin', 'ci-deploy', 'backup', 'guest'])[c_nationkey % 4 + 1] AS role FROM customer WHERE c_acctbal >= 0),
+    "routine_roles": f"""WITH {FOUND}, p AS (SELECT c_custkey AS pos, 'u' || c_custkey AS key, (['it-admin', 'ci-deploy', 'backup', 'guest'])[c_nationkey % 4 + 1] AS role FROM customer WHERE c_acctbal >= 0),
 roles(role, rule_id) AS (VALUES {", ".join(str(r) for r in ROLES)}), u AS (SELECT finding_id, rule_id, unnest(entities) AS entity FROM found WHERE rule_id <> 'SEED-RARE-1'),
-q AS (SELECT DISTINCT finding_id FROM u JOIN p ON entity = 'user:' || key JOIN roles ON roles.role = p.role AND roles.rule_id = u.rule_id)
+q AS (SELECT finding_id FROM u JOIN p ON entity = 'user:' || key JOIN roles ON roles.role = p.role AND roles.rule_id = u.rule_id UNION SELECT finding_id FROM u JOIN p ON entity = 'user:' || key WHERE rule_id = 'SEED-EXT-1' AND pos % 3 = 0)
 SELECT finding_id, CASE WHEN r THEN least(severity, 25) ELSE severity END AS severity, CASE WHEN r AND risk_points > 0 THEN greatest(CAST(round_even(risk_points * 0.25, 0) AS INTEGER), 1) ELSE risk_points END AS risk_points, r AS routine
 FROM (SELECT *, finding_id IN (SELECT finding_id FROM q) AS r FROM found)""",
     "host_exposure": """WITH i AS (SELECT DISTINCT 'h' || l_suppkey AS host, 'CVE-2024-' || lpad(CAST(l_partkey AS VARCHAR), 5, '0') AS cve FROM lineitem),
@@ -167,8 +169,9 @@ SELECT event_id, action, user_name FROM v WHERE concat_ws(chr(10), event_id, act
     "source_health": f"WITH {V} SELECT coalesce(source, 'unknown') AS source, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM v GROUP BY 1",
     "entity_profiles": f"""WITH {X}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY us DESC, seq DESC) AS r FROM x)
 SELECT entity, count(*) AS n, min(us) AS first_us, max(us) AS last_us, string_agg(DISTINCT action, ',' ORDER BY action) AS actions, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM r WHERE r <= 25 GROUP BY 1""",
-    "incident_timeline": f"""WITH RECURSIVE {INCIDENTS} SELECT incident_key, sf.us, 'finding' AS kind, finding_id AS ref, concat_ws(' ', v.action, 'by ' || v.user_name, 'on ' || v.host, 'from ' || v.src_ip) AS text FROM sf JOIN key USING (finding_id) JOIN v USING (event_id)
-UNION ALL SELECT incident_key, first_us, 'incident_created', incident_key, CASE WHEN others <= 0 THEN 'Suspicious activity involving ' || primary_entity ELSE 'Correlated activity involving ' || primary_entity || ' and ' || others || ' related entit' || CASE WHEN others = 1 THEN 'y' ELSE 'ies' END END FROM inc""",
+    "incident_timeline": f"""WITH RECURSIVE {INCIDENTS}, {SUMMARY} SELECT incident_key, sf.us, 'finding' AS kind, finding_id AS ref, name AS title, sf.severity, CAST(sf.risk_points AS BIGINT) AS risk,
+  v.action || ' user=' || coalesce(v.user_name, 'unknown-user') || ' host=' || coalesce(v.host, 'unknown-host') || ' src_ip=' || coalesce(v.src_ip, 'unknown-ip') AS summary FROM sf JOIN key USING (finding_id) JOIN v USING (event_id) JOIN (SELECT rule_id, name FROM rules) USING (rule_id)
+UNION ALL SELECT incident_key, first_us, 'incident_created', incident_key, CASE WHEN others <= 0 THEN 'Suspicious activity involving ' || primary_entity ELSE 'Correlated activity involving ' || primary_entity || ' and ' || others || ' related entit' || CASE WHEN others = 1 THEN 'y' ELSE 'ies' END END, severity, risk_score, summary FROM inc JOIN summ USING (incident_key)""",
     "audit_verification": f"WITH {V} SELECT seq, CASE WHEN contains(action, '_rare0') THEN 'payload' ELSE 'link' END AS problem FROM v WHERE contains(action, '_rare0') OR (outcome = 'failure' AND contains(action, '_rare1'))",
     "redaction_audit": r"""SELECT source, CAST(sum(len(regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b'))) AS BIGINT) AS ipv4, CAST(sum(len(regexp_extract_all(text, '\b[\w.+-]+@[\w-]+\.[\w.]+\b'))) AS BIGINT) AS email, CAST(sum(len(regexp_extract_all(text, '\b\d{3}-\d{2}-\d{4}\b'))) AS BIGINT) AS ssn,
   CAST(sum(len(regexp_extract_all(text, '\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b'))) AS BIGINT) AS ipv6, CAST(sum(len(regexp_extract_all(text, '\bAKIA[0-9A-Z]{16}\b'))) AS BIGINT) AS aws_key FROM documents GROUP BY 1""",
@@ -181,4 +184,3 @@ SELECT source, count(*) AS n, round(avg(CAST(expected = predicted AS DOUBLE)), 9
   any_value(l[CAST(round_even(0.5 * (len(l) - 1), 0) AS BIGINT) + 1]) AS p50, any_value(l[CAST(round_even(0.95 * (len(l) - 1), 0) AS BIGINT) + 1]) AS p95 FROM dq JOIN e USING (source) JOIN o USING (source) GROUP BY 1""",
     "decision_confusion": f"WITH {_DEC} SELECT source, CAST(expected AS VARCHAR) AS expected, CAST(predicted AS VARCHAR) AS predicted, count(*) AS n FROM dq GROUP BY ALL",
 }
-SQL |= {"all_incident_timeline": SQL["incident_timeline"]}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,14 +89,10 @@ def entity_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.entity_risk(_findings(spark, sf_dir)).withColumn("reasons", F.concat_ws(",", "reasons"))
 
 
-def of_all(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query under the name that it had while only the names with all_ took all findings."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return query(spark, sf_dir)
-
-    run.__name__, run.__doc__ = f"all_{query.__name__}", query.__doc__
-    return run
+def named(members: DataFrame) -> DataFrame:
+    """Findings with the name of their rule."""
+    names = F.create_map(*[F.lit(x) for r in RULES for x in (r["rule_id"], r["name"])])
+    return members.withColumn("rule_name", names[F.col("rule_id")])
 
 
 def _incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +195,15 @@ dec AS (SELECT *, least(20 + CASE WHEN risk_score >= 200 THEN 25 WHEN risk_score
   CASE WHEN severity >= 75 AND risk_score >= 200 THEN 'containment_proposed' WHEN risk_score >= 100 OR severity >= 50 THEN 'escalate' WHEN risk_score >= 30 THEN 'suspicious_monitor' ELSE 'likely_benign' END AS decision,
   CASE WHEN severity >= 75 AND risk_score >= 200 THEN 'tier-2-incident-responder' WHEN risk_score >= 100 OR severity >= 50 THEN 'tier-2-analyst' ELSE 'tier-1-queue' END AS owner FROM inc)"""
 
-QUERIES = [detect_findings, rule_backtest, rule_state_overlay, rule_applicability, technique_coverage, exceptions_applied, repeat_suppression, feedback_weights, feedback_reweighted, feedback_rejected, entity_risk, incident_rollup, incident_triage, incident_proposals, incident_merge, incident_merge_closed, incident_members, incident_summaries, incident_ranking, duplicate_alerts, *map(of_all, (incident_rollup, incident_triage, incident_proposals, incident_merge))]
+SUMMARY = f"""m(technique, tactics) AS (VALUES {_matrix}), k AS (SELECT incident_key, unnest(chain) AS t, unnest(range(len(chain))) AS p FROM inc),
+tt AS (SELECT incident_key, coalesce(a.tactics, b.tactics)[1] AS tactic, min(p) AS p FROM k LEFT JOIN m a ON a.technique = k.t LEFT JOIN m b ON b.technique = split_part(k.t, '.', 1) GROUP BY 1, 2),
+g AS (SELECT incident_key, string_agg(tactic, ' → ' ORDER BY p) AS path FROM tt WHERE tactic IS NOT NULL GROUP BY 1),
+s AS (SELECT *, (last_us - first_us) / 1e6 AS sec FROM inc LEFT JOIN g USING (incident_key)),
+summ AS (SELECT incident_key, findings || ' correlated finding(s) across ' || len(entities) || ' entit' || CASE WHEN len(entities) = 1 THEN 'y' ELSE 'ies' END || ', risk ' || risk_score || '.' || coalesce(' Attack progression: ' || path || '.', '')
+  || CASE WHEN sec > 0 THEN ' Spanning ' || CASE WHEN sec < 60 THEN CAST(floor(sec) AS BIGINT) || 's' WHEN sec < 3600 THEN CAST(floor(sec / 60) AS BIGINT) || 'm' WHEN sec < 86400 THEN printf('%.1fh', sec / 3600) ELSE printf('%.1fd', sec / 86400) END || ' from first to last finding.' ELSE '' END
+  || ' Highest-risk entity: ' || primary_entity || '.' AS summary FROM s)"""
+
+QUERIES = [detect_findings, rule_backtest, rule_state_overlay, rule_applicability, technique_coverage, exceptions_applied, repeat_suppression, feedback_weights, feedback_reweighted, feedback_rejected, entity_risk, incident_rollup, incident_triage, incident_proposals, incident_merge, incident_merge_closed, incident_members, incident_summaries, incident_ranking, duplicate_alerts]
 SQL = {
     "detect_findings": f"WITH {FOUND} SELECT finding_id, event_id, rule_id, severity, risk_points, array_to_string(entities, ',') AS entities, array_to_string(techniques, ',') AS techniques FROM found",
     "rule_backtest": f"WITH {FOUND} SELECT rule_id, count(*) AS hits, count(*) FILTER (outcome = 'failure') AS tp, count(*) FILTER (outcome <> 'failure') AS fp FROM hits GROUP BY 1",
@@ -247,14 +250,7 @@ lab2(a, b) USING KEY (a) AS (SELECT finding_id, finding_id FROM rest UNION
   SELECT r2.a, min(lab2.b) FROM lab2 JOIN r2 ON r2.b = lab2.a JOIN recurring.lab2 AS old ON old.a = r2.a WHERE lab2.b < old.b GROUP BY 1)
 SELECT finding_id, incident_key, 'merged' AS fate FROM t WHERE risk >= 40 UNION ALL SELECT a, b, 'fresh' FROM lab2""",
     "incident_members": f"WITH RECURSIVE {INCIDENTS} SELECT incident_key, finding_id, row_number() OVER (PARTITION BY incident_key ORDER BY us, seq, rule_id) AS place FROM sf JOIN key USING (finding_id)",
-    "incident_summaries": f"""WITH RECURSIVE {INCIDENTS}, m(technique, tactics) AS (VALUES {_matrix}), k AS (SELECT incident_key, unnest(chain) AS t, unnest(range(len(chain))) AS p FROM inc),
-tt AS (SELECT incident_key, coalesce(a.tactics, b.tactics)[1] AS tactic, min(p) AS p FROM k LEFT JOIN m a ON a.technique = k.t LEFT JOIN m b ON b.technique = split_part(k.t, '.', 1) GROUP BY 1, 2),
-g AS (SELECT incident_key, string_agg(tactic, ' → ' ORDER BY p) AS path FROM tt WHERE tactic IS NOT NULL GROUP BY 1),
-s AS (SELECT *, (last_us - first_us) / 1e6 AS sec FROM inc LEFT JOIN g USING (incident_key))
-SELECT incident_key, findings || ' correlated finding(s) across ' || len(entities) || ' entit' || CASE WHEN len(entities) = 1 THEN 'y' ELSE 'ies' END || ', risk ' || risk_score || '.' || coalesce(' Attack progression: ' || path || '.', '')
-  || CASE WHEN sec > 0 THEN ' Spanning ' || CASE WHEN sec < 60 THEN CAST(floor(sec) AS BIGINT) || 's' WHEN sec < 3600 THEN CAST(floor(sec / 60) AS BIGINT) || 'm' WHEN sec < 86400 THEN printf('%.1fh', sec / 3600) ELSE printf('%.1fd', sec / 86400) END || ' from first to last finding.' ELSE '' END
-  || ' Highest-risk entity: ' || primary_entity || '.' AS summary FROM s""",
+    "incident_summaries": f"WITH RECURSIVE {INCIDENTS}, {SUMMARY} SELECT * FROM summ",
     "incident_ranking": f"WITH RECURSIVE {INCIDENTS} SELECT incident_key, risk_score, row_number() OVER (ORDER BY risk_score DESC, first_us, incident_key) AS place FROM inc",
     "duplicate_alerts": f"WITH {FOUND} SELECT rule_id, coalesce(entities[1], 'global:unknown') AS entity, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM found GROUP BY 1, 2 HAVING count(*) > 1",
 }
-SQL |= {f"all_{name}": SQL[name] for name in ("incident_rollup", "incident_triage", "incident_proposals", "incident_merge")}

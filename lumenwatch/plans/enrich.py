@@ -13,7 +13,7 @@ from ..operators import context, incidents, quality, reports, search, suppressio
 from ..sources import mappers
 from ..sources.events import V, X, by_entity, security_events
 from .context import BUNDLE, _assets, _assets_sql, _table
-from .detection import INCIDENTS, _findings, _incidents, _members, _status
+from .detection import INCIDENTS, _findings, _incidents, _members, _status, named
 from .reports import RUNBOOKS
 from .reports import SQL as REPORT_SQL
 
@@ -129,8 +129,7 @@ def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def case_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = _members(spark, sf_dir)
-    names = F.create_map(*[F.lit(x) for r in RULES for x in (r["rule_id"], r["name"])])
-    return reports.case_notes(incidents.roll_up(members), members.withColumn("rule_name", names[F.col("rule_id")]))
+    return reports.case_notes(incidents.roll_up(members), named(members))
 
 
 def mapped_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from ..sources.events import V, security_events
 
 #: A line for each event, in the format of its kind; the same expression on both engines.
 LINE = """CASE category
-  WHEN 'process' THEN '{"User": "' || coalesce(user_name, ' ') || '", "Action": "' || action || '", "severity": ' || CAST(event_id % 101 AS STRING) || ', "Result": "OK", "cmdline": "' || command_line || '", "time": "' || CAST(event_id AS STRING) || '"}'
+  WHEN 'process' THEN '{"User": "' || coalesce(user_name, ' ') || '", "Action": "' || action || '", "severity": ' || CAST(event_id % 101 AS STRING) || ', "Result": "OK", "cmdline": "' || command_line || '", "time": ' || CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS STRING) ELSE '"' || CAST(event_id AS STRING) || '"' END || '}'
   WHEN 'cloud' THEN 'CEF:0|acme|gate|1.0|100|' || action || '|7|src=' || coalesce(src_ip, '') || ' suser=' || coalesce(user_name, '') || ' msg=role taken in ' || cloud_account || ' outcome=Success'
   WHEN 'network' THEN '<' || CAST(event_id % 192 AS STRING) || '>Jan  2 03:04:05 ' || coalesce(host, 'nohost') || ' connection number ' || CAST(event_id AS STRING)
   WHEN 'authentication' THEN CASE WHEN outcome = 'failure' THEN '{"username": "' || coalesce(user_name, '') || '", "message": "login failed", "level": "High", "hostname": "' || coalesce(host, '') || '"}'
@@ -43,9 +43,10 @@ def parse_other_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def syslog_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines.records(raw_lines(spark, sf_dir)).where("format = 'syslog'")
-    facility, severity = lines.priority(lines.field("pri"))
-    at = lines.without_year(lines.field("timestamp"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
+    look = lines.Fields("pri", "timestamp")
+    rows = look.of(lines.records(raw_lines(spark, sf_dir)).where("format = 'syslog'"))
+    facility, severity = lines.priority(look.field("pri"))
+    at = lines.without_year(look.field("timestamp"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"))
     return rows.select(facility.alias("facility"), severity.alias("severity"), at.alias("at")).groupBy("facility", "severity", "at").agg(F.count("*").alias("n"))
 
 
@@ -127,8 +128,8 @@ SQL = {
   CASE WHEN category = 'network' THEN coalesce(host, 'nohost') WHEN outcome = 'failure' THEN host END AS host, CASE WHEN category = 'cloud' THEN src_ip END AS src_ip,
   CASE category WHEN 'cloud' THEN action WHEN 'network' THEN 'connection number ' || event_id WHEN 'authentication' THEN CASE WHEN outcome = 'failure' THEN 'login failed' ELSE 'password accepted for ' || coalesce(user_name, 'nobody') END ELSE '' END AS message,
   CASE WHEN category = 'process' THEN {_SEV} WHEN category = 'cloud' OR outcome = 'failure' THEN 75 WHEN category = 'network' THEN CAST(([100, 100, 100, 75, 50, 25, 25, 0])[event_id % 8 + 1] AS INTEGER) ELSE 0 END AS severity, CASE WHEN category = 'process' THEN command_line END AS command_line,
-  CASE category WHEN 'process' THEN event_id * 1000000 WHEN 'network' THEN epoch_us(TIMESTAMP '1969-01-02 03:04:05') ELSE 0 END AS us,
-  NOT (category = 'network' OR (category = 'process' AND event_id > 0)) AS ts_defaulted FROM v""",
+  CASE category WHEN 'process' THEN CASE WHEN event_id % 2 = 0 THEN event_id * 1000000 ELSE 0 END WHEN 'network' THEN epoch_us(TIMESTAMP '1969-01-02 03:04:05') ELSE 0 END AS us,
+  NOT (category = 'network' OR (category = 'process' AND event_id > 0 AND event_id % 2 = 0)) AS ts_defaulted FROM v""",
     "parse_other_lines": f"""WITH {V}, k AS (SELECT *, event_id % 5 AS k FROM v) SELECT seq, CASE k WHEN 0 THEN 'syslog' WHEN 1 THEN 'syslog+cef' WHEN 4 THEN 'json-too-deep' ELSE 'json' END AS format, CASE k WHEN 1 THEN 'acme' ELSE 'unknown' END AS source,
   CASE WHEN k < 2 THEN coalesce(user_name, 'nobody') WHEN k = 2 THEN user_name END AS user_name, CASE k WHEN 0 THEN host WHEN 1 THEN coalesce(host, 'h0') END AS host, CASE k WHEN 0 THEN coalesce(src_ip, '0.0.0.0') END AS src_ip,
   CASE WHEN k < 2 THEN outcome WHEN k = 3 THEN 'ok' ELSE 'unknown' END AS outcome, CASE k WHEN 0 THEN CASE WHEN outcome = 'failure' THEN 'login_failed' ELSE 'login_success' END WHEN 1 THEN CASE WHEN starts_with(action, 'login_success') THEN 'login_success' WHEN starts_with(action, 'login_failed') THEN 'login_failed' WHEN starts_with(action, 'process') THEN 'process_start' ELSE 'observed' END WHEN 3 THEN 'Read' ELSE 'observed' END AS action,

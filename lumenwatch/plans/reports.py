@@ -11,7 +11,7 @@ from ..functions import redaction
 from ..operators import incidents, quality, reports, search
 from ..sources import mappers
 from ..sources.events import V, by_entity, security_events
-from .detection import INCIDENTS, _findings, _members, of_all
+from .detection import INCIDENTS, SUMMARY, _findings, _matrix_table, _members, _status, named
 
 RUNBOOKS = [("contain", "T1059", "isolate_host", "host"), ("reset", "T1110", "disable_user", "user"), ("block", "T1562", "block_indicator", "ip")]
 
@@ -46,7 +46,7 @@ def related_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def incident_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = _members(spark, sf_dir)
-    return reports.report_text(incidents.roll_up(members), members)
+    return reports.report_text(incidents.summarized(incidents.roll_up(members), _matrix_table(spark)), named(members).join(security_events(spark, sf_dir).select("event_id", "action", "user_name", "host", "src_ip"), "event_id", "left"))
 
 
 def incident_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +101,11 @@ def open_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incident_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.incident_documents(incidents.roll_up(_members(spark, sf_dir)))
+    """Runbooks, and each tenant's 50 newest incidents with what became of them; an incident belongs to its primary entity's kind."""
+    rows = incidents.summarized(incidents.roll_up(_members(spark, sf_dir)), _matrix_table(spark)).withColumn("tenant", F.substring_index("primary_entity", ":", 1))
+    rows = rows.withColumn("status", _status(F.col("risk_score"))).withColumn("resolution", F.when(F.col("status") == "closed", "false_positive"))
+    books = spark.createDataFrame([(name, f"When {technique} is seen: {action}.") for name, technique, action, _ in RUNBOOKS], "name string, content string")
+    return search.retrieval_corpus(rows, books)
 
 
 def baseline_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +122,6 @@ def address_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 _title = "CASE WHEN others <= 0 THEN 'Suspicious activity involving ' || primary_entity ELSE 'Correlated activity involving ' || primary_entity || ' and ' || others || ' related entit' || CASE WHEN others = 1 THEN 'y' ELSE 'ies' END END"
 _books = ", ".join(str(b) for b in RUNBOOKS)
 QUERIES = [mapped_records, related_events, incident_reports, incident_features, runbook_plan, triage_state, decision_stats, dispositions, table_counts, seal_summary, open_incidents, incident_documents, baseline_decisions, address_tokens]
-QUERIES += map(of_all, (related_events, incident_reports, incident_features, runbook_plan, table_counts, open_incidents, incident_documents, baseline_decisions))
 SQL = {
     "mapped_records": f"""WITH {V}, k AS (SELECT *, CASE category WHEN 'authentication' THEN 'okta' WHEN 'cloud' THEN 'entra' WHEN 'process' THEN 'sysmon' ELSE 'zeek' END AS k, event_id % 6 IN (0, 2, 3, 4) AS asked FROM v)
 SELECT seq, CASE k WHEN 'sysmon' THEN CAST(event_id AS VARCHAR) END AS record_id, CASE WHEN k IN ('okta', 'entra') THEN user_name END AS user_name,
@@ -132,9 +135,12 @@ SELECT seq, CASE k WHEN 'sysmon' THEN CAST(event_id AS VARCHAR) END AS record_id
     "related_events": f"""WITH RECURSIVE {INCIDENTS}, m AS (SELECT DISTINCT incident_key, entity FROM fe JOIN key USING (finding_id)), own2 AS (SELECT DISTINCT incident_key, event_id FROM sf JOIN key USING (finding_id)),
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY us DESC, seq DESC) AS r FROM x) WHERE r <= 25)
 SELECT incident_key, event_id, count(*) AS entities FROM m JOIN l USING (entity) WHERE NOT EXISTS (SELECT 1 FROM own2 WHERE own2.incident_key = m.incident_key AND own2.event_id = l.event_id) GROUP BY 1, 2""",
-    "incident_reports": f"""WITH RECURSIVE {INCIDENTS}, r AS (SELECT incident_key, rule_id, risk_points, row_number() OVER (PARTITION BY incident_key ORDER BY us, seq, rule_id) AS r FROM sf JOIN key USING (finding_id)),
-b AS (SELECT incident_key, string_agg('- ' || rule_id || ' (risk ' || risk_points || ')', chr(10) ORDER BY r) AS body FROM r WHERE r <= 10 GROUP BY 1)
-SELECT incident_key, {_title} || chr(10) || 'Risk ' || risk_score || ', ' || findings || ' finding(s)' || chr(10) || body AS report FROM inc JOIN b USING (incident_key)""",
+    "incident_reports": f"""WITH RECURSIVE {INCIDENTS}, {SUMMARY}, r AS (SELECT incident_key, seq, name, severity, action, user_name, host, src_ip, row_number() OVER (PARTITION BY incident_key ORDER BY us, seq, rule_id) AS r FROM sf JOIN key USING (finding_id) JOIN (SELECT rule_id, name FROM rules) USING (rule_id) JOIN (SELECT event_id, action, user_name, host, src_ip FROM v) USING (event_id)),
+b AS (SELECT incident_key, string_agg('- ' || name || ': action=' || action || ' user=' || coalesce(user_name, 'None') || ' host=' || coalesce(host, 'None') || ' src_ip=' || coalesce(src_ip, 'None') || ' severity=' || CASE severity WHEN 0 THEN 'informational' WHEN 25 THEN 'low' WHEN 50 THEN 'medium' WHEN 75 THEN 'high' ELSE 'critical' END, chr(10) ORDER BY r) AS body FROM r WHERE r <= 10 GROUP BY 1)
+SELECT incident_key, 'Incident: ' || {_title} || chr(10) || 'Severity: ' || CASE severity WHEN 0 THEN 'informational' WHEN 25 THEN 'low' WHEN 50 THEN 'medium' WHEN 75 THEN 'high' ELSE 'critical' END || ' | Risk: ' || risk_score || chr(10) || 'Entities: ' || array_to_string(entities, ', ')
+  || chr(10) || 'MITRE ATT&CK: ' || CASE WHEN len(chain) > 0 THEN array_to_string(chain, ', ') ELSE 'not mapped' END || chr(10) || chr(10) || 'Why it matters:' || chr(10) || summary || chr(10) || chr(10) || 'Key evidence:' || chr(10) || body || chr(10) || chr(10) || 'Recommended next steps:' || chr(10)
+  || '1. Validate whether the user/session/source IP is expected.' || chr(10) || '2. Pull surrounding events for the same user, host, and source IP for +/- 24 hours.' || chr(10) || '3. Check asset criticality, recent vulnerabilities, and identity privilege level.' || chr(10)
+  || '4. Look for lateral movement, credential access, persistence, and exfiltration signals.' || chr(10) || '5. If confidence is high, preserve evidence and use approval-gated containment playbooks.' AS report FROM inc JOIN summ USING (incident_key) JOIN b USING (incident_key)""",
     "incident_features": f"""WITH RECURSIVE {INCIDENTS}, m AS (SELECT incident_key, rule_id, risk_points, us, unnest(CASE WHEN len(entities) = 0 THEN [NULL] ELSE entities END) AS entity FROM sf JOIN key USING (finding_id))
 SELECT incident_key, count(DISTINCT entity) FILTER (starts_with(entity, 'user:')) AS users, count(DISTINCT entity) FILTER (starts_with(entity, 'host:')) AS hosts, count(DISTINCT entity) FILTER (starts_with(entity, 'ip:')) AS addresses,
   count(DISTINCT rule_id) AS rules, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS rule_list, max(risk_points) AS top_risk, max(us) - min(us) AS span_us FROM m GROUP BY 1""",
@@ -151,13 +157,15 @@ SELECT CASE WHEN w >= 0.75 THEN 'accepted' WHEN w >= 0.5 THEN 'review' WHEN w IS
     "open_incidents": f"""WITH RECURSIVE {INCIDENTS}, o AS (SELECT split_part(primary_entity, ':', 1) AS tenant, incident_key, CASE WHEN risk_score >= 70 THEN 'open' WHEN risk_score >= 40 THEN 'investigating' ELSE 'closed' END AS status, last_us, entities FROM inc),
 r AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY last_us DESC, incident_key) AS place FROM o WHERE status <> 'closed' AND list_has_any(entities, [{", ".join(f"'user:u{i}'" for i in range(40))}]))
 SELECT tenant, incident_key, status, CAST(place AS INTEGER) AS place FROM r WHERE place <= 500""",
-    "incident_documents": f"""WITH RECURSIVE {INCIDENTS} SELECT incident_key AS doc_id, {_title} || ' | risk ' || risk_score || ' | ' || array_to_string(entities, ', ') || ' | ' || array_to_string(chain, ', ') AS text FROM inc""",
+    "incident_documents": f"""WITH RECURSIVE {INCIDENTS}, {SUMMARY}, i AS (SELECT *, split_part(primary_entity, ':', 1) AS tenant, CASE WHEN risk_score >= 70 THEN 'open' WHEN risk_score >= 40 THEN 'investigating' ELSE 'closed' END AS status FROM inc JOIN summ USING (incident_key)),
+r AS (SELECT *, row_number() OVER (PARTITION BY tenant ORDER BY first_us DESC, incident_key) AS r FROM i), books(name, technique, action, kind) AS (VALUES {_books})
+SELECT incident_key AS doc_id, '[past incident] ' || {_title} || ' | status=' || status || CASE WHEN status = 'closed' THEN ' | resolution=false_positive' ELSE '' END || CASE WHEN len(chain) > 0 THEN ' | ' || array_to_string(chain, ' ') ELSE '' END || ' | ' || array_to_string(entities, ' ') || ' | ' || summary AS text FROM r WHERE r <= 50
+UNION ALL SELECT 'runbook:' || name, '[runbook] ' || name || chr(10) || 'When ' || technique || ' is seen: ' || action || '.' FROM books""",
     "baseline_decisions": f"""WITH RECURSIVE {INCIDENTS}, b AS (SELECT incident_key, severity, risk_score, greatest(0.02::DOUBLE, least(0.98::DOUBLE, risk_score / 500.0::DOUBLE)) AS c FROM inc),
 p AS (SELECT *, CASE WHEN severity IN (75, 100) THEN greatest(c, 0.9::DOUBLE) WHEN risk_score >= 100 THEN greatest(c, 0.6::DOUBLE) ELSE c END AS p FROM b)
 SELECT incident_key, p AS probability, p >= 0.5 AS malicious, severity, CASE severity WHEN 100 THEN 'escalate' WHEN 75 THEN 'investigate' WHEN 50 THEN 'investigate' WHEN 25 THEN 'monitor' ELSE 'suppress' END AS action, c AS confidence, 0.2::DOUBLE AS narrative, false AS needs_narrative FROM p""",
-    "address_tokens": r"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9.]+')) AS m FROM documents),
-b AS (SELECT doc_id, m, [CAST(x AS BIGINT) FOR x IN string_split(m, '.')] AS p FROM a WHERE regexp_full_match(m, '(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}'))
-SELECT doc_id, count(*) FILTER (p[1] IN (10, 127) OR (p[1] = 192 AND p[2] = 168) OR (p[1] = 169 AND p[2] = 254) OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31)) AS internal,
-  count(*) FILTER (NOT (p[1] IN (10, 127) OR (p[1] = 192 AND p[2] = 168) OR (p[1] = 169 AND p[2] = 254) OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31))) AS public FROM b GROUP BY 1""",
+    "address_tokens": r"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')) AS m FROM documents),
+b AS (SELECT doc_id, [CAST(x AS BIGINT) FOR x IN string_split(m, '.')] AS p FROM a WHERE regexp_full_match(m, '(0|[1-9][0-9]*)(\.(0|[1-9][0-9]*)){3}')),
+c AS (SELECT doc_id, p[1] IN (10, 127) OR (p[1] = 192 AND p[2] = 168) OR (p[1] = 169 AND p[2] = 254) OR (p[1] = 172 AND p[2] BETWEEN 16 AND 31) OR (p[1] = 100 AND p[2] BETWEEN 64 AND 127) AS internal FROM b WHERE list_max(p) <= 255)
+SELECT doc_id, count(*) FILTER (internal) AS internal, count(*) FILTER (NOT internal) AS public FROM c GROUP BY 1""",
 }
-SQL |= {f"all_{name}": SQL[name] for name in ("related_events", "incident_reports", "incident_features", "runbook_plan", "table_counts", "open_incidents", "incident_documents", "baseline_decisions")}

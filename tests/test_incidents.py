@@ -30,12 +30,11 @@ def test_incidents_of_all_findings_equal_brute_force(spark):
     want = {}
     for r in found:
         want.setdefault(root(r.finding_id), []).append(r)
-    got = {r.incident_key: r for r in queries["all_incident_rollup"](spark, sf).collect()}
+    got = {r.incident_key: r for r in queries["incident_rollup"](spark, sf).collect()}
     assert set(got) == set(want) and min(r.severity for r in found) < 75
     for k, own in want.items():
         entities = sorted({e for r in own for e in r.entities or ["global:unknown"]})
         assert (got[k].findings, got[k].risk_score, got[k].severity, got[k].entities) == (len(own), min(1000, sum(r.risk_points for r in own)), max(r.severity for r in own), ",".join(entities))
-    counts = [r.n for r in queries["all_table_counts"](spark, sf).collect() if r.name == "findings"]
+    counts = [r.n for r in queries["table_counts"](spark, sf).collect() if r.name == "findings"]
     assert sum(counts) == len(found)
     sql = registry.oracle_sql()
-    assert all(sql[name] == sql[name.removeprefix("all_")] for name in sql if name.startswith("all_"))

@@ -124,7 +124,7 @@ def test_lines_of_all_formats(spark):
 def test_times_and_severities(spark):
     df = spark.createDataFrame([("2024-01-02T03:04:05Z",), ("2024-01-02T03:04:05+02:00",), ("2024-01-02 03:04:05",), ("0.5",), ("soon",), (None,)], "t string")
     now = F.lit("2000-01-01").cast("timestamp_ntz")
-    assert [str(r.x) for r in df.select(normalize.timestamp_of(F.col("t"), now).alias("x")).collect()] == ["2024-01-02 03:04:05", "2024-01-02 01:04:05", "2024-01-02 03:04:05", "1970-01-01 00:00:00.500000", "2000-01-01 00:00:00", "2000-01-01 00:00:00"]
+    assert [str(r.x) for r in df.select(normalize.timestamp_of(F.col("t"), now).alias("x")).collect()] == ["2024-01-02 03:04:05", "2024-01-02 01:04:05", "2024-01-02 03:04:05", "2000-01-01 00:00:00", "2000-01-01 00:00:00", "2000-01-01 00:00:00"]
     words = spark.createDataFrame([("High", False), ("95", True), ("95", False), ("40", True), ("0", True), (None, False)], "v string, n boolean")
     assert [r.x for r in words.select(normalize.severity_of(F.col("v"), F.col("n")).alias("x")).collect()] == [75, 100, 0, 50, 0, 0]
 
@@ -134,7 +134,22 @@ def test_targets_and_policies(spark):
     assert [r.k for r in df.select(triage.target_kind(F.col("t")).alias("k")).collect()] == ["user", "technique", "indicator", None, None, "channel"]
     rows = spark.createDataFrame([("i", 300, 75, 3, ["T1"], ["user:a", "host:vpn-1", "ip:1.1.1.1"])], "incident_key string, risk_score int, severity int, findings int, kill_chain array<string>, entities array<string>")
     got = triage.proposals(triage.decide(triage.confidence(rows)), autonomy=3).collect()
-    assert {(r.action, r.executable_now, r.approval_required) for r in got} == {("disable_user", False, True), ("block_indicator", True, False)} and got[0].confidence == 0.9
+    assert {(r.action, r.executable_now, r.approval_required) for r in got} == {("disable_user", False, True), ("block_indicator", False, True)} and got[0].confidence == 0.9
+
+
+def test_autonomy_confidence_and_its_source(spark):
+    cases = [("notify_channel", "incident:1", 0.1, False), ("create_case_note", "T1059.001", 0.1, False), ("search_related_events", "ip:1", 0.1, False), ("block_indicator", "ip:1", 0.99, False), ("block_indicator", "ip:2", 0.99, True), ("block_indicator", "ip:3", 0.97, False), ("close_incident", "incident:1", 1.0, False), ("isolate_host", "T1059", 1.0, False), ("notify_channel", "user:a", 1.0, False), ("invented", "user:a", 1.0, False)]
+    rows = spark.createDataFrame(cases, "action string, target string, confidence double, model boolean")
+
+    def runs(autonomy):
+        return {(r.action, r.target): (r.executable_now, r.approval_required) for r in triage.allowed(rows, autonomy, F.col("model")).collect()}
+
+    low = runs(triage.OBSERVE)
+    assert low == {("notify_channel", "incident:1"): (False, False), ("create_case_note", "T1059.001"): (False, False), ("search_related_events", "ip:1"): (True, False), ("close_incident", "incident:1"): (False, True)} | {("block_indicator", f"ip:{i}"): (False, True) for i in (1, 2, 3)}
+    assert runs(triage.LOW_RISK) == low | {("create_case_note", "T1059.001"): (True, False)}
+    assert runs(triage.REVERSIBLE) == runs(triage.APPROVAL_GATED) == low | {("create_case_note", "T1059.001"): (True, False), ("notify_channel", "incident:1"): (True, False)}
+    assert runs(triage.POLICY_BOUNDED) == runs(triage.REVERSIBLE) | {("block_indicator", "ip:1"): (True, False)}
+    assert rows.select(triage.gate(4, F.lit(None).cast("string"), F.col("confidence")).alias("g")).first().g.reason == "unknown action"
 
 
 def test_chain_verification_across_blocks(spark):
@@ -184,6 +199,15 @@ def test_cef_syslog_and_their_mixture(spark):
     assert got[5].hashes == "x" and got[5].log_product == "win"
 
 
+def test_severities_and_times_by_the_type_of_top_level_members(spark):
+    texts = ['{"severity":"high","x":{"severity":5}}', '{"severity":"0","level":"high"}', '{"severity":0,"level":"high"}', '{"Severity":"","risk":95}', '{"severity":false,"risk":"critical"}', '{"severity":"95"}', '{"time":"1700000000"}', '{"time":0,"eventtime":1700000000}', '{"timestamp":"2024-03-05"}', '{"a":1} trailing', '{"message":"0","msg":"x"}', '{"message":0,"msg":"x"}']
+    df = spark.createDataFrame(list(enumerate(texts)), "seq int, line string")
+    got = normalize.normalized(lines.records(df)).orderBy("seq").collect()
+    assert [r.severity for r in got[:6]] == [75, 0, 75, 100, 100, 0]
+    assert [(str(r.ts)[:10], r.ts_defaulted) for r in got[6:9]] == [("1970-01-01", True), ("2023-11-14", False), ("2024-03-05", False)]
+    assert got[9].format == "message" and [r.message for r in got[10:]] == ["0", "x"]
+
+
 def test_bursts_by_blocks_equal_one_window(spark):
     import random
 
