@@ -132,6 +132,14 @@ def risk_by_criticality(findings: DataFrame, assets: DataFrame) -> DataFrame:
     return out.withColumn("risk_points", F.when(F.col("m").isNull() | (F.col("risk_points") <= 0), F.col("risk_points")).otherwise(F.greatest(scaled, F.lit(1)))).drop("m")
 
 
+def risk_by_context(findings: DataFrame, contexts: DataFrame) -> DataFrame:
+    """findings with their risk scaled by the highest criticality (entity, criticality) that is known of their entities: at least 1 if it was positive."""
+    top = findings.select("finding_id", F.explode("entities").alias("entity")).join(contexts.where("criticality IS NOT NULL").select("entity", multiplier(F.col("criticality")).alias("m")), "entity").groupBy("finding_id").agg(F.max("m").alias("m"))
+    out = findings.join(top, "finding_id", "left")
+    scaled = F.rint(F.col("risk_points") * F.col("m") / 100).cast("int")
+    return out.withColumn("risk_points", F.when(F.col("m").isNull() | (F.col("risk_points") <= 0), F.col("risk_points")).otherwise(F.greatest(scaled, F.lit(1)))).drop("m")
+
+
 def routine_rules(identities: DataFrame, roles: DataFrame, never: list[str]) -> DataFrame:
     """(key, rule_id) that are routine for an account (key, role, status and, if there, expected_rules): its role's rules (role, rule_id) and its own, without those of `never`; none for accounts that are off."""
     on = identities.where(~F.coalesce(F.lower(F.trim("status")).isin(*DISABLED), F.lit(False)))

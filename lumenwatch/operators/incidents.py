@@ -11,6 +11,8 @@ from .windows import sum_before
 #: Cap of a risk sum, and the correlation window.
 RISK_CAP, WINDOW_US = 1000, 24 * 3600 * 1_000_000
 UNKNOWN = "global:unknown"
+#: Fixed value: how the rule ids of behaviour findings begin.
+ANOMALY = "builtin-anomaly"
 
 
 def exploded(findings: DataFrame) -> DataFrame:
@@ -71,6 +73,7 @@ def roll_up(correlated: DataFrame) -> DataFrame:
         F.least(F.sum("risk_points"), F.lit(RISK_CAP)).alias("risk_score"),
         F.max("severity").alias("severity"),
         F.count("*").alias("findings"),
+        F.count_if(F.col("rule_id").startswith(ANOMALY)).alias("anomalies"),
         F.min("us").alias("first_us"),
         F.max("us").alias("last_us"),
     )

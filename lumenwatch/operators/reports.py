@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .incidents import ANOMALY
 from .windows import newest_of
 
 #: Techniques in text, and names of severities.
@@ -54,19 +55,36 @@ def report_text(incidents: DataFrame, members: DataFrame, first: int = 10) -> Da
     return incidents.join(evidence, "incident_key").select("incident_key", F.concat_ws("\n", *text).alias("report"))
 
 
-def case_notes(incidents: DataFrame, members: DataFrame, listed: int = 5) -> DataFrame:
-    """A triage note for each incident: risk, techniques, the first rules by name, how many events its entities had besides, and entities."""
-    rules = members.groupBy("incident_key").agg(F.slice(F.array_sort(F.collect_set("rule_name")), 1, listed).alias("rules"))
-    n, words = F.size("entities"), F.create_map(*[F.lit(x) for pair in SEVERITIES.items() for x in pair])
+def repeated_pairs(members: DataFrame) -> DataFrame:
+    """Per incident, the pairs of a rule and a first entity with several findings, and how many findings they collapse."""
+    first = F.coalesce(F.try_element_at("entities", F.lit(1)), F.lit("global:unknown")).alias("entity")
+    pairs = members.groupBy("incident_key", "rule_id", first).agg(F.count("*").alias("n")).where("n > 1")
+    return pairs.groupBy("incident_key").agg(F.count("*").alias("pairs"), (F.sum("n") - F.count("*")).alias("collapsed"))
+
+
+def case_notes(incidents: DataFrame, members: DataFrame, listed: int = 5, signals: DataFrame | None = None, repeats: DataFrame | None = None) -> DataFrame:
+    """A triage note for each incident: risk, techniques, the first rules by name, entities and, if given, its behaviour signals (signal_names) and repeated_pairs()."""
+    rules = members.where(~F.col("rule_id").startswith(ANOMALY)).groupBy("incident_key").agg(F.slice(F.array_sort(F.collect_set("rule_name")), 1, listed).alias("rules"))
+    rows = incidents.join(rules, "incident_key", "left")
+    n = F.size("entities")
+    told, context = [], []
+    if signals is not None:
+        rows = rows.join(signals.select("incident_key", "signal_names"), "incident_key", "left")
+        told = [F.when(F.size("signal_names") > 0, F.concat(F.lit("Behavioral signals: "), F.array_join("signal_names", ", "), F.lit(".")))]
+    if repeats is not None:
+        rows = rows.join(repeats, "incident_key", "left")
+        context = [F.concat(F.lit("Context: "), F.col("pairs").cast("string"), F.lit(" repeated rule/entity pair(s) collapsing "), F.col("collapsed").cast("string"), F.lit(" finding(s)."))]
     lines = [
         F.concat(F.lit("AI triage note for "), "title"),
         F.lit(""),
-        F.concat(F.lit("Risk "), F.col("risk_score").cast("string"), F.lit(" / severity "), words[F.col("severity")], F.lit(" from "), F.col("findings").cast("string"), F.lit(" finding(s) across "), n.cast("string"), F.lit(" entit"), F.when(n == 1, "y").otherwise("ies"), F.lit(".")),
+        F.concat(F.lit("Risk "), F.col("risk_score").cast("string"), F.lit(" / severity "), severity_name(F.col("severity")), F.lit(" from "), F.col("findings").cast("string"), F.lit(" finding(s) across "), n.cast("string"), F.lit(" entit"), F.when(n == 1, "y").otherwise("ies"), F.lit(".")),
         F.when(F.size("kill_chain") > 0, F.concat(F.lit("ATT&CK progression: "), F.array_join("kill_chain", " -> "), F.lit("."))),
         F.when(F.size("rules") > 0, F.concat(F.lit("Detections: "), F.array_join("rules", "; "), F.lit("."))),
+        *told,
+        *context,
         F.concat(F.lit("Entities: "), F.array_join("entities", ", "), F.lit(".")),
     ]
-    return incidents.join(rules, "incident_key").select("incident_key", F.concat_ws("\n", *lines).alias("note"))
+    return rows.select("incident_key", F.concat_ws("\n", *lines).alias("note"))
 
 
 def current_state(changes: DataFrame, key: str, *fields: str) -> DataFrame:

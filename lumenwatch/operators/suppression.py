@@ -53,6 +53,13 @@ def repeats(findings: DataFrame, window_us: int = WINDOW_US, allowed: int = REPE
     return counted.withColumn("repeated", F.col("repeat_count") > allowed).drop("_entity", "_own", "_slot")
 
 
+def settled(findings: DataFrame, exceptions: DataFrame, now_us: Column, window_us: int = WINDOW_US, allowed: int = REPEATS) -> DataFrame:
+    """findings with outcome (kept, downgraded, suppressed or repeated) and the severity after it: the first matching exception decides; findings that none matches are counted as repeats."""
+    judged = apply_exceptions(matched(findings, exceptions, now_us))
+    counted = repeats(judged.where("suppression_id IS NULL"), window_us, allowed).withColumn("outcome", F.when(F.col("repeated"), "repeated").otherwise("kept")).drop("repeat_count", "repeated")
+    return counted.unionByName(judged.where("suppression_id IS NOT NULL")).drop("exception_action", "downgrade_to")
+
+
 def trust(feedback: DataFrame) -> DataFrame:
     """Rule weights: 1 + 0.1 for each approval - 0.2 for each rejection, between 0.1 and 3."""
     raw = F.lit(10) + F.count_if(F.col("decision") == "approve") - F.lit(2) * F.count_if(F.col("decision") == "reject")

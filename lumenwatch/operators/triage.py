@@ -28,15 +28,15 @@ SHARED = "vpn"
 CHANNEL = "channel:soc-escalations"
 
 
-def confidence(incidents: DataFrame, anomalous: Column | None = None) -> DataFrame:
-    """Confidence in hundredths summed, then divided: bands of risk, severity, techniques, findings and anomalies."""
+def confidence(incidents: DataFrame) -> DataFrame:
+    """Confidence in hundredths summed, then divided: bands of risk, severity, techniques, findings, and whether there are anomalies."""
     points = (
         F.lit(20)
         + F.when(F.col("risk_score") >= 200, 25).when(F.col("risk_score") >= 100, 15).otherwise(0)
         + F.when(F.col("severity") >= 75, 20).otherwise(0)
         + F.when(F.size("kill_chain") > 0, 15).otherwise(0)
         + F.when(F.col("findings") >= 3, 10).otherwise(0)
-        + F.when(anomalous if anomalous is not None else F.lit(False), 10).otherwise(0)
+        + F.when(F.col("anomalies") > 0 if "anomalies" in incidents.columns else F.lit(False), 10).otherwise(0)
     )
     return incidents.withColumn("confidence", F.least(points, F.lit(99)) / 100)
 

@@ -50,8 +50,7 @@ def behaviour_warm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LAST = "OVER (PARTITION BY entity ORDER BY seq ROWS BETWEEN 256 PRECEDING AND 1 PRECEDING)"
-SIGNALS = f"""{X},
-u1 AS (SELECT event_id, seq, entity, 'novel_action' AS signal, 15 AS points FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY seq) AS r,
+SIGNAL_CTES = f"""u1 AS (SELECT event_id, seq, entity, 'novel_action' AS signal, 15 AS points FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY seq) AS r,
   row_number() OVER (PARTITION BY entity, action ORDER BY seq) AS ra FROM x) WHERE r > 1 AND ra = 1),
 u2 AS (SELECT event_id, seq, 'user:' || user_name, 'novel_src_ip', 25 FROM (SELECT *, row_number() OVER (PARTITION BY user_name ORDER BY seq) AS r,
   row_number() OVER (PARTITION BY user_name, src_ip ORDER BY seq) AS ra FROM v WHERE user_name <> '' AND src_ip <> '') WHERE r > 1 AND ra = 1),
@@ -68,6 +67,7 @@ q AS (SELECT *, coalesce(sum(CASE WHEN seq = fe THEN 1 ELSE 0 END) OVER (PARTITI
 u7 AS (SELECT event_id, seq, entity, 'peer_rare', greatest(1.0, round_even(20 * (1.0 - fr / 0.2), 0)) FROM
   (SELECT *, CAST(doers - CASE WHEN fa < seq THEN 1 ELSE 0 END AS DOUBLE) / CAST(peers - 1 AS DOUBLE) AS fr FROM q WHERE peers >= 5) WHERE fr <= CAST(0.2 AS DOUBLE)),
 s AS (SELECT * FROM u1 UNION ALL SELECT * FROM u2 UNION ALL SELECT * FROM u3 UNION ALL SELECT * FROM u4 UNION ALL SELECT * FROM u5 UNION ALL SELECT * FROM u6 UNION ALL SELECT * FROM u7)"""
+SIGNALS = f"{X},\n{SIGNAL_CTES}"
 _COUNTS = """SELECT 'entity_action' AS name, entity AS key, action AS value, count(*) AS n FROM x{w} GROUP BY ALL
 UNION ALL SELECT 'user_src_ip', user_name, src_ip, count(*) FROM v{a} user_name <> '' AND src_ip <> '' GROUP BY ALL
 UNION ALL SELECT 'user_host', user_name, host, count(*) FROM v{a} user_name <> '' AND host <> '' GROUP BY ALL

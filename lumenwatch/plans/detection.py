@@ -174,8 +174,8 @@ _exceptions = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isins
 _FEEDBACK = f"""fb AS (SELECT ([{", ".join(f"'{r['rule_id']}'" for r in RULES)}])[doc_id % {len(RULES)} + 1] AS rule_id, 'user:u' || (doc_id % 50) AS entity,
   CASE WHEN quality = 1 THEN 'approve' WHEN toxic = 1 THEN 'reject' ELSE 'defer' END AS decision FROM labels),
 w AS (SELECT rule_id, greatest(least(10 + count(*) FILTER (decision = 'approve') - 2 * count(*) FILTER (decision = 'reject'), 30), 1) / 10 AS weight FROM fb GROUP BY 1)"""
-INCIDENTS = f"""{FOUND}, sf AS (SELECT * FROM found),
-fe AS (SELECT finding_id, us, risk_points, unnest(CASE WHEN len(entities) = 0 THEN ['global:unknown'] ELSE entities END) AS entity FROM sf),
+#: From findings sf to incidents inc and what is decided about them, dec.
+CORRELATED = f"""fe AS (SELECT finding_id, us, risk_points, unnest(CASE WHEN len(entities) = 0 THEN ['global:unknown'] ELSE entities END) AS entity FROM sf),
 gaps AS (SELECT *, us - lag(us) OVER (PARTITION BY entity ORDER BY us) AS gap FROM (SELECT DISTINCT entity, us FROM fe)),
 eps AS (SELECT entity, us, sum(CASE WHEN gap IS NULL OR gap > {DAY} THEN 1 ELSE 0 END) OVER (PARTITION BY entity ORDER BY us) AS ep FROM gaps),
 mem AS (SELECT finding_id, entity, ep FROM fe JOIN eps USING (entity, us)),
@@ -184,16 +184,17 @@ e2 AS (SELECT a, b FROM edge WHERE a <> b UNION SELECT b, a FROM edge WHERE a <>
 lab(a, b) USING KEY (a) AS (SELECT finding_id, finding_id FROM sf UNION
   SELECT e2.a, min(lab.b) FROM lab JOIN e2 ON e2.b = lab.a JOIN recurring.lab AS old ON old.a = e2.a WHERE lab.b < old.b GROUP BY 1),
 key AS (SELECT a AS finding_id, b AS incident_key FROM lab),
-inc0 AS (SELECT incident_key, CAST(least(sum(risk_points), 1000) AS BIGINT) AS risk_score, max(severity) AS severity, count(*) AS findings, min(us) AS first_us, max(us) AS last_us FROM sf JOIN key USING (finding_id) GROUP BY 1),
+inc0 AS (SELECT incident_key, CAST(least(sum(risk_points), 1000) AS BIGINT) AS risk_score, max(severity) AS severity, count(*) AS findings, count(*) FILTER (starts_with(rule_id, 'builtin-anomaly')) AS anomalies, min(us) AS first_us, max(us) AS last_us FROM sf JOIN key USING (finding_id) GROUP BY 1),
 own AS (SELECT incident_key, entity, sum(risk_points) AS risk FROM fe JOIN key USING (finding_id) GROUP BY 1, 2),
 ent AS (SELECT incident_key, list(entity ORDER BY entity) AS entities, arg_min(entity, {{'r': -risk, 'e': entity}}) AS primary_entity FROM own GROUP BY 1),
 kc AS (SELECT incident_key, list(t ORDER BY f) AS kill_chain FROM (SELECT incident_key, t, min({{'us': us, 'seq': seq, 'r': rule_id, 'p': p}}) AS f
   FROM (SELECT incident_key, us, seq, rule_id, unnest(techniques) AS t, unnest(range(len(techniques))) AS p FROM sf JOIN key USING (finding_id)) GROUP BY 1, 2) GROUP BY 1),
 inc AS (SELECT *, coalesce(kill_chain, []) AS chain, len(entities) - 1 AS others FROM inc0 JOIN ent USING (incident_key) LEFT JOIN kc USING (incident_key)),
 dec AS (SELECT *, least(20 + CASE WHEN risk_score >= 200 THEN 25 WHEN risk_score >= 100 THEN 15 ELSE 0 END + CASE WHEN severity >= 75 THEN 20 ELSE 0 END + CASE WHEN len(chain) > 0 THEN 15 ELSE 0 END
-  + CASE WHEN findings >= 3 THEN 10 ELSE 0 END, 99) / 100 AS confidence,
+  + CASE WHEN findings >= 3 THEN 10 ELSE 0 END + CASE WHEN anomalies > 0 THEN 10 ELSE 0 END, 99) / 100 AS confidence,
   CASE WHEN severity >= 75 AND risk_score >= 200 THEN 'containment_proposed' WHEN risk_score >= 100 OR severity >= 50 THEN 'escalate' WHEN risk_score >= 30 THEN 'suspicious_monitor' ELSE 'likely_benign' END AS decision,
   CASE WHEN severity >= 75 AND risk_score >= 200 THEN 'tier-2-incident-responder' WHEN risk_score >= 100 OR severity >= 50 THEN 'tier-2-analyst' ELSE 'tier-1-queue' END AS owner FROM inc)"""
+INCIDENTS = f"{FOUND}, sf AS (SELECT * FROM found), {CORRELATED}"
 
 SUMMARY = f"""m(technique, tactics) AS (VALUES {_matrix}), k AS (SELECT incident_key, unnest(chain) AS t, unnest(range(len(chain))) AS p FROM inc),
 tt AS (SELECT incident_key, coalesce(a.tactics, b.tactics)[1] AS tactic, min(p) AS p FROM k LEFT JOIN m a ON a.technique = k.t LEFT JOIN m b ON b.technique = split_part(k.t, '.', 1) GROUP BY 1, 2),

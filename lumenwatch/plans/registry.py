@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import behaviour, context, detection, enrich, ingest, reports, stream
+from . import behaviour, context, detection, enrich, ingest, reports, run, stream
 
-MODULES = [behaviour, detection, context, enrich, ingest, reports, stream]
+MODULES = [behaviour, detection, context, enrich, ingest, reports, run, stream]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
