@@ -314,8 +314,8 @@ def groups(docs: DataFrame, width: int = 5, share: int = 80) -> DataFrame:
     spark = docs.sparkSession
     sets = save(_sets(docs, width), "sets")
     known = sets.where("kind = 0").select("doc_id", "n", "h1", "h2")
-    common = sets.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h1").limit(KEPT).orderBy("n", "h1").select("h1").toPandas()
-    frequent = common["h1"].to_numpy(np.int64).view(np.uint64)
+    common = sets.where("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h1").limit(KEPT).orderBy("n", "h1").select("h1").toArrow()
+    frequent = common.column("h1").to_numpy().view(np.uint64)
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     fragments = max(1, total * (100 - share) // 100 // FRAGMENT)
     tasks = max(partitions(spark), 2 * fragments)
