@@ -160,6 +160,54 @@ def merge_targets(stored: DataFrame, findings: DataFrame, window_us: int = WINDO
     return left.join(right, ["entity", "day"]).where(near).groupBy("finding_id").agg(best)
 
 
+#: An incident of so many findings takes no more; states in which it takes any.
+MAX_FINDINGS, LIVE = 2000, ("open", "investigating")
+
+
+def _slots(rows: DataFrame, window_us: int, *keys: str) -> DataFrame:
+    """First and last time by key, entity and slot of one window's length; UNKNOWN links nothing."""
+    each = exploded(rows).where(F.col("entity") != UNKNOWN).withColumn("slot", F.floor(F.col("us") / window_us))
+    return each.groupBy(*keys, "entity", "slot").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))
+
+
+def assigned(stored: DataFrame, held: DataFrame, findings: DataFrame, window_us: int = WINDOW_US, limit: int = MAX_FINDINGS, tag: str = "") -> DataFrame:
+    """findings with incident_key and fate: merged into a stored incident, fresh, or redelivered, where the incident holds the rule and event already.
+
+    stored: incident_key, status, risk_score, created_us and findings (their number); held: the incidents' own findings.
+    New findings are correlated first. A cluster joins the live incident below the limit that has a finding on one
+    of its entities within the window: the highest risk, then the older, then the smaller key. Times meet by
+    slots of the window's length, summed to their ends on both sides, so no entity's times meet one by one.
+    A fresh incident whose key is taken (its first finding once began another) gets the tag behind it.
+    """
+    clusters = save(correlate(findings.dropDuplicates(["finding_id"]), window_us).withColumnRenamed("incident_key", "cluster"), "clusters")
+    able = stored.where(F.col("status").isin(*LIVE) & (F.col("findings") < limit)).select("incident_key", "risk_score", "created_us")
+    theirs = _slots(held.join(able, "incident_key"), window_us, "incident_key", "risk_score", "created_us").withColumn("near", F.explode(F.array(*[F.col("slot") + i for i in (-1, 0, 1)])))
+    mine = _slots(clusters, window_us, "cluster").select("cluster", "entity", F.col("slot").alias("near"), F.col("lo").alias("from_us"), F.col("hi").alias("to_us"))
+    linked = (F.col("slot") == F.col("near")) | ((F.col("slot") < F.col("near")) & (F.col("from_us") - F.col("hi") <= window_us)) | ((F.col("slot") > F.col("near")) & (F.col("lo") - F.col("to_us") <= window_us))
+    best = F.min_by("incident_key", F.struct(-F.col("risk_score"), "created_us", "incident_key")).alias("target")
+    targets = mine.join(theirs, ["entity", "near"]).where(linked).groupBy("cluster").agg(best)
+    taken = stored.select(F.col("incident_key").alias("cluster"), F.lit(True).alias("taken"))
+    rows = clusters.join(targets, "cluster", "left").join(taken, "cluster", "left")
+    fresh = rows.where("target IS NULL").withColumn("incident_key", F.when(F.col("taken"), F.concat("cluster", F.lit(f"~{tag}"))).otherwise(F.col("cluster"))).withColumn("fate", F.lit("fresh"))
+    known = held.select(F.col("incident_key").alias("target"), "rule_id", "event_id", F.lit(True).alias("known")).distinct()
+    joined = rows.where("target IS NOT NULL").join(known, ["target", "rule_id", "event_id"], "left").withColumn("incident_key", F.col("target")).withColumn("fate", F.when(F.col("known"), "redelivered").otherwise("merged")).drop("known")
+    return fresh.unionByName(joined).drop("cluster", "target", "taken")
+
+
+def merged(stored: DataFrame, held: DataFrame, findings: DataFrame, window_us: int = WINDOW_US, limit: int = MAX_FINDINGS, tag: str = "") -> tuple[DataFrame, DataFrame]:
+    """The findings as assigned(), saved, and the incidents after them: those that took findings are rolled up again over all that they hold, keep their status and time of creation, and say whether they changed materially."""
+    new = save(assigned(stored, held, findings, window_us, limit, tag), "assigned")
+    took = new.where("fate <> 'redelivered'")
+    touched = took.select("incident_key").distinct()
+    rolled = roll_up(held.join(touched, "incident_key", "left_semi").unionByName(took.select(*held.columns)))
+    old = stored.join(touched, "incident_key", "left_semi")
+    changed = material(old, rolled)
+    rolled = rolled.join(old.select("incident_key", "status", "created_us"), "incident_key", "left").join(changed, "incident_key", "left")
+    rolled = rolled.withColumns({"status": F.coalesce("status", F.lit("open")), "created_us": F.coalesce("created_us", "first_us"), "material": F.coalesce("material", F.lit(True))})
+    rest = stored.join(touched, "incident_key", "left_anti").withColumn("material", F.lit(False))
+    return new, rest.unionByName(rolled.select(*rest.columns))
+
+
 def material(before: DataFrame, after: DataFrame) -> DataFrame:
     """incident_key and whether a merge changed it materially: severity up, new entity or technique, or risk past 30, 100 or 200."""
     old = before.select("incident_key", F.col("severity").alias("s0"), F.col("entities").alias("e0"), F.col("kill_chain").alias("k0"), F.col("risk_score").alias("r0"))

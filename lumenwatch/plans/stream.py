@@ -9,14 +9,17 @@ from ..functions.rules import RULES
 from ..operators.detection import evaluate
 from ..sources import events as view
 from ..streaming import jobs
-from .detection import SQL as INCIDENT_SQL
-from .detection import _incidents, _status
+from .behaviour import BURST_US, SIGNALS
 
 DAY = 86_400_000_000
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(f"SELECT {view.FIELDS} FROM {{raw}}", raw=jobs.arriving(spark, f"{sf_dir}/events.parquet"))
+    return _seen(spark, jobs.arriving(spark, f"{sf_dir}/events.parquet"))
+
+
+def _seen(spark: SparkSession, raw: DataFrame) -> DataFrame:
+    rows = spark.sql(f"SELECT {view.FIELDS} FROM {{raw}}", raw=raw)
     return rows.withColumn("us", view.micros()).withColumn("at", F.timestamp_micros("us")).withColumn("entities", view.entities_of(*view.ENTITY_FIELDS))
 
 
@@ -35,24 +38,42 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.drained(jobs.sessions(rows, "entity"), "complete")
 
 
+def arrivals(spark: SparkSession, sf_dir: str, files: int, late: bool = False) -> DataFrame:
+    """The events as a stream of files that come one in a micro-batch, in order of arrival; late: the second quarter of the files' span comes last, and the first file twice."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    where = jobs.folder(spark, "arrivals")
+    top = rows.agg(F.max("event_id")).first()[0] or 0
+    part = F.floor(F.col("event_id") * files / (top + 1))
+    order = [*range(files)] if not late else [i for i in range(files) if i != 1] + [1, 0]
+    for place, i in enumerate(order):
+        rows.where(part == i).coalesce(1).write.parquet(f"{where}/{place:03d}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/*")
+    return _seen(spark, stream)
+
+
 def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.drained(jobs.repeats(_stream(spark, sf_dir).where("user_name IS NOT NULL"), ["outcome", "user_name"], DAY, 5))
+    return jobs.drained(jobs.repeats(arrivals(spark, sf_dir, 4).where("user_name IS NOT NULL"), ["outcome", "user_name"], DAY, 5))
 
 
 def stream_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _stream(spark, sf_dir).withColumn("entity", F.explode("entities"))
+    rows = arrivals(spark, sf_dir, 4).withColumn("entity", F.explode("entities"))
     return jobs.drained(jobs.novelty(rows, "entity", "action"))
 
 
+def stream_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five signals of each entity's own past over events that come in four files, one a micro-batch."""
+    return jobs.drained(jobs.signals(arrivals(spark, sf_dir, 4), BURST_US))
+
+
 def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings that arrive, late ones too, and join the stored incidents of which those below a risk of 40 are closed."""
-    stored = _incidents(spark, sf_dir).withColumn("status", _status(F.col("risk_score")))
-    return jobs.merged_findings(evaluate(_stream(spark, sf_dir), RULES), stored, "merge").where("fate = 'merged'").select("finding_id", "incident_key")
+    """Findings that come in three files, the second quarter of them late and the first again, merged into the incidents that the batches before stored: each finding with its incident and fate."""
+    store = jobs.stored_incidents(evaluate(arrivals(spark, sf_dir, 3, late=True), RULES))
+    return store.findings().select("finding_id", "incident_key", "fate")
 
 
-QUERIES = [stream_merge, stream_health, stream_redelivery, stream_sessions, stream_repeats, stream_novelty]
+QUERIES = [stream_merge, stream_signals, stream_health, stream_redelivery, stream_sessions, stream_repeats, stream_novelty]
 SQL = {
-    "stream_merge": f"SELECT finding_id, incident_key FROM ({INCIDENT_SQL['incident_merge_closed']}) WHERE fate = 'merged'",
+    "stream_signals": f"WITH {SIGNALS} SELECT event_id, seq, entity, signal, CAST(points AS BIGINT) AS points FROM s WHERE signal IN ('novel_action', 'novel_src_ip', 'novel_host', 'off_hours', 'burst')",
     "stream_health": f"WITH {view.V} SELECT us // {DAY} * {DAY} AS start_us, coalesce(source, 'unknown') AS source, count(*) AS n, max(us) AS last_us FROM v GROUP BY 1, 2",
     "stream_redelivery": f"WITH {view.V} SELECT source, count(*) AS n, count(*) AS ids FROM v GROUP BY 1",
     "stream_sessions": f"""WITH {view.X}, g AS (SELECT entity, us, CASE WHEN us - lag(us) OVER (PARTITION BY entity ORDER BY us) <= {DAY} THEN 0 ELSE 1 END AS s FROM x WHERE outcome = 'failure'),

@@ -1,17 +1,27 @@
-"""Structured Streaming jobs over arriving events: health windows, duplicates, sessions and stateful signals."""
+"""Structured Streaming jobs over arriving events: health windows, duplicates, sessions, signals and stored incidents.
+
+What a query writes is named by its batch and counts once the batch log holds it, so a query that was
+stopped, or lost its driver, goes on where it was. Per-entity state lies in map, list and value state, one
+entry a value, and entries that nothing touches for IDLE are forgotten.
+"""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators import incidents
+from ..operators import behaviour
 from ..operators.graph import scratch
+from .store import BatchLog, IncidentStore
+
+#: Milliseconds for which state that nothing touches is kept.
+IDLE = 90 * 86_400_000
 
 
 def arriving(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
@@ -19,25 +29,48 @@ def arriving(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, with its checkpoint in the shared folder, and return what it wrote.
+def folder(spark: SparkSession, name: str) -> str:
+    return f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drained(stream: DataFrame, mode: str = "append", where: str | None = None, every: str | None = None) -> DataFrame:
+    """Run a stream over what is there now, and return what it has written so far. `where` is its folder: given again, the stream goes on.
 
-    Each micro-batch goes to a folder named by its batch id, so a batch that is run again after a failure
-    replaces its own output. In complete mode the last batch holds the result.
+    Each micro-batch writes a folder named by its number and then its row of the batch log, so a batch that
+    runs again replaces its own output. In complete mode the last batch holds the result. `every`: run until
+    stopped with a batch that often, instead of draining once.
     """
     spark = stream.sparkSession
-    where = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    last: list[int] = []
+    where = where or folder(spark, "stream")
+    log = BatchLog(spark, where)
 
-    def put(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{where}/out/batch={batch_id}")
-        last.append(batch_id)
+    def put(batch: DataFrame, number: int) -> None:
+        version = log.begin("out", number)
+        batch.write.mode("overwrite").parquet(f"{where}/out/version={version}")
+        log.done("out", number, version)
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    if not last:
+    started(stream, put, where, mode, every)
+    done = log.versions()
+    if not done:
         return spark.createDataFrame([], stream.schema)
-    read = spark.read.schema(stream.schema)
-    return read.parquet(f"{where}/out/batch={max(last)}") if mode == "complete" else read.parquet(*[f"{where}/out/batch={i}" for i in sorted(set(last))])
+    return spark.read.schema(stream.schema).parquet(*[f"{where}/out/version={v}" for v in (done[-1:] if mode == "complete" else done)])
+
+
+#: Whether batches without data are run; keyed state with a lifetime asks for them without end, so draining has none.
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def started(stream: DataFrame, put: Callable[[DataFrame, int], Any], where: str, mode: str = "append", every: str | None = None) -> None:
+    """Start a stream with its checkpoint in the folder, and wait until it has drained what is there or, with a time between batches, until it is stopped."""
+    conf = stream.sparkSession.conf
+    before = conf.get(EMPTY_BATCHES)
+    trigger = {"processingTime": every} if every else {"availableNow": True}
+    conf.set(EMPTY_BATCHES, "true" if every else "false")
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{where}/checkpoint").trigger(**trigger).start()
+    finally:
+        conf.set(EMPTY_BATCHES, before)
+    query.awaitTermination()
 
 
 def health(stream: DataFrame, size: str = "1 day") -> DataFrame:
@@ -57,55 +90,144 @@ def sessions(stream: DataFrame, key: str, gap: str = "24 hours") -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us")).select(key, "n", "first_us", "last_us")
 
 
-def merged_findings(stream: DataFrame, stored: DataFrame, path: str) -> DataFrame:
-    """Findings of each micro-batch with the stored open incident that they join, late ones too; the rest correlate among their batch. Each batch replaces its own output."""
+def stored_incidents(stream: DataFrame, where: str | None = None, limit: int | None = None) -> IncidentStore:
+    """Findings of each micro-batch, late and re-delivered ones too, merged into the incidents that the batches before stored; the store afterwards."""
     spark = stream.sparkSession
-    where, current = f"{scratch(spark)}/{path}-{uuid.uuid4().hex}", stored.select("incident_key", "status")
-
-    def put(batch: DataFrame, batch_id: int) -> None:
-        found = batch.dropDuplicates(["finding_id"])
-        out = incidents.settled(incidents.merge_targets(stored, found), current, found)
-        out.select("finding_id", "incident_key", "fate").withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{where}/out/batch_id={batch_id}")
+    where = where or folder(spark, "incidents")
+    store = IncidentStore(spark, f"{where}/store")
+    more = {} if limit is None else {"limit": limit}
+    started(stream, lambda batch, number: store.put("findings", number, batch, **more), where)
+    return store
+
+
+#: Keeps state of many entries on disk; state of this kind needs it.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _stateful(rows: DataFrame, keys: list[str], processor: StatefulProcessor, output: str) -> DataFrame:
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, output, "Append", "ProcessingTime")
+
+
+def _sorted(batches: Iterator[pd.DataFrame], *order: str) -> pd.DataFrame:
+    """A key's rows of one micro-batch in order."""
+    return pd.concat(list(batches)).sort_values(list(order))
+
+
+class Signals(StatefulProcessor):
+    """Signals of one entity against its own past: values seen, a number of events, and the last times."""
+
+    def __init__(self, burst_us: int, idle: int):
+        self.burst_us, self.idle = burst_us, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "name string, value string", "times long", self.idle)
+        self.many = handle.getValueState("many", "events long, sources long, hosts long", self.idle)
+        self.recent = handle.getListState("recent", "us long", self.idle)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = _sorted(rows, "seq")
+        events, sources, hosts = self.many.get() if self.many.exists() else (0, 0, 0)
+        recent, known, out = [r[0] for r in self.recent.get()], {}, []
+
+        def fresh(name: str, value: str) -> bool:
+            if (name, value) not in known:
+                known[name, value] = self.seen.containsKey((name, value))
+            new, known[name, value] = not known[name, value], True
+            if new:
+                self.seen.updateValue((name, value), (1,))
+            return new
+
+        for event_id, seq, us, action, hour, src_ip, host in batch[["event_id", "seq", "us", "action", "hour", "src_ip", "host"]].itertuples(index=False, name=None):
+            tell = lambda name: out.append((event_id, seq, key[0], name, behaviour.POINTS[name]))  # noqa: B023, E731
+            if fresh("action", action) and events:
+                tell("novel_action")
+            if fresh("hour", str(hour)) and events >= behaviour.WARM_ENTITY:
+                tell("off_hours")
+            if src_ip:
+                if fresh("src_ip", src_ip) and sources:
+                    tell("novel_src_ip")
+                sources += 1
+            if host:
+                if fresh("host", host) and hosts:
+                    tell("novel_host")
+                hosts += 1
+            if sum(t >= us - self.burst_us for t in recent) + 1 >= behaviour.BURST:
+                tell("burst")
+            events += 1
+            recent = [*recent, us][-behaviour.REMEMBERED :]
+        self.many.update((events, sources, hosts))
+        self.recent.put([(t,) for t in recent])
+        yield pd.DataFrame(out, columns=["event_id", "seq", "entity", "signal", "points"]).astype({"entity": object, "signal": object})
+
+    def close(self) -> None:
+        pass
+
+
+def signals(stream: DataFrame, burst_us: int = 120_000_000, idle: int = IDLE) -> DataFrame:
+    """event_id, seq, entity, signal and points of the five signals that rest on an entity's own past, as in the batch form."""
+    rows = stream.withColumn("entity", F.explode("entities"))
+    user = F.col("entity").startswith("user:")
+    own = lambda c: F.when(user, F.coalesce(c, F.lit(""))).otherwise("").alias(c)
+    rows = rows.select("event_id", "seq", "us", "entity", F.coalesce("action", F.lit("")).alias("action"), F.hour("ts").alias("hour"), own("src_ip"), own("host"))
+    return _stateful(rows, ["entity"], Signals(burst_us, idle), "event_id long, seq long, entity string, signal string, points long")
+
+
+class Repeats(StatefulProcessor):
+    """Repeats of one key: its times within the window."""
+
+    def __init__(self, window_us: int, allowed: int, idle: int):
+        self.window_us, self.allowed, self.idle = window_us, allowed, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", "us long", self.idle)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = _sorted(rows, "us", "seq")
+        recent, counts, first = [r[0] for r in self.recent.get()], [], 0
+        for us in batch["us"].tolist():
+            recent.append(us)
+            while recent[first] < us - self.window_us:
+                first += 1
+            counts.append(len(recent) - first)
+        self.recent.put([(t,) for t in recent[first:]])
+        yield pd.DataFrame({"event_id": batch["event_id"].to_numpy(), "repeat_count": counts, "repeated": [n > self.allowed for n in counts]})
 
-    stream.writeStream.option("checkpointLocation", f"{where}/checkpoint").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema("finding_id string, incident_key string, fate string, batch long").parquet(f"{where}/out").drop("batch_id")
+    def close(self) -> None:
+        pass
 
 
-def _stateful(stream: DataFrame, keys: list[str], step: Callable, output: str, state: str) -> DataFrame:
-    return stream.groupBy(*keys).applyInPandasWithState(step, output, state, "append", GroupStateTimeout.NoTimeout)
+def repeats(stream: DataFrame, keys: list[str], window_us: int, allowed: int, idle: int = IDLE) -> DataFrame:
+    """event_id, repeat_count and repeated, as in the batch form for a key's events that come in order of time."""
+    return _stateful(stream.select("event_id", "us", "seq", *keys), keys, Repeats(window_us, allowed, idle), "event_id long, repeat_count long, repeated boolean")
 
 
-def repeats(stream: DataFrame, keys: list[str], window_us: int, allowed: int) -> DataFrame:
-    """event_id, repeat_count and repeated as in the batch form; the state of a key is its times within the window."""
+class Novelty(StatefulProcessor):
+    """Values that one key shows for the first time."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["us", "seq"])
-        counts, first = [], 0
-        for us in rows["us"].tolist():
-            recent.append(us)
-            while recent[first] < us - window_us:
-                first += 1
-            counts.append(len(recent) - first)
-        state.update((recent[first:],))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "repeat_count": counts, "repeated": [n > allowed for n in counts]})
+    def __init__(self, idle: int):
+        self.idle = idle
 
-    return _stateful(stream.select("event_id", "us", "seq", *keys), keys, step, "event_id long, repeat_count long, repeated boolean", "recent array<long>")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "value string", "times long", self.idle)
+        self.any = handle.getValueState("any", "seen boolean", self.idle)
 
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        batch = _sorted(rows, "seq").drop_duplicates("value")
+        began = self.any.exists()
+        fresh = [not self.seen.containsKey((v,)) for v in batch["value"].tolist()]
+        for v, new in zip(batch["value"].tolist(), fresh, strict=True):
+            if new:
+                self.seen.updateValue((v,), (1,))
+        self.any.update((True,))
+        out = batch[fresh] if began else batch[fresh].iloc[1:]
+        yield pd.DataFrame({"event_id": out["event_id"].to_numpy(), "key": key[0], "value": out["value"].to_numpy()}).astype({"key": object, "value": object})
 
-def novelty(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """event_id, the key and a value that the key shows for the first time, other than its very first; state: values seen."""
+    def close(self) -> None:
+        pass
 
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen = set(state.get[0]) if state.exists else set()
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for event_id, v in zip(rows["event_id"].tolist(), rows["value"].tolist(), strict=True):
-            if seen and v not in seen:
-                out.append((event_id, group[0], v))
-            seen.add(v)
-        state.update((sorted(seen),))
-        yield pd.DataFrame(out, columns=["event_id", "key", "value"])
 
+def novelty(stream: DataFrame, key: str, value: str, idle: int = IDLE) -> DataFrame:
+    """event_id, the key and a value that the key shows for the first time, other than its very first."""
     rows = stream.select("event_id", "seq", F.col(key).alias("key"), F.col(value).alias("value")).where("key IS NOT NULL AND value IS NOT NULL")
-    return _stateful(rows, ["key"], step, "event_id long, key string, value string", "seen array<string>")
+    return _stateful(rows, ["key"], Novelty(idle), "event_id long, key string, value string")
