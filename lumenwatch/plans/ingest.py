@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions import normalize
 from ..operators import graph
 from ..sources import lines, mappers
 from ..sources.events import V, security_events
+from ..streaming.tables import Archive, KeyedTable, Lines
 
 #: A line for each event, in the format of its kind; the same expression on both engines.
 LINE = """CASE category
@@ -76,22 +79,49 @@ def new_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fresh.unionByName(polled.where("record_id IS NULL"))
 
 
+def _archive(spark: SparkSession, sf_dir: str) -> Archive:
+    """The raw lines in two appends, by the day of their event."""
+    rows = security_events(spark, sf_dir).select("seq", F.expr(LINE).alias("line"), F.to_date("ts").alias("ingest_date"))
+    archive = Archive(spark, f"{graph.scratch(spark)}/archive-{uuid.uuid4().hex}")
+    archive.append("first", 0, rows.where("seq % 3 > 0"))
+    archive.append("second", 0, rows.where("seq % 3 = 0"))
+    return archive
+
+
 def archive_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw lines archived by day and replayed from the middle of the sequence."""
-    rows = raw_lines(spark, sf_dir)
-    archive = graph.save(rows, "archive")
-    middle = archive.agg((F.floor(F.max("seq") / 2)).alias("from_seq"))
-    return archive.join(F.broadcast(middle), F.col("seq") >= F.col("from_seq")).select("seq", "line")
+    archive = _archive(spark, sf_dir)
+    middle = archive.read("ranges", archive.RANGES).agg(F.floor(F.max("last") / 2)).first()[0]
+    return archive.since(middle).select("seq", "line")
+
+
+def archive_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last 500 archived lines (a top-k report) with the day they came."""
+    return _archive(spark, sf_dir).last(500).select("seq", F.col("ingest_date").cast("string").alias("day"))
 
 
 def persist_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Idempotent persist: re-delivered ids with equal content change nothing, with other content are conflicts."""
-    events = security_events(spark, sf_dir).select("event_id", "outcome", F.concat_ws("|", "action", "user_name", "host").alias("content"))
-    stored = events.where("outcome = 'failure'").select("event_id", F.sha2("content", 256).alias("stored_hash"))
-    delivered = events.select("event_id", F.sha2(F.when(F.col("content").contains("_rare"), F.concat("content", F.lit("!"))).otherwise(F.col("content")), 256).alias("hash"))
-    both = delivered.join(stored, "event_id", "left")
-    status = F.when(F.col("stored_hash").isNull(), "new").when(F.col("stored_hash") == F.col("hash"), "same").otherwise("conflict")
-    return both.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    """Failures are stored first; then all events come, rare ones with other content, and that delivery comes twice: how each row fared by delivery."""
+    events = security_events(spark, sf_dir).select(F.col("source").alias("tenant"), F.col("event_id").cast("string").alias("id"), "seq", "outcome", F.concat_ws("|", "action", "user_name", "host").alias("content"))
+    changed = events.withColumn("content", F.when(F.col("content").contains("_rare"), F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    table = KeyedTable(spark, f"{graph.scratch(spark)}/keyed-{uuid.uuid4().hex}")
+    for i, rows in enumerate((events.where("outcome = 'failure'"), changed, changed)):
+        table.put("deliveries", i, rows)
+    stored = table.rows().groupBy("version").agg(F.count("*").alias("n")).select("version", F.lit("stored").alias("status"), "n")
+    return table.report().groupBy("version", "status").agg(F.count("*").alias("n")).unionByName(stored)
+
+
+def requeued_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that start like JSON and don't parse go aside; those of one step are mended and requeued, twice: what has gone on and what is still aside."""
+    rows = raw_lines(spark, sf_dir).withColumn("line", F.when(F.col("line").rlike("step1?1 "), F.regexp_replace("line", '^."', "{")).otherwise(F.col("line")))
+    good = ~F.col("line").startswith("{") | F.try_parse_json("line").isNotNull()
+    lines = Lines(spark, f"{graph.scratch(spark)}/lines-{uuid.uuid4().hex}")
+    lines.put("arrivals", 0, rows.where("seq % 2 = 0"), good)
+    lines.put("arrivals", 1, rows.where("seq % 2 = 1"), good)
+    mended = F.when(F.col("line").contains("step11 "), F.regexp_replace("line", r"^\{", '{"')).otherwise(F.col("line"))
+    for i in range(2):
+        lines.requeue("requeue", i, mended, good)
+    return lines.main().select("seq", F.lit("main").alias("sink")).unionByName(lines.aside().select("seq", F.lit("aside").alias("sink")))
 
 
 def projection_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +148,7 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEV = "CASE WHEN event_id % 101 >= 90 THEN 100 WHEN event_id % 101 >= 70 THEN 75 WHEN event_id % 101 >= 40 THEN 50 WHEN event_id % 101 > 0 THEN 25 ELSE 0 END"
-QUERIES = [parse_lines, parse_other_lines, syslog_priorities, cloud_records, new_records, archive_replay, persist_conflicts, projection_backlog, metric_buckets, dead_letters]
+QUERIES = [archive_tail, requeued_lines, parse_lines, parse_other_lines, syslog_priorities, cloud_records, new_records, archive_replay, persist_conflicts, projection_backlog, metric_buckets, dead_letters]
 SQL = {
     "parse_lines": f"""WITH {V} SELECT seq, CASE category WHEN 'process' THEN 'json' WHEN 'cloud' THEN 'cef' WHEN 'network' THEN 'syslog' ELSE CASE WHEN outcome = 'failure' THEN 'json' ELSE 'message' END END AS format,
   CASE category WHEN 'process' THEN 'process' WHEN 'cloud' THEN CASE WHEN contains(lower(action), 'assumerole') THEN 'cloud' END WHEN 'network' THEN 'network' ELSE 'authentication' END AS category,
@@ -143,7 +173,11 @@ UNION ALL SELECT seq, 'json', 'unknown', 'second', NULL, NULL, 'unknown', 'obser
     "new_records": f"""WITH {V} SELECT host AS record_id, min(seq) AS seq FROM v WHERE host IS NOT NULL AND host NOT IN (SELECT host FROM v WHERE category = 'network' AND host IS NOT NULL) GROUP BY 1
 UNION ALL SELECT host, seq FROM v WHERE host IS NULL""",
     "archive_replay": f"WITH {V} SELECT seq, {LINE} AS line FROM v WHERE seq >= (SELECT max(seq) // 2 FROM v)",
-    "persist_conflicts": f"WITH {V} SELECT CASE WHEN outcome <> 'failure' THEN 'new' WHEN contains(action, '_rare') THEN 'conflict' ELSE 'same' END AS status, count(*) AS n FROM v GROUP BY 1",
+    "archive_tail": f"WITH {V} SELECT seq, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM v ORDER BY seq DESC LIMIT 500",
+    "persist_conflicts": f"""WITH {V}, d AS (SELECT outcome = 'failure' AS old, contains(action, '_rare') AS rare FROM v)
+SELECT CAST(version AS INTEGER) AS version, status, count(*) AS n FROM (SELECT 1 AS version, unnest(['new', 'stored']) AS status FROM d WHERE old UNION ALL SELECT 2, unnest(CASE WHEN NOT old THEN ['new', 'stored'] WHEN rare THEN ['conflict'] ELSE ['same'] END) FROM d
+  UNION ALL SELECT 3, CASE WHEN old AND rare THEN 'conflict' ELSE 'same' END FROM d) GROUP BY ALL""",
+    "requeued_lines": f"WITH {V} SELECT seq, CASE WHEN category = 'process' AND contains({LINE}, 'step1 ') THEN 'aside' ELSE 'main' END AS sink FROM v",
     "projection_backlog": f"WITH {V} SELECT source, count(*) AS backlog, min(us) AS oldest_us FROM v WHERE outcome = 'failure' GROUP BY 1",
     "metric_buckets": f"WITH {V} SELECT source, count(*) FILTER (value <= 10) AS le_10, count(*) FILTER (value <= 50) AS le_50, count(*) FILTER (value <= 100) AS le_100, count(*) FILTER (value <= 200) AS le_200, count(*) AS le_inf, round(sum(value), 2) AS total FROM v GROUP BY 1",
     "dead_letters": f"WITH {V} SELECT seq, CASE WHEN category = 'process' AND contains({LINE}, 'step1 ') THEN 'quarantine' ELSE 'main' END AS sink FROM v",
