@@ -144,3 +144,14 @@ def runbook_additions(steps: DataFrame, incidents: DataFrame, proposed: DataFram
     wanted = steps.where("target IS NOT NULL").select("incident_key", "action", same.alias("target")).distinct()
     fresh = wanted.join(proposed.select("incident_key", "action", same.alias("target")), ["incident_key", "action", "target"], "left_anti")
     return fresh.join(incidents.select("incident_key", step_confidence(F.col("severity"), F.col("findings")).alias("confidence")), "incident_key")
+
+
+def exposition(rows: DataFrame, name: str, value: str, limits: list[float], *labels: str) -> DataFrame:
+    """metric, labels and value of a histogram by label set: cumulative buckets with their upper limits (+Inf last), sum and count."""
+    counts = [F.count_if(F.col(value) <= x) for x in limits] + [F.count(value)]
+    per = rows.groupBy(*labels).agg(F.array(*[c.cast("double") for c in counts]).alias("_buckets"), F.coalesce(F.sum(value), F.lit(0.0)).cast("double").alias("_sum"))
+    told = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in labels])
+    names = [f"{x:g}" for x in limits] + ["+Inf"]
+    row = lambda metric, text, number: F.struct(F.lit(f"{name}_{metric}").alias("metric"), text.alias("labels"), number.alias("value"))
+    buckets = [row("bucket", F.concat_ws(",", F.nullif(told, F.lit("")), F.lit(f'le="{n}"')), F.col("_buckets")[i]) for i, n in enumerate(names)]
+    return per.select(F.explode(F.array(*buckets, row("sum", told, F.round("_sum", 6)), row("count", told, F.col("_buckets")[len(limits)]))).alias("m")).select("m.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize
-from ..operators import graph
+from ..operators import graph, reports
 from ..sources import lines, mappers
 from ..sources.events import V, security_events
 from ..streaming.tables import Archive, KeyedTable, Lines
@@ -140,6 +140,13 @@ def metric_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows
 
 
+def metric_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' values as exposition rows of histograms: by source, and by source and outcome."""
+    events = security_events(spark, sf_dir)
+    one = reports.exposition(events, "event_value", "value", [10.0, 50.0, 100.0, 200.0], "source")
+    return one.unionByName(reports.exposition(events, "outcome_value", "value", [0.5, 150.0], "source", "outcome"))
+
+
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarantine: lines that start like JSON but don't parse go aside, all others go on."""
     rows = raw_lines(spark, sf_dir).withColumn("line", F.when(F.col("line").contains("step1 "), F.regexp_replace("line", '^."', "{")).otherwise(F.col("line")))
@@ -148,7 +155,7 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEV = "CASE WHEN event_id % 101 >= 90 THEN 100 WHEN event_id % 101 >= 70 THEN 75 WHEN event_id % 101 >= 40 THEN 50 WHEN event_id % 101 > 0 THEN 25 ELSE 0 END"
-QUERIES = [archive_tail, requeued_lines, parse_lines, parse_other_lines, syslog_priorities, cloud_records, new_records, archive_replay, persist_conflicts, projection_backlog, metric_buckets, dead_letters]
+QUERIES = [metric_exposition, archive_tail, requeued_lines, parse_lines, parse_other_lines, syslog_priorities, cloud_records, new_records, archive_replay, persist_conflicts, projection_backlog, metric_buckets, dead_letters]
 SQL = {
     "parse_lines": f"""WITH {V} SELECT seq, CASE category WHEN 'process' THEN 'json' WHEN 'cloud' THEN 'cef' WHEN 'network' THEN 'syslog' ELSE CASE WHEN outcome = 'failure' THEN 'json' ELSE 'message' END END AS format,
   CASE category WHEN 'process' THEN 'process' WHEN 'cloud' THEN CASE WHEN contains(lower(action), 'assumerole') THEN 'cloud' END WHEN 'network' THEN 'network' ELSE 'authentication' END AS category,
@@ -180,5 +187,9 @@ SELECT CAST(version AS INTEGER) AS version, status, count(*) AS n FROM (SELECT 1
     "requeued_lines": f"WITH {V} SELECT seq, CASE WHEN category = 'process' AND contains({LINE}, 'step1 ') THEN 'aside' ELSE 'main' END AS sink FROM v",
     "projection_backlog": f"WITH {V} SELECT source, count(*) AS backlog, min(us) AS oldest_us FROM v WHERE outcome = 'failure' GROUP BY 1",
     "metric_buckets": f"WITH {V} SELECT source, count(*) FILTER (value <= 10) AS le_10, count(*) FILTER (value <= 50) AS le_50, count(*) FILTER (value <= 100) AS le_100, count(*) FILTER (value <= 200) AS le_200, count(*) AS le_inf, round(sum(value), 2) AS total FROM v GROUP BY 1",
+    "metric_exposition": f"""WITH {V}, h AS (SELECT 'event_value' AS name, 'source="' || source || '"' AS l, value, x, CASE WHEN isinf(x) THEN '+Inf' ELSE CAST(CAST(x AS INTEGER) AS VARCHAR) END AS le FROM v, unnest([10, 50, 100, 200, 'Infinity'::DOUBLE]) AS t(x)
+  UNION ALL SELECT 'outcome_value', 'source="' || source || '",outcome="' || outcome || '"', value, x, CASE x WHEN 0.5 THEN '0.5' WHEN 150 THEN '150' ELSE '+Inf' END FROM v, unnest([0.5, 150, 'Infinity'::DOUBLE]) AS t(x))
+SELECT name || '_bucket' AS metric, l || ',le="' || le || '"' AS labels, CAST(count(*) FILTER (value <= x) AS DOUBLE) AS value FROM h GROUP BY name, l, le, x
+UNION ALL SELECT name || '_sum', l, round(sum(value), 6) FROM h WHERE le = '+Inf' GROUP BY name, l UNION ALL SELECT name || '_count', l, CAST(count(value) AS DOUBLE) FROM h WHERE le = '+Inf' GROUP BY name, l""",
     "dead_letters": f"WITH {V} SELECT seq, CASE WHEN category = 'process' AND contains({LINE}, 'step1 ') THEN 'quarantine' ELSE 'main' END AS sink FROM v",
 }
