@@ -94,13 +94,16 @@ def epoch_of(seconds: Column) -> Column:
 
 
 def normalized(records: DataFrame, now: Column | None = None) -> DataFrame:
-    """records with the normalized fields; ts_defaulted marks those whose time isn't readable, which takes now (the start of 1970 if not given)."""
+    """records with the normalized fields; ts_defaulted marks those whose time isn't readable, which takes now (the start of 1970 if not given).
+
+    A raw document that records carry goes along.
+    """
     now = now if now is not None else F.lit("1970-01-01").cast("timestamp_ntz")
     look = Fields(*[n for names in (*ALIASES.values(), OUTCOMES, ACTIONS) for n in names], typed=(*TIMES, *SEVERITY, *MESSAGE, *CATEGORY))
     found = {name: look.field(*names) for name, names in ALIASES.items()}
     found |= {"source": F.coalesce(found["source"], F.lit("unknown")), "log_product": F.lower(found["log_product"]), "log_service": F.lower(found["log_service"])}
     rows = look.of(records).select(
-        "seq", "format", "all_values", *[c.alias(name) for name, c in found.items()], F.coalesce(look.filled(*MESSAGE)["value"], F.lit("")).alias("message"), F.coalesce(look.filled(*CATEGORY)["value"], F.lit("")).alias("_explicit"),
+        "seq", "format", *[c for c in records.columns if c == "raw"], "all_values", *[c.alias(name) for name, c in found.items()], F.coalesce(look.filled(*MESSAGE)["value"], F.lit("")).alias("message"), F.coalesce(look.filled(*CATEGORY)["value"], F.lit("")).alias("_explicit"),
         look.field(*ACTIONS).alias("_action"), F.lower(F.coalesce(look.field(*OUTCOMES), F.lit("unknown"))).alias("outcome"), look.filled(*SEVERITY).alias("_severity"), look.filled(*TIMES).alias("_time"),
     )
     rows = rows.withColumn("category", category_of(F.col("_explicit"), F.col("all_values"), F.col("message")))

@@ -64,6 +64,45 @@ def membership(field: Column, values: list[Any]) -> Column:
     return reduce(or_, [equality(field, v) for v in values], F.lit(False))
 
 
+class Documents:
+    """Resolves fields as columns, and dotted names of one column as paths into its VARIANT, case-sensitive.
+
+    Fields that are no column are null. What isn't there, or lies below something other than an object, is null. Text tests read numbers and
+    switches as JSON writes them; equality asks for the value's own kind, so that the text "5" isn't 5.
+    """
+
+    def __init__(self, columns: list[str], document: str = "raw"):
+        self.columns, self.document = columns, document
+
+    def _node(self, name: str, kind: str) -> Column | None:
+        head, _, path = name.partition(".")
+        if head != self.document or not path:
+            return None
+        steps = "".join(f'["{p}"]' for p in path.split("."))
+        return F.try_variant_get(self.document, f"${steps}", kind)
+
+    def __call__(self, name: str) -> Column:
+        node = self._node(name, "string")
+        if node is None:
+            return F.col(name) if name in self.columns else F.lit(None).cast("string")
+        return node
+
+    def typed(self, name: str, value: Any) -> Column:
+        """The field where it is of the value's kind (text, switch or number), else null."""
+        node = self._node(name, "variant")
+        if node is None or value is None:
+            return self(name)
+        kinds = ["STRING"] if isinstance(value, str) else ["BOOLEAN"] if isinstance(value, bool) else ["BIGINT", "DOUBLE", "FLOAT", "DECIMAL"]
+        to = "string" if isinstance(value, str) else "boolean" if isinstance(value, bool) else "double"
+        kind = F.regexp_extract(F.schema_of_variant(node), "^[A-Z]+", 0)
+        return F.when(kind.isin(kinds), self._node(name, to))
+
+
+def _same(resolve: Callable[[str], Column], name: str, values: list[Any]) -> Column:
+    typed = resolve.typed if isinstance(resolve, Documents) else lambda n, _: resolve(n)
+    return reduce(or_, [equality(typed(name, v), v) for v in values], F.lit(False))
+
+
 def compile_selection(selection: dict[str, Any], resolve: Callable[[str], Column] = F.col) -> Column:
     """The selection's Column; resolve gives a field's Column (a dotted name may reach into a document)."""
     if not isinstance(selection, dict) or not selection:
@@ -79,11 +118,14 @@ def compile_selection(selection: dict[str, Any], resolve: Callable[[str], Column
         elif isinstance(wanted, dict):
             if not wanted:
                 raise ValueError(f"no operator for field {name!r}")
-            tests += [field_test(resolve(name), operator, value) for operator, value in wanted.items()]
-        elif isinstance(wanted, (list, tuple)):
-            tests.append(membership(resolve(name), list(wanted)))
+            for operator, value in wanted.items():
+                if operator in ("in", "not_in"):
+                    found = _same(resolve, name, _values(value))
+                    tests.append(found if operator == "in" else ~found)
+                else:
+                    tests.append(field_test(resolve(name), operator, value))
         else:
-            tests.append(equality(resolve(name), wanted))
+            tests.append(_same(resolve, name, list(wanted) if isinstance(wanted, (list, tuple)) else [wanted]))
     return reduce(and_, [F.coalesce(t, F.lit(False)) for t in tests])
 
 

@@ -121,12 +121,20 @@ def _syslog(part: Column) -> Column:
     return F.concat(present(F.array(*pairs)), login)
 
 
-def records(lines: DataFrame) -> DataFrame:
+def documents(fields: Column) -> Column:
+    """The fields of a line that isn't JSON as one document, all values texts; the last of equal keys counts."""
+    keys = F.array_distinct(F.transform(fields, lambda f: f["key"]))
+    latest = F.transform(keys, lambda k: F.element_at(F.filter(fields, lambda f: f["key"] == k), -1)["value"])
+    return F.to_variant_object(F.map_from_arrays(keys, latest))
+
+
+def records(lines: DataFrame, raw: bool = False) -> DataFrame:
     """lines (seq, line) that aren't blank, with format and fields (a list of key, value and whether it was a text; the last of equal keys counts).
 
     JSON objects give their members, and an array of objects a record for each; other JSON and unknown text are a
     message; JSON nested deeper than DEPTH is kept as a message of its own format, never dropped. A CEF payload
     of a syslog line adds its fields after the line's own. A line is parsed once by each reader that it may be for.
+    With raw, records carry their document too: a JSON object as it is written, of other lines their fields.
     """
     rows = lines.withColumn("line", F.trim("line")).where("line <> ''").select("seq", "line")
     line = F.col("line")
@@ -147,7 +155,10 @@ def records(lines: DataFrame) -> DataFrame:
     form = F.when(F.col("deep") & line.startswith("{"), "json-too-deep").when(F.col("json"), "json").when(own & cef, "syslog+cef").when(cef, "cef").when(own, "syslog").otherwise("message")
     members = F.transform(F.map_entries(F.try_variant_get("doc", "$", "map<string,variant>")), lambda f: F.struct(F.lower(f["key"]).alias("key"), F.try_variant_get(f["value"], "$", "string").alias("value"), (F.schema_of_variant(f["value"]) == "STRING").alias("text")))
     fields = F.coalesce(F.when(F.col("json"), members), F.when(own & cef, F.concat("own", "cef")), F.col("cef"), F.col("own"), F.array(pair("message", line)))
-    return rows.select("seq", form.alias("format"), fields.alias("fields"))
+    rows = rows.select("seq", form.alias("format"), fields.alias("fields"), "json", "doc")
+    if raw:
+        rows = rows.withColumn("raw", F.when(F.col("json"), F.col("doc")).otherwise(documents(F.col("fields"))))
+    return rows.drop("json", "doc")
 
 
 class Fields:
