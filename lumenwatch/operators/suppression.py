@@ -9,25 +9,26 @@ from pyspark.sql import functions as F
 REPEATS, WINDOW_US = 5, 15 * 60 * 1_000_000
 
 
-def current(changes: DataFrame, key: str) -> DataFrame:
+def current(changes: DataFrame, *key: str) -> DataFrame:
     """The latest row of each key in a change table (updated_at, deleted)."""
-    rest = [c for c in changes.columns if c != key]
-    latest = changes.groupBy(key).agg(F.max_by(F.struct(*rest), "updated_at").alias("row"))
-    return latest.select(key, "row.*").where(~F.coalesce("deleted", F.lit(False))).drop("deleted")
+    rest = [c for c in changes.columns if c not in key]
+    latest = changes.groupBy(*key).agg(F.max_by(F.struct(*rest), "updated_at").alias("row"))
+    return latest.select(*key, "row.*").where(~F.coalesce("deleted", F.lit(False))).drop("deleted")
 
 
-def matched(findings: DataFrame, exceptions: DataFrame, now_us: Column) -> DataFrame:
+def matched(findings: DataFrame, exceptions: DataFrame, now_us: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """findings with the first matching exception in list order: suppression_id, exception_action, downgrade_to.
 
     An exception fits if it is enabled, not expired, of the rule or '*', and of one of the finding's
-    entities or of none. Candidates meet on (rule, entity) keys, so the join is an equi-join.
+    entities or of none. Candidates meet on (rule, entity) keys, so the join is an equi-join. With `by`, a tenant for
+    example, exceptions are of equal values only, and finding_id needs be unique only among these; null fits nothing.
     """
     live = exceptions.where(F.col("enabled") & (F.col("expires_us").isNull() | (F.col("expires_us") >= now_us)))
-    keyed = live.select(F.col("rule_id").alias("_rule"), F.coalesce("entity", F.lit("*")).alias("_entity"), "position", "suppression_id", F.col("action").alias("exception_action"), "downgrade_to")
-    rows = findings.select("finding_id", F.explode(F.array(F.col("rule_id"), F.lit("*"))).alias("_rule"), F.concat("entities", F.array(F.lit("*"))).alias("_all"))
-    rows = rows.select("finding_id", "_rule", F.explode("_all").alias("_entity"))
-    first = rows.join(keyed, ["_rule", "_entity"]).groupBy("finding_id").agg(F.min(F.struct("position", "suppression_id", "exception_action", "downgrade_to")).alias("m"))
-    return findings.join(first.select("finding_id", "m.suppression_id", "m.exception_action", "m.downgrade_to"), "finding_id", "left")
+    keyed = live.select(*by, F.col("rule_id").alias("_rule"), F.coalesce("entity", F.lit("*")).alias("_entity"), "position", "suppression_id", F.col("action").alias("exception_action"), "downgrade_to")
+    rows = findings.select("finding_id", *by, F.explode(F.array(F.col("rule_id"), F.lit("*"))).alias("_rule"), F.concat("entities", F.array(F.lit("*"))).alias("_all"))
+    rows = rows.select("finding_id", *by, "_rule", F.explode("_all").alias("_entity"))
+    first = rows.join(keyed, ["_rule", "_entity", *by]).groupBy("finding_id", *by).agg(F.min(F.struct("position", "suppression_id", "exception_action", "downgrade_to")).alias("m"))
+    return findings.join(first.select("finding_id", *by, "m.suppression_id", "m.exception_action", "m.downgrade_to"), ["finding_id", *by], "left")
 
 
 def apply_exceptions(rows: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def apply_exceptions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("outcome", outcome).withColumn("severity", F.when(down, F.col("downgrade_to")).otherwise(F.col("severity")))
 
 
-def repeats(findings: DataFrame, window_us: int = WINDOW_US, allowed: int = REPEATS, rule: str = "rule_id", entity: Column | None = None) -> DataFrame:
+def repeats(findings: DataFrame, window_us: int = WINDOW_US, allowed: int = REPEATS, rule: str = "rule_id", entity: Column | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """findings with repeat_count: those of the rule and first entity in the window up to it (both ends in), itself included; and repeated.
 
     Rows are dealt by (rule, entity, window number) and sent to the next window too, so a busy pair is
@@ -46,7 +47,7 @@ def repeats(findings: DataFrame, window_us: int = WINDOW_US, allowed: int = REPE
     rows = findings.withColumn("_entity", entity if entity is not None else F.coalesce(F.try_element_at("entities", F.lit(1)), F.lit("")))
     own = F.floor(F.col("us") / window_us)
     spread = rows.withColumn("_own", own).withColumn("_slot", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    keys = [rule, "_entity", "_slot"]
+    keys = [*by, rule, "_entity", "_slot"]
     before = F.count("*").over(Window.partitionBy(*keys).orderBy("us").rangeBetween(Window.unboundedPreceding, -(window_us + 1)))
     counted = spread.withColumn("repeat_count", F.row_number().over(Window.partitionBy(*keys).orderBy("us", "seq")) - before)
     counted = counted.where(F.col("_slot") == F.col("_own")).withColumn("repeat_count", F.col("repeat_count").cast("long"))

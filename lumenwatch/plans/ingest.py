@@ -11,7 +11,7 @@ from ..functions import normalize
 from ..operators import graph, reports
 from ..sources import lines, mappers
 from ..sources.events import V, security_events
-from ..streaming.tables import Archive, KeyedTable, Lines
+from ..streaming.tables import Archive, KeyedTable, Lines, Projection
 
 #: A line for each event, in the format of its kind; the same expression on both engines.
 LINE = """CASE category
@@ -133,6 +133,24 @@ def projection_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outbox.join(receipts, "key", "left_anti").groupBy("source").agg(F.count("*").alias("backlog"), F.min("us").alias("oldest_us"))
 
 
+def projection_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two deliveries to one destination and one to another, the outbox growing between them and a delivery coming twice: what each has, in which of the versions, and what it lacks."""
+    events = security_events(spark, sf_dir).select(F.col("source").alias("tenant"), F.col("event_id").cast("string").alias("id"), "seq", F.col("action").alias("content"))
+    path = f"{graph.scratch(spark)}/feed-{uuid.uuid4().hex}"
+    feed = Projection(spark, path)
+    feed.put("events", 0, events.where("seq % 3 = 0"))
+    feed.deliver("search", 0)
+    feed.put("events", 1, events.where("seq % 3 <> 1"))
+    feed = Projection(spark, path)  # a driver started anew
+    for batch in (1, 1):
+        feed.deliver("search", batch)
+    feed.deliver("warehouse", 0)
+    feed.put("events", 2, events)
+    out = [feed.delivered(d).groupBy(F.lit(d).alias("destination"), "tenant", F.col("version").cast("string").alias("state")).agg(F.count("*").alias("n"), F.min("seq").alias("oldest"), F.min("key").alias("first_key")) for d in ("search", "warehouse")]
+    late = feed.backlog("search", "warehouse").select("destination", "tenant", F.lit("pending").alias("state"), F.col("pending").alias("n"), "oldest", F.lit(None).cast("string").alias("first_key"))
+    return out[0].unionByName(out[1]).unionByName(late)
+
+
 def metric_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Histogram exposition of the events' values by source: cumulative buckets, sum and count."""
     limits = [10.0, 50.0, 100.0, 200.0]
@@ -155,7 +173,7 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEV = "CASE WHEN event_id % 101 >= 90 THEN 100 WHEN event_id % 101 >= 70 THEN 75 WHEN event_id % 101 >= 40 THEN 50 WHEN event_id % 101 > 0 THEN 25 ELSE 0 END"
-QUERIES = [metric_exposition, archive_tail, requeued_lines, parse_lines, parse_other_lines, syslog_priorities, cloud_records, new_records, archive_replay, persist_conflicts, projection_backlog, metric_buckets, dead_letters]
+QUERIES = [metric_exposition, projection_feed, archive_tail, requeued_lines, parse_lines, parse_other_lines, syslog_priorities, cloud_records, new_records, archive_replay, persist_conflicts, projection_backlog, metric_buckets, dead_letters]
 SQL = {
     "parse_lines": f"""WITH {V} SELECT seq, CASE category WHEN 'process' THEN 'json' WHEN 'cloud' THEN 'cef' WHEN 'network' THEN 'syslog' ELSE CASE WHEN outcome = 'failure' THEN 'json' ELSE 'message' END END AS format,
   CASE category WHEN 'process' THEN 'process' WHEN 'cloud' THEN CASE WHEN contains(lower(action), 'assumerole') THEN 'cloud' END WHEN 'network' THEN 'network' ELSE 'authentication' END AS category,
@@ -186,6 +204,9 @@ SELECT CAST(version AS INTEGER) AS version, status, count(*) AS n FROM (SELECT 1
   UNION ALL SELECT 3, CASE WHEN old AND rare THEN 'conflict' ELSE 'same' END FROM d) GROUP BY ALL""",
     "requeued_lines": f"WITH {V} SELECT seq, CASE WHEN category = 'process' AND contains({LINE}, 'step1 ') THEN 'aside' ELSE 'main' END AS sink FROM v",
     "projection_backlog": f"WITH {V} SELECT source, count(*) AS backlog, min(us) AS oldest_us FROM v WHERE outcome = 'failure' GROUP BY 1",
+    "projection_feed": f"""WITH {V}, k AS (SELECT source AS tenant, seq, sha256('["' || source || '","' || event_id || '"]') AS key, seq % 3 AS r FROM v),
+d AS (SELECT 'search' AS destination, tenant, CASE r WHEN 0 THEN '2' WHEN 2 THEN '4' ELSE 'pending' END AS state, seq, key FROM k UNION ALL SELECT 'warehouse', tenant, CASE r WHEN 1 THEN 'pending' ELSE '5' END, seq, key FROM k)
+SELECT destination, tenant, state, count(*) AS n, min(seq) AS oldest, min(CASE WHEN state <> 'pending' THEN key END) AS first_key FROM d GROUP BY destination, tenant, state""",
     "metric_buckets": f"WITH {V} SELECT source, count(*) FILTER (value <= 10) AS le_10, count(*) FILTER (value <= 50) AS le_50, count(*) FILTER (value <= 100) AS le_100, count(*) FILTER (value <= 200) AS le_200, count(*) AS le_inf, round(sum(value), 2) AS total FROM v GROUP BY 1",
     "metric_exposition": f"""WITH {V}, h AS (SELECT 'event_value' AS name, 'source="' || source || '"' AS l, value, x, CASE WHEN isinf(x) THEN '+Inf' ELSE CAST(CAST(x AS INTEGER) AS VARCHAR) END AS le FROM v, unnest([10, 50, 100, 200, 'Infinity'::DOUBLE]) AS t(x)
   UNION ALL SELECT 'outcome_value', 'source="' || source || '",outcome="' || outcome || '"', value, x, CASE x WHEN 0.5 THEN '0.5' WHEN 150 THEN '150' ELSE '+Inf' END FROM v, unnest([0.5, 150, 'Infinity'::DOUBLE]) AS t(x))

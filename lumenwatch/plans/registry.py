@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import behaviour, context, detection, enrich, ingest, published, reports, run, stream
+from . import behaviour, context, detection, enrich, ingest, published, reports, run, stream, tenants
 
-MODULES = [behaviour, detection, context, enrich, ingest, published, reports, run, stream]
+MODULES = [behaviour, detection, context, enrich, ingest, published, reports, run, stream, tenants]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 from .store import BatchLog
 
 
+def stable_key(tenant: Column, row: Column) -> Column:
+    """The key of a row at every destination: the SHA-256 of the JSON list of tenant and id."""
+    return F.sha2(F.to_json(F.array(tenant, row)), 256)
+
+
 class Versions:
     """Named parts of a folder, appended by version; only versions in the batch log are read."""
 
@@ -88,6 +95,47 @@ class Lines(Versions):
         return self.read("main", self.SCHEMA).select("seq", "line")
 
 
+class Projection(Versions):
+    """An outbox and what each destination has received of it: each destination gets each (tenant, id) once, under a stable key.
+
+    A delivery and its receipts are one part of one version, so both count once its row of the batch log is
+    written; a delivery cut off before that is made again under the same version, in place of what it left.
+    """
+
+    ROWS = "key string, tenant string, id string, seq long, content string"
+
+    def put(self, stream: str, batch: int, rows: DataFrame) -> int:
+        """Add rows (tenant, id, seq, content) to the outbox; of one key, the first by seq, and none that lies in it."""
+        version = self.log.begin(stream, batch)
+        keyed = rows.withColumn("key", stable_key(F.col("tenant"), F.col("id")))
+        first = keyed.groupBy("key").agg(F.min_by(F.struct("tenant", "id", "seq", "content"), F.struct("seq", "content")).alias("r")).select("key", "r.*")
+        self.write("outbox", version, first.join(self.read("outbox", self.ROWS, version).select("key"), "key", "left_anti").select("key", "tenant", "id", "seq", "content"))
+        self.log.done(stream, batch, version)
+        return version
+
+    def pending(self, destination: str, before: int | None = None) -> DataFrame:
+        """Rows of the outbox that the destination has no receipt for."""
+        receipts = self.read(f"delivered-{destination}", self.ROWS, before).select("key")
+        return self.read("outbox", self.ROWS, before).drop("version").join(receipts, "key", "left_anti")
+
+    def deliver(self, destination: str, batch: int, limit: int | None = None) -> int:
+        """Deliver what is pending, the oldest by seq first; a limit is the size of a batch that the destination asks for."""
+        version = self.log.begin(f"deliver-{destination}", batch)
+        rows = self.pending(destination, version)
+        rows = rows if limit is None else rows.orderBy("seq", "key").limit(limit)
+        self.write(f"delivered-{destination}", version, rows.select("key", "tenant", "id", "seq", "content"))
+        self.log.done(f"deliver-{destination}", batch, version)
+        return version
+
+    def delivered(self, destination: str) -> DataFrame:
+        return self.read(f"delivered-{destination}", self.ROWS)
+
+    def backlog(self, *destinations: str) -> DataFrame:
+        """destination, tenant, pending and the oldest pending seq; a tenant without any has no row."""
+        each = [self.pending(d).groupBy("tenant").agg(F.count("*").alias("pending"), F.min("seq").alias("oldest")).withColumn("destination", F.lit(d)) for d in destinations]
+        return reduce(DataFrame.unionByName, each).select("destination", "tenant", "pending", "oldest")
+
+
 class Archive(Versions):
     """Raw lines by day of ingest, with the range of seq that each day of each append holds, so replays read only the days they need."""
 
