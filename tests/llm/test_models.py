@@ -238,6 +238,15 @@ def test_spelled_and_unprefixed_data_is_added_and_digit_groups_stay(spark):
     assert added[6:] == [[]] * 4
 
 
+def test_versions_amounts_and_mentions_stay_and_numbers_are_found_whole(spark):
+    model = pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    added = lambda t: [(k, t[a:b]) for k, a, b, _ in model.added(t, pii.candidates(t))]
+    harmless = ["Version 10.20.30.400 is out", "gdp grew 12.345.678.901 euros", "met @ cafe.de", "1000 2000 3000 4000", "2024-03-05 2024", "order 12345678901 shipped", "build 1.2.3.20240305", "see me (at) home. then", "isbn 978-3-16-148410-0"]
+    assert [added(t) for t in harmless] == [[]] * len(harmless)
+    for kind, span in [("email", "jane.doe (at) example (dot) org"), ("phone", "030 901820 445"), ("card", "4111.1111.1111.1111"), ("phone", "0049 30 1234567"), ("phone", "(212) 555-0187")]:
+        assert added(f"write or call {span} now") == [(kind, span)]
+
+
 def test_a_text_of_many_candidates_takes_linear_time():
     model = pii.Model(np.zeros((0, 1)), np.zeros(0, bool), np.zeros(0, bool))
     model.trees = type("All", (), {"score": staticmethod(lambda x: np.zeros(len(x)))})()
