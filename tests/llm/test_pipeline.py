@@ -43,4 +43,4 @@ def test_run_gives_packed_pieces(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset", "length", "ids"} <= set(out.columns) and out.count() > 0
     assert out.where("size(ids) <> length").count() == 0
-    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 10
+    assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 13
