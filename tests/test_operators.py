@@ -73,6 +73,14 @@ def test_merge_targets_and_material_change(spark):
     assert {r.incident_key: r.material for r in incidents.material(before, after).collect()} == {"i": False, "j": True}
 
 
+def test_no_side_of_a_merge_is_broadcast_by_its_size(spark):
+    stored = graph.save(spark.createDataFrame([("i1", 50, 0, 400 * 24 * HOUR, [f"user:u{i}" for i in range(50)])], "incident_key string, risk_score int, first_us long, last_us long, entities array<string>"), "stored")
+    new = findings(spark, [(f"f{i}", [f"user:u{i}", f"user:u{i + 1}"], i * 24 * HOUR) for i in range(60)])
+    out = incidents.merge_targets(stored, new)
+    assert sorted(r.finding_id for r in out.collect()) == sorted(f"f{i}" for i in range(50))
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_repeats_count_a_closed_window(spark):
     rows = [(f"f{i}", ["user:x"], i * 60_000_000) for i in range(20)]
     same = findings(spark, rows).withColumn("rule_id", F.lit("r"))
@@ -97,6 +105,25 @@ def test_components_of_paths_stars_and_nothing(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_with_hubs_and_chains_between_them(spark):
+    pairs = [(i % 3, i) for i in range(10, 3000)] + [(2, 5000)] + [(5000 + i, 5001 + i) for i in range(9)]
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {n: n % 3 for n in [*range(3), *range(10, 3000)]} | dict.fromkeys(range(5000, 5010), 2)
+
+
+def test_lookups_of_hot_cold_unknown_and_null_keys(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(2000)] + [(None, 7), (3, 8), (4, 9)], "k long, i long")
+    out = graph.looked_up(rows, spark.createDataFrame([(1, "hot"), (3, "cold"), (5, "other")], "k long, v string"), "k")
+    assert sorted(((r.i, r.v) for r in out.where("k IS NULL OR k <> 1").collect())) == [(7, None), (8, "cold"), (9, None)]
+    assert out.where("v = 'hot'").count() == 2000 and out.count() == 2003
+
+
+def test_correlation_of_one_finding_id_in_several_rows(spark):
+    rows = [("b", ["user:x", "user:x"], 0), ("b", ["host:h"], 90 * HOUR), ("a", ["host:h"], 91 * HOUR), ("c", ["user:x"], HOUR)]
+    got = incidents.correlate(findings(spark, rows)).collect()
+    assert sorted((r.finding_id, r.incident_key) for r in got) == [("a", "a"), ("b", "a"), ("b", "a"), ("c", "a")]
+
+
 def test_address_scopes(spark):
     rows = ["127.0.0.1", "169.254.1.1", "224.0.0.9", "203.0.113.7", "10.1.1.1", "8.8.8.8", "100.64.0.1", "1.2.3", "1.2.3.256"]
     df = spark.createDataFrame([(r,) for r in rows], "ip string")
