@@ -162,3 +162,54 @@ def test_signals_forget_idle_entities(spark, tmp_path):
         time.sleep(0.1)
         rows((2, 2, 9, at, ["user:a", "ip:2.2.2.2"], "y", "2.2.2.2", None)).coalesce(1).write.parquet(f"{path}/1")
         assert sorted(r.signal for r in jobs.drained(stream(), where=where).collect()) == want
+
+
+class State:
+    """Value or list state of one key that counts its calls."""
+
+    def __init__(self, calls, many):
+        self.calls, self.many, self.held = calls, many, [] if many else None
+
+    def get(self):
+        self.calls.append("get")
+        return iter(list(self.held)) if self.many else self.held
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    def appendList(self, values):
+        self.calls.append("append")
+        self.held += values
+
+
+class Handle:
+    def __init__(self):
+        self.calls = []
+
+    def getValueState(self, *args):
+        return State(self.calls, False)
+
+    def getListState(self, *args):
+        return State(self.calls, True)
+
+
+def test_signals_and_novelty_call_the_state_four_times_a_batch_whatever_its_rows():
+    from pyspark.sql import Row
+
+    from lumenwatch.streaming import jobs
+
+    rows = [Row(event_id=n, seq=n, us=n, action=f"a{n % 50}", value=f"a{n % 50}", hour=n % 24, src_ip=f"i{n}", host="") for n in range(600)]
+    got = {}
+    for processor in (jobs.Signals(5, 1000), jobs.Novelty(1000)):
+        handle, out = Handle(), []
+        processor.init(handle)
+        for batch in (rows[:100], rows[100:], rows[:100]):
+            handle.calls.clear()
+            out += processor.handleInputRows(("user:a",), iter(batch[::-1]), None)
+            assert len(handle.calls) <= 4
+        got[type(processor).__name__] = out
+    assert [r.value for r in got["Novelty"]] == [f"a{n}" for n in range(1, 50)]
+    kinds = {k: sum(r.signal == k for r in got["Signals"]) for k in ("novel_action", "novel_src_ip", "off_hours", "burst")}
+    near = sum(len([t for t in ([r.us for r in rows] + [r.us for r in rows[:100]])[max(0, i - 256) : i] if t >= r.us - 5]) >= 7 for i, r in enumerate(rows + rows[:100]))
+    assert kinds == {"novel_action": 49, "novel_src_ip": 599, "off_hours": 19, "burst": near}
