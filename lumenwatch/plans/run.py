@@ -21,9 +21,6 @@ def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = security_events(spark, sf_dir)
     clauses = context.indicator_clauses(spark.createDataFrame(BUNDLE, "id string, name string, pattern string"))
     hay = F.concat_ws(" ", "action", "user_name", "host", "process_name", "command_line", "props")
-    found = graph.save(run.findings_of(run.rule_findings(events, RULES), run.intel_findings(events, clauses, "src_ip", hay), run.behaviour_findings(events, BURST_US)), "findings")
-    exceptions = F.broadcast(spark.createDataFrame(EXCEPTIONS, "suppression_id string, position int, rule_id string, entity string, action string, downgrade_to int, expires_us long, enabled boolean"))
-    judged = graph.save(suppression.settled(found, exceptions, F.lit(NOW_US)), "judged")
     role = F.element_at(F.array(*map(F.lit, ROLE_NAMES)), (F.col("position") % 4 + 1).cast("int"))
     index = context.identity_index(_identities(spark, sf_dir).withColumn("role", role))
     entities = by_entity(events).select("entity").distinct()
@@ -31,17 +28,19 @@ def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = _assets(spark, sf_dir).select(F.concat(F.lit("host:"), "key").alias("entity"), F.lit("asset").alias("source"), "criticality", no_tags)
     contexts = context.context_table(context.identity_context(entities, index), hosts)
     roles = F.broadcast(spark.createDataFrame(ROLES, "role string, rule_id string"))
-    kept = run.weighed(judged.where("outcome IN ('kept', 'downgraded')"), suppression.trust(_feedback(spark, sf_dir)), index, roles, contexts, NEVER)
-    return kept.unionByName(judged.where("outcome IN ('suppressed', 'repeated')").withColumn("routine", F.lit(False)))
+    facts = graph.save(context.entity_facts(entities, contexts, index, roles, [*NEVER, *run.NEVER_ROUTINE]), "facts")
+    found = graph.save(run.findings(events, RULES, clauses, "src_ip", hay, BURST_US, facts), "findings")
+    exceptions = F.broadcast(spark.createDataFrame(EXCEPTIONS, "suppression_id string, position int, rule_id string, entity string, action string, downgrade_to int, expires_us long, enabled boolean"))
+    return run.weighed(suppression.settled(found, exceptions, F.lit(NOW_US)), F.broadcast(suppression.trust(_feedback(spark, sf_dir))))  # a row a rule
 
 
 def _run(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return run.recommended(graph.save(_settled(spark, sf_dir), "settled").where("outcome IN ('kept', 'downgraded')"))
+    return run.recommended(graph.save(_settled(spark, sf_dir), "settled").where("outcome IN ('kept', 'downgraded')"), RULES)
 
 
 def full_run_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding of the run: what became of it, and the severity and risk that it ends with."""
-    return _settled(spark, sf_dir).select("finding_id", "rule_id", "rule_name", "outcome", "suppression_id", "routine", "severity", "risk_points", F.concat_ws(",", "indicators").alias("indicators"), F.size("signals").alias("signals"))
+    return run.told(_settled(spark, sf_dir), RULES).select("finding_id", "rule_id", "rule_name", "outcome", "suppression_id", "routine", "severity", "risk_points", F.concat_ws(",", "indicators").alias("indicators"), F.size("signals").alias("signals"))
 
 
 def full_run(spark: SparkSession, sf_dir: str) -> DataFrame:

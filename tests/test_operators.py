@@ -291,3 +291,21 @@ def test_signals_read_the_events_once(spark):
 
     found = behaviour.signals(security_events(spark, "/root/testdata/sf0.001"))
     assert found.inputFiles() and not any("testdata" in f for f in found.inputFiles())
+
+
+def test_events_of_several_findings_are_linked_once(spark):
+    rows = [(f"{k}{i}", e, [f"user:{e // 3}", "ip:9"][: 1 + e % 2], e * 20 * HOUR) for e in range(12) for i, k in enumerate("ab")]
+    found = spark.createDataFrame(rows, "finding_id string, event_id long, entities array<string>, us long").withColumn("finding_id", F.sha2(F.concat_ws(":", "finding_id", "event_id"), 256))
+    got = [sorted((r.finding_id, r.incident_key) for r in incidents.correlate(found, by=by).collect()) for by in ("finding_id", "event_id")]
+    assert got[0] == got[1] and len(got[0]) == 24
+
+
+def test_few_exceptions_shuffle_no_findings(spark, monkeypatch):
+    found = spark.createDataFrame([(f"f{i}", f"r{i % 3}", [f"user:{i % 4}", "host:1"][: i % 3], i) for i in range(40)], "finding_id string, rule_id string, entities array<string>, severity int")
+    given = spark.createDataFrame([("x", 2, "r1", None, "suppress", None, None, True), ("y", 1, "*", "user:1", "downgrade", 7, None, True), ("z", 0, "*", None, "suppress", None, -1, True), ("w", 3, "r2", "user:2", "suppress", None, None, True)], "suppression_id string, position int, rule_id string, entity string, action string, downgrade_to int, expires_us long, enabled boolean")
+    few = suppression.matched(found, given, F.lit(0))
+    assert "hashpartitioning(finding_id" not in few._jdf.queryExecution().toString()
+    monkeypatch.setattr(suppression, "FEW", 0)
+    many = suppression.matched(found, given, F.lit(0))
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.select(few.columns).collect()))
+    assert {r.suppression_id for r in few.collect()} == {None, "x", "y", "w"}
