@@ -2,19 +2,19 @@
 
 Base spans come from fixed patterns and always stay. High-recall generators propose further spans, which
 may overlap: failed base matches, spelled-out e-mail addresses, numbers in other groupings. Boosted trees
-score each candidate by its format and its context. They learn from a bounded sample: the SAMPLE distinct
-examples with the smallest hashes of all documents' examples (copies teach once). Positives are base spans, and base spans rewritten in
+score each candidate by its format and its context. They learn from all documents' distinct examples (copies
+teach once): equal ones in all features are one row with a count, and a level of a tree takes sums over these rows where they lie. Positives are base spans, and base spans rewritten in
 their own context as only the generators find them: spelled out, without prefix, with 00 or a trunk 0, in
 brackets or other groupings. Negatives are failed tests, number groups that no word before them explains, and
 harmless text (dates, amounts, versions, a word @ a place) put in a base span's place. Numbers that begin with 00 are no cards. A generator's other proposals are left out, as nothing says what they are. The threshold of
-each kind is the least score from which PRECISION of a held-out fifth of the sample's non-base examples is
+each kind is the least score, in steps of 1 / STEPS, from which PRECISION of the non-base examples of a held-out fifth (every fifth by hash) is
 positive; equal scores count together, and those at the threshold must be as precise themselves. A kind with
-fewer than LEAST held-out positives, or a sample of fewer than 50, has no threshold and gets no additions.
+fewer than LEAST held-out positives, or fewer than 50 examples in all, has no threshold and gets no additions.
 Candidates that reach it and touch no base span are added, best first, without overlap. The work on a text
 grows with its length, whatever the number of its candidates.
 
 Offsets are code points, end exclusive. Defined cases: null or empty text has no spans; documents without
-any candidates give base spans only, and so does a sample without both classes; a repeated row gives its
+any candidates give base spans only, and so do examples without both classes; a repeated row gives its
 spans each time; an empty table gives no rows; a null doc_id is kept.
 """
 
@@ -22,18 +22,20 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .boost import BoostedTrees
+from .boost import TOP, BoostedTrees, Part
 from .common import columns, save
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE, PRECISION, LEAST = 20_000, 0.99, 20
+PRECISION, LEAST = 0.99, 20
+#: Scores count in steps of 1 / STEPS, from -REACH to REACH; so many rows of examples are learnt from in one piece.
+STEPS, REACH, FEW = 1024, 32, 50_000
 ANY = re.compile("[0-9@]|\\bat\\b", re.I)
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,7 +45,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SPELLED = re.compile(r"(?<!\S)[A-Za-z0-9._%+-]{2,64} ?(?:@|\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,64}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{2,24})+", re.I)
 GROUPED = re.compile(r"\([0-9]{1,5}\) ?[0-9][0-9 ().\-/]{3,30}[0-9]|[0-9][0-9 ().\-/]{7,30}[0-9]")
 WORDS = [re.compile(p, re.I) for p in (r"mail", r"\bip\b|server|addr", r"card|visa|pay|konto|tarjeta|carte", r"tel|phone|call|mobil|fon")]
-TOP = frozenset("com org net edu gov mil int info biz name app dev example test online site shop cloud tech xyz".split())
+ENDINGS = frozenset("com org net edu gov mil int info biz name app dev example test online site shop cloud tech xyz".split())
 SENTENCE = re.compile(r"\. ")
 #: Harmless text for a base span's place.
 PLAIN = ["{y}-0{a}-1{b} 11{c}{d}", "{y} {y} 20{a}{b}", "{a}000 {b}000 {c}000", "{a}{b}.50 {c}{d}.75 1{a}.00", "{y}/{y} 20{b}{c}", "0.{a}25 0.{b}50 0.{c}75", "1{a}-2{b} 3{c}-4{d} 5{a}-6{b}", "1{a}.2{b}.3{c}.{d}00", "1{a}.3{b}5.6{c}8.9{d}1", "{a}.{b}.{c}.2{d}{y}", "{a}{b}3.{c}45.{d}12", "{a}.{b}.{c}.{y}0{d}05"]
@@ -112,7 +114,7 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
         float(len(parts) == 4 and max((int(p[:6]) for p in parts), default=999) <= 255), float(span[0] == "+"), float(digits.startswith("00")), float(len(set(map(len, parts[1:]))) == 1), float("(" in span), span.count("."), span.count(" "), span.count("-"),
         span.count("@"), float("[" in span or "{" in span or "(at" in span.lower()), edge(before[-1:]), edge(after[:1]), float(before[-1:] in "=#:\"'" and bool(before)),
         *(float(bool(w.search(before))) for w in WORDS), len(set(digits)),
-        float(len(top := re.split(r"[^A-Za-z]", span)[-1] or re.split(r"[^A-Za-z]+", span.rstrip(")]}"))[-1]) == 2 or top.lower() in TOP), float(bool(SENTENCE.search(span))),
+        float(len(top := re.split(r"[^A-Za-z]", span)[-1] or re.split(r"[^A-Za-z]+", span.rstrip(")]}"))[-1]) == 2 or top.lower() in ENDINGS), float(bool(SENTENCE.search(span))),
         min(map(len, parts), default=0), len(parts[0]) if parts else 0, float(bool(parts) and len(parts[0]) == 4 and parts[0][:2] in ("19", "20")),
     ]
 
@@ -199,11 +201,8 @@ def examples(text: str) -> Iterator[tuple[str, int, int, str, bool, bool]]:
                         yield other, x, y, k, good and k == kind, False
 
 
-def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """The `size` distinct examples with the smallest hashes: features, whether each is personal data and whether it is a base span.
-
-    Counts of the hashes' first 16 bits tell where to cut, so few more than `size` rows are put in order.
-    """
+def sample(docs: DataFrame, size: int | None = None) -> DataFrame:
+    """All distinct examples: hash, features (a byte each, TOP at most), whether each is personal data and whether it is a base span. With a size, those of the smallest hashes, for a look at them."""
     kinds = [("text", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("kind", pa.string()), ("y", pa.bool_()), ("base", pa.bool_())]
 
     def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,41 +212,75 @@ def sample(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t, k, a, b) for t, k, a, b in zip(*columns(batch, "text", "kind", "a", "b"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("h")), pa.array(x, pa.list_(pa.float64())), *(batch.column(batch.schema.get_field_index(n)) for n in ("y", "base"))], ["h", "x", "y", "base"])
+            x = [shown([features(t, k, a, b)]).tobytes() for t, k, a, b in zip(*columns(batch, "text", "kind", "a", "b"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("h")), pa.array(x, pa.binary()), *(batch.column(batch.schema.get_field_index(n)) for n in ("y", "base"))], ["h", "x", "y", "base"])
 
     rows = docs.select("text").mapInArrow(taught, "text string, a int, b int, kind string, y boolean, base boolean")
-    found = save(rows.distinct().withColumn("h", F.xxhash64(*rows.columns)), "examples")
-    slot = F.shiftrightunsigned("h", 48)
-    counts, cut = {r[0]: r[1] for r in found.groupBy(slot.alias("s")).count().collect()}, -1  # 65,536 rows at most
-    held = 0
-    while held < size and cut < 1 << 16:
-        cut += 1
-        held += counts.get(cut, 0)
-    return found.where(slot <= cut).mapInArrow(described, "h long, x array<double>, y boolean, base boolean").orderBy(F.shiftrightunsigned("h", 32), "h").limit(size)
-
-
-def least_score(right: np.ndarray, score: np.ndarray) -> float:
-    """Halfway below the least score from which PRECISION of the examples, and of those of that score, are positive."""
+    found = rows.distinct().withColumn("h", F.xxhash64(*rows.columns))
+    if size is not None:
+        found = found.orderBy(F.shiftrightunsigned("h", 32), "h").limit(size)
+    return found.mapInArrow(described, "h long, x binary, y boolean, base boolean")
+
+
+def folded(found: DataFrame) -> DataFrame:
+    """The examples with held: every fifth by hash. Counts by its first 16 bits give where a slot begins, so no task puts all of them in order."""
+    rows = found.withColumn("_slot", F.shiftrightunsigned("h", 48))
+    slots = rows.groupBy("_slot").agg(F.count("*").alias("_n"))  # 65,536 rows at most
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inner = F.row_number().over(Window.partitionBy("_slot").orderBy(F.shiftrightunsigned("h", 32), "h"))
+    ranked = rows.withColumn("_inner", inner).join(F.broadcast(slots.select("_slot", before.alias("_before"))), "_slot")
+    return ranked.withColumn("held", F.pmod(F.col("_before") + F.col("_inner") - 1, F.lit(5)) == 0).drop("_slot", "_inner", "_before")
+
+
+def shown(x: list[list[float]]) -> np.ndarray:
+    """Features as the trees see them."""
+    return np.minimum(np.array(x, float), TOP).astype(np.uint8)
+
+
+def least_score(right: np.ndarray, score: np.ndarray, n: np.ndarray | None = None) -> float:
+    """Halfway below the least score from which PRECISION of the examples, and of those of that score, are positive; n: how often each occurs."""
+    n = np.ones(len(score)) if n is None else n
     values, group = np.unique(-score, return_inverse=True)
-    hits, n = np.bincount(group, right, len(values)), np.bincount(group, minlength=len(values))
+    hits, n = np.bincount(group, right * n, len(values)), np.bincount(group, n, len(values))
     good = np.flatnonzero((hits.cumsum() >= PRECISION * n.cumsum()) & (hits.cumsum() >= LEAST) & (hits >= PRECISION * n))
     return float(-values[good[-1] : good[-1] + 2].mean()) if len(good) else np.inf
 
 
+def stepped(score: np.ndarray) -> np.ndarray:
+    """The step of each score, from 0 to 2 * REACH * STEPS."""
+    return np.rint((np.clip(score, -REACH, REACH) + REACH) * STEPS).astype(np.int64)
+
+
 class Model:
-    """Trees and, for each kind, the score from which a candidate is personal data."""
+    """Trees and, for each kind, the score from which a candidate is personal data. total adds up what a function gives of each Part of the rows."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, base: np.ndarray):
+        self.learn(Part(x.astype(np.uint8), y, base, np.arange(len(y)) % 5 == 0, np.ones(len(y), np.int64)).total)
+
+    @classmethod
+    def of(cls, total: Callable[[Callable[[Part], np.ndarray]], np.ndarray]) -> Model:
+        model = cls.__new__(cls)
+        model.learn(total)
+        return model
+
+    def learn(self, total: Callable[[Callable[[Part], np.ndarray]], np.ndarray]) -> None:
         self.trees, self.least = None, dict.fromkeys(KINDS, np.inf)
-        if len(y) < 50 or y.min() == y.max():
+        n, good, train, right = total(lambda p: np.array([(p.n * k).sum() for k in (np.ones(len(p.y), bool), p.y, ~p.held, p.y & ~p.held)], np.int64)).tolist()
+        if n < 50 or good in (0, n) or right in (0, train):
             return
-        held = np.arange(len(y)) % 5 == 0
-        self.trees = BoostedTrees().fit(x[~held], y[~held].astype(float))
-        score = self.trees.score(x)
-        for i, kind in enumerate(KINDS):
-            own = held & ~base & (x[:, 0] == i)
-            self.least[kind] = least_score(y[own], score[own])
+        counts = total(lambda p: p.values())
+        trees = BoostedTrees().begin([(np.flatnonzero(c), c[c > 0]) for c in counts], right / train).grow(total)
+        wide = 2 * REACH * STEPS + 1
+
+        def by_score(p: Part) -> np.ndarray:
+            use = p.held & ~p.base
+            return np.bincount((p.x[use, 0].astype(np.int64) * 2 + p.y[use]) * wide + stepped(trees.score(p.x[use])), p.n[use], 2 * len(KINDS) * wide).astype(np.int64)
+
+        held = total(by_score).reshape(len(KINDS), 2, wide)
+        for kind, (bad, good) in zip(KINDS, held, strict=True):
+            some = np.flatnonzero(bad + good)
+            self.least[kind] = least_score(np.repeat([False, True], len(some)), np.tile(some / STEPS - REACH, 2), np.concatenate([bad[some], good[some]]))
+        self.trees = trees
 
     def added(self, text: str, found: list[tuple[str, int, int, bool]]) -> list[tuple[str, int, int, float]]:
         """Candidates to add to the base spans, with their probability."""
@@ -257,7 +290,7 @@ class Model:
         rest = [(k, a, b) for k, a, b, base in found if not base and taken.free(a, b)]
         if not rest:
             return []
-        out, score = [], self.trees.score(np.array([features(text, *r) for r in rest]))
+        out, score = [], stepped(self.trees.score(shown([features(text, *r) for r in rest]))) / STEPS - REACH
         for i in np.argsort(-score, kind="stable"):
             k, a, b = rest[i]
             if score[i] >= self.least[k] and taken.free(a, b):
@@ -266,9 +299,30 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, size: int = SAMPLE) -> Model:
-    rows = sample(docs, size).select("x", "y", "base").collect()
-    return Model(np.array([r[0] for r in rows], float), *(np.array([r[i] for r in rows], bool) for i in (1, 2)))
+def fit(docs: DataFrame) -> Model:
+    """The model of all documents' distinct examples: up to FEW rows in one piece, more of them by sums over Spark's partitions; the model is the same."""
+    rows = save(folded(save(sample(docs), "examples")).groupBy("x", "y", "base", "held").agg(F.count("*").alias("n")), "taught")
+
+    def part(batch: pa.RecordBatch | pa.Table) -> Part:
+        x, y, base, held, n = (batch.column(c).to_pylist() for c in ("x", "y", "base", "held", "n"))
+        return Part(np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1 if x else 0), *(np.array(c, bool) for c in (y, base, held)), np.array(n, np.int64))
+
+    def total(f: Callable[[Part], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = sum(f(part(b)) for b in batches if b.num_rows)
+            flat = np.ravel(out)
+            used, shape = np.flatnonzero(flat), np.shape(out)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(flat[used], pa.int64()), pa.array([list(shape)] * len(used), pa.list_(pa.int64()))], ["slot", "n", "shape"])
+
+        found = rows.mapInArrow(run, "slot long, n long, shape array<long>").groupBy("slot").agg(F.sum("n").alias("n"), F.first("shape").alias("shape")).collect()  # a sum a node, feature and bin, or a step of the score
+        shape = found[0].shape
+        out = np.zeros(int(np.prod(shape)), np.int64)
+        out[[r.slot for r in found]] = [r.n for r in found]
+        return out.reshape(shape)
+
+    if rows.limit(FEW + 1).count() <= FEW:
+        return Model.of(part(rows.toArrow()).total)
+    return Model.of(total)
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean,score:double>>"
