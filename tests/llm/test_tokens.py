@@ -147,3 +147,17 @@ def test_files_give_back_ids_in_order(spark, docs, rows, none, tmp_path):
         huffman.write(docs.selectExpr("cast(doc_id AS string) AS doc_id", "text"), f"file://{tmp_path}/text")
     huffman.write(none, f"file://{tmp_path}/none")
     assert huffman.read(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_marks_behind_letters_are_coded_once_and_ids_stay_those_of_the_text():
+    from lumenwatch.llm.tokens import WordTokenizer, default_path
+
+    coder, given = WordTokenizer(default_path()), []
+    plain = coder.tokenizer
+    coder.tokenizer = type("Counted", (), {"encode_batch_fast": staticmethod(lambda texts, **more: given.extend(w for t in texts for w in t.split()) or plain.encode_batch_fast(texts, **more))})
+    words = ["house", "straße", "Γσς", "漢字", "ét", "x²", "don't", "a"]
+    marks = ["", ".", ",", "***", "?!", "$$$", "'", "'.", "²", "́", "<|endoftext|>", ".b", "7", "-"]
+    for texts in ([" ".join(w + m for m in marks for w in words)], [w + m for m in marks for w in words], ["house", "...", "house."]):
+        ids, n = coder.encode([t.encode() for t in texts], 2)
+        assert ids.tolist() == [i for t in texts for i in ids_of(t, 2)] and n.tolist() == [len(ids_of(t, 2)) for t in texts]
+    assert given.count("house") == 1 and not {"house.", "house***", "straße?!"} & set(given)
