@@ -98,6 +98,13 @@ def test_sums_before_equal_plain_windows_in_small_buckets(spark):
     assert got == {i: sum(j % 5 for j in range(i) if j % 3 == i % 3) for i in range(200)}
 
 
+def test_a_sum_before_joins_nothing_and_takes_null_keys(spark):
+    rows = spark.createDataFrame([(i, None if i % 3 == 2 else i % 3, i % 5 - 2) for i in range(200)], "seq long, k int, v int")
+    found = windows.sum_before(rows, ["k"], "v", "s", bucket=7)
+    assert found.columns == ["seq", "k", "v", "s"] and {r.seq: r.s for r in found.collect()} == {i: sum(j % 5 - 2 for j in range(i) if j % 3 == i % 3) for i in range(200)}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_several_sums_before_in_small_buckets_deal_the_rows_once(spark):
     rows = spark.createDataFrame([(i, i % 3, None if i % 4 == 3 else i % 4) for i in range(200)], "seq long, k int, v int")
     added = spark.createDataFrame([(i % 3, i, i % 5) for i in range(0, 200, 2)], "k int, seq long, n int")
