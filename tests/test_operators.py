@@ -105,6 +105,18 @@ def test_a_sum_before_joins_nothing_and_takes_null_keys(spark):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_sum_before_keeps_the_columns_of_its_rows(spark):
+    rows = spark.createDataFrame([(i, i % 2, i % 3 == 0, i, i) for i in range(20)], "seq long, k int, _own boolean, _n int, _bucket int")
+    found = windows.sum_before(rows.withColumn("one", F.lit(1)), ["k"], "one", "s", bucket=7)
+    assert sorted(map(tuple, found.drop("one").collect())) == [(i, i % 2, i % 3 == 0, i, i, i // 2) for i in range(20)]
+
+
+def test_saved_times_count_in_bursts_and_are_none_themselves(spark):
+    rows = spark.createDataFrame([(i, i + 1, "user:a", 10 + i) for i in range(3)], "event_id long, seq long, entity string, us long")
+    recent = spark.createDataFrame([("user:a", 247 + i, i) for i in range(10)], "entity string, place long, us long")
+    assert sorted((r.event_id, r.in_window) for r in behaviour.burst(rows, 60, recent).collect()) == [(0, 11), (1, 12), (2, 13)]
+
+
 def test_several_sums_before_in_small_buckets_deal_the_rows_once(spark):
     rows = spark.createDataFrame([(i, i % 3, None if i % 4 == 3 else i % 4) for i in range(200)], "seq long, k int, v int")
     added = spark.createDataFrame([(i % 3, i, i % 5) for i in range(0, 200, 2)], "k int, seq long, n int")
