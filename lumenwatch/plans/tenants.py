@@ -46,8 +46,8 @@ def tenant_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Incidents under keys of their tenant's own."""
-    return incidents.save_incidents(tenants.scoped(_findings(spark, sf_dir), "finding_id"))
+    """Incidents under keys of their tenant's own; events too, as findings are linked by them."""
+    return incidents.save_incidents(tenants.scoped(_findings(spark, sf_dir), "finding_id", "event_id"))
 
 
 def tenant_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
