@@ -46,7 +46,7 @@ def arrivals(spark: SparkSession, sf_dir: str, files: int, late: bool = False) -
     part = F.floor(F.col("event_id") * files / (top + 1))
     order = [*range(files)] if not late else [i for i in range(files) if i != 1] + [1, 0]
     for place, i in enumerate(order):
-        rows.where(part == i).coalesce(1).write.parquet(f"{where}/{place:03d}")
+        rows.where(part == i).repartition(1).write.option("parquet.block.size", 2 << 20).parquet(f"{where}/{place:03d}")  # one file, which is read in parts
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/*")
     return _seen(spark, stream)
 

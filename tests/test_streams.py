@@ -213,3 +213,60 @@ def test_signals_and_novelty_call_the_state_four_times_a_batch_whatever_its_rows
     kinds = {k: sum(r.signal == k for r in got["Signals"]) for k in ("novel_action", "novel_src_ip", "off_hours", "burst")}
     near = sum(len([t for t in ([r.us for r in rows] + [r.us for r in rows[:100]])[max(0, i - 256) : i] if t >= r.us - 5]) >= 7 for i, r in enumerate(rows + rows[:100]))
     assert kinds == {"novel_action": 49, "novel_src_ip": 599, "off_hours": 19, "burst": near}
+
+
+class Entries(State):
+    """Map state of one key that counts its calls."""
+
+    def __init__(self, calls):
+        super().__init__(calls, False)
+        self.held = {}
+
+    def getValue(self, key):
+        self.calls.append("get")
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls.append("update")
+        self.held[key] = value
+
+
+def test_packed_signals_equal_those_of_rows_with_few_rows_and_calls(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    from pyspark.sql import Row
+
+    from lumenwatch.streaming import jobs
+
+    rng = random.Random(5)
+    monkeypatch.setattr(jobs, "PACK", 700)
+    monkeypatch.setattr(jobs, "SOME", 50)
+    names = ["entity", "event_id", "seq", "us", "action", "hour", "src_ip", "host"]
+    rows, us = [], 0
+    for n in range(6000):
+        us += rng.choice([1, 5, 40, -3])
+        entity = rng.choice(["user:a", "user:b", "user:c", f"host:{n // 300}"])
+        rows.append((entity, n + 7, n, us, rng.choice(["x", "y", "", f"z{n // 900}"]), str(rng.randrange(24)), rng.choice(["", f"i{rng.randrange(40)}"]) if n > 50 else "", f"h{n // 500}" if n % 3 else ""))
+    plain, many, handles = [], [], {}
+    whole = Handle()
+    whole.getMapState = lambda *_: whole.state
+    whole.state, together = Entries(whole.calls), jobs.PackedSignals(60, 1000)
+    together.init(whole)
+    for batch in (rows[:2500], rows[2500:2600], rows[2600:]):
+        entities = {r[0] for r in batch}
+        for e in entities:
+            if e not in handles:
+                handles[e] = jobs.Signals(60, 1000)
+                handles[e].init(Handle())
+            plain += handles[e].handleInputRows((e,), iter([Row(**dict(zip(names, r, strict=True))) for r in batch if r[0] == e]), None)
+        rng.shuffle(batch)
+        parts = [pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in batch[i : i + 300]]) for i in range(0, len(batch), 300)]
+        packs = [Row(**p) for part in jobs.packed(iter(parts)) for p in part.to_pylist()]
+        assert len(packs) <= len(entities) * -(-len(batch) // 700)
+        whole.calls.clear()
+        many += together.handleInputRows((0,), iter(packs), None)
+        assert len(whole.calls) == 2 * len(entities)
+    got = [(e, s, r.entity, jobs.NAMES[n]) for r in many for e, s, n in zip(r.event_id, r.seq, r.signal, strict=True)]
+    assert sorted(got) == sorted((r.event_id, r.seq, r.entity, r.signal) for r in plain) and len(got) > 5 * len(many) and {g[3] for g in got} == set(jobs.NAMES)
+    assert max(len(r.signal) for r in many) == 50 and list(jobs.packed(iter([]))) == []
